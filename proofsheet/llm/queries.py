@@ -52,3 +52,53 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
+@query
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flac import text_media_features
+
+    return text_media_features(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations
+
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op10_snapshot_collapse"] = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS line
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+), p AS (
+  SELECT conv_id, place, n_turns, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY place) AS so_far FROM t
+), whole AS (
+  SELECT conv_id, n_turns, so_far, md5(so_far) AS h FROM p WHERE place = n_turns
+), inner_ AS (
+  SELECT DISTINCT place AS n_turns, md5(so_far) AS h FROM p WHERE place < n_turns
+), every AS (
+  SELECT w.conv_id, w.n_turns, w.so_far, count(*) OVER (PARTITION BY w.n_turns, w.h) AS copies,
+         i.h IS NOT NULL AS snapshot, w.conv_id = min(w.conv_id) OVER (PARTITION BY w.n_turns, w.h) AS least
+  FROM whole w LEFT JOIN inner_ i ON i.n_turns = w.n_turns AND i.h = w.h
+)
+SELECT conv_id, n_turns::BIGINT AS n_turns, copies::BIGINT AS copies, snapshot, (least AND NOT snapshot) AS kept,
+       CASE WHEN least AND NOT snapshot THEN so_far END AS rendered
+FROM every
+"""
