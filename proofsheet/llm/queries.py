@@ -102,3 +102,10 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, copies::BIGINT AS copies, snapshot,
        CASE WHEN least AND NOT snapshot THEN so_far END AS rendered
 FROM every
 """
+
+
+@query
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
