@@ -82,8 +82,8 @@ def pareto_sample(units: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken_copies, taken (words)."""
-    sized = own(docs, "doc_id", "source", "text").select("doc_id", "source", words_in("text").alias("size"))
+    """Per document: doc_id, source, h (hash of the text), size, source_size, target, taken_copies, taken (words)."""
+    sized = own(docs, "doc_id", "source", "text").select("doc_id", "source", F.xxhash64("text").alias("h"), words_in("text").alias("size"))
     sized = stored(sized, "sizes").withColumn("row_", F.monotonically_increasing_id())
     goals = stored(source_targets(sized, weights, budget, cap), "targets")
     units = sized.join(goals.withColumnRenamed("source", "s"), sized.source.eqNullSafe(F.col("s"))).drop("s")
