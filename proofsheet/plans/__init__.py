@@ -1 +1,6 @@
+"""Registered queries."""
 
+from . import registering, review
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "registering", "review"]
