@@ -1,8 +1,8 @@
 """Byte-level BPE ids by the tokenizers library, with a cache of pre-tokens.
 
-A text is cut into the pre-tokens that the vocabulary's own pattern gives; each distinct
-pre-token is encoded once by the library's model and its ids are gathered by numpy. Texts
-with characters beyond U+024F, or with a special token's string, go to the library whole.
+A text is cut at its spaces, each distinct unit into the pre-tokens that the vocabulary's
+own pattern gives; each distinct pre-token is encoded once by the library's model and the
+ids of a text are gathered by numpy. Texts with characters beyond U+024F, or with a special token's string, go to the library whole.
 """
 
 from __future__ import annotations
@@ -23,46 +23,84 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 
-class Words(dict):
-    """pre-token -> number, in order of first sight."""
+class Units(dict):
+    """unit -> number, in order of first sight."""
 
     def __init__(self):
         self.fresh: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        self.fresh.append(word)
-        n = self[word] = len(self)
+    def __missing__(self, unit: str) -> int:
+        self.fresh.append(unit)
+        n = self[unit] = len(self)
         return n
 
 
+#: Marks, beyond the plain characters, of a unit without the space before it.
+BARE = "\u02ff"
+
+
 class Encoder:
-    """Encodes texts as Tokenizer.encode(text, add_special_tokens=False).ids does."""
+    """Encodes texts as Tokenizer.encode(text, add_special_tokens=False).ids does.
+
+    Plain texts are cut at single spaces: a space before another character always begins a
+    pre-token, so what stands between two spaces can be encoded by itself.
+    """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_units: int = 1_200_000):
         from tokenizers import Tokenizer
 
-        self.whole, self.most = Tokenizer.from_file(path), most_words
+        self.whole, self.most = Tokenizer.from_file(path), most_units
         self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.stops = {p: array("I", self.piece(p)) for p in ".,"}
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.flat, self.lengths = Words(), array("I"), array("I")
+        self.units, self.flat, self.lengths, self.starts = Units(), array("I"), array("I"), array("Q")
+
+    def piece(self, p: str) -> list[int]:
+        """Ids of one pre-token."""
+        plain = p.isascii() and p[1:].isalnum()  # the alphabet changes its space at most
+        p = p.replace(" ", ALPHABET[32]) if plain else p.encode().decode("latin-1").translate(ALPHABET)
+        return [x.id for x in self.model.tokenize(p)]
+
+    def unit(self, u: str) -> list[int] | array:
+        """Ids of a unit; a word with a comma or stop after it takes those of the word, if it is known."""
+        if u[0] == BARE:
+            return [i for p in SPLIT.findall(u[1:]) for i in self.piece(p)]
+        if u.isalpha():
+            return self.piece(" " + u)
+        if u[-1] in ".," and u[:-1].isalpha():
+            known = self.units.get(u[:-1], len(self.starts))
+            if known < len(self.starts):
+                at = self.starts[known]
+                word = self.flat[at : at + self.lengths[known]]
+            else:
+                word = array("I", self.piece(" " + u[:-1]))
+            word.extend(self.stops[u[-1]])
+            return word
+        return [i for p in SPLIT.findall(" " + u) for i in self.piece(p)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > self.most:
+        if len(self.units) > self.most:
             self.clear()
-        get, out = self.words.__getitem__, []
+        get, out = self.units.__getitem__, []
         for t in texts:
-            plain = BEYOND.search(t) is None and not any(s in t for s in self.special)
-            out.append(np.fromiter(map(get, SPLIT.findall(t)), np.int64) if plain else None)
-        for w in self.words.fresh:
-            ids = [x.id for x in self.model.tokenize(w.encode().decode("latin-1").translate(ALPHABET))]
+            if BEYOND.search(t) or any(s in t for s in self.special):
+                out.append(None)
+            elif "  " in t or t[:1] == " " or t[-1:] == " " or not t:
+                out.append(np.fromiter(map(get, [BARE + p for p in SPLIT.findall(t)]), np.int64))
+            else:
+                first, *rest = t.split(" ")
+                out.append(np.fromiter(map(get, [BARE + first, *rest]), np.int64, len(rest) + 1))
+        for u in self.units.fresh:
+            ids = self.unit(u)
+            self.starts.append(len(self.flat))
             self.flat.extend(ids)
             self.lengths.append(len(ids))
-        self.words.fresh.clear()
+        self.units.fresh.clear()
         flat, lengths = np.array(self.flat, np.uint32), np.array(self.lengths, np.int64)
-        starts = np.cumsum(lengths) - lengths
+        starts = np.array(self.starts, np.int64)
         for i, w in enumerate(out):
             if w is None:
                 out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)

@@ -37,19 +37,23 @@ BITS, BYTES = 1, 0
 
 def planes_of(ids: np.ndarray, mode: int, n: int) -> list[bytes]:
     """The n bit (or byte) planes of uint32 ids, lowest first."""
-    if mode == BITS:
-        return [np.packbits((ids >> np.uint32(b)) & np.uint32(1)).tobytes() for b in range(n)]
     wide = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
-    return [wide[:, b].tobytes() for b in range(n)]
+    if mode == BYTES:
+        return [wide[:, b].tobytes() for b in range(n)]
+    bits = np.unpackbits(np.ascontiguousarray(wide[:, : (n + 7) // 8].T), axis=0, bitorder="little")
+    return [p.tobytes() for p in np.packbits(bits[:n], axis=1)]
 
 
 def ids_of(planes: list[bytes], mode: int, n_ids: int) -> np.ndarray:
     """Inverse of planes_of."""
-    out = np.zeros(n_ids, np.uint32)
-    for b, p in enumerate(planes):
-        raw = np.frombuffer(p, np.uint8)
-        out |= (np.unpackbits(raw, count=n_ids) if mode == BITS else raw).astype(np.uint32) << np.uint32(b if mode == BITS else 8 * b)
-    return out
+    wide = np.zeros((4, n_ids), np.uint8)
+    if mode == BYTES:
+        for b, p in enumerate(planes):
+            wide[b] = np.frombuffer(p, np.uint8)
+    else:
+        packed = np.frombuffer(b"".join(planes), np.uint8).reshape(len(planes), -1)
+        wide[: (len(planes) + 7) // 8] = np.packbits(np.unpackbits(packed, axis=1, count=n_ids), axis=0, bitorder="little")
+    return np.ascontiguousarray(wide.T).view("<u4").ravel()
 
 
 def segment_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, mode: int = BITS, chunk_ids: int = CHUNK_IDS, level: int = 3) -> bytes:
