@@ -1,0 +1,68 @@
+"""Differences of two aligned images: tolerance band, structural similarity, ink."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from . import regions
+from .geometry import ycrcb
+
+
+def band(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """How far each value of a lies outside the range of b's neighbourhood."""
+    if not radius:
+        return np.abs(a - b)
+    size = (2 * radius + 1,) * 2
+    return np.maximum(np.maximum(a - regions.dilate(b, size), regions.erode(b, size) - a), 0)
+
+
+def score(a: np.ndarray, b: np.ndarray, luma: float, chroma: float, radius: int = 1) -> np.ndarray:
+    """Difference map, 1.0 at the threshold: luma and the greater colour difference, each over its own."""
+    d = band(ycrcb(a), ycrcb(b), radius)
+    return np.maximum(d[..., 0] / luma, d[..., 1:].max(-1) / chroma)
+
+
+def changed(score_: np.ndarray, threshold: float = 1.0, opening: int = 3) -> np.ndarray:
+    return regions.opened((score_ > threshold).astype(np.uint8), opening)
+
+
+def signal(score_: np.ndarray, box: tuple[int, int, int, int], cap: float = 3.0, top: float = 0.05) -> float:
+    """Mean of the box's highest values, clipped; 0 for an empty box."""
+    x, y, w, h = box
+    v = np.clip(score_[max(y, 0) : y + h, max(x, 0) : x + w], 0, cap).ravel()
+    k = max(1, int(len(v) * top))
+    return float(np.partition(v, len(v) - k)[len(v) - k :].mean()) if len(v) else 0.0
+
+
+def box_mean(a: np.ndarray, n: int) -> np.ndarray:
+    """Mean over n x n windows; the edge is mirrored."""
+    r = n // 2
+    s = np.pad(a.astype(np.float64), ((r + 1, n - 1 - r), (r + 1, n - 1 - r)), mode="reflect").cumsum(0).cumsum(1)
+    return (s[n:, n:] - s[:-n, n:] - s[n:, :-n] + s[:-n, :-n]) / (n * n)
+
+
+def dissimilarity(a: np.ndarray, b: np.ndarray, n: int = 7) -> np.ndarray:
+    """(1 - SSIM) / 2 of two grey images, 0 to 1 (Wang et al. 2004)."""
+    c1, c2, cov = (0.01 * 255) ** 2, (0.03 * 255) ** 2, n * n / (n * n - 1)
+    ma, mb = box_mean(a, n), box_mean(b, n)
+    va, vb = (cov * (box_mean(x.astype(np.float64) ** 2, n) - m * m) for x, m in ((a, ma), (b, mb)))
+    vab = cov * (box_mean(a.astype(np.float64) * b, n) - ma * mb)
+    s = (2 * ma * mb + c1) * (2 * vab + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+    return np.clip((1 - s) / 2, 0, 1)
+
+
+def colour_shift(a: np.ndarray, b: np.ndarray, n: int = 7) -> np.ndarray:
+    """Greater difference of the two colour channels after a box mean."""
+    p, q = ycrcb(a), ycrcb(b)
+    return np.maximum(*(np.abs(box_mean(p[..., i], n) - box_mean(q[..., i], n)) for i in (1, 2)))
+
+
+def ink(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Ratio of the edge energies of two crops; None if there is too little ink."""
+
+    def energy(x: np.ndarray) -> float:
+        g = np.pad(ycrcb(x)[..., 0], 1, mode="edge")
+        return float(np.abs(g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).mean())
+
+    e, f = energy(a), energy(b)
+    return min(e, f) / max(e, f) if min(e, f) >= 1e-3 else None

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from proofsheet.functions.verdict import region_signature, severity_rank, verdict_rank, worst_severity
 
-SIGNATURE = region_signature("product_id", "x", "y", "w", "h", "field_key")
+
+def signature() -> Column:
+    return region_signature("product_id", "x", "y", "w", "h", "field_key")
 
 
 def signed(regions: DataFrame) -> DataFrame:
-    return regions.withColumn("signature", SIGNATURE)
+    return regions.withColumn("signature", signature())
 
 
 def with_acknowledgement(findings: DataFrame, regions: DataFrame, acks: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def with_acknowledgement(findings: DataFrame, regions: DataFrame, acks: DataFram
     A region is signed off only for the version that is current; a finding counts as
     acknowledged if it has regions and all of them are.
     """
-    valid = acks.filter("decision = 'ACKNOWLEDGED'").select("product_id", SIGNATURE.alias("signature"), "version_id").distinct()
+    valid = acks.filter("decision = 'ACKNOWLEDGED'").select("product_id", signature().alias("signature"), "version_id").distinct()
     marked = signed(regions).join(valid.withColumn("ok", F.lit(True)), ["product_id", "signature", "version_id"], "left")
     per = marked.groupBy("finding_id").agg(F.count("*").alias("region_count"), F.every(F.coalesce("ok", F.lit(False))).alias("acknowledged"))
     return findings.join(per, "finding_id", "left").fillna({"region_count": 0, "acknowledged": False})

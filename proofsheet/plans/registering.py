@@ -11,11 +11,8 @@ from proofsheet.operators import versions as A
 
 from .registry import query
 
-SHA = F.sha2("text", 256).alias("sha")
-
-
 def versions(t):
-    return t.b_versions.select("product_id", "version_id", "flagged", "n_chars", SHA)
+    return t.b_versions.select("product_id", "version_id", "flagged", "n_chars", F.sha2("text", 256).alias("sha"))
 
 
 @query("""WITH v AS (SELECT product_id, version_id, sha256(text) AS sha FROM b_versions), f AS (SELECT product_id, sha, min(version_id) AS matched_id FROM v WHERE version_id % 3 <> 0 GROUP BY ALL)
