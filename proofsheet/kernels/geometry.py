@@ -123,7 +123,9 @@ def prepared(probe: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.n
     w, h = min(probe.shape[1], reference.shape[1]), min(probe.shape[0], reference.shape[0])
     p, r = resize_area(probe, w, h), resize_area(reference, w, h)
     dx, dy = translation(ycrcb(r)[..., 0], ycrcb(p)[..., 0])
-    return shift(p, -dx, -dy), r, w / reference.shape[1]
+    moved, off = shift(p, -dx, -dy), lambda a: np.abs(a.astype(np.int16) - r).mean()
+    # flat print leaves little to correlate; a shift that doesn't help is none
+    return (moved if off(moved) < off(p) else p), r, w / reference.shape[1]
 
 
 def corners(grey: np.ndarray, most: int = 400, apart: int = 5) -> np.ndarray:
