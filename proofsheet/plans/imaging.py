@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions import boxes as B
@@ -144,15 +143,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, neighbour)
 SELECT a.q, a.neighbour, a.distance, a.distance < 0.95 * b.distance AS distinct_ FROM k a JOIN k b ON a.q = b.q AND a.n = 1 AND b.n = 2""")
 def knn_ratio(t):
     """Two nearest of each query vector and the ratio test."""
-    vec = F.transform("embedding", lambda v: v.cast("double"))
-    e = t.embeddings.select("vec_id", vec.alias("e"))
-    queries = F.broadcast(e.filter("vec_id % 50 = 0").limit(10_000).select(F.col("vec_id").alias("q"), F.col("e").alias("qe")))  # a stated query set
-    d = F.sqrt(F.aggregate(F.zip_with("e", "qe", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    near = e.join(queries, F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("neighbour"), F.round(d, 9).alias("distance"))
-    w = Window.partitionBy("q").orderBy("distance", "neighbour")
-    two = near.withColumn("n", F.row_number().over(w)).filter("n <= 2")
-    per = two.groupBy("q").agg(F.min_by(F.struct("neighbour", "distance"), "n").alias("a"), F.max("distance").alias("second"))
-    return per.select("q", "a.neighbour", "a.distance", (F.col("a.distance") < 0.95 * F.col("second")).alias("distinct_"))
+    e = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    return D.nearest_two(e, e.filter("vec_id % 50 = 0"), 0.95).withColumn("distance", F.round("distance", 9))
 
 
 @query("""SELECT vec_id, round(sqrt(abs(a * d - b * c)), 9) AS scale, round(degrees(atan2(c, a)), 9) AS rotation, round(least(1.0, n / 60.0::DOUBLE) * greatest(0.0, 1 - er / 3.0) * least(1.0, o / 0.8), 4) AS confidence,
