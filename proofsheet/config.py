@@ -90,3 +90,20 @@ def to_flat(settings) -> dict:
 def frozen(settings) -> str:
     """The JSON that a run keeps; it is part of the key of incremental runs."""
     return json.dumps(to_flat(settings), sort_keys=True)
+
+
+def load(path: str, kind: type):
+    """Settings from a JSON file; a file that is missing or isn't valid gives the defaults."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return from_flat(kind, json.load(f))
+    except (OSError, ValueError, TypeError):
+        return kind()
+
+
+def edited(settings, changes: dict):
+    """Settings with changes to known keys, no longer calibrated."""
+    unknown = set(changes) - set(to_flat(settings)) | (set(changes) & set(settings.extra))
+    if unknown:
+        raise KeyError(f"unknown settings: {', '.join(sorted(unknown))}")
+    return from_flat(type(settings), {**to_flat(settings), **changes, "calibrated": False})

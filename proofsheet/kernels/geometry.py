@@ -211,3 +211,23 @@ def warp(img: np.ndarray, h: np.ndarray, width: int, height: int) -> tuple[np.nd
     x, y = p[:, 0].reshape(gx.shape), p[:, 1].reshape(gx.shape)
     valid = (x >= 0) & (y >= 0) & (x <= img.shape[1] - 1) & (y <= img.shape[0] - 1)
     return np.rint(sample(img, x, y, 255.0)).astype(np.uint8), valid
+
+
+def reading_crop(img: np.ndarray, box: tuple[int, int, int, int], share: float = 0.10, lines: float = 1.4) -> np.ndarray:
+    """A region with room for the words it cuts: sideways by lines of print (a line is no taller than twice the box's width), little above and below."""
+    x, y, w, h = box
+    line = min(h, max(2 * w, 8))
+    dx = max(round(w * share), round(line * lines)) + 2
+    dy = max(round(h * share), round(h * 0.25)) + 2
+    part = img[max(0, y - dy) : y + h + dy, max(0, x - dx) : x + w + dx]
+    return part if part.size else np.zeros((1, 1, 3), np.uint8)
+
+
+def reading_scale(crop: np.ndarray, least_edge: int = 300, most: float = 3.0) -> float:
+    """How much to enlarge a crop for reading."""
+    return min(most, max(1.0, least_edge / max(crop.shape[:2])))
+
+
+def stripped_share(raw: tuple[int, int], content: tuple[int, int]) -> float:
+    """Share of the area that the border crop took."""
+    return max(0.0, 1 - content[0] * content[1] / (raw[0] * raw[1]))

@@ -93,3 +93,9 @@ def mask_regions(vectors: DataFrame, threshold: float, least_box: int, width: in
             yield pd.DataFrame(rows, columns=["image", "x", "y", "w", "h", "pixels"], dtype="int64")
 
     return vectors.select("vec_id", "embedding").mapInPandas(find, "image long, x long, y long, w long, h long, pixels long")
+
+
+def truth_box(a: np.ndarray, b: np.ndarray, least: int = 8) -> tuple[int, int, int, int] | None:
+    """Bounding box of pixels that differ by more than `least` in some channel."""
+    y, x = np.nonzero(np.abs(a.astype(np.int16) - b).max(-1) > least)
+    return (int(x.min()), int(y.min()), int(np.ptp(x)) + 1, int(np.ptp(y)) + 1) if len(x) else None

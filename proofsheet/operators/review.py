@@ -112,3 +112,46 @@ def latest_wins(log: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 def region_counts(regions: DataFrame) -> DataFrame:
     return regions.groupBy("finding_id").agg(F.count("*").alias("regions"), worst_severity("severity").alias("worst"))
+
+
+DECISIONS = ("ACKNOWLEDGED", "ESCALATED")
+
+
+def acknowledged(acks: DataFrame, regions: DataFrame, finding_ids: DataFrame, decision: str = "ACKNOWLEDGED", note: str = "", created_by: str = "reviewer") -> DataFrame:
+    """acks with a decision on every region of the findings: known keys are overwritten, new ones added; findings without regions add none."""
+    if decision not in DECISIONS:
+        raise ValueError(f"decision must be one of {', '.join(DECISIONS)}")
+    key = ["product_id", "signature", "version_id"]
+    new = signed(regions.join(finding_ids, "finding_id", "left_semi")).select(*key).distinct()
+    new = new.withColumns({"decision": F.lit(decision), "note": F.lit(note), "created_by": F.lit(created_by)})
+    return acks.join(new, key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def unacknowledged(acks: DataFrame, regions: DataFrame, finding_ids: DataFrame) -> DataFrame:
+    """acks without those on the findings' regions."""
+    gone = signed(regions.join(finding_ids, "finding_id", "left_semi")).select("product_id", "signature", "version_id").distinct()
+    return acks.join(gone, ["product_id", "signature", "version_id"], "left_anti")
+
+
+def reaped(runs: DataFrame, active: list[int] | None = None) -> DataFrame:
+    """Runs left RUNNING by a process that is gone count as FAILED."""
+    stale = (F.col("status") == "RUNNING") & ~F.col("run_id").isin(active or [])
+    return runs.withColumn("status", F.when(stale, "FAILED").otherwise(F.col("status")))
+
+
+def upload_checks(listed: DataFrame, most_bytes: int = 40 << 20) -> DataFrame:
+    """Uploads with a reason of refusal, null if there is none: kind of file, size, emptiness."""
+    known = F.lower("name").rlike(r"\.(png|jpe?g|webp|bmp|gif|tiff)$")
+    return listed.withColumn("refused", F.when(~known, "suffix").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large"))
+
+
+def preflight(images: DataFrame, crop_warn: float = 0.02, aspect_warn: float = 0.01) -> DataFrame:
+    """Warnings on images (product_id, width, height, x, y, w, h of the content): much border, mixed sizes, odd aspect."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("product_id")
+    cropped = 1 - F.col("w") * F.col("h") / (F.col("width") * F.col("height"))
+    sizes = F.size(F.collect_set(F.struct("width", "height")).over(w))
+    aspect = F.col("w") / F.col("h")
+    off = F.abs(aspect / F.median(aspect).over(w) - 1)
+    return images.withColumns({"cropped": F.greatest(F.lit(0.0), cropped), "much_border": cropped > crop_warn, "mixed_sizes": sizes > 1, "odd_aspect": off > aspect_warn})

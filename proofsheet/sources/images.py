@@ -65,3 +65,18 @@ def save_findings(findings: DataFrame, path: str) -> None:
 def without(tables: dict[str, DataFrame], comparison_ids: DataFrame) -> dict[str, DataFrame]:
     """Comparisons and their stages and regions without the given ones."""
     return {name: df.join(comparison_ids, "comparison_id", "left_anti") for name, df in tables.items()}
+
+
+def versions_template(versions: DataFrame) -> DataFrame:
+    """What an override file of each product would say: labels in order, current, approval by file time; write it with `write.json`."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("position", "version_label"))), lambda v: v["version_label"])
+    approved = F.map_from_entries(F.collect_list(F.struct("version_label", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))))
+    return versions.groupBy("product_id").agg(line.alias("versions"), F.max(F.when(F.col("is_current"), F.col("version_label"))).alias("current"), approved.alias("approved_at"))
+
+
+def overridden(versions: DataFrame, overrides: DataFrame) -> DataFrame:
+    """versions with order and current label by an override (product_id, versions, current); labels it doesn't list are dropped."""
+    o = overrides.select("product_id", F.posexplode("versions").alias("p_", "version_label"), F.col("current").alias("c_"))
+    listed = overrides.select("product_id").distinct()
+    new = versions.drop("position", "is_current").join(o, ["product_id", "version_label"]).withColumn("position", F.col("p_") + 1).withColumn("is_current", F.col("version_label") == F.coalesce("c_", F.lit(""))).drop("p_", "c_")
+    return versions.join(listed, "product_id", "left_anti").unionByName(new)

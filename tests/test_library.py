@@ -205,3 +205,69 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("path string, sha string, version long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = S.drained(S.changes(stream), "changes", "append", str(tmp_path / "cp")).collect()
     assert sorted((r.path, r.status) for r in got) == [("a", "CACHED"), ("a", "CHANGED"), ("a", "NEW"), ("b", "CHANGED"), ("b", "NEW"), ("c", "NEW")]
+
+
+def test_small_kernels():
+    a = grid()
+    b = a.copy()
+    b[30:40, 50:70] = 0
+    assert R.truth_box(a, b) == (50, 30, 20, 10) and R.truth_box(a, a) is None
+    assert G.reading_crop(a, (100, 100, 40, 20)).shape == (20 + 2 * 7, 40 + 2 * 30, 3)
+    assert G.reading_scale(np.zeros((50, 100, 3))) == 3.0 and G.reading_scale(np.zeros((400, 10, 3))) == 1.0
+    assert G.stripped_share((100, 100), (90, 100)) == pytest.approx(0.1)
+    s = K.score(b, a, 32, 14)
+    assert K.region_changed(s, (50, 30, 20, 10)) > 0.3 and K.region_changed(s, (0, 0, 0, 0)) == 0
+
+
+def test_settings_files(tmp_path):
+    p = tmp_path / "c.json"
+    assert config.load(str(p), config.Identify) == config.Identify()
+    p.write_text('{"morph_open": 5, "x": 1}')
+    s = config.load(str(p), config.Identify)
+    assert s.morph_open == 5 and s.extra == {"x": 1}
+    assert config.to_flat(config.edited(s, {"morph_open": 7}))["calibrated"] is False
+    with pytest.raises(KeyError):
+        config.edited(s, {"no_such": 1})
+
+
+def test_acknowledgement_cycle(spark):
+    from pyspark.sql import functions as F
+
+    from proofsheet.operators import review as W
+
+    regions = spark.createDataFrame([(1, 7, 1, 11, 20, 30, 40, "a"), (1, 7, 1, 200, 20, 30, 40, None), (2, 7, 1, 14, 22, 31, 41, "a"), (4, 7, 2, 11, 20, 30, 40, "a")], "finding_id long, product_id long, version_id long, x long, y long, w long, h long, field_key string")
+    findings = spark.createDataFrame([(1,), (2,), (3,), (4,)], "finding_id long")
+    none = spark.createDataFrame([], "product_id long, signature string, version_id long, decision string, note string, created_by string")
+    pick = lambda *i: findings.filter(F.col("finding_id").isin(*i))
+    acks = W.acknowledged(none, regions, pick(1, 3))
+    assert acks.count() == 2
+
+    def state(acks):
+        marked = W.signed(regions).join(acks.filter("decision = 'ACKNOWLEDGED'").withColumn("ok", F.lit(True)), ["product_id", "signature", "version_id"], "left")
+        return {r.finding_id: r.s for r in marked.groupBy("finding_id").agg(F.every(F.coalesce("ok", F.lit(False))).alias("s")).collect()}
+
+    assert state(acks) == {1: True, 2: True, 4: False}  # a few pixels of jitter keep the sign-off, a new version ends it
+    assert state(W.acknowledged(acks, regions, pick(2), "ESCALATED")) == {1: False, 2: False, 4: False}
+    assert state(W.unacknowledged(acks, regions, pick(1)))[1] is False
+    with pytest.raises(ValueError):
+        W.acknowledged(acks, regions, findings, "MAYBE")
+    runs = spark.createDataFrame([(1, "RUNNING"), (2, "RUNNING"), (3, "COMPLETE")], "run_id int, status string")
+    assert [r.status for r in W.reaped(runs, [2]).orderBy("run_id").collect()] == ["FAILED", "RUNNING", "COMPLETE"]
+    up = spark.createDataFrame([("a.png", 5), ("b.txt", 5), ("c.JPG", 0), ("d.png", 1 << 30)], "name string, length long")
+    assert [r.refused for r in W.upload_checks(up).collect()] == [None, "suffix", "empty", "too large"]
+    pre = spark.createDataFrame([(1, 100, 100, 0, 0, 100, 100), (1, 100, 100, 0, 0, 100, 80), (1, 90, 90, 0, 0, 90, 90)], "product_id int, width int, height int, x int, y int, w int, h int")
+    assert sorted((round(r.cropped, 2), r.much_border, r.mixed_sizes) for r in W.preflight(pre).collect()) == [(0.0, False, True), (0.0, False, True), (0.2, True, True)]
+
+
+def test_overrides(spark):
+    import datetime
+
+    from proofsheet.sources import images as S
+
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    v = spark.createDataFrame([("A", "v1", 1, False, at), ("A", "v2", 2, True, at), ("B", "x", 1, True, at)], "product_id string, version_label string, position int, is_current boolean, modified timestamp")
+    t = {r.product_id: r for r in S.versions_template(v).collect()}
+    assert t["A"].versions == ["v1", "v2"] and t["A"].current == "v2" and t["A"].approved_at["v1"] == "2024-01-02T03:04:05"
+    o = spark.createDataFrame([("A", ["v2", "v1"], "v1")], "product_id string, versions array<string>, current string")
+    got = {(r.product_id, r.version_label): (r.position, r.is_current) for r in S.overridden(v, o).collect()}
+    assert got == {("A", "v2"): (1, False), ("A", "v1"): (2, True), ("B", "x"): (1, True)}
