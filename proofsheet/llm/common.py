@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     Only where that setting is unset (as in local tests) a temporary folder stands in.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = tempfile.mkdtemp(prefix="proofsheet-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
