@@ -286,3 +286,16 @@ def test_flac_fixed_partitions_escape_constant():
     stream = b"fLaC\x80" + len(info).to_bytes(3, "big") + info + one + two + three
     (_, got), = flac.decode([stream])
     assert (got == samples).all()
+
+
+def test_token_hashes():
+    """Equal words have equal hashes wherever they stand, and different ones different hashes."""
+    texts = [r[1] or "" for r in edge_rows()] + ["", " ", "A a\tB", "é É", "x" * 5000]
+    flat, starts = suffix_tree.hashes(texts)
+    seen = {}
+    for t, s, e in zip(texts, starts, starts[1:], strict=False):
+        tokens = [*t.encode().lower().split(), None]
+        assert len(tokens) == e - s
+        for token, h in zip(tokens, flat[s:e].tolist(), strict=True):
+            assert seen.setdefault(token, h) == h
+    assert len(set(seen.values())) == len(seen)
