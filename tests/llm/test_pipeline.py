@@ -53,3 +53,10 @@ def test_registered(spark):
 
     names = entry.queries()
     assert "pipeline" in names and sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+
+
+def test_stages_on_an_empty_table(spark, empty):
+    import corpus_pipeline as P
+
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, "").count() == 0
