@@ -58,7 +58,7 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
