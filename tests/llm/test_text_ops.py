@@ -218,6 +218,16 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert ("ssn", "111111111", 1) in [(r.kind, r.norm, r.attempt) for r in moved]
 
 
+def test_exceptions_reach_their_documents(spark, monkeypatch):
+    text = "ssn 078-05-1120 of a"
+    df = spark.createDataFrame([(1, text, "x"), (2, "none", "y"), (3, None, "z")], "doc_id long, text string, how_ string")
+    moved = spark.createDataFrame([("ssn", "078051120", 2)], "kind string, norm string, attempt int")
+    monkeypatch.setattr(pii, "collisions", lambda *a: moved)
+    got = {r.doc_id: r.surrogates.text for r in pii.with_surrogates(df).collect()}
+    assert got == {1: pii.replaced(text, b"proofsheet surrogates", {("ssn", "078051120"): 2})[0], 2: "none", 3: None}
+    assert got[1] != pii.replaced(text, b"proofsheet surrogates")[0]
+
+
 def test_flac(spark, clashing, empty):
     got = flac.text_media_features(clashing).collect()
     want = Counter()
