@@ -46,7 +46,7 @@ class Encoder:
     pre-token, so what stands between two spaces can be encoded by itself.
     """
 
-    def __init__(self, path: str, most_units: int = 1_200_000):
+    def __init__(self, path: str, most_units: int = 800_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most_units

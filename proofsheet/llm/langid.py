@@ -19,10 +19,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import own, slices
 
@@ -102,29 +102,31 @@ def train(docs: DataFrame) -> Model | None:
     return Model(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), [r.lang for r in rows])
 
 
-PREDICTED = "lang_pred string, score double, support double"
+PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType())])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held columns and PREDICTED: language, its share of the softmax of all scores, nearest landmark's kernel."""
+    """docs and a struct p_ (PREDICTED): language, its share of the softmax of all scores, nearest landmark's kernel."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS * DIMS numbers
-
-    @F.pandas_udf(PREDICTED)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        m, n = shared.value, len(texts)
-        lang, score, support = ["und"] * n, np.zeros(n), np.zeros(n)
-        rows = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
-        for at in range(0, len(rows), 128):
-            part = rows[at : at + 128]
-            values, near = m.scores([texts.iloc[i] for i in part])
-            e = np.exp(4 * (values - values.max(1, keepdims=True)))
-            best = values.argmax(1)
-            for i, b in zip(part, best, strict=True):
-                lang[i] = m.langs[b]
-            score[part], support[part] = 1 / e.sum(1), np.clip(near, 0, 1)
-        return pd.DataFrame({"lang_pred": lang, "score": score, "support": support})
-
-    return docs.withColumn("p_", of("text"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("p_", PREDICTED)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in slices(batches, "text", 1 << 20):
+            texts, n = batch.column("text").to_pylist(), batch.num_rows
+            lang, score, support = ["und"] * n, np.zeros(n), np.zeros(n)
+            rows = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
+            for at in range(0, len(rows), 64):
+                part = rows[at : at + 64]
+                values, near = m.scores([texts[i] for i in part])
+                e = np.exp(4 * (values - values.max(1, keepdims=True)))
+                for i, b in zip(part, values.argmax(1), strict=True):
+                    lang[i] = m.langs[b]
+                score[part], support[part] = 1 / e.sum(1), np.clip(near, 0, 1)
+            found = pa.StructArray.from_arrays([pa.array(lang), pa.array(score), pa.array(support)], names=PREDICTED.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "p_"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(col: str = "doc_id", of: int = 4, part: int = 2):

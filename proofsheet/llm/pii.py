@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, stored
 
@@ -265,31 +266,29 @@ def collisions(found: DataFrame, key: bytes, most_rounds: int = 20) -> DataFrame
     return moved if moved.limit(1).count() else None
 
 
-RESULT = "text string, kinds array<string>"
+RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))])
 
 
 def with_surrogates(docs: DataFrame, key: bytes = b"proofsheet surrogates", text_col: str = "text", out_col: str = "surrogates") -> DataFrame:
     """docs and a struct column `out_col` (RESULT): the text with surrogates, the types of its entities in order."""
     found = mentions(docs, text_col)
     moved = collisions(found, key)
-
-    @F.pandas_udf(RESULT)
-    def plain(texts: pd.Series) -> pd.DataFrame:
-        rows = [(None, []) if t is None else replaced(t, key) for t in texts]
-        return pd.DataFrame({"text": [r[0] for r in rows], "kinds": [r[1] for r in rows]})
-
-    if moved is None:
-        return docs.withColumn(out_col, plain(text_col))
-
-    @F.pandas_udf(RESULT)
-    def moved_on(texts: pd.Series, how: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, x in zip(texts, how, strict=True):
-            attempts = {(r["kind"], r["norm"]): r["attempt"] for r in x} if x is not None else None
-            rows.append((None, []) if t is None else replaced(t, key, attempts))
-        return pd.DataFrame({"text": [r[0] for r in rows], "kinds": [r[1] for r in rows]})
-
-    # only texts that hold an exception; a text's exceptions are no more than its own entities
-    per_text = found.join(moved, ["kind", "norm"]).groupBy(F.col("h").alias("h_")).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("how_"))
-    joined = docs.join(per_text, F.xxhash64(text_col) == F.col("h_"), "left")
-    return joined.withColumn(out_col, moved_on(text_col, "how_")).drop("h_", "how_")
+    how, names = "how_of_texts_", docs.columns
+    if moved is not None:
+        # only texts that hold an exception; a text's exceptions are no more than its own entities
+        per_text = found.join(moved, ["kind", "norm"]).groupBy(F.col("h").alias("h_of_texts_")).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias(how))
+        docs = docs.join(per_text, F.xxhash64(text_col) == F.col("h_of_texts_"), "left").select(*[F.col(f"`{n}`") for n in names], how)
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name != how], T.StructField(out_col, RESULT)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, 1 << 20):
+            texts = batch.column(text_col).to_pylist()
+            ways = batch.column(how).to_pylist() if how in batch.schema.names else [None] * len(texts)
+            rows = []
+            for t, x in zip(texts, ways, strict=True):
+                attempts = {(r["kind"], r["norm"]): r["attempt"] for r in x} if x else None
+                rows.append((None, []) if t is None else replaced(t, key, attempts))
+            new = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=RESULT.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], new], names=[*names, out_col])
+
+    return docs.mapInArrow(run, schema)
