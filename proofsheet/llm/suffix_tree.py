@@ -1,18 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 A text is its words (lower-cased A-Z, runs of bytes other than ASCII white space) and one
-end. The tree's symbols are the words with a share of FREQUENT or more (1/FREQUENT at most),
-the end, and CLASSES classes of all other words by their last two bytes. Contexts of one and
-two symbols are retained if they are frequent enough (MIN_COUNT and the share MIN_SHARE) and
-their next symbols diverge enough from their suffix's (they predict each occurrence from
-the others better by DIVERGENCE nats in all); a context's distribution is smoothed with its suffix's, down to symbol frequencies.
+end. The tree's symbols are the words seen MIN_COUNT times or more, the end, and CLASSES
+classes of all other words by their last two bytes. Contexts of one and two symbols are
+retained if they occur MIN_COUNT times and their next symbols diverge enough from their
+suffix's (they predict each occurrence from the others better by DIVERGENCE nats in all); a
+context's distribution is smoothed with its suffix's, down to symbol frequencies.
 A token is scored by the longest retained suffix of what precedes it; a rarer word also by
 its share of its class, in which one place is kept for unknown words.
 
-Counts of rarer words don't go to the tasks: their occurrences are packed by word hash and
-meet their counts in a shuffle, which sends back sums by document. Words are told apart by
-56 bits of hash and their class. What is broadcast has a bound: 1/FREQUENT words,
-1/MIN_SHARE contexts and 1/MIN_ENTRY next symbols of each length.
+All thresholds are counts, so that the tree grows with the input. It is never in one place:
+texts are stored as streams of word numbers, a row a batch. A batch sends its distinct words,
+then pairs and triples of symbols, packed by hash, one row for each part; a part adds up
+what it gets, and sends the counts back in the order in which they were asked for. A
+context's divergence is added up from the parts of its next symbols in the same way. Words
+are told apart by 56 bits of hash and their class, longer sequences by 64 bits. What goes to
+the driver or is broadcast are CLASSES numbers.
 
 Defined results: null or empty text is the end alone; a null id is not held out; repeated
 rows are counted each; without training rows all counts are 0 and symbols are equally
@@ -22,19 +25,19 @@ likely; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import order_key, own, slices, stored, texts_of
-from .shingles import mixed, word_hashes
+from .common import own, slices, stored, texts_of
+from .shingles import PLACES, mixed, word_hashes
 
-FREQUENT, CLASSES = 1e-5, 256
-MIN_COUNT, MIN_SHARE, MIN_ENTRY, DIVERGENCE, SMOOTH = 16, 2e-5, 2e-6, 5.0, 32.0
+CLASSES = 256
+MIN_COUNT, MIN_ENTRY, DIVERGENCE, SMOOTH = 16, 2, 5.0, 32.0
 PART_BYTES, MOST_PARTS = 16 << 20, 1 << 16
 
 
@@ -65,86 +68,16 @@ def _arrays(schema: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(cols, names, strict=True)], names=[n for n, _ in names])
 
 
-def numbered(flat: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each token (its class, or CLASSES + its place in often) and whether it is a rarer word."""
-    at = np.minimum(np.searchsorted(often, flat), len(often) - 1)
-    rare = often[at] != flat
-    return np.where(rare, flat & (CLASSES - 1), CLASSES + at), rare
-
-
-def before(sym: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols one and two places before; ends stand before a text."""
-    one = np.concatenate([[end], sym[:-1]])
-    two = np.concatenate([[end, end], sym[:-2]])
-    two[starts[:-1][np.diff(starts) > 1] + 1] = end
-    one[starts[:-1]], two[starts[:-1]] = end, end
-    return one, two
-
-
-COUNTS = "key long, n long"
-
-
-def _counted(df: DataFrame, keys_of) -> DataFrame:
-    """Occurrences of the int64 keys that keys_of(texts) gives, summed in each task and then over all (COUNTS)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in slices(batches, "text", 4 << 20):
-            k, n = np.unique(keys_of(texts_of(batch)), return_counts=True)
-            held.append((k, n))
-            size += len(k)
-            if size > 1_500_000:
-                yield _arrays(COUNTS, *_summed(held))
-                held, size = [], 0
-        if held:
-            yield _arrays(COUNTS, *_summed(held))
-
-    return stored(df.select("text").mapInArrow(count, COUNTS).groupBy("key").agg(F.sum("n").alias("n")), "counts")
-
-
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = map(np.concatenate, zip(*held, strict=True))
-    u, inv = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inv, n, len(u)).astype(np.int64)
-
-
-def frequent_words(train: DataFrame) -> np.ndarray:
-    """Sorted hashes of the end and of the words that batches in which they are frequent give a share of FREQUENT."""
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            flat, _ = hashes(texts_of(batch))
-            k, n = np.unique(flat, return_counts=True)
-            at = n >= FREQUENT * len(flat)
-            yield _arrays(COUNTS, np.append(k[at], 0), np.append(n[at], len(flat)))
-
-    found = stored(train.select("text").mapInArrow(often, COUNTS).groupBy("key").agg(F.sum("n").alias("n")), "often")
-    total = (found.filter("key = 0").agg(F.sum("n")).first()[0]) or 0
-    rows = found.filter((F.col("key") != 0) & (F.col("n") >= FREQUENT * total)).select("key").collect()
-    return np.unique(np.array([END, *(r.key for r in rows)], np.int64))
+def blended(n, size, listed, p):
+    """Probability of a symbol seen n times after a context of `size` occurrences, over the shorter context's p."""
+    return (n + (size - listed + SMOOTH) * p) / (size + SMOOTH)
 
 
 BITS = 20
-MASK = (1 << BITS) - 1
-
-
-def _kept_entries(entries: DataFrame, up: DataFrame, total: int) -> list:
-    """Rows (s, y, n, ns) of the retained contexts of entries; up: those of the contexts one symbol shorter."""
-    entries, up = (stored(x, "entries") for x in (entries, up))
-    ctx = entries.groupBy("s").agg(F.sum("n").alias("ns")).filter(F.col("ns") >= max(MIN_COUNT, MIN_SHARE * total))
-    own_ = entries.join(ctx, "s").withColumn("t", F.col("s").bitwiseAND(MASK if "two" in entries.columns else 0))
-    above = up.groupBy("s").agg(F.sum("n").alias("nt")).withColumnRenamed("s", "t")
-    both = own_.join(up.select(F.col("s").alias("t"), "y", F.col("n").alias("nu")), ["t", "y"]).join(above, "t")
-    # each occurrence against the counts without it, so that a sparse context gains nothing by chance
-    p = F.col("nu") / F.col("nt")
-    gain = F.sum(F.col("n") * F.ln((F.col("n") - 1 + SMOOTH * p) / (F.col("ns") - 1 + SMOOTH) / p))
-    kept = both.groupBy("s", "ns").agg(gain.alias("gain")).filter(F.col("gain") >= DIVERGENCE).select("s", "ns")
-    listed = entries.select("s", "y", "n").filter(F.col("n") >= max(2, MIN_ENTRY * total))
-    return kept.join(listed, "s", "left").select("s", "y", "n", "ns").collect()  # 1/MIN_SHARE contexts and 1/MIN_ENTRY entries at most
 
 
 class Level:
-    """Retained contexts of one length: codes, counts, and what of their counts the listed entries hold."""
+    """Retained contexts of one length in memory: codes, counts, and what of their counts the listed entries hold."""
 
     def __init__(self, rows: list):
         rows = sorted(rows, key=lambda r: (r.s, -1 if r.y is None else r.y))
@@ -169,12 +102,12 @@ class Level:
             e = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             n = np.where(self.key[e] == key, self.n[e], 0.0)
         p = p.copy()
-        p[hit] = (n + (self.total[at] - self.listed[at] + SMOOTH) * p[hit]) / (self.total[at] + SMOOTH)
+        p[hit] = blended(n, self.total[at], self.listed[at], p[hit])
         return p
 
 
 class Tree:
-    """Symbol frequencies and the levels of retained contexts."""
+    """Symbol frequencies and the levels of retained contexts, in memory: the small form of what the parts hold together."""
 
     def __init__(self, counts: np.ndarray, levels: list[Level]):
         self.root, self.levels = (counts + 1.0) / (counts.sum() + len(counts)), levels
@@ -185,164 +118,263 @@ class Tree:
         return np.log10(self.levels[1].smooth((two << BITS) + one, y, p))
 
 
-PACKED = "part int, slice long, blob binary"
-REPLIES = "slice long, blob binary"
-SUMS = "k long, h long, logs double, known long"
-
+STREAMS = "slice long, doc_ids array<long>, held array<boolean>, starts binary, tokens binary, words binary"
+SENT = "kind int, part int, slice long, blob binary"
+#: Kinds of rows: counts of words, pairs and triples, contexts of pairs and triples (asked for and answered), their divergence, sums of a part.
+WORDS, PAIRS, OF_PAIRS, TRIPLES, OF_TRIPLES, GAINS, SUMS = range(7)
 
-def rare_sums(docs: DataFrame, often: np.ndarray, parts: int) -> tuple[DataFrame, np.ndarray]:
-    """Of the words not in `often`: per document (SUMS) log10(c+1) and known occurrences, summed; and how many words of each class are known.
 
-    A batch's occurrences go out packed by word hash, one row for each part, and come back
-    packed as sums, one row for each part; then a batch's replies are added up.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(often)  # 1/FREQUENT hashes at most
+def streams(docs: DataFrame) -> DataFrame:
+    """The texts as STREAMS: a row of each batch has its distinct words and each token's number among them."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            h, starts = hashes(texts_of(batch))
-            _, rare = numbered(h, shared.value)
-            text, h = np.repeat(np.arange(batch.num_rows), np.diff(starts))[rare], h[rare]
-            part = ((h.view(np.uint64) >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((text, h, part))
-            text, h, part = text[order], h[order], part[order]
-            at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.append(at, len(h)))
-            text, h, part = text[at], h[at], part[at]
-            keys = np.stack([batch["k"].to_numpy(), batch["h"].to_numpy(), (~batch["held_out"].to_numpy(zero_copy_only=False)).astype(np.int64), np.arange(batch.num_rows)], 1)
-            mark = xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)  # only groups replies; a clash of two batches is told apart by keys
-            ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1 if len(part) else []
-            ids, blobs, s = [], [], 0
-            for e in ends:
-                used, inv = np.unique(text[s:e], return_inverse=True)
-                ids.append(int(part[s]))
-                blobs.append(np.array([len(used), e - s], "<i8").tobytes() + keys[used].tobytes() + h[s:e].tobytes() + inv.astype("<u4").tobytes() + n[s:e].astype("<u4").tobytes())
-                s = e
-            yield _arrays(PACKED, ids, [mark] * len(ids), blobs)
+            flat, starts = hashes(texts_of(batch))
+            words, at = np.unique(flat, return_inverse=True)
+            cols = [[uuid.uuid4().int >> 65], [batch["doc_id"].to_pylist()], [batch["held_out"].to_pylist()], [starts.astype("<i8").tobytes()], [at.astype("<u4").tobytes()], [words.tobytes()]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in STREAMS.split(", ")])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
-
-        def answered():
-            seen = []
-            for mark, b in held:
-                u, m = np.frombuffer(b, "<i8", 2)
-                seen.append((mark, np.frombuffer(b, "<i8", 4 * u, 16).reshape(-1, 4), np.frombuffer(b, "<i8", m, 16 + 32 * u), np.frombuffer(b, "<u4", m, 16 + 32 * u + 8 * m), np.frombuffer(b, "<u4", m, 16 + 32 * u + 12 * m)))
-            held.clear()
-            distinct, word = np.unique(np.concatenate([x[2] for x in seen]), return_inverse=True)
-            trained = np.concatenate([keys[at, 2] * n for _, keys, _, at, n in seen])
-            c = np.bincount(word, trained, len(distinct))
-            logs_of, known_of, at0 = np.log10(c + 1), c > 0, 0
-            marks, replies = [None], [np.bincount(distinct[known_of] & (CLASSES - 1), minlength=CLASSES).astype("<i8").tobytes()]
-            for mark, keys, hs, at, n in seen:
-                w = word[at0 : at0 + len(hs)]
-                at0 += len(hs)
-                logs, known = np.bincount(at, n * logs_of[w], len(keys)), np.bincount(at, n * known_of[w], len(keys))
-                marks.append(mark)
-                replies.append(keys[:, [0, 1, 3]].tobytes() + logs.astype("<f8").tobytes() + known.astype("<i8").tobytes())
-            yield _arrays(REPLIES, marks, replies)
+    return stored(docs.select("doc_id", "text", "held_out").mapInArrow(make, STREAMS), "streams")
 
-        for batch in batches:
-            for p, mark, b in zip(batch["part"].to_pylist(), batch["slice"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-                if p != part and held:
-                    yield from answered()
-                part = p
-                held.append((mark, b))
-        if held:
-            yield from answered()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, held = None, []
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part of each key, and an order of the keys by part."""
+    part = ((mixed(keys.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return part, np.argsort(part, kind="stable")
+
+
+def _sent(kind: int, mark: int | None, parts: int, keys: np.ndarray, *cols: np.ndarray) -> list[tuple]:
+    """Rows (SENT) of keys and 8-byte columns, one for each part."""
+    if not len(keys):
+        return []
+    part, order = _dealt(keys, parts)
+    part, rows = part[order], np.stack([x[order].view(np.int64) for x in (keys, *cols)])
+    at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    return [(kind, int(part[s]), mark, rows[:, s:e].tobytes()) for s, e in zip(at, at[1:], strict=False)]
+
 
-        def summed():
-            sizes = [len(b) // 40 for b in held]
-            keys = np.concatenate([np.frombuffer(b, "<i8", 3 * n).reshape(-1, 3) for b, n in zip(held, sizes, strict=True)])
-            logs = np.concatenate([np.frombuffer(b, "<f8", n, 24 * n) for b, n in zip(held, sizes, strict=True)])
-            known = np.concatenate([np.frombuffer(b, "<i8", n, 32 * n) for b, n in zip(held, sizes, strict=True)])
-            held.clear()
-            rows, at = np.unique(keys, axis=0, return_inverse=True)
-            at = at.ravel()
-            yield _arrays(SUMS, rows[:, 0], rows[:, 1], np.bincount(at, logs), np.bincount(at, known).astype(np.int64))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return _arrays(SENT, *([r[i] for r in rows] for i in range(4)))
 
+
+def _by_part(sent: DataFrame, parts: int, answer) -> DataFrame:
+    """The rows that answer(kinds) gives for each part's rows, a dict from kind to (slice, blob)s."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, {}
         for batch in batches:
-            for m, b in zip(batch["slice"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-                if m != mark and held:
-                    yield from summed()
-                mark = m
-                held.append(b)
+            for kind, p, mark, b in zip(*(batch[c].to_pylist() for c in ("kind", "part", "slice", "blob")), strict=True):
+                if p != part and held:
+                    yield _batch(answer(part, held))
+                    held = {}
+                part = p
+                held.setdefault(kind, []).append((mark, b))
         if held:
-            yield from summed()
+            yield _batch(answer(part, held))
+
+    return stored(sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(meet, SENT), "answers")
+
+
+def _asked(rows: list[tuple], cols: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """All rows' columns side by side, and each row's slice and length."""
+    blobs = [np.frombuffer(b, "<i8").reshape(cols, -1) for _, b in rows]
+    return np.concatenate(blobs, 1), [(mark, x.shape[1]) for (mark, _), x in zip(rows, blobs, strict=True)]
+
+
+def _answers(kind: int, part: int, sizes: list[tuple[int, int]], values: np.ndarray) -> list[tuple]:
+    ends = np.cumsum([n for _, n in sizes]).tolist()
+    return [(kind, part, mark, values[e - n : e].astype("<f8").tobytes()) for (mark, n), e in zip(sizes, ends, strict=True)]
+
+
+def count_words(part: int, held: dict) -> list[tuple]:
+    """Counts of a part's words, and a row of sums: of each class's rarer words the tokens and the words, then tokens, known words and symbols."""
+    (keys, n), sizes = _asked(held[WORDS], 2)
+    words, at = np.unique(keys, return_inverse=True)
+    c = np.bincount(at, n, len(words))
+    rare = (c < MIN_COUNT) & (words != END)
+    kind = words[rare] & (CLASSES - 1)
+    sums = [np.bincount(kind, c[rare], CLASSES), np.bincount(kind, c[rare] > 0, CLASSES), [c.sum(), (c > 0).sum(), (~rare).sum()]]
+    return [(SUMS, part, None, np.concatenate(sums).astype("<f8").tobytes()), *_answers(WORDS, part, sizes, c[at])]
+
+
+def count_grams(kind: int, parts: int):
+    def answer(part: int, held: dict) -> list[tuple]:
+        """Counts of a part's pairs or triples, and what they add to their contexts' divergence and listed counts; contexts asked for are handed on."""
+        out = [(k, part, mark, b) for k, rows in held.items() if k != kind for mark, b in rows]
+        if kind not in held:
+            return out
+        (keys, ctx, n, size, p), sizes = _asked(held[kind], 5)
+        grams, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        c = np.bincount(at, n, len(grams))
+        seen = np.flatnonzero(c)
+        n, ctx, size, p = c[seen], ctx[first[seen]], size[first[seen]].view(np.float64), p[first[seen]].view(np.float64)
+        # each occurrence against the counts without it, so that a sparse context gains nothing by chance
+        gain = n * np.log((n - 1 + SMOOTH * p) / (size - 1 + SMOOTH) / p)
+        ctx, of = np.unique(ctx, return_inverse=True)
+        gains = np.bincount(of, gain, len(ctx)), np.bincount(of, np.where(n >= MIN_ENTRY, n, 0), len(ctx))
+        return [*out, *_answers(kind, part, sizes, c[at]), *_sent(GAINS, None, parts, ctx, *gains)]
+
+    return answer
+
+
+def retain(kind: int):
+    def answer(part: int, held: dict) -> list[tuple]:
+        """Listed counts of the contexts asked for, -1 for those that aren't retained."""
+        if kind not in held:
+            return []
+        (keys,), sizes = _asked(held[kind], 1)
+        value = np.full(len(keys), -1.0)
+        if GAINS in held:
+            (ctx, gain, listed), _ = _asked(held[GAINS], 3)
+            ctx, of = np.unique(ctx, return_inverse=True)
+            gain, listed = (np.bincount(of, x.view(np.float64), len(ctx)) for x in (gain, listed))
+            at = np.minimum(np.searchsorted(ctx, keys), len(ctx) - 1)
+            value = np.where((ctx[at] == keys) & (gain[at] >= DIVERGENCE), listed[at], -1.0)
+        return _answers(kind, part, sizes, value)
+
+    return answer
+
+
+class Slice:
+    """A batch of texts with what was answered so far: symbols, then pairs and triples of them with their counts."""
+
+    def __init__(self, row: tuple, answers: dict[int, list[bytes]], parts: int):
+        self.mark, self.doc_ids, self.held, starts, tokens, words = row
+        self.starts, self.words = np.frombuffer(starts, "<i8"), np.frombuffer(words, "<i8")
+        self.answers, self.parts, self.tokens = answers, parts, np.frombuffer(tokens, "<u4").astype(np.int64)
+        self.trained = np.repeat(~np.array(self.held, bool), np.diff(self.starts))
+
+    def answered(self, kind: int, keys: np.ndarray, at: np.ndarray, m: int, other: float) -> np.ndarray:
+        """What was answered for the keys at these places of m, `other` elsewhere."""
+        out = np.full(m, other)
+        if len(at):
+            out[at[_dealt(keys[at], self.parts)[1]]] = np.concatenate([np.frombuffer(b, "<f8") for b in self.answers[kind]])
+        return out
+
+    def count(self, at: np.ndarray, m: int) -> np.ndarray:
+        return np.bincount(at[self.trained], minlength=m).astype(np.int64)
+
+    def asks_words(self) -> list[tuple]:
+        return _sent(WORDS, self.mark, self.parts, self.words, self.count(self.tokens, len(self.words)))
+
+    def find_symbols(self, sums: np.ndarray) -> None:
+        self.c = self.answered(WORDS, self.words, np.arange(len(self.words)), len(self.words), 0.0)
+        rare, kind = (self.c < MIN_COUNT) & (self.words != END), self.words & (CLASSES - 1)
+        self.share = np.where(rare, np.log10((self.c + 1.0) / (sums[kind] + sums[CLASSES + kind] + 1.0)), 0.0)  # of all a class's words, each once more, and one unknown
+        self.symbols, of = np.unique(np.where(rare, kind, self.words), return_inverse=True)
+        self.size = np.zeros(len(self.symbols))
+        self.size[of] = np.where(rare, sums[kind], self.c)
+        self.total, self.root = sums[-3], (self.size + 1.0) / (sums[-3] + sums[-1] + CLASSES)
+        self.end, self.y = of[np.searchsorted(self.words, END)], of[self.tokens]
+
+    def find_pairs(self) -> None:
+        m, one = len(self.symbols), np.concatenate([[self.end], self.y[:-1]])
+        one[self.starts[:-1]] = self.end  # ends stand before a text
+        codes, self.pair = np.unique(one * m + self.y, return_inverse=True)
+        self.left, self.right = codes // m, codes % m
+        raw = self.symbols.view(np.uint64)
+        self.pair_keys = mixed(raw[self.left] * PLACES[0] + raw[self.right] * PLACES[1]).view(np.int64)
+        self.wide_pairs, self.contexts = np.flatnonzero(self.size[self.left] >= MIN_COUNT), np.flatnonzero(self.size >= MIN_COUNT)
+
+    def asks_pairs(self) -> list[tuple]:
+        at = self.wide_pairs
+        n, size, p = self.count(self.pair, len(self.left))[at], self.size[self.left[at]], self.size[self.right[at]] / max(self.total, 1)
+        return _sent(PAIRS, self.mark, self.parts, self.pair_keys[at], self.symbols[self.left[at]], n, size, p) + _sent(OF_PAIRS, self.mark, self.parts, self.symbols[self.contexts])
+
+    def find_triples(self) -> None:
+        m, k = len(self.symbols), len(self.left)
+        self.n_pairs = self.answered(PAIRS, self.pair_keys, self.wide_pairs, k, 0.0)
+        two = np.concatenate([[k], self.pair[:-1]])
+        two[self.starts[:-1]] = k  # number k is the pair of ends before a text
+        codes, first, self.triple = np.unique(two * m + self.y, return_index=True, return_inverse=True)
+        self.before, self.shorter = codes // m, self.pair[first]
+        ends = mixed(END.view(np.uint64) * PLACES[0:1] + END.view(np.uint64) * PLACES[1:2]).view(np.int64)
+        self.before_keys, self.before_size = np.append(self.pair_keys, ends), np.append(self.n_pairs, self.size[self.end])
+        self.triple_keys = mixed(self.before_keys.view(np.uint64)[self.before] * PLACES[2] + self.symbols.view(np.uint64)[codes % m] * PLACES[3]).view(np.int64)
+        self.wide_triples, self.longer = np.flatnonzero(self.before_size[self.before] >= MIN_COUNT), np.flatnonzero(self.before_size >= MIN_COUNT)
+
+    def asks_triples(self) -> list[tuple]:
+        at, shorter = self.wide_triples, self.shorter[self.wide_triples]
+        n, size, p = self.count(self.triple, len(self.before))[at], self.before_size[self.before[at]], self.n_pairs[shorter] / self.size[self.left[shorter]]
+        return _sent(TRIPLES, self.mark, self.parts, self.triple_keys[at], self.before_keys[self.before[at]], n, size, p) + _sent(OF_TRIPLES, self.mark, self.parts, self.before_keys[self.longer])
+
+    def logs(self) -> np.ndarray:
+        """log10 probability of each token's symbol after the two before it."""
+        listed = self.answered(OF_PAIRS, self.symbols, self.contexts, len(self.symbols), -1.0)[self.left]
+        p = np.where(listed >= 0, blended(np.where(self.n_pairs >= MIN_ENTRY, self.n_pairs, 0), self.size[self.left], listed, self.root[self.right]), self.root[self.right])[self.shorter]
+        n = self.answered(TRIPLES, self.triple_keys, self.wide_triples, len(self.before), 0.0)
+        listed = self.answered(OF_TRIPLES, self.before_keys, self.longer, len(self.before_keys), -1.0)[self.before]
+        p = np.where(listed >= 0, blended(np.where(n >= MIN_ENTRY, n, 0), self.before_size[self.before], listed, p), p)
+        return np.log10(p)[self.triple]
+
+
+def _over(stream: DataFrame, answers: list[DataFrame], parts: int, run, schema: str) -> DataFrame:
+    """The batches that run(slice) gives for each row of stream with all its answers."""
+    rows = stream.withColumns({"kind": F.lit(-1), "part": F.lit(0)})
+    for a in answers:
+        rows = rows.unionByName(a, allowMissingColumns=True)
+    if answers:
+        rows = rows.repartition(parts, "slice").sortWithinPartitions("slice", "kind", "part")
+    names = [c.split()[0] for c in STREAMS.split(", ")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, found = None, {}
+        for batch in batches:
+            for i, kind in enumerate(batch["kind"].to_pylist()):
+                if kind >= 0:
+                    found.setdefault(kind, []).append(batch["blob"][i].as_py())
+                    continue
+                if row:
+                    yield run(Slice(row, found, parts))
+                row, found = tuple(batch[c][i].as_py() for c in names), {}
+        if row:
+            yield run(Slice(row, found, parts))
 
-    packed = docs.mapInArrow(pack, PACKED).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    replies = stored(packed.mapInArrow(meet, REPLIES), "replies")
-    of_class = np.zeros(CLASSES, np.int64)
-    for r in replies.filter("slice is null").select("blob").toLocalIterator():  # CLASSES numbers a part
-        of_class += np.frombuffer(r.blob, "<i8")
-    back = replies.filter("slice is not null").repartition("slice").sortWithinPartitions("slice").mapInArrow(add, SUMS)
-    # rows equal in id and text have equal sums
-    return back.groupBy("k", "h").agg(F.max("logs").alias("logs"), F.max("known").alias("known")), of_class
+    return rows.mapInArrow(each, schema)
 
 
-ROWS = "doc_id long, held_out boolean, k long, h long, n_tokens long, score double, logs double, known long"
+ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows not held out."""
-    spark = docs.sparkSession
-    docs = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", order_key().alias("k"), F.xxhash64("text").alias("h"), held_out().alias("held_out"))
-    train = docs.filter(~F.col("held_out"))
-    often = frequent_words(train)
-    shared = spark.sparkContext.broadcast(often)  # 1/FREQUENT hashes at most
-    end = CLASSES + int(np.searchsorted(often, END))
-
-    def pairs(texts: list[str]) -> np.ndarray:
-        flat, starts = hashes(texts)
-        sym, _ = numbered(flat, shared.value)
-        return (before(sym, starts, end)[0] << BITS) + sym
-
-    bigrams = _counted(train, pairs)
-    entries = bigrams.select(F.shiftright("key", BITS).alias("s"), F.col("key").bitwiseAND(MASK).alias("y"), "n")
-    counts = np.zeros(CLASSES + len(often), np.int64)
-    for r in entries.groupBy("y").agg(F.sum("n").alias("n")).collect():  # one row a symbol
-        counts[r.y] = r.n
-    total = int(counts.sum())
-    one = Level(_kept_entries(entries, entries.groupBy(F.lit(0).cast("long").alias("s"), "y").agg(F.sum("n").alias("n")), total))
-    wanted = np.sort(np.array([r.key for r in bigrams.filter(F.col("n") >= max(MIN_COUNT, MIN_SHARE * total)).select("key").collect()], np.int64))  # 1/MIN_SHARE at most
-    frequent_pairs = spark.sparkContext.broadcast(wanted)
-
-    def triples(texts: list[str]) -> np.ndarray:
-        flat, starts = hashes(texts)
-        sym, _ = numbered(flat, shared.value)
-        x, z = before(sym, starts, end)
-        ctx, known = (z << BITS) + x, frequent_pairs.value
-        if not len(known):
-            return np.zeros(0, np.int64)
-        hit = known[np.minimum(np.searchsorted(known, ctx), len(known) - 1)] == ctx
-        return (ctx[hit] << BITS) + sym[hit]
-
-    longer = _counted(train, triples).select(F.shiftright("key", BITS).alias("s"), F.col("key").bitwiseAND(MASK).alias("y"), "n", F.lit(2).alias("two"))
-    tree = Tree(counts, [one, Level(_kept_entries(longer, entries, total))])
-
+    docs = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    sums, of_class = rare_sums(docs, often, min(MOST_PARTS, max(1, math.ceil(size / PART_BYTES))))
-    distinct = int(of_class.sum() + (counts[CLASSES:] > 0).sum())
-    places = np.log10(counts[:CLASSES] + of_class + 1.0)  # all words of a class, each once more, and one unknown
-    held = spark.sparkContext.broadcast((tree, counts[CLASSES:], places))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, c, room = held.value
-        for batch in slices(batches, "text", 4 << 20):
-            flat, starts = hashes(texts_of(batch))
-            sym, rare = numbered(flat, shared.value)
-            line = model.logs(sym, *before(sym, starts, end))
-            line[rare] -= room[sym[rare]]
-            at = np.where(rare, 0, sym - CLASSES)
-            logs, seen = np.where(rare, 0.0, np.log10(c[at] + 1.0)), np.where(rare, 0, c[at] > 0)
-            sums_ = [np.add.reduceat(x, starts[:-1]) for x in (line, logs, seen)]
-            yield _arrays(ROWS, batch["doc_id"], batch["held_out"], batch["k"], batch["h"], np.diff(starts), sums_[0], sums_[1], sums_[2].astype(np.int64))
-
-    rows = docs.select("doc_id", "text", "k", "h", "held_out").mapInArrow(score, ROWS)
-    rare = sums.select("k", "h", F.col("logs").alias("rare_logs"), F.col("known").alias("rare_known"))
-    more = F.coalesce("rare_logs", F.lit(0.0))
-    base = F.col("logs") + more - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))
-    return rows.join(rare, ["k", "h"], "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + more).alias("score"))
+    parts = min(MOST_PARTS, max(1, math.ceil(size / PART_BYTES)))
+    stream = streams(docs)
+    words = _by_part(_over(stream, [], parts, lambda s: _batch(s.asks_words()), SENT), parts, count_words)
+    sums = np.zeros(2 * CLASSES + 3)
+    for r in words.filter(F.col("kind") == SUMS).select("blob").toLocalIterator():  # CLASSES numbers a part
+        sums += np.frombuffer(r.blob, "<f8")
+
+    def of(answers: DataFrame, *kinds: int) -> DataFrame:
+        return answers.filter(F.col("kind").isin(*kinds))
+
+    def pairs_of(s: Slice) -> pa.RecordBatch:
+        s.find_symbols(sums)
+        s.find_pairs()
+        return _batch(s.asks_pairs())
+
+    def triples_of(s: Slice) -> pa.RecordBatch:
+        s.find_symbols(sums)
+        s.find_pairs()
+        s.find_triples()
+        return _batch(s.asks_triples())
+
+    counts = of(words, WORDS)
+    pairs = _by_part(_over(stream, [counts], parts, pairs_of, SENT), parts, count_grams(PAIRS, parts))
+    of_pairs = _by_part(of(pairs, OF_PAIRS, GAINS), parts, retain(OF_PAIRS))
+    triples = _by_part(_over(stream, [counts, of(pairs, PAIRS)], parts, triples_of, SENT), parts, count_grams(TRIPLES, parts))
+    of_triples = _by_part(of(triples, OF_TRIPLES, GAINS), parts, retain(OF_TRIPLES))
+    total, distinct = int(sums[-3]), int(sums[-2])
+
+    def score(s: Slice) -> pa.RecordBatch:
+        s.find_symbols(sums)
+        s.find_pairs()
+        s.find_triples()
+        n = np.diff(s.starts)
+        base, known, line = (np.add.reduceat(x, s.starts[:-1]) for x in (np.log10(s.c + 1.0)[s.tokens], (s.c > 0).astype(np.int64)[s.tokens], s.logs() + s.share[s.tokens]))
+        return _arrays(ROWS, s.doc_ids, s.held, n, known, np.full(len(n), total), base - n * math.log10(total + distinct + 1), line)
+
+    return _over(stream, [counts, of(pairs, PAIRS), of(of_pairs, OF_PAIRS), of(triples, TRIPLES), of(of_triples, OF_TRIPLES)], parts, score, ROWS)
