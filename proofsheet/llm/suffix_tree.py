@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,14 +125,24 @@ SENT = "kind int, part int, slice long, blob binary"
 WORDS, PAIRS, OF_PAIRS, TRIPLES, OF_TRIPLES, GAINS, SUMS = range(7)
 
 
+def _squeezed(*cols: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in cols))
+
+
+def _plain(blob: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
 def streams(docs: DataFrame) -> DataFrame:
     """The texts as STREAMS: a row of each batch has its distinct words and each token's number among them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             flat, starts = hashes(texts_of(batch))
-            words, at = np.unique(flat, return_inverse=True)
-            cols = [[uuid.uuid4().int >> 65], [batch["doc_id"].to_pylist()], [batch["held_out"].to_pylist()], [starts.astype("<i8").tobytes()], [at.astype("<u4").tobytes()], [words.tobytes()]]
+            words, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # low numbers for frequent words
+            words, at = words[order], np.argsort(order)[at]
+            cols = [[uuid.uuid4().int >> 65], [batch["doc_id"].to_pylist()], [batch["held_out"].to_pylist()], [_squeezed(starts.astype("<i8"))], [_squeezed(at.astype("<u4"))], [_squeezed(words)]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in STREAMS.split(", ")])
 
@@ -151,7 +162,35 @@ def _sent(kind: int, mark: int | None, parts: int, keys: np.ndarray, *cols: np.n
     part, order = _dealt(keys, parts)
     part, rows = part[order], np.stack([x[order].view(np.int64) for x in (keys, *cols)])
     at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-    return [(kind, int(part[s]), mark, rows[:, s:e].tobytes()) for s, e in zip(at, at[1:], strict=False)]
+    return [(kind, int(part[s]), mark, _squeezed(rows[:, s:e])) for s, e in zip(at, at[1:], strict=False)]
+
+
+def _sent_grams(kind: int, mark: int, parts: int, keys: np.ndarray, n: np.ndarray, p: np.ndarray, of: np.ndarray, ctx: np.ndarray, size: np.ndarray) -> list[tuple]:
+    """Rows (SENT) of pairs or triples, one for each part, with their contexts (ctx[of]) and those contexts' counts once."""
+    if not len(keys):
+        return []
+    part, order = _dealt(keys, parts)
+    part, out = part[order], []
+    at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for s, e in zip(at, at[1:], strict=False):
+        rows = order[s:e]
+        used, place = np.unique(of[rows], return_inverse=True)
+        head = np.array([len(rows), len(used)], "<i8")
+        out.append((kind, int(part[s]), mark, _squeezed(head, keys[rows], ctx[used], size[used].astype("<i8"), n[rows].astype("<u4"), place.astype("<u4"), p[rows].astype("<f4"))))
+    return out
+
+
+def _asked_grams(rows: list[tuple]) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """Keys, contexts, counts, contexts' counts and probabilities of all rows, and each row's slice and length."""
+    cols, sizes = [], []
+    for mark, b in rows:
+        raw = _plain(b, "u1")
+        m, u = raw[:16].view("<i8").tolist()
+        longs, rest = raw[16 : 16 + 8 * (m + 2 * u)].view("<i8"), raw[16 + 8 * (m + 2 * u) :].view("<u4")
+        place = rest[m : 2 * m]
+        cols.append((longs[:m], longs[m : m + u][place], rest[:m], longs[m + u :][place], rest[2 * m :].view("<f4")))
+        sizes.append((mark, m))
+    return [np.concatenate(c) for c in zip(*cols, strict=True)], sizes
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -178,13 +217,13 @@ def _by_part(sent: DataFrame, parts: int, answer) -> DataFrame:
 
 def _asked(rows: list[tuple], cols: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """All rows' columns side by side, and each row's slice and length."""
-    blobs = [np.frombuffer(b, "<i8").reshape(cols, -1) for _, b in rows]
+    blobs = [_plain(b).reshape(cols, -1) for _, b in rows]
     return np.concatenate(blobs, 1), [(mark, x.shape[1]) for (mark, _), x in zip(rows, blobs, strict=True)]
 
 
 def _answers(kind: int, part: int, sizes: list[tuple[int, int]], values: np.ndarray) -> list[tuple]:
     ends = np.cumsum([n for _, n in sizes]).tolist()
-    return [(kind, part, mark, values[e - n : e].astype("<f8").tobytes()) for (mark, n), e in zip(sizes, ends, strict=True)]
+    return [(kind, part, mark, _squeezed(values[e - n : e].astype("<i8"))) for (mark, n), e in zip(sizes, ends, strict=True)]
 
 
 def count_words(part: int, held: dict) -> list[tuple]:
@@ -195,7 +234,7 @@ def count_words(part: int, held: dict) -> list[tuple]:
     rare = (c < MIN_COUNT) & (words != END)
     kind = words[rare] & (CLASSES - 1)
     sums = [np.bincount(kind, c[rare], CLASSES), np.bincount(kind, c[rare] > 0, CLASSES), [c.sum(), (c > 0).sum(), (~rare).sum()]]
-    return [(SUMS, part, None, np.concatenate(sums).astype("<f8").tobytes()), *_answers(WORDS, part, sizes, c[at])]
+    return [(SUMS, part, None, _squeezed(np.concatenate(sums).astype("<i8"))), *_answers(WORDS, part, sizes, c[at])]
 
 
 def count_grams(kind: int, parts: int):
@@ -204,11 +243,11 @@ def count_grams(kind: int, parts: int):
         out = [(k, part, mark, b) for k, rows in held.items() if k != kind for mark, b in rows]
         if kind not in held:
             return out
-        (keys, ctx, n, size, p), sizes = _asked(held[kind], 5)
+        (keys, ctx, n, size, p), sizes = _asked_grams(held[kind])
         grams, first, at = np.unique(keys, return_index=True, return_inverse=True)
         c = np.bincount(at, n, len(grams))
         seen = np.flatnonzero(c)
-        n, ctx, size, p = c[seen], ctx[first[seen]], size[first[seen]].view(np.float64), p[first[seen]].view(np.float64)
+        n, ctx, size, p = c[seen], ctx[first[seen]], size[first[seen]], p[first[seen]].astype(np.float64)
         # each occurrence against the counts without it, so that a sparse context gains nothing by chance
         gain = n * np.log((n - 1 + SMOOTH * p) / (size - 1 + SMOOTH) / p)
         ctx, of = np.unique(ctx, return_inverse=True)
@@ -241,15 +280,15 @@ class Slice:
 
     def __init__(self, row: tuple, answers: dict[int, list[bytes]], parts: int):
         self.mark, self.doc_ids, self.held, starts, tokens, words = row
-        self.starts, self.words = np.frombuffer(starts, "<i8"), np.frombuffer(words, "<i8")
-        self.answers, self.parts, self.tokens = answers, parts, np.frombuffer(tokens, "<u4").astype(np.int64)
+        self.starts, self.words = _plain(starts), _plain(words)
+        self.answers, self.parts, self.tokens = answers, parts, _plain(tokens, "<u4").astype(np.int64)
         self.trained = np.repeat(~np.array(self.held, bool), np.diff(self.starts))
 
     def answered(self, kind: int, keys: np.ndarray, at: np.ndarray, m: int, other: float) -> np.ndarray:
         """What was answered for the keys at these places of m, `other` elsewhere."""
         out = np.full(m, other)
         if len(at):
-            out[at[_dealt(keys[at], self.parts)[1]]] = np.concatenate([np.frombuffer(b, "<f8") for b in self.answers[kind]])
+            out[at[_dealt(keys[at], self.parts)[1]]] = np.concatenate([_plain(b) for b in self.answers[kind]])
         return out
 
     def count(self, at: np.ndarray, m: int) -> np.ndarray:
@@ -266,7 +305,7 @@ class Slice:
         self.size = np.zeros(len(self.symbols))
         self.size[of] = np.where(rare, sums[kind], self.c)
         self.total, self.root = sums[-3], (self.size + 1.0) / (sums[-3] + sums[-1] + CLASSES)
-        self.end, self.y = of[np.searchsorted(self.words, END)], of[self.tokens]
+        self.end, self.y = of[np.flatnonzero(self.words == END)[0]], of[self.tokens]
 
     def find_pairs(self) -> None:
         m, one = len(self.symbols), np.concatenate([[self.end], self.y[:-1]])
@@ -279,8 +318,8 @@ class Slice:
 
     def asks_pairs(self) -> list[tuple]:
         at = self.wide_pairs
-        n, size, p = self.count(self.pair, len(self.left))[at], self.size[self.left[at]], self.size[self.right[at]] / max(self.total, 1)
-        return _sent(PAIRS, self.mark, self.parts, self.pair_keys[at], self.symbols[self.left[at]], n, size, p) + _sent(OF_PAIRS, self.mark, self.parts, self.symbols[self.contexts])
+        n, p = self.count(self.pair, len(self.left))[at], self.size[self.right[at]] / max(self.total, 1)
+        return _sent_grams(PAIRS, self.mark, self.parts, self.pair_keys[at], n, p, self.left[at], self.symbols, self.size) + _sent(OF_PAIRS, self.mark, self.parts, self.symbols[self.contexts])
 
     def find_triples(self) -> None:
         m, k = len(self.symbols), len(self.left)
@@ -296,8 +335,8 @@ class Slice:
 
     def asks_triples(self) -> list[tuple]:
         at, shorter = self.wide_triples, self.shorter[self.wide_triples]
-        n, size, p = self.count(self.triple, len(self.before))[at], self.before_size[self.before[at]], self.n_pairs[shorter] / self.size[self.left[shorter]]
-        return _sent(TRIPLES, self.mark, self.parts, self.triple_keys[at], self.before_keys[self.before[at]], n, size, p) + _sent(OF_TRIPLES, self.mark, self.parts, self.before_keys[self.longer])
+        n, p = self.count(self.triple, len(self.before))[at], self.n_pairs[shorter] / self.size[self.left[shorter]]
+        return _sent_grams(TRIPLES, self.mark, self.parts, self.triple_keys[at], n, p, self.before[at], self.before_keys, self.before_size) + _sent(OF_TRIPLES, self.mark, self.parts, self.before_keys[self.longer])
 
     def logs(self) -> np.ndarray:
         """log10 probability of each token's symbol after the two before it."""
@@ -346,7 +385,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words = _by_part(_over(stream, [], parts, lambda s: _batch(s.asks_words()), SENT), parts, count_words)
     sums = np.zeros(2 * CLASSES + 3)
     for r in words.filter(F.col("kind") == SUMS).select("blob").toLocalIterator():  # CLASSES numbers a part
-        sums += np.frombuffer(r.blob, "<f8")
+        sums += _plain(r.blob)
 
     def of(answers: DataFrame, *kinds: int) -> DataFrame:
         return answers.filter(F.col("kind").isin(*kinds))
