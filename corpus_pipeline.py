@@ -14,15 +14,13 @@ from proofsheet.llm.common import order_key, stored
 from proofsheet.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text with less in common than this with every learned language is in none of them.
-LEAST_SUPPORT = 0.02
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets lang to the predicted language; documents without a letter or unlike every learned language go."""
-    model = langid.train(docs.filter(~langid.held_out()))
+    model = langid.train(docs.filter(~langid.held_out()), guarded=True)
     seen = langid.predict(docs.select(COLUMNS), model)
-    kept = seen.filter((F.col("p_.lang_pred") != "und") & (F.col("p_.support") >= LEAST_SUPPORT))
+    kept = seen.filter((F.col("p_.lang_pred") != "und") & F.col("p_.learned"))
     return kept.withColumn("lang", F.col("p_.lang_pred")).select(COLUMNS)
 
 

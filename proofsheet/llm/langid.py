@@ -9,6 +9,11 @@ Training takes a bounded sample: PER_LANG rows of each language by a hash of the
 most TRAIN_ROWS in all; each row reaches the driver as DIMS bits, never as text. Everything
 else covers all rows.
 
+A guard tells texts of no learned language: a text's letters must be known in the predicted
+language, and so must be its 3- and 4-grams, less what would be found by chance. The bound
+for these comes from the training texts: halves stand for each other, and languages left out
+for unlearned ones. Short texts have slack, since few n-grams say little.
+
 Defined results: null text, and text without a letter, is `und` with score 0; so is every
 row if there is nothing to learn from; equal texts get equal results; an empty table gives
 no rows; further columns are ignored.
@@ -29,6 +34,8 @@ from .common import own, slices
 DIMS_BITS, GRAMS = 14, 4
 DIMS = 1 << DIMS_BITS
 PER_LANG, TRAIN_ROWS, LANDMARKS, RIDGE = 800, 6000, 256, 1.0
+#: Rows of each language that the guard learns from, bits of a place, n-grams of a text that counts for the bound, share of known letters, slack by 1/sqrt(n-grams).
+GUARD_ROWS, GUARD_BITS, GUARD_GRAMS, GUARD_LETTERS, GUARD_SLACK = 200, 22, 100, 0.5, 3.0
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -44,12 +51,68 @@ def presence(text: str) -> np.ndarray:
     return out
 
 
+def passages(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's letters, and the places (GUARD_BITS) of its 3- and 4-grams with a letter, as often as they occur."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = (c >= 128) | (c >= 97) & (c <= 122)
+    h, some, out = c, letter, []
+    for n in range(1, GRAMS):
+        h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x01000193) + c[n:]
+        some = some[:-1] | letter[n:]
+        if n >= 2:
+            x = h[some] * MULTIPLIERS[n]
+            out.append(((x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - GUARD_BITS))
+    return c[letter], np.concatenate(out)
+
+
+class Guard:
+    """The letters and n-grams of each language's sample, and the share of a text's n-grams that must be known."""
+
+    def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray]]):
+        """rows: language, distinct letters and distinct places of n-grams."""
+        half = self.tables(rows[::2])
+        own, left = [], []
+        for lang, _, places in rows[1::2]:
+            if len(places) >= GUARD_GRAMS:
+                own += [self.share(places, half[lang])] if lang in half else []
+                left += [max(self.share(places, t) for other, t in half.items() if other != lang)] if len(half.keys() - {lang}) else []
+        low, high = np.quantile(own, 0.02) if own else 0.0, np.quantile(left, 0.98) if left else 0.0
+        # languages whose samples can't be told apart say nothing of unlearned ones
+        self.least = (low + high) / 2 if left and high < low else low
+        self.known = self.tables(rows)
+        self.letters = {lang: np.unique(np.concatenate([x for one, x, _ in rows if one == lang])) for lang in self.known}
+
+    @staticmethod
+    def tables(rows: list) -> dict[str, np.ndarray]:
+        out = {}
+        for lang, _, places in rows:
+            out.setdefault(lang, np.zeros(1 << GUARD_BITS, np.bool_))[places] = True
+        return {lang: np.packbits(t) for lang, t in out.items()}
+
+    @staticmethod
+    def share(places: np.ndarray, table: np.ndarray) -> float:
+        """Share of the places in the table, less the overlap expected by chance."""
+        filled = np.bitwise_count(table).sum() / (1 << GUARD_BITS)
+        found = (table[places >> np.uint32(3)] >> (np.uint32(7) - (places & np.uint32(7))) & 1).mean()
+        return float((found - filled) / (1 - filled))
+
+    def passes(self, text: str, lang: str) -> bool:
+        letters, places = passages(text)
+        if lang not in self.known or not len(places):
+            return lang not in self.known
+        if np.isin(letters, self.letters[lang]).mean() < GUARD_LETTERS:
+            return False
+        return self.share(places, self.known[lang]) >= self.least - GUARD_SLACK / np.sqrt(len(places))
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
 class Model:
-    """Landmark sets, the map from kernel values to language scores, and the languages."""
+    """Landmark sets, the map from kernel values to language scores, the languages, and a guard if there is one."""
+
+    guard: Guard | None = None
 
     def __init__(self, bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(langs))
@@ -80,33 +143,41 @@ class Model:
         return k @ self.map, k.max(1)
 
 
-def train(docs: DataFrame) -> Model | None:
-    """A model from the rows (doc_id, text, lang) given; None if none has a language and a letter."""
+def train(docs: DataFrame, guarded: bool = False) -> Model | None:
+    """A model from the rows (doc_id, text, lang) given, with a guard if wanted; None if none has a language and a letter."""
     usable = own(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
     order = F.xxhash64(F.lit("langid"), "doc_id")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     chosen = usable.select("doc_id", "lang").withColumn("n", rank).filter(F.col("n") <= PER_LANG)
-    chosen = chosen.orderBy("n", order, "doc_id").limit(TRAIN_ROWS).select("doc_id")  # ids only
+    chosen = chosen.orderBy("n", order, "doc_id").limit(TRAIN_ROWS).groupBy("doc_id").agg(F.min("n").alias("n"))  # ids and ranks only
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = [(d, lang, np.packbits(presence(t)).tobytes()) for d, lang, t in zip(*(batch[c].to_pylist() for c in ("doc_id", "lang", "text")), strict=True) if has_letter(t)]
+            rows = []
+            for d, lang, t, rank in zip(*(batch[c].to_pylist() for c in ("doc_id", "lang", "text", "n")), strict=True):
+                if has_letter(t):
+                    seen = [np.unique(x).tobytes() for x in passages(t)] if guarded and rank <= GUARD_ROWS else [None, None]
+                    rows.append((d, lang, np.packbits(presence(t)).tobytes(), *seen))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["doc_id", "lang", "bits"])
+                kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "lang", "bits", "letters", "places"])
 
-    sample = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text")  # TRAIN_ROWS ids at most
-    rows = sample.mapInArrow(bits, "doc_id long, lang string, bits binary").limit(2 * TRAIN_ROWS).collect()
+    sample = usable.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "n")  # TRAIN_ROWS ids at most
+    rows = sample.mapInArrow(bits, "doc_id long, lang string, bits binary, letters binary, places binary").limit(2 * TRAIN_ROWS).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.bits))
-    return Model(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), [r.lang for r in rows])
+    model = Model(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), [r.lang for r in rows])
+    if guarded:
+        model.guard = Guard([(r.lang, np.frombuffer(r.letters, np.uint32), np.frombuffer(r.places, np.uint32)) for r in rows if r.places is not None])
+    return model
 
 
-PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType())])
+PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType()), T.StructField("learned", T.BooleanType())])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs and a struct p_ (PREDICTED): language, its share of the softmax of all scores, nearest landmark's kernel."""
+    """docs and a struct p_ (PREDICTED): language, its share of the softmax of all scores, nearest landmark's kernel, whether the model's guard passes it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS * DIMS numbers
     schema = T.StructType([*docs.schema.fields, T.StructField("p_", PREDICTED)])
 
@@ -115,6 +186,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in slices(batches, "text", 1 << 20):
             texts, n = batch.column("text").to_pylist(), batch.num_rows
             lang, score, support = ["und"] * n, np.zeros(n), np.zeros(n)
+            learned: list[bool | None] = [None] * n
             rows = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
             for at in range(0, len(rows), 64):
                 part = rows[at : at + 64]
@@ -123,7 +195,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 for i, b in zip(part, values.argmax(1), strict=True):
                     lang[i] = m.langs[b]
                 score[part], support[part] = 1 / e.sum(1), np.clip(near, 0, 1)
-            found = pa.StructArray.from_arrays([pa.array(lang), pa.array(score), pa.array(support)], names=PREDICTED.names)
+            if m is not None and m.guard is not None:
+                for i in rows:
+                    learned[i] = bool(m.guard.passes(texts[i], lang[i]))
+            found = pa.StructArray.from_arrays([pa.array(lang), pa.array(score), pa.array(support), pa.array(learned, pa.bool_())], names=PREDICTED.names)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "p_"])
 
     return docs.mapInArrow(run, schema)

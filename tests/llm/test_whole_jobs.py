@@ -76,3 +76,24 @@ def test_suffix_tree_keeps_contexts_on_larger_input(spark):
     docs = spark.createDataFrame(known + filler, "doc_id long, text string").repartition(4)
     scores = [r.score for r in suffix_tree.score_documents(docs).filter("doc_id < 42").collect()]
     assert len(scores) == 42 and min(scores) > -6  # 4.8 for the first word, which nothing foretells, and under 0.4 for each further one
+
+
+def syllables(seed, of, n):
+    """n words of a language with its own syllables, all in the same letters."""
+    own, r = np.random.default_rng(of), np.random.default_rng(seed)
+    parts = ["".join(own.choice(list("abdefghiklmnoprstuvw"), 3)) for _ in range(30)]
+    return " ".join("".join(r.choice(parts, r.integers(1, 4))) for _ in range(n))
+
+
+def test_texts_in_no_learned_language_go(spark):
+    import corpus_pipeline as P
+
+    clean = [(i, syllables(i, i % 3, (3, 40, 400)[i // 3 % 3]), ("aa", "bb", "cc")[i % 3]) for i in range(180)]
+    r = np.random.default_rng(1)
+    script = [(1000 + i, "".join(map(chr, r.integers(0x4E00, 0x9FFF, n))), None) for i, n in enumerate([1, 5, 80, 300, 2000, 20000])]
+    script += [(2000 + i, "".join(chr(x) for x in r.integers(0x430, 0x450, n)), None) for i, n in enumerate([3, 50, 5000])]
+    latin = [(3000 + i, syllables(i, 77, n), None) for i, n in enumerate([20, 60, 400, 4000])]
+    rows = [(d, t, lang, "s", len(t)) for d, t, lang in clean + script + latin]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {row.doc_id for row in P.identify_language(spark, docs, "").collect()}
+    assert not [d for d in kept if d >= 1000] and kept == set(range(180))
