@@ -8,7 +8,9 @@ surrogates everywhere and different ones of a format different ones. Valid card
 valid and invalid ones invalid.
 
 Collision checks run over the distinct entities of the table: an entity whose surrogate is
-another's too, or occurs itself as an entity, gets the next permutation, until none is left.
+another's too, or occurs itself as an entity, gets the next permutation, until none is left;
+from attempt LONGER_FROM on it gets a longer form of the same script, since its own length may
+be full. A fixed format (digits, addresses) without an unused form ends the job with an error.
 Such exceptions, if any, reach their documents by a join.
 
 Defined results: null text stays null with no entity; empty text stays empty; repeated rows
@@ -32,9 +34,12 @@ from pyspark.sql import types as T
 from .common import slices, stored
 
 ROUNDS = 8
+#: The attempt from which names, e-mail addresses and secrets get longer, by a letter every second one.
+LONGER_FROM = 6
 #: Alphabets whose members may stand for each other.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 HEX = "0123456789abcdef"
+MARKS = "_+-/"
 #: Given names by script and gender.
 GIVEN = {
     "latin m": ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Matthew", "Andrew", "Hans", "Klaus", "Jürgen", "Pierre", "Jacques", "François", "Carlos", "Miguel", "José", "Javier"],
@@ -132,15 +137,35 @@ def permuted(values: list[int], radix: int, key: bytes, tweak: str) -> list[int]
     return out
 
 
+@lru_cache(1000)
+def other_letters(block: int) -> str:
+    """The letters outside ALPHABETS of 128 code points, as far as case can be kept: an alphabet of their own."""
+    chars = map(chr, range(block * 128, block * 128 + 128))
+    return "".join(c for c in chars if c.isalpha() and c not in CLASS and c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c)
+
+
+def class_of(c: str) -> tuple[str, str, int] | None:
+    """Name and letters of the character's alphabet, and its place there."""
+    low = c.lower()
+    if (k := CLASS.get(low)) is not None:
+        return str(k[0]), ALPHABETS[k[0]], k[1]
+    if len(low) == 1 and low.isalpha() and low in (letters := other_letters(ord(low) // 128)) and len(letters) > 1:
+        return f"block {ord(low) // 128}", letters, letters.index(low)
+    return None
+
+
 def preserved(s: str, key: bytes, tweak: str) -> str:
-    """s with the letters and digits of each alphabet permuted; case and all else as they are."""
+    """s with the letters and digits of each alphabet permuted, marks if there is nothing else; case and all else as they are."""
     out, places = list(s), {}
     for i, c in enumerate(s):
-        if (k := CLASS.get(c.lower())) is not None:
-            places.setdefault(k[0], []).append((i, k[1]))
-    for k, at in places.items():
-        for (i, _), v in zip(at, permuted([v for _, v in at], len(ALPHABETS[k]), key, f"{tweak}|{k}"), strict=True):
-            c = ALPHABETS[k][v]
+        if (k := class_of(c)) is not None:
+            places.setdefault(k[:2], []).append((i, k[2]))
+    if not places:
+        marks = MARKS if "/" in s else MARKS[:-1]
+        places = {("marks", marks): [(i, marks.index(c)) for i, c in enumerate(s) if c in marks]}
+    for (k, letters), at in places.items():
+        for (i, _), v in zip(at, permuted([v for _, v in at], len(letters), key, f"{tweak}|{k}") if at else [], strict=True):
+            c = letters[v]
             out[i] = c.upper() if s[i].isupper() else c
     return "".join(out)
 
@@ -154,6 +179,14 @@ def luhn(s: str) -> bool:
     return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
 
 
+def lengthened(s: str, attempt: int) -> str:
+    """s, from attempt LONGER_FROM on with its last letter, digit or mark repeated."""
+    if attempt < LONGER_FROM:
+        return s
+    last = next((c for c in reversed(s) if class_of(c)), next((c for c in reversed(s) if c in MARKS), "x"))
+    return s + last * ((attempt - LONGER_FROM) // 2 + 1)
+
+
 @lru_cache(100_000)
 def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate's normal form."""
@@ -163,7 +196,7 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
         labels = domain.split(".")
         keep = 2 if domain.endswith((".example.com", ".example.org", ".example.net")) else 1
         end = ".".join(labels[-keep:]) if keep == 2 else "example"
-        return f"{preserved(local, key, f'{t}|{domain}')}@{'.'.join(preserved(x, key, f'{t}|{domain}') for x in labels[:-keep])}.{end}"
+        return f"{preserved(lengthened(local, attempt), key, f'{t}|{domain}')}@{'.'.join(preserved(x, key, f'{t}|{domain}') for x in labels[:-keep])}.{end}"
     if kind == "ip":
         v = permuted([int(x) for x in norm.split(".")], 256, key, t)
         return ".".join(map(str, v))
@@ -189,13 +222,13 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
         return names[(i + 1 + int.from_bytes(hashlib.blake2b(f"{group}|{attempt}".encode(), key=key, digest_size=8).digest(), "big") % (len(names) - 1)) % len(names)]
     if kind == "secret":
         head = next((h for h in ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-") if norm.startswith(h)), "")
-        body = norm[len(head) :]
+        body = lengthened(norm[len(head) :], attempt)
         if body == body.lower() and all(c in HEX for c in body) or body == body.upper() and all(c in HEX.upper() for c in body):
             out = "".join(HEX[v] for v in permuted([HEX.index(c) for c in body.lower()], 16, key, t))
             # hex digits without a letter say nothing of case; they are written as they come
             return head + (out.upper() if body != body.lower() else out)
         return head + preserved(body, key, f"{t}|{head}")
-    return preserved(norm, key, t)
+    return preserved(lengthened(norm, attempt), key, t)
 
 
 def written(mention: str, kind: str, new: str) -> str:
@@ -211,7 +244,7 @@ def written(mention: str, kind: str, new: str) -> str:
             return new.upper()
         return "".join(c.upper() if i < len(mention) and i < mention.find("@") and mention[i].isupper() else c for i, c in enumerate(new))
     if kind == "surname":
-        return "".join(c.upper() if m.isupper() else c for c, m in zip(new, mention, strict=True)) if len(new) == len(mention) else new
+        return "".join(c.upper() if mention[min(i, len(mention) - 1)].isupper() else c for i, c in enumerate(new))
     return new
 
 
@@ -242,8 +275,11 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return stored(texts.mapInArrow(find, MENTIONS), "mentions")
 
 
-def collisions(found: DataFrame, key: bytes, most_rounds: int = 20) -> DataFrame | None:
-    """(kind, norm, attempt) of the entities that need another permutation than the first; None if there are none."""
+def collisions(found: DataFrame, key: bytes, most_rounds: int = 100) -> DataFrame | None:
+    """(kind, norm, attempt) of the entities that need another permutation than the first; None if there are none.
+
+    Goes on until no surrogate is used twice or an original; raises if most_rounds leave some.
+    """
 
     @F.pandas_udf("string")
     def of(kind: pd.Series, norm: pd.Series, attempt: pd.Series) -> pd.Series:
@@ -253,13 +289,16 @@ def collisions(found: DataFrame, key: bytes, most_rounds: int = 20) -> DataFrame
     entities = found.filter("kind <> 'given'").select("kind", "norm").distinct()
     state = stored(entities.withColumn("attempt", F.lit(0)).withColumn("new", of("kind", "norm", "attempt")), "entities")
     originals = stored(entities, "originals")
-    for _ in range(most_rounds):
+    for n in range(most_rounds + 1):
         first = state.groupBy("kind", "new").agg(F.min_by("norm", F.struct(-F.col("attempt"), "norm")).alias("keeps"), F.count("*").alias("m"))
         twice = state.join(first.filter("m > 1"), ["kind", "new"]).filter("norm <> keeps").select("kind", "norm")
         taken = state.join(originals.withColumnRenamed("norm", "new"), ["kind", "new"], "left_semi").select("kind", "norm")
         bad = stored(twice.union(taken).distinct().withColumn("bad", F.lit(1)), "bad")
         if not bad.limit(1).count():
             break
+        if n == most_rounds:
+            kinds = {r.kind: r["count"] for r in bad.groupBy("kind").count().collect()}
+            raise RuntimeError(f"no unused surrogates after {most_rounds} rounds: {kinds}")
         state = state.join(bad, ["kind", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(0))).drop("bad", "new")
         state = stored(state.withColumn("new", of("kind", "norm", "attempt")), "entities")
     moved = state.filter("attempt > 0").select("kind", "norm", "attempt")

@@ -5,8 +5,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
-from proofsheet.llm import suffix_tree
+from proofsheet.llm import pii, suffix_tree
 
 from .conftest import edge_rows
 
@@ -97,3 +98,29 @@ def test_texts_in_no_learned_language_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     kept = {row.doc_id for row in P.identify_language(spark, docs, "").collect()}
     assert not [d for d in kept if d >= 1000] and kept == set(range(180))
+
+
+def test_surrogates_of_a_full_domain(spark):
+    """Every two-letter surname of a pattern occurs, so that none is free."""
+    names = [c + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"]
+    found = spark.createDataFrame([(i, "surname", n) for i, n in enumerate(names)], pii.MENTIONS)
+    moved = {r.norm: r.attempt for r in pii.collisions(found, b"k").collect()}
+    new = [pii.surrogate("surname", n, b"k", moved.get(n, 0)) for n in names]
+    assert len(set(new)) == len(names) and not set(new) & set(names)
+    text = pii.replaced("Mr. Li and Mr. LI", b"k", {("surname", "li"): pii.LONGER_FROM})[0]
+    assert len(text) == len("Mr. Li and Mr. LI") + 2 and text[-3:].isupper() and text[4:7].istitle()
+
+
+def test_unsettled_surrogates_are_an_error(spark):
+    taken = pii.surrogate("ssn", "111111111", b"k")
+    found = spark.createDataFrame([(1, "ssn", "111111111"), (2, "ssn", taken)], pii.MENTIONS)
+    with pytest.raises(RuntimeError):
+        pii.collisions(found, b"k", most_rounds=0)
+
+
+@pytest.mark.parametrize("kind,norm", [("surname", "éèü"), ("surname", "łß"), ("secret", "______"), ("secret", "//////"), ("email", "__@mail.example.com")])
+def test_nothing_stays_in_clear(spark, kind, norm):
+    found = spark.createDataFrame([(1, kind, norm)], pii.MENTIONS)
+    moved = pii.collisions(found, b"k")
+    attempt = moved.first().attempt if moved is not None else 0
+    assert pii.surrogate(kind, norm, b"k", attempt).split("@")[0] != norm.split("@")[0]
