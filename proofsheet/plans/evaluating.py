@@ -253,9 +253,9 @@ def text_compare(t):
 
 @query()
 def word_diff(t):
-    """The words that consecutive short turns share and don't."""
+    """The words that consecutive turns share and don't."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t.conversations.filter("role = 'user'").withColumn("before", F.lag("text").over(w)).filter("before is not null")
+    rows = t.conversations.withColumn("before", F.lag("text").over(w)).filter("before is not null")
     return rows.select("conv_id", "turn", F.explode(X.diff_words("before", "text")).alias("r")).select("conv_id", "turn", "r.tag", "r.words")
 
 
