@@ -1,13 +1,16 @@
 """Language identification with string kernels.
 
-A text is the set of its 1- to 4-grams of lower-cased characters (presence, a blended
-spectrum), hashed to DIMS places. The kernel of two texts is the cosine of their sets. A
-Nystroem map over LANDMARKS training texts makes features of it, and one ridge regression
-per language, against the rest, scores them; scoring is matrix products over batches.
-
-Training takes a bounded sample: PER_LANG rows of each language by a hash of the id and at
-most TRAIN_ROWS in all; each row reaches the driver as DIMS bits, never as text. Everything
-else covers all rows.
+A text is the set of its 1- to 4-grams of lower-cased characters, a space before and after it
+(presence, a blended spectrum), hashed to PLACES_BITS bits and kept sparse. The kernel of two
+texts is the cosine of their sets. A Nystroem map over LANDMARKS training texts makes features
+of it, and one ridge regression per language, against the rest, scores them. The kernel with
+the landmarks, the Nystroem map and the ridge weights are one linear map of a text's places, so
+they are multiplied once, and a batch is scored by the product of its sparse rows with it.
+
+Training takes a bounded sample: PER_LANG rows of each language, fewer if MOST_LANGS languages
+(the most frequent ones) need more than TRAIN_ROWS, by a hash of id and text; no row is moved
+for it, and each reaches the driver as its places, never as text. Everything else covers all
+rows.
 
 A guard tells texts of no learned language: a text's letters must be known in the predicted
 language, and so must be its 3- and 4-grams, less what would be found by chance. The bound
@@ -25,30 +28,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import own, slices
 
-DIMS_BITS, GRAMS = 14, 4
-DIMS = 1 << DIMS_BITS
-PER_LANG, TRAIN_ROWS, LANDMARKS, RIDGE = 800, 6000, 256, 1.0
+PLACES_BITS, GRAMS = 18, 4
+PER_LANG, TRAIN_ROWS, MOST_LANGS, LANDMARKS, RIDGE = 800, 6000, 64, 256, 1.0
 #: Rows of each language that the guard learns from, bits of a place, n-grams of a text that counts for the bound, share of known letters, slack by 1/sqrt(n-grams).
 GUARD_ROWS, GUARD_BITS, GUARD_GRAMS, GUARD_LETTERS, GUARD_SLACK = 200, 22, 100, 0.5, 3.0
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+_seen = np.zeros(1 << PLACES_BITS, np.int32)
 
 
 def presence(text: str) -> np.ndarray:
-    """Which of the DIMS places the text's n-grams hit."""
-    out = np.zeros(DIMS, np.bool_)
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = c.copy()
+    """The distinct places that the text's n-grams hit."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    h, all_ = c, []
     for n in range(GRAMS):
         if n:
             h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x01000193) + c[n:]
-        out[(h * MULTIPLIERS[n]) >> np.uint32(32 - DIMS_BITS)] = True
-    return out
+        all_.append((h * MULTIPLIERS[n]) >> np.uint32(32 - PLACES_BITS))
+    at = np.concatenate(all_)
+    number = np.arange(len(at), dtype=np.int32)
+    _seen[at] = number  # of equal places the last one stays
+    return at[_seen[at] == number]
+
+
+def packed(places: np.ndarray) -> bytes:
+    """The places as bytes: as numbers, or as bits where that is less."""
+    if len(places) < 1 << (PLACES_BITS - 5):
+        return np.sort(places).tobytes()
+    bits = np.zeros(1 << PLACES_BITS, np.bool_)
+    bits[places] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) < 1 << (PLACES_BITS - 3):
+        return np.frombuffer(raw, np.uint32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
 
 
 def passages(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +130,12 @@ def has_letter(text: str | None) -> bool:
 
 
 class Model:
-    """Landmark sets, the map from kernel values to language scores, the languages, and a guard if there is one."""
+    """The languages, the map from places to their scores, and a guard if there is one."""
 
     guard: Guard | None = None
 
-    def __init__(self, bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, rows: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        """rows: the packed places of each training text."""
         self.langs = sorted(set(langs))
         y = np.array([[1.0 if a == b else -1.0 for b in self.langs] for a in langs])
         # landmarks in turn from each language
@@ -123,82 +144,96 @@ class Model:
             at = [i for i, x in enumerate(langs) if x == one]
             turn[at] = range(len(at))
         chosen = np.argsort(turn, kind="stable")[:landmarks]
-        x = np.unpackbits(bits, axis=1, count=DIMS).astype(np.float32)
-        self.z = np.ascontiguousarray((x[chosen] / np.sqrt(x[chosen].sum(1, keepdims=True))).T)
-        values, vectors = np.linalg.eigh(self.z.T.astype(np.float64) @ self.z)
+        sets = np.zeros((1 << PLACES_BITS, (len(chosen) + 7) // 8), np.uint8)  # a bit for each landmark
+        for j, i in enumerate(chosen):
+            sets[unpacked(rows[i]), j >> 3] |= 128 >> (j & 7)
+        size, both = np.zeros(len(rows)), np.zeros((len(rows), len(chosen)))
+        for i, raw in enumerate(rows):
+            places = unpacked(raw)
+            size[i] = np.sqrt(len(places))
+            for at in range(0, len(places), 255):  # so many bits add up in a byte
+                both[i] += np.add.reduce(np.unpackbits(sets[places[at : at + 255]], axis=1, count=len(chosen)), axis=0, dtype=np.uint8)
+        k = both / (size[:, None] * size[chosen])
+        values, vectors = np.linalg.eigh(k[chosen])
         good = values > 1e-6 * values[-1]
         nystroem = vectors[:, good] / np.sqrt(values[good])
-        f = self.kernel(x) @ nystroem
+        f = k @ nystroem
         share = ((y > 0).mean(0) + 1e-9)[None, :]
         weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share + 2e-9)).mean(1)  # rare languages count as much
         a = (f * weight[:, None]).T @ f + ridge * np.eye(f.shape[1])
-        self.map = (nystroem @ np.linalg.solve(a, (f * weight[:, None]).T @ y)).astype(np.float32)
+        by_landmark = (nystroem @ np.linalg.solve(a, (f * weight[:, None]).T @ y)) / size[chosen, None]
+        self.map = np.zeros((1 << PLACES_BITS, len(self.langs)), np.float32)
+        for j, i in enumerate(chosen):
+            self.map[unpacked(rows[i])] += by_landmark[j].astype(np.float32)
 
-    def kernel(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.z) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """One-versus-rest values of each language and the nearest landmark's kernel value."""
-        k = self.kernel(np.stack([presence(t) for t in texts]).astype(np.float32))
-        return k @ self.map, k.max(1)
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """One-versus-rest values of each language."""
+        rows = [presence(t) for t in texts]
+        sizes = np.array([len(r) for r in rows])
+        sums = np.add.reduceat(self.map[np.concatenate(rows)], np.cumsum(sizes) - sizes, axis=0)
+        return sums / np.sqrt(sizes)[:, None]
 
 
 def train(docs: DataFrame, guarded: bool = False) -> Model | None:
     """A model from the rows (doc_id, text, lang) given, with a guard if wanted; None if none has a language and a letter."""
     usable = own(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    order = F.xxhash64(F.lit("langid"), "doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("n", rank).filter(F.col("n") <= PER_LANG)
-    chosen = chosen.orderBy("n", order, "doc_id").limit(TRAIN_ROWS).groupBy("doc_id").agg(F.min("n").alias("n"))  # ids and ranks only
+    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    if not found:
+        return None
+    wanted = min(PER_LANG, TRAIN_ROWS // len(found))
+    top = 1 << 52
+    most = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(top, top * wanted // r["count"]))]), F.col("lang"))
+    sample = usable.withColumn("u", F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(top))).withColumn("most", most).filter("u < most")
+    sample = sample.withColumn("guards", F.col("u") * F.lit(wanted) < F.col("most").cast("double") * GUARD_ROWS)
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
-            for d, lang, t, rank in zip(*(batch[c].to_pylist() for c in ("doc_id", "lang", "text", "n")), strict=True):
+            for d, lang, t, g in zip(*(batch[c].to_pylist() for c in ("doc_id", "lang", "text", "guards")), strict=True):
                 if has_letter(t):
-                    seen = [np.unique(x).tobytes() for x in passages(t)] if guarded and rank <= GUARD_ROWS else [None, None]
-                    rows.append((d, lang, np.packbits(presence(t)).tobytes(), *seen))
+                    seen = [np.unique(x).tobytes() for x in passages(t)] if guarded and g else [None, None]
+                    rows.append((d, lang, packed(presence(t)), *seen))
             if rows:
                 kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "lang", "bits", "letters", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "lang", "places", "letters", "grams"])
 
-    sample = usable.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "n")  # TRAIN_ROWS ids at most
-    rows = sample.mapInArrow(bits, "doc_id long, lang string, bits binary, letters binary, places binary").limit(2 * TRAIN_ROWS).collect()
+    # a repeated row counts once; the hash draws about TRAIN_ROWS rows at most
+    rows = sample.select("doc_id", "lang", "text", "guards").mapInArrow(places, "doc_id long, lang string, places binary, letters binary, grams binary").distinct().limit(2 * TRAIN_ROWS).collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.bits))
-    model = Model(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), [r.lang for r in rows])
+    rows.sort(key=lambda r: (r.doc_id, r.lang, r.places))
+    model = Model([r.places for r in rows], [r.lang for r in rows])
     if guarded:
-        model.guard = Guard([(r.lang, np.frombuffer(r.letters, np.uint32), np.frombuffer(r.places, np.uint32)) for r in rows if r.places is not None])
+        model.guard = Guard([(r.lang, np.frombuffer(r.letters, np.uint32), np.frombuffer(r.grams, np.uint32)) for r in rows if r.grams is not None])
     return model
 
 
-PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType()), T.StructField("learned", T.BooleanType())])
+PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("learned", T.BooleanType())])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs and a struct p_ (PREDICTED): language, its share of the softmax of all scores, nearest landmark's kernel, whether the model's guard passes it."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS * DIMS numbers
+    """docs and a struct p_ (PREDICTED): language, its share of the softmax of all scores, whether the model's guard passes it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**PLACES_BITS * MOST_LANGS numbers at most
     schema = T.StructType([*docs.schema.fields, T.StructField("p_", PREDICTED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches, "text", 1 << 20):
             texts, n = batch.column("text").to_pylist(), batch.num_rows
-            lang, score, support = ["und"] * n, np.zeros(n), np.zeros(n)
+            lang, score = ["und"] * n, np.zeros(n)
             learned: list[bool | None] = [None] * n
             rows = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
             for at in range(0, len(rows), 64):
                 part = rows[at : at + 64]
-                values, near = m.scores([texts[i] for i in part])
+                values = m.scores([texts[i] for i in part])
                 e = np.exp(4 * (values - values.max(1, keepdims=True)))
                 for i, b in zip(part, values.argmax(1), strict=True):
                     lang[i] = m.langs[b]
-                score[part], support[part] = 1 / e.sum(1), np.clip(near, 0, 1)
+                score[part] = 1 / e.sum(1)
             if m is not None and m.guard is not None:
                 for i in rows:
                     learned[i] = bool(m.guard.passes(texts[i], lang[i]))
-            found = pa.StructArray.from_arrays([pa.array(lang), pa.array(score), pa.array(support), pa.array(learned, pa.bool_())], names=PREDICTED.names)
+            found = pa.StructArray.from_arrays([pa.array(lang), pa.array(score), pa.array(learned, pa.bool_())], names=PREDICTED.names)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "p_"])
 
     return docs.mapInArrow(run, schema)
@@ -210,7 +245,7 @@ def held_out(col: str = "doc_id", of: int = 4, part: int = 2):
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, support for every row; learns from the rows not held out."""
+    """doc_id, held_out, lang_pred, score for every row; learns from the rows not held out."""
     model = train(docs.filter(~held_out()))
     rows = own(docs, "doc_id", "text").withColumn("held_out", held_out())
-    return predict(rows, model).select("doc_id", "held_out", "p_.lang_pred", "p_.score", "p_.support")
+    return predict(rows, model).select("doc_id", "held_out", "p_.lang_pred", "p_.score")
