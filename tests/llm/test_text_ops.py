@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from proofsheet.llm import fingerprints, flac, langid, mixing, neardup, pii, suffix_tree
 
@@ -104,6 +105,27 @@ def test_mixing(spark, clashing, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_is_the_same_in_any_layout(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.union(docs.filter("doc_id % 9 = 0")).unionByName(docs.filter("doc_id < 20").withColumn("source", F.lit(None).cast("string")))
+    key = lambda df: Counter((r.doc_id, r.source, r.h, r.taken) for r in df.collect())
+    first = key(mixing.mix(docs))
+    assert all(key(mixing.mix(docs.repartition(n))) == first for n in (1, 3, 7))
+
+
+def test_targets_of_many_sources(spark):
+    """Sources over several sorted partitions, many of them at their cap."""
+    r = np.random.default_rng(4)
+    sizes = [(f"s{i:04}", int(x)) for i, x in enumerate(r.pareto(0.7, 500) * 100)]
+    got = mixing.source_targets(spark.createDataFrame(sizes, "source string, size long").repartition(5)).collect()
+    w = {s: (3, 1, 2)[i % 3] for i, (s, _) in enumerate(sizes)}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the level by bisection
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(w[s] * mid, 2 * n) for s, n in sizes) < 1.5 * sum(n for _, n in sizes) else (low, mid)
+    assert len(got) == 500 and all(x.target == pytest.approx(min(w[x.source] * low, 2 * x.source_size), rel=1e-6, abs=1e-6) for x in got)
+
+
 def test_mix_comes_near(spark):
     rows = [(i, prose(i, 20 + i % 300), f"s{i % 4}") for i in range(800)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
@@ -121,6 +143,44 @@ def test_language(spark, clashing, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_scores_equal_brute_force():
+    """Exact kernels of sets of n-grams, a Nystroem map and ridge regression, against the folded map over hashed places."""
+    r = np.random.default_rng(0)
+    texts = [" ".join("".join(r.choice(list(letters), 4)) for _ in range(30)) for letters in ("abcdef", "defghi", "uvwabc") for _ in range(20)]
+    langs = [x for x in ("aa", "bb", "cc") for _ in range(20)]
+    grams = [{f" {t} "[i : i + n] for n in range(1, 5) for i in range(len(t) + 3 - n)} for t in texts]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    land = [20 * j + i for i in range(4) for j in range(3)]
+    k_land = np.array([[kernel(grams[i], grams[j]) for j in land] for i in land])
+    values, vectors = np.linalg.eigh(k_land)
+    f = np.array([[kernel(g, grams[j]) for j in land] for g in grams]) @ (vectors / np.sqrt(values))
+    y = np.array([[1.0 if a == b else -1.0 for b in ("aa", "bb", "cc")] for a in langs])
+    weight = np.where(y > 0, 0.5 * 3, 0.5 * 1.5).mean(1)
+    want = f @ np.linalg.solve((f * weight[:, None]).T @ f + np.eye(12), (f * weight[:, None]).T @ y)
+    model = langid.Model([langid.packed(langid.presence(t)) for t in texts], langs, landmarks=12)
+    assert np.abs(model.scores(texts) - want).max() < 0.02
+
+
+def test_language_of_short_and_long_texts(spark, sf):
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").filter("lang is not null and length(text) > 200").collect()]
+    train, rest = rows[::2], rows[1::2]
+    model = langid.Model([langid.packed(langid.presence(r.text)) for r in train], [r.lang for r in train])
+    all_ = {x: " ".join(r.text for r in rest if r.lang == x) for x in model.langs}
+    for lang, text in all_.items():
+        words = text.split()
+        long, short = [(text * 20)[:400_000]], [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+        assert model.langs[model.scores(long)[0].argmax()] == lang
+        assert (model.scores(short).argmax(1) == model.langs.index(lang)).mean() > 0.9, lang
+
+
+def test_packed_places():
+    r = np.random.default_rng(0)
+    for n in (1, 8191, 8192, 100_000):
+        places = r.choice(1 << langid.PLACES_BITS, n, replace=False).astype(np.uint32)
+        raw = langid.packed(places)
+        assert (np.sort(places) == langid.unpacked(raw)).all() and len(raw) <= 1 << 15
+
+
 def test_language_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = langid.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
