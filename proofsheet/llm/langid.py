@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,9 +182,13 @@ def train(docs: DataFrame, guarded: bool = False) -> Model | None:
         return None
     wanted = min(PER_LANG, TRAIN_ROWS // len(found))
     top = 1 << 52
-    most = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(top, top * wanted // r["count"]))]), F.col("lang"))
-    sample = usable.withColumn("u", F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(top))).withColumn("most", most).filter("u < most")
-    sample = sample.withColumn("guards", F.col("u") * F.lit(wanted) < F.col("most").cast("double") * GUARD_ROWS)
+
+    def below(n: int) -> Column:
+        """Bound of the hash that leaves about n rows of the row's language."""
+        return F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(top, top * n // r["count"]))]), F.col("lang"))
+
+    sample = usable.withColumn("u", F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(top))).filter(F.col("u") < below(wanted))
+    sample = sample.withColumn("guards", F.col("u") < below(GUARD_ROWS))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
