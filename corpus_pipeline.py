@@ -39,10 +39,12 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    drawn = mixing.mix(docs).groupBy(order_key().alias("k_"), F.col("h").alias("h_"), F.col("source").alias("s_")).agg(F.sum("taken_copies").cast("int").alias("copies")).filter("copies > 0")
-    keyed = docs.select(COLUMNS).withColumn("k_", order_key()).withColumn("h_", F.xxhash64("text")).dropDuplicates(["k_", "h_", "source"])
-    taken = keyed.join(drawn, (keyed.k_ == drawn.k_) & (keyed.h_ == drawn.h_) & keyed.source.eqNullSafe(drawn.s_))
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_")).select(COLUMNS)
+    key = ["k_", "h_", "s_", "z_"]
+    named = {"s_": F.coalesce("source", F.lit("")), "z_": F.col("source").isNull()}
+    drawn = mixing.mix(docs).select(order_key().alias("k_"), F.col("h").alias("h_"), *[c.alias(n) for n, c in named.items()], "taken_copies")
+    drawn = drawn.groupBy(key).agg(F.sum("taken_copies").cast("int").alias("copies")).filter("copies > 0")
+    keyed = docs.select(COLUMNS).withColumns({"k_": order_key(), "h_": F.xxhash64("text"), **named}).dropDuplicates(key)
+    return keyed.join(drawn, key).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_")).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
