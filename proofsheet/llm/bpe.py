@@ -8,7 +8,7 @@ ids of a text are gathered by numpy. Texts with characters beyond U+024F, or wit
 from __future__ import annotations
 
 import re
-from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -43,20 +43,43 @@ class Encoder:
     """Encodes texts as Tokenizer.encode(text, add_special_tokens=False).ids does.
 
     Plain texts are cut at single spaces: a space before another character always begins a
-    pre-token, so what stands between two spaces can be encoded by itself.
+    pre-token, so what stands between two spaces can be encoded by itself. Beyond most_units
+    only units seen twice or more are kept.
     """
 
-    def __init__(self, path: str, most_units: int = 800_000):
+    def __init__(self, path: str, most_units: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most_units
         self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.stops = {p: array("I", self.piece(p)) for p in ".,"}
+        self.stops = {p: self.piece(p) for p in ".,"}
         self.clear()
 
     def clear(self) -> None:
-        self.units, self.flat, self.lengths, self.starts = Units(), array("I"), array("I"), array("Q")
+        self.units, self.known = Units(), 0
+        self.flat, self.starts, self.seen = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+
+    def shrink(self) -> None:
+        """Only units seen twice or more stay; none if these are too many, too."""
+        names = [u for u, n in self.units.items() if self.seen[n] > 1]
+        old = [(u, self.flat[self.starts[n] : self.starts[n + 1]]) for u in names if (n := self.units[u]) < self.known]
+        self.clear()
+        if 0 < len(old) <= self.most // 2:
+            self.units.update((u, i) for i, (u, _) in enumerate(old))
+            self.add([x for _, x in old])
+
+    def add(self, ids: list) -> None:
+        """Ids of the next units."""
+        n, at = np.fromiter(map(len, ids), np.int64, len(ids)), int(self.starts[self.known])
+        size = at + int(n.sum())
+        while len(self.flat) < size:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.starts) <= self.known + len(ids):
+            self.starts, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.seen))
+        self.flat[at:size] = np.fromiter(chain.from_iterable(ids), np.uint32, size - at)
+        self.starts[self.known + 1 : self.known + 1 + len(ids)] = at + np.cumsum(n)
+        self.known += len(ids)
 
     def piece(self, p: str) -> list[int]:
         """Ids of one pre-token."""
@@ -64,50 +87,61 @@ class Encoder:
         p = p.replace(" ", ALPHABET[32]) if plain else p.encode().decode("latin-1").translate(ALPHABET)
         return [x.id for x in self.model.tokenize(p)]
 
-    def unit(self, u: str) -> list[int] | array:
-        """Ids of a unit; a word with a comma or stop after it takes those of the word, if it is known."""
+    def unit(self, u: str) -> list[int]:
+        """Ids of a unit."""
         if u[0] == BARE:
             return [i for p in SPLIT.findall(u[1:]) for i in self.piece(p)]
-        if u.isalpha():
-            return self.piece(" " + u)
         if u[-1] in ".," and u[:-1].isalpha():
-            known = self.units.get(u[:-1], len(self.starts))
-            if known < len(self.starts):
-                at = self.starts[known]
-                word = self.flat[at : at + self.lengths[known]]
-            else:
-                word = array("I", self.piece(" " + u[:-1]))
-            word.extend(self.stops[u[-1]])
-            return word
+            return self.piece(" " + u[:-1]) + self.stops[u[-1]]
         return [i for p in SPLIT.findall(" " + u) for i in self.piece(p)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_flat(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts side by side, each with end_id after it if one is given, and each text's number of ids."""
         if len(self.units) > self.most:
-            self.clear()
-        get, out = self.units.__getitem__, []
-        for t in texts:
+            self.shrink()
+        get, numbers, whole, sizes = self.units.__getitem__, [], [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
             if BEYOND.search(t) or any(s in t for s in self.special):
-                out.append(None)
+                numbers.append(np.array([-1 - len(whole)]))
+                whole.append(self.whole.encode(t, add_special_tokens=False).ids)
             elif "  " in t or t[:1] == " " or t[-1:] == " " or not t:
-                out.append(np.fromiter(map(get, [BARE + p for p in SPLIT.findall(t)]), np.int64))
+                numbers.append(np.fromiter(map(get, [BARE + p for p in SPLIT.findall(t)]), np.int64))
             else:
-                first, *rest = t.split(" ")
-                out.append(np.fromiter(map(get, [BARE + first, *rest]), np.int64, len(rest) + 1))
+                parts = t.split(" ")
+                parts[0] = BARE + parts[0]
+                numbers.append(np.fromiter(map(get, parts), np.int64, len(parts)))
+            sizes[i] = len(numbers[-1])
+        model, space, fresh = self.model.tokenize, ALPHABET[32], []
         for u in self.units.fresh:
-            ids = self.unit(u)
-            self.starts.append(len(self.flat))
-            self.flat.extend(ids)
-            self.lengths.append(len(ids))
-        self.units.fresh.clear()
-        flat, lengths = np.array(self.flat, np.uint32), np.array(self.lengths, np.int64)
-        starts = np.array(self.starts, np.int64)
-        for i, w in enumerate(out):
-            if w is None:
-                out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            word, stop = (u[:-1], self.stops[u[-1]]) if u[-1:] in self.stops else (u, [])
+            if word.isalpha() and word.isascii():
+                fresh.append([x.id for x in model(space + word)] + stop)
             else:
-                n = lengths[w]
-                out[i] = flat[np.repeat(starts[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return out
+                fresh.append(self.unit(u))
+        self.units.fresh.clear()
+        if fresh:
+            self.add(fresh)
+        # whole texts and the end are units of this call only
+        known = self.known
+        self.add([*whole, [] if end_id is None else [end_id]])
+        w = np.concatenate([x for n in numbers for x in (n, END)] or [END])
+        w = np.where(w == END[0], self.known - 1, np.where(w < 0, known - 1 - w, w))
+        self.seen[:known] += np.bincount(w[w < known], minlength=known).astype(np.int32)
+        n = self.starts[w + 1] - self.starts[w]
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(self.starts[w] - (upto - n), n) + np.arange(upto[-1])] if len(texts) else np.zeros(0, np.uint32)
+        self.known = known
+        self.starts[known + 1 :] = 0
+        ends = upto[np.cumsum(sizes + 1) - 1] if len(texts) else np.zeros(0, np.int64)
+        return ids, np.diff(ends, prepend=0)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, n = self.encode_flat(texts)
+        return np.split(ids, np.cumsum(n)[:-1]) if len(texts) else []
+
+
+#: Stands for the end of a text among the numbers of units.
+END = np.array([np.iinfo(np.int64).min])
 
 
 _kept: dict[str, Encoder] = {}

@@ -9,7 +9,7 @@ branches locate edits.
 
 Defined results: null text counts as empty; the empty text has a root and no leaves; equal
 texts (repeated rows too) have equal fingerprints; an empty table gives no rows; a lone
-document is its own next one; rows with equal ids are ordered by text; a null id sorts
+document is its own next one; rows with equal ids are ordered by a hash of their text; a null id sorts
 before all others; further columns of the input are ignored.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, by_bucket, order_key, own, slices, texts_of, upper_ids
+from .common import Buckets, by_bucket, order_key, own, slices, texts_of, tie_key
 
 LEAF = re.compile(r"[^.\n]{1,32}\.?|[.\n]")
 BLANK = re.compile(r"(\n[ \t]*\n+)")
@@ -100,17 +100,16 @@ def edit_probe(docs: DataFrame) -> DataFrame:
     document of the bucket before it, so no window spans the table.
     """
     docs = own(docs, "doc_id", "text")
-    tops = upper_ids(docs)
-    if not tops:
+    buckets = Buckets(docs)
+    n = len(buckets)
+    if not n:
         return docs.sparkSession.createDataFrame([], EDITS)
-    n, key = len(tops), order_key()
-    b = bucket_of(key, tops)
-    places = docs.withColumn("k", key).withColumn("b", b)
-    edge = F.element_at(F.array(*map(F.lit, tops)) if n < 2 else F.lit(tops), F.col("b") + 1) == F.col("k")
-    here = F.struct(F.col("b").alias("b"), F.lit(1).alias("own"))
-    after = F.struct(((F.col("b") + 1) % n).alias("b"), F.lit(0).alias("own"))
-    placed = places.select("doc_id", "text", "k", F.explode(F.when(edge, F.array(here, after)).otherwise(F.array(here))).alias("p"))
-    placed = placed.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "k", "p.b", "p.own")
+    places = docs.withColumns({"k": order_key(), "h": tie_key()}).withColumn("place", buckets.column())
+    b = F.floor(F.col("place") / 2)
+    here = F.struct(b.alias("b"), F.lit(1).alias("own"))
+    after = F.struct(((b + 1) % n).alias("b"), F.lit(0).alias("own"))
+    placed = places.select("doc_id", "text", "k", "h", F.explode(F.when(F.col("place") % 2 == 1, F.array(here, after)).otherwise(F.array(here))).alias("p"))
+    placed = placed.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "k", "h", "p.b", "p.own")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = before = before_print = None
@@ -133,4 +132,4 @@ def edit_probe(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in EDITS.split(", ")])
 
-    return by_bucket(placed, "b", n, "own", "k", "text").mapInArrow(probe, EDITS)
+    return by_bucket(placed, "b", n, "own", "k", "h", "text").mapInArrow(probe, EDITS)

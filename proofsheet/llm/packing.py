@@ -34,15 +34,17 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame
     """Pieces of at most `most` ids of every document (PIECES)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_flat
         for batch in slices(batches, "text"):
-            rows = []
-            for doc, e in zip(batch["doc_id"].to_pylist(), encode(texts_of(batch)), strict=True):
-                ids = np.append(e, np.uint32(end_id)).astype("<u4")
-                first = (len(ids) - 1) % most + 1
-                for k, end in enumerate(range(first, len(ids) + 1, most)):
-                    start = max(0, end - most) if k else 0
-                    rows.append((doc, k, start, end - start, zlib.crc32(ids[start:end].data.cast("B"))))
+            rows, at = [], 0
+            flat, sizes = encode(texts_of(batch), end_id)
+            raw = np.ascontiguousarray(flat, "<u4").data.cast("B")
+            for doc, n in zip(batch["doc_id"].to_pylist(), sizes.tolist(), strict=True):
+                start = 0
+                for k, end in enumerate(range((n - 1) % most + 1, n + 1, most)):
+                    rows.append((doc, k, start, end - start, zlib.crc32(raw[4 * (at + start) : 4 * (at + end)])))
+                    start = end
+                at += n
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 

@@ -11,7 +11,7 @@ are redone and any store that Spark reads will do. `segment_bytes`/`read_segment
 take the plain bytes.
 
 Defined results: null text counts as empty and gives the end id alone; rows with equal ids
-are ordered by text; a null id comes first; an empty table gives no rows; further columns
+are ordered by a hash of their text; a null id comes first; an empty table gives no rows; further columns
 are ignored.
 """
 
@@ -24,11 +24,12 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import bucket_of, by_bucket, order_key, own, shared_dir, slices, texts_of, upper_ids
+from .common import buckets_for, order_key, own, shared_dir, slices, texts_of, tie_key
 
 HEAD, TAIL = struct.Struct("<4sBBIQII"), struct.Struct("<QI4s")
 CHUNK_IDS, SEGMENT_IDS = 1 << 16, 1 << 18
@@ -115,38 +116,41 @@ SEGMENTS = "bucket int, segment int, first_id long, n_ids long, n_docs int, blob
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mode: int = BITS) -> None:
     """Encode every text, append end_id, and write segments to path in ascending id order."""
-    docs = own(docs, "doc_id", "text")
-    tops = upper_ids(docs)
-    placed = docs.withColumn("k", order_key()).withColumn("b", bucket_of(F.col("k"), tops) if tops else F.lit(0))
+    docs = own(docs, "doc_id", "text").withColumns({"k": order_key(), "h": tie_key()})
+    ordered = docs.repartitionByRange(buckets_for(docs), "k", "h").sortWithinPartitions("k", "h", "text")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, part, first, docs_, ids = None, 0, 0, [], []
+        bucket, part, first = TaskContext.get().partitionId(), 0, 0
+        docs_, lengths, ids = [], [], []
 
-        def flush():
+        def row(n: int, flat: np.ndarray) -> pa.RecordBatch:
+            """A segment of the first n documents held."""
             nonlocal part, first
-            flat = np.concatenate(ids)
-            row = [[bucket], [part], [first], [len(flat)], [len(docs_)], [segment_bytes(docs_, [len(x) for x in ids], flat, mode)]]
+            cols = [[bucket], [part], [first], [len(flat)], [n], [segment_bytes(docs_[:n], lengths[:n], flat, mode)]]
             part, first = part + 1, first + len(flat)
-            docs_.clear()
-            ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=[c.split()[0] for c in SEGMENTS.split(", ")])
-
-        held, encode = 0, encoder(tokenizer).encode
-        for batch in slices(batches, "text", 2 << 20):
-            for doc, b, e in zip(batch["doc_id"].to_pylist(), batch["b"].to_pylist(), encode(texts_of(batch)), strict=True):
-                if docs_ and (b != bucket or held >= SEGMENT_IDS):
-                    yield flush()
-                    held = 0
-                if b != bucket:
-                    bucket, part, first = b, 0, 0
-                docs_.append(doc)
-                ids.append(np.append(e, np.uint32(end_id)))
-                held += len(e) + 1
+            del docs_[:n], lengths[:n]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=[c.split()[0] for c in SEGMENTS.split(", ")])
+
+        encode = encoder(tokenizer).encode_flat
+        for batch in slices(batches, "text", 4 << 20):
+            flat, n = encode(texts_of(batch), end_id)
+            docs_ += batch["doc_id"].to_pylist()
+            lengths += n.tolist()
+            ids.append(flat)
+            if sum(map(len, ids)) >= SEGMENT_IDS:
+                flat = np.concatenate(ids)
+                ends, at = np.cumsum(lengths), 0
+                while len(flat) - at >= SEGMENT_IDS:  # whole documents, as many as bring a segment to its size
+                    k = int(np.searchsorted(ends, at + SEGMENT_IDS)) + 1
+                    end = int(ends[k - 1])
+                    ends = ends[k:]
+                    yield row(k, flat[at:end])
+                    at = end
+                ids = [flat[at:]]
         if docs_:
-            yield flush()
+            yield row(len(docs_), np.concatenate(ids))
 
-    ordered = by_bucket(placed, "b", len(tops), "k", "text")
-    ordered.select("doc_id", "text", "b").mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long, segment_first long, n_chunks int"
@@ -155,7 +159,7 @@ INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long, segment_first l
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a written store, from the decoded ids (INDEX); segments are read in parallel."""
     store = spark.read.schema(SEGMENTS).parquet(path)
-    sizes = {r.bucket: r.n for r in store.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect()}  # MOST_BUCKETS rows at most
+    sizes = {r.bucket: r.n for r in store.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect()}  # a number a bucket
     order = sorted(sizes)
     base = dict(zip(order, accumulate([0, *(sizes[b] for b in order)]), strict=False))
 

@@ -24,6 +24,15 @@ def edge_rows():
     return rows
 
 
+def id_order(rows):
+    """Rows by id, null first, and by Spark's hash of their text."""
+    import numpy as np
+    import xxhash
+
+    tie = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    return sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], tie(r[1])))
+
+
 CLASH = ["k", "h", "b", "row", "size", "sig", "label", "p_", "group_", "kind", "norm", "a", "part", "slot", "held_out", "surrogates", "fingerprint"]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofsheet.llm import fingerprints, flac, langid, mixing, neardup, pii, suffix_tree
 
-from .conftest import edge_rows, prose
+from .conftest import edge_rows, id_order, prose
 
 
 def by_id(rows):
@@ -18,7 +18,7 @@ def by_id(rows):
 
 def test_fingerprints(spark, clashing, empty):
     got = fingerprints.edit_probe(clashing).collect()
-    rows = sorted(edge_rows(), key=lambda r: (-(2**63) if r[0] is None else r[0], (r[1] or "").encode()))
+    rows = id_order(edge_rows())
     texts = [r[1] or "" for r in rows]
     want = Counter()
     for i, r in enumerate(rows):
