@@ -4,24 +4,31 @@ E-mail addresses, phone, card and social security numbers, IBANs, IPv4 addresses
 (keys, tokens, passwords) and names of persons get replacements of the same type, format and
 script; given names keep their gender. A surrogate is a keyed permutation of its entity
 (Feistel rounds over the entity's own alphabet and length), so equal entities get equal
-surrogates everywhere and different ones of a format different ones. Valid card numbers stay
-valid and invalid ones invalid.
+surrogates everywhere and different ones of a format different ones. Valid card numbers and
+IBANs stay valid and invalid ones invalid; an address keeps the type of its domain.
+
+Persons are found by given names, forms of address and introductions ("my name is"), in any
+script; a name found in one of these ways is replaced wherever it stands alone in the text.
+Detection looks at the surroundings of digits, at signs and capitals only, once for each text:
+its spans are stored beside the rows.
 
 Collision checks run over the distinct entities of the table: an entity whose surrogate is
 another's too, or occurs itself as an entity, gets the next permutation, until none is left;
 from attempt LONGER_FROM on it gets a longer form of the same script, since its own length may
 be full. A fixed format (digits, addresses) without an unused form ends the job with an error.
-Such exceptions, if any, reach their documents by a join.
+Given names need no check: within their list they are shifted, so they stay distinct.
+Exceptions, if any, reach the rows that have entities by a join.
 
 Defined results: null text stays null with no entity; empty text stays empty; repeated rows
 get equal results; an empty table gives no rows; columns other than doc_id and text are
-ignored by the query and kept by `with_surrogates`.
+ignored by the query and kept by `with_surrogates`, but for one that has the result's name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,6 +58,8 @@ GIVEN = {
 }
 #: Forms of address before a surname.
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Herr", "Frau", "Mme", "Madame", "Monsieur", "Señor", "Señora", "Sra"]
+#: Labels that stand for a kind of domain before a country's.
+SECOND_LEVEL = {"co", "com", "org", "net", "ac", "edu", "gov", "gob", "gouv", "or", "ne", "go"}
 PLACE = {name: (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
 CLASS = {c: (k, i) for k, a in enumerate(ALPHABETS) for i, c in enumerate(a)}
 
@@ -68,42 +77,119 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)")),
     ("phone", re.compile(r"(?<![\w.])\+\d{8,14}(?!\d)")),
 ]
-NAME = r"[^\W\d_][\w'’-]+"
-PERSON = [
-    re.compile(rf"\b({'|'.join(sorted(PLACE, key=len, reverse=True))}) ({NAME})"),
-    re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({NAME})"),
-]
-HINTS = ("passw", "pwd", "token", "secret", "key", "akia", "gh", "sk-")
-DIGIT = re.compile(r"\d")
+REST = r"[\w-]*(?:['’](?![sS]\b)[\w-]+)*"
+NAME = r"[^\W\d_]" + REST
+#: Phrases after which a person is named.
+INTRODUCTIONS = ["my name is", "name:", "contact person:", "ich heiße", "mein name ist", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "με λένε"]
+INTRODUCED = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(INTRODUCTIONS)}))[ \t]+({NAME}(?: {NAME}){{0,2}})")
+PERSON = re.compile(rf"(?<![\w'’-])({NAME})(\.? )(?=({NAME}))")
+CAPITAL = re.compile(r"[A-ZÀ-ÞΆ-ΫЀ-Я]\w*")
+WORD, DIGITS, SPACE = re.compile(NAME), re.compile(r"\d+"), re.compile(r"\s")
+#: Words that announce a secret, and beginnings of keys.
+ANNOUNCED, KEYS = ("passw", "pwd", "token", "secret", "key"), ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+#: Characters around digits that any entity with digits lies within, and the least digits of one.
+AROUND, LEAST_DIGITS = 48, 4
 TYPES = ["email", "secret", "iban", "ip", "card", "ssn", "phone", "given", "surname"]
+CALLED = set(PLACE) | set(TITLES)
+
+
+def widened(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places in ascending order, each widened to the white space around it; those that then meet are one."""
+    out, seen = [], 0
+    for start, end in places:
+        if end > seen:
+            space = SPACE.search(text, end)
+            end = space.start() if space else len(text)
+        while start > seen and not text[start - 1].isspace():
+            start -= 1
+        if out and start <= seen:
+            start = out.pop()[0]
+        seen = max(end, seen)
+        out.append((start, seen))
+    return out
+
+
+def numeric_places(text: str) -> list[tuple[int, int]]:
+    """Surroundings of LEAST_DIGITS digits or more that lie within AROUND of each other."""
+    out, first, last, n = [], 0, -1, 0
+    for m in DIGITS.finditer(text):
+        if last >= 0 and m.start() - last > AROUND:
+            if n >= LEAST_DIGITS:
+                out.append((max(0, first - AROUND), min(len(text), last + AROUND)))
+            n = 0
+        if not n:
+            first = m.start()
+        last, n = m.end(), n + m.end() - m.start()
+    if n >= LEAST_DIGITS:
+        out.append((max(0, first - AROUND), min(len(text), last + AROUND)))
+    return out
+
+
+def sign_places(text: str, signs: tuple[str, ...], after: int = 0) -> list[tuple[int, int]]:
+    out = []
+    for sign in signs:
+        at = text.find(sign)
+        while at >= 0:
+            out.append((at, min(len(text), at + len(sign) + after)))
+            at = text.find(sign, at + 1)
+    return sorted(out)
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, normal form) of the entities, in order and without overlap."""
-    digit, found = DIGIT.search(text) is not None, []
-    low = text.lower()
-    hint = any(h in low for h in HINTS)
+    """(start, end, type, normal form) of the entities, in order and without overlap; an earlier type of PATTERNS goes first, persons last."""
+    starts, found = [], []
+    numeric, low = numeric_places(text), text.lower()
+    if len(low) != len(text):  # places in the lower-cased text would be others
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    places = {"email": widened(text, sign_places(text, ("@",)))}
+    places["secret"] = widened(text, sorted(numeric + sign_places(low, ANNOUNCED, AROUND) + sign_places(text, KEYS)))
+    numeric = widened(text, numeric)
 
     def add(start: int, end: int, kind: str, norm: str) -> None:
-        if all(end <= s or e <= start for s, e, _, _ in found):
-            found.append((start, end, kind, norm))
+        i = bisect_left(starts, start)
+        if (i == 0 or found[i - 1][1] <= start) and (i == len(starts) or end <= starts[i]):
+            starts.insert(i, start)
+            found.insert(i, (start, end, kind, norm))
 
     for kind, pattern in PATTERNS:
-        if (kind == "email" and "@" not in text) or (kind == "secret" and not (hint or digit)) or (kind not in ("email", "secret") and not digit):
-            continue
-        for m in pattern.finditer(text):
-            start, end = m.span(1 if kind == "secret" else 0)
-            s = text[start:end]
-            norm = s.lower() if kind == "email" else s if kind in ("secret", "ip") else re.sub(r"[ -]", "", s) if kind == "iban" else re.sub(r"[^\d+]", "", s)
-            add(start, end, kind, norm)
-    for m in PERSON[0].finditer(text):
-        if m[2][0].isupper():
-            add(*m.span(1), "given", m[1])
-            add(*m.span(2), "surname", m[2].lower())
-    for m in PERSON[1].finditer(text):
-        if m[1][0].isupper() and m[1] not in PLACE:
-            add(*m.span(1), "surname", m[1].lower())
-    return sorted(found)
+        for s, e in places.get(kind, numeric):
+            for m in pattern.finditer(text, s, e):
+                start, end = m.span(1 if kind == "secret" else 0)
+                x = text[start:end]
+                norm = x.lower() if kind == "email" else x if kind in ("secret", "ip") else re.sub(r"[ -]", "", x) if kind == "iban" else re.sub(r"[^\d+]", "", x)
+                add(start, end, kind, norm)
+    named = {}
+    for start, end, kind, norm in persons(text, low):
+        add(start, end, kind, norm)
+        named |= {form: (kind, norm) for form in (text[start:end], text[start:end].upper(), text[start:end].title())}
+    if named:  # the same names where they stand alone
+        for m in WORD.finditer(text):
+            if m[0] in named:
+                add(*m.span(), *named[m[0]])
+    return found
+
+
+def _a_name(word: str) -> bool:
+    """Begins with a capital, or with a letter of a script that has none."""
+    return not word[0].islower() and word[0].isalpha()
+
+
+def persons(text: str, low: str) -> list[tuple[int, int, str, str]]:
+    """Given names with the surname after them, surnames after a form of address, names after an introduction."""
+    out = []
+    if not CALLED.isdisjoint(CAPITAL.findall(text)):
+        for m in PERSON.finditer(text):
+            if m[1] in PLACE and m[2] == " " and _a_name(m[3]):
+                out += [(*m.span(1), "given", m[1]), (*m.span(3), "surname", m[3].lower())]
+            elif m[1] in TITLES and _a_name(m[3]) and m[3] not in PLACE:
+                out.append((*m.span(3), "surname", m[3].lower()))
+    if any(x in low for x in INTRODUCTIONS):
+        for m in INTRODUCED.finditer(text):
+            for w in WORD.finditer(text, *m.span(1)):
+                if not _a_name(w[0]):
+                    break
+                out.append((*w.span(), "given", w[0]) if w[0] in PLACE else (*w.span(), "surname", w[0].lower()))
+    return out
 
 
 def permuted(values: list[int], radix: int, key: bytes, tweak: str) -> list[int]:
@@ -140,8 +226,9 @@ def permuted(values: list[int], radix: int, key: bytes, tweak: str) -> list[int]
 @lru_cache(1000)
 def other_letters(block: int) -> str:
     """The letters outside ALPHABETS of 128 code points, as far as case can be kept: an alphabet of their own."""
-    chars = map(chr, range(block * 128, block * 128 + 128))
-    return "".join(c for c in chars if c.isalpha() and c not in CLASS and c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c)
+    chars = [c for c in map(chr, range(block * 128, block * 128 + 128)) if c.isalpha()]
+    cased = any(c.islower() and c.upper() != c for c in chars)  # then signs without case are no letters of names
+    return "".join(c for c in chars if c not in CLASS and c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c and (c.upper() != c or not cased))
 
 
 def class_of(c: str) -> tuple[str, str, int] | None:
@@ -179,6 +266,22 @@ def luhn(s: str) -> bool:
     return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
 
 
+def iban_rest(s: str) -> int:
+    """Remainder by 97 of an IBAN as a number: 1 if it is valid."""
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def _iban(s: str, key: bytes, tweak: str) -> str:
+    """Same country, all else permuted; valid for valid ones, by new check digits, and invalid for others."""
+    if iban_rest(s) == 1:
+        body = preserved(s[4:], key, f"{tweak}|{s[:2]}|valid")
+        return f"{s[:2]}{98 - iban_rest(s[:2] + '00' + body):02}{body}"
+    out = s
+    while out == s or iban_rest(out) == 1:  # walks the permutation's cycle back into the invalid numbers
+        out = out[:2] + preserved(out[2:], key, f"{tweak}|{s[:2]}")
+    return out
+
+
 def lengthened(s: str, attempt: int) -> str:
     """s, from attempt LONGER_FROM on with its last letter, digit or mark repeated."""
     if attempt < LONGER_FROM:
@@ -194,9 +297,9 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = norm.rpartition("@")
         labels = domain.split(".")
-        keep = 2 if domain.endswith((".example.com", ".example.org", ".example.net")) else 1
-        end = ".".join(labels[-keep:]) if keep == 2 else "example"
-        return f"{preserved(lengthened(local, attempt), key, f'{t}|{domain}')}@{'.'.join(preserved(x, key, f'{t}|{domain}') for x in labels[:-keep])}.{end}"
+        # what tells the domain's type stays: its last label, and the one before where that is no name
+        keep = 2 if len(labels) > 2 and (labels[-2] in SECOND_LEVEL or labels[-2] == "example") else 1
+        return f"{preserved(lengthened(local, attempt), key, f'{t}|{domain}')}@{'.'.join([*(preserved(x, key, f'{t}|{domain}') for x in labels[:-keep]), *labels[-keep:]])}"
     if kind == "ip":
         v = permuted([int(x) for x in norm.split(".")], 256, key, t)
         return ".".join(map(str, v))
@@ -215,7 +318,7 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ssn":
         return _digits(norm, key, t)
     if kind == "iban":
-        return norm[:2] + preserved(norm[2:], key, f"{t}|{norm[:2]}")
+        return _iban(norm, key, t)
     if kind == "given":
         group, i = PLACE[norm]
         names = GIVEN[group]
@@ -248,31 +351,34 @@ def written(mention: str, kind: str, new: str) -> str:
     return new
 
 
-def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, list[str]]:
-    """The text with surrogates and the types of its entities."""
-    out, at, kinds = [], 0, []
-    for start, end, kind, norm in detect(text):
-        new = surrogate(kind, norm, key, (attempts or {}).get((kind, norm), 0))
-        out += [text[at:start], written(text[start:end], kind, new)]
+def applied(text: str, spans: list[tuple[int, int, str, str]], key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, list[str]]:
+    """The text with surrogates at the spans, and their types."""
+    out, at = [], 0
+    for start, end, kind, norm in spans:
+        out += [text[at:start], written(text[start:end], kind, surrogate(kind, norm, key, (attempts or {}).get((kind, norm), 0)))]
         at = end
-        kinds.append(kind)
-    return "".join(out) + text[at:], kinds
+    return "".join(out) + text[at:], [x[2] for x in spans]
 
 
-MENTIONS = "h long, kind string, norm string"
+def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, list[str]]:
+    return applied(text, detect(text), key, attempts)
 
 
-def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct (text hash, type, normal form) of all texts (MENTIONS)."""
+SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("norm", T.StringType())]))
+ENTITIES = "kind string, norm string"
+
+
+def with_spans(docs: DataFrame, spans_col: str, text_col: str = "text") -> DataFrame:
+    """docs and a column of the entities of each text (SPANS)."""
+    names = docs.columns
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows = {(h, kind, norm) for h, t in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True) if t for _, _, kind, norm in detect(t)}
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sorted(rows), strict=True)], names=["h", "kind", "norm"])
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("norm", pa.string())]))
+        for batch in slices(batches, text_col, 1 << 20):
+            rows = [[dict(zip(("s", "e", "kind", "norm"), x, strict=True)) for x in detect(t)] if t else [] for t in batch.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*names, spans_col])
 
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    return stored(texts.mapInArrow(find, MENTIONS), "mentions")
+    return docs.mapInArrow(find, T.StructType([*docs.schema.fields, T.StructField(spans_col, SPANS)]))
 
 
 def collisions(found: DataFrame, key: bytes, most_rounds: int = 100) -> DataFrame | None:
@@ -308,25 +414,36 @@ def collisions(found: DataFrame, key: bytes, most_rounds: int = 100) -> DataFram
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))])
 
 
+def unused(names: list[str], name: str) -> str:
+    while name in names:
+        name += "_"
+    return name
+
+
 def with_surrogates(docs: DataFrame, key: bytes = b"proofsheet surrogates", text_col: str = "text", out_col: str = "surrogates") -> DataFrame:
     """docs and a struct column `out_col` (RESULT): the text with surrogates, the types of its entities in order."""
-    found = mentions(docs, text_col)
-    moved = collisions(found, key)
-    how, names = "how_of_texts_", docs.columns
+    names = [n for n in docs.columns if n != out_col]
+    docs = docs.select(*[F.col(f"`{n}`") for n in names])
+    spans, how, row, same = (unused(names, n) for n in ("spans_of_texts", "how_of_texts", "row_of_texts", "same_row_of_texts"))
+    docs = stored(with_spans(docs, spans, text_col), "spans")
+    moved = collisions(docs.select(F.explode(spans).alias("x")).select("x.kind", "x.norm"), key)
     if moved is not None:
-        # only texts that hold an exception; a text's exceptions are no more than its own entities
-        per_text = found.join(moved, ["kind", "norm"]).groupBy(F.col("h").alias("h_of_texts_")).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias(how))
-        docs = docs.join(per_text, F.xxhash64(text_col) == F.col("h_of_texts_"), "left").select(*[F.col(f"`{n}`") for n in names], how)
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name != how], T.StructField(out_col, RESULT)])
+        # only rows that hold an exception; a text's exceptions are no more than its own entities
+        docs = docs.withColumn(row, F.monotonically_increasing_id())
+        found = docs.filter(F.size(spans) > 0).select(F.col(row).alias(same), F.explode(spans).alias("x")).select(same, "x.kind", "x.norm").distinct()
+        per_row = found.join(moved, ["kind", "norm"]).groupBy(same).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias(how))
+        some = docs.filter(F.size(spans) > 0).join(per_row, F.col(row) == F.col(same), "left").select(*[F.col(f"`{n}`") for n in names], spans, how)
+        docs = some.unionByName(docs.filter(F.size(spans) == 0).drop(row).withColumn(how, F.lit(None).cast(some.schema[how].dataType)))
+    schema = T.StructType([*[docs.schema[n] for n in names], T.StructField(out_col, RESULT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 1 << 20):
-            texts = batch.column(text_col).to_pylist()
+            texts, found = batch.column(text_col).to_pylist(), batch.column(spans).to_pylist()
             ways = batch.column(how).to_pylist() if how in batch.schema.names else [None] * len(texts)
             rows = []
-            for t, x in zip(texts, ways, strict=True):
+            for t, at, x in zip(texts, found, ways, strict=True):
                 attempts = {(r["kind"], r["norm"]): r["attempt"] for r in x} if x else None
-                rows.append((None, []) if t is None else replaced(t, key, attempts))
+                rows.append((None, []) if t is None else applied(t, [tuple(y.values()) for y in at], key, attempts) if at else (t, []))
             new = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=RESULT.names)
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], new], names=[*names, out_col])
 

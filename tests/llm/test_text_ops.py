@@ -236,7 +236,9 @@ def test_near_duplicates_recall(spark):
 
 
 def test_surrogates(spark, clashing, empty):
-    out = pii.with_surrogates(clashing.select("doc_id", "text", "kind", "norm")).collect()
+    done = pii.with_surrogates(clashing)
+    assert sorted(done.columns) == sorted(clashing.columns)
+    out = done.collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in edge_rows())
     assert all(r.surrogates.text == r.text for r in out if "@" not in (r.text or ""))
     assert pii.with_surrogates(empty).count() == 0
@@ -260,6 +262,92 @@ def test_surrogates_are_consistent(spark):
     assert len(out[2]) >= len(texts[2]) - 12
 
 
+def entity_text(r):
+    """A text with entities of all types, close together and far apart, and things like them that are none."""
+    d = lambda n: "".join(str(x) for x in r.integers(0, 10, n))
+    w = lambda n: "".join(r.choice(list("abcdefghiklmnoprst"), n))
+    makers = [
+        lambda: f"{w(4)}.{w(3)}@{w(5)}.{r.choice(['de', 'co.uk', 'com'])}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"+49{d(10)}", lambda: d(16), lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        lambda: ".".join(str(x) for x in r.integers(0, 300, 4)), lambda: f"DE{d(20)}", lambda: f"GB{d(2)} {w(4).upper()} {d(4)} {d(4)} {d(4)} {d(2)}", lambda: f'token = "{w(20)}"', lambda: f"password : {w(9)}", lambda: "AKIA" + w(16).upper(), lambda: "sk-" + w(24),
+        lambda: f"{d(2)}{w(3)}{d(3)}", lambda: "0123456789abcdef" * 2 + d(3), lambda: f"Mary {w(6).title()}", lambda: f"Mr. {w(5).title()}", lambda: f"my name is {w(5).title()} {w(5).title()},", lambda: w(200), lambda: d(3), lambda: w(7).title(), lambda: "Ä" + d(5), lambda: "İ" + w(3),
+    ]
+    return " ".join(str(makers[i]()) if x else w(5) for i, x in zip(r.integers(0, len(makers), 120), r.random(120) < 0.4, strict=True))
+
+
+def test_detection_equals_whole_text_search():
+    """Windows around digits and signs, against every pattern over the whole text."""
+    r, kinds = np.random.default_rng(0), Counter()
+    for _ in range(150):
+        text, found = entity_text(r), []
+        for kind, pattern in pii.PATTERNS:
+            for m in pattern.finditer(text):
+                s, e = m.span(1 if kind == "secret" else 0)
+                if all(e <= a or b <= s for a, b, _ in found):
+                    found.append((s, e, kind))
+        got = [(s, e, k) for s, e, k, _ in pii.detect(text)]
+        assert [x for x in got if x[2] not in ("given", "surname")] == sorted(found)
+        kinds.update(k for _, _, k in got)
+    assert set(kinds) == set(pii.TYPES)
+
+
+def test_surrogates_of_a_table_equal_brute_force(spark):
+    """Distinct, coreferent, none of them an original, and the texts as if replaced one by one."""
+    r = np.random.default_rng(1)
+    texts = [entity_text(r) for _ in range(60)] + ["ssn 078-05-1120 x", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.surrogates for x in pii.with_surrogates(df, b"k").collect()}
+    new = {}
+    for i, t in enumerate(texts):
+        out = got[i].text if t is not None else None
+        spans = pii.detect(t) if t else []
+        assert (out is None) == (t is None) and got[i].kinds == [x[2] for x in spans]
+        at = 0
+        for n, (s, e, kind, norm) in enumerate(spans):  # what stands between entities is as before
+            gap = t[spans[n - 1][1] if n else 0 : s]
+            assert out[at : at + len(gap)] == gap
+            at += len(gap)
+            ways = {pii.written(t[s:e], kind, pii.surrogate(kind, norm, b"k", a)): a for a in range(20, -1, -1)}
+            way = next(a for w, a in sorted(ways.items(), key=lambda x: x[1]) if out.startswith(w, at))
+            at += len(next(w for w, a in ways.items() if a == way))
+            assert new.setdefault((kind, norm), way) == way
+    surrogates = Counter((k, pii.surrogate(k, n, b"k", a)) for (k, n), a in new.items() if k != "given")
+    assert max(surrogates.values()) == 1 and not set(surrogates) & set(new)
+
+
+def test_very_long_text_of_entities_is_linear():
+    import time
+
+    r = np.random.default_rng(2)
+    line = [f"a{i}.{x}@mail.de +49{x:010}" for i, x in enumerate(r.integers(0, 10**9, 20_000).tolist())]
+    took = []
+    for text in ("\n".join(line[:2000]), "\n".join(line), "x1y2z3" * 200_000):
+        began = time.perf_counter()
+        found = pii.detect(text)
+        took.append(time.perf_counter() - began)
+    assert len(found) == 0 and took[1] < 30 * took[0] + 1 and took[2] < 5
+
+
+@pytest.mark.parametrize("text", ["Ms. Öü met", "Señora Íñ", "Mr. 王伟 came", "Dr. محمد came", "my name is Zbigniew Nowak", "меня зовут Борис Годунов"])
+def test_names_of_any_script_are_replaced(text):
+    new, kinds = pii.replaced(text, b"k")
+    names = [text[s:e] for s, e, _, _ in pii.detect(text)]
+    assert kinds and not any(n in new for n in names)
+
+
+def test_names_corefer_within_a_text():
+    text = "Mary Smith's dog. Smith came, then SMITH and Mary."
+    new, kinds = pii.replaced(text, b"k")
+    assert kinds == ["given", "surname", "surname", "surname", "given"] and "Smith" not in new and "Mary" not in new
+    found = pii.detect(text)
+    assert found[1][3] == found[2][3] == found[3][3] == "smith"
+
+
+@pytest.mark.parametrize("norm", ["GB82WEST12345698765432", "DE89370400440532013000", "MT84MALT011000012345MTLCAST001S", "GB83WEST12345698765432"])
+def test_ibans_stay_as_valid_as_they_were(norm):
+    new = [pii.surrogate("iban", norm, b"k", a) for a in range(5)]
+    assert all((pii.iban_rest(x) == 1) == (pii.iban_rest(norm) == 1) and x[:2] == norm[:2] and len(x) == len(norm) and x != norm for x in new)
+
+
 @pytest.mark.parametrize("radix,n", [(10, 1), (10, 2), (5, 3), (10, 3)])
 def test_permutations(radix, n):
     import itertools
@@ -270,10 +358,10 @@ def test_permutations(radix, n):
 
 def test_collisions_are_resolved(spark, monkeypatch):
     real = pii.surrogate.__wrapped__
-    found = spark.createDataFrame([(1, "ssn", "111-11-1111"), (2, "ssn", "222-22-2222")], pii.MENTIONS)
+    found = spark.createDataFrame([(1, "ssn", "111-11-1111"), (2, "ssn", "222-22-2222")], "h long, kind string, norm string")
     # the second entity's own first surrogate occurs as an entity, too
     taken = real("ssn", "111111111", b"k")
-    found = spark.createDataFrame([(1, "ssn", "111111111"), (2, "ssn", taken)], pii.MENTIONS)
+    found = spark.createDataFrame([(1, "ssn", "111111111"), (2, "ssn", taken)], "h long, kind string, norm string")
     moved = pii.collisions(found, b"k").collect()
     assert ("ssn", "111111111", 1) in [(r.kind, r.norm, r.attempt) for r in moved]
 

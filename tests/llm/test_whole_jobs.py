@@ -103,7 +103,7 @@ def test_texts_in_no_learned_language_go(spark):
 def test_surrogates_of_a_full_domain(spark):
     """Every two-letter surname of a pattern occurs, so that none is free."""
     names = [c + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"]
-    found = spark.createDataFrame([(i, "surname", n) for i, n in enumerate(names)], pii.MENTIONS)
+    found = spark.createDataFrame([(i, "surname", n) for i, n in enumerate(names)], "h long, kind string, norm string")
     moved = {r.norm: r.attempt for r in pii.collisions(found, b"k").collect()}
     new = [pii.surrogate("surname", n, b"k", moved.get(n, 0)) for n in names]
     assert len(set(new)) == len(names) and not set(new) & set(names)
@@ -113,14 +113,14 @@ def test_surrogates_of_a_full_domain(spark):
 
 def test_unsettled_surrogates_are_an_error(spark):
     taken = pii.surrogate("ssn", "111111111", b"k")
-    found = spark.createDataFrame([(1, "ssn", "111111111"), (2, "ssn", taken)], pii.MENTIONS)
+    found = spark.createDataFrame([(1, "ssn", "111111111"), (2, "ssn", taken)], "h long, kind string, norm string")
     with pytest.raises(RuntimeError):
         pii.collisions(found, b"k", most_rounds=0)
 
 
 @pytest.mark.parametrize("kind,norm", [("surname", "éèü"), ("surname", "łß"), ("secret", "______"), ("secret", "//////"), ("email", "__@mail.example.com")])
 def test_nothing_stays_in_clear(spark, kind, norm):
-    found = spark.createDataFrame([(1, kind, norm)], pii.MENTIONS)
+    found = spark.createDataFrame([(1, kind, norm)], "h long, kind string, norm string")
     moved = pii.collisions(found, b"k")
     attempt = moved.first().attempt if moved is not None else 0
     assert pii.surrogate(kind, norm, b"k", attempt).split("@")[0] != norm.split("@")[0]
