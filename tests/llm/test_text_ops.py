@@ -406,16 +406,20 @@ def test_flac_orders(order):
         flac.decode([bytes(damaged)])
 
 
-def bits_to_frame(fields, frame=0, block_code=2):
-    head = bytes([0xFF, 0xF8, block_code << 4 | 4, 2]) + flac._utf8_number(frame)
+def bits_to_frame(fields, frame=0, block_code=2, layout=0, size_code=1, variable=False):
+    head = bytes([0xFF, 0xF9 if variable else 0xF8, block_code << 4 | 4, layout << 4 | size_code << 1]) + flac._utf8_number(frame)
     head += bytes([flac.crc8(head)])
     text = "".join(f"{v & (1 << n) - 1:0{n}b}" if isinstance(n, int) else v for v, n in fields)
     text += "0" * (-len(text) % 8)
     body = head + int(text, 2).to_bytes(len(text) // 8, "big")
-    c = 0
-    for b in body:
-        c = int(flac.CRC16[(c >> 8) ^ b]) ^ ((c << 8) & 0xFFFF)
-    return body + c.to_bytes(2, "big")
+    return body + flac._crc16(body).to_bytes(2, "big")
+
+
+def stream_of(frames, samples, bits=8, channels=1, md5=None):
+    import struct
+
+    info = struct.pack(">HH", 576, 576) + bytes(6) + ((8000 << 44) | (channels - 1) << 41 | ((bits - 1) << 36) | len(samples)).to_bytes(8, "big") + (md5 or bytes(16))
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + b"".join(frames)
 
 
 def rice(values, k):
@@ -428,8 +432,6 @@ def rice(values, k):
 
 def test_flac_fixed_partitions_escape_constant():
     """Hand-made frames: a fixed predictor with four partitions, one of them escaped; a constant; a verbatim one."""
-    import struct
-
     r = np.random.default_rng(1)
     x = np.clip(np.cumsum(r.integers(-2, 3, 576)), -100, 100)
     d = np.diff(x, 2)
@@ -440,12 +442,78 @@ def test_flac_fixed_partitions_escape_constant():
     v = r.integers(-128, 128, 576)
     three = bits_to_frame([(2, 8), *[(int(a), 8) for a in v]], 2)
     samples = np.concatenate([x, np.full(576, -7), v]).astype(np.int8)
-    info = struct.pack(">HH", 576, 576) + bytes(6) + ((8000 << 44) | (7 << 36) | len(samples)).to_bytes(8, "big") + hashlib.md5(samples.tobytes()).digest()
-    stream = b"fLaC\x80" + len(info).to_bytes(3, "big") + info + one + two + three
-    (_, got), = flac.decode([stream])
+    (_, got), = flac.decode([stream_of([one, two, three], samples, md5=hashlib.md5(samples.tobytes()).digest())])
     assert (got == samples).all()
 
 
+def test_flac_bytes_that_look_like_the_next_header():
+    """A body that holds a whole valid header with the next frame's number."""
+    r = np.random.default_rng(3)
+    v, w = r.integers(-128, 128, 576), r.integers(-128, 128, 576)
+    fake = bytes([0xFF, 0xF8, 2 << 4 | 4, 2, 1])
+    v[100:106] = np.frombuffer(fake + bytes([flac.crc8(fake)]), np.int8)
+    frames = [bits_to_frame([(2, 8), *[(int(a), 8) for a in x]], i) for i, x in enumerate((v, w))]
+    (_, got), = flac.decode([stream_of(frames, np.zeros(1152))])
+    assert (got == np.concatenate([v, w])).all()
+    damaged = bytearray(stream_of(frames, np.zeros(1152)))
+    damaged[-100] ^= 1
+    with pytest.raises(ValueError):
+        flac.decode([bytes(damaged)])
+
+
+def fixed_subframe(x, depth, waste=0):
+    """Fields of a subframe by the first fixed predictor, one Rice partition with 5-bit parameters."""
+    x = [int(a) >> waste for a in x]
+    d = np.diff(x).tolist()
+    k = max(1, int(np.abs(d).max()).bit_length() - 1)
+    head = [(9 << 1 | (waste > 0), 8), *([("0" * (waste - 1) + "1", "bits")] if waste else [])]
+    return [*head, (x[0], depth - waste), (1, 2), (0, 4), (k, 5), (rice(d, k), "bits")]
+
+
+@pytest.mark.parametrize("bits,size_code", [(8, 1), (16, 4), (24, 6), (32, 7)])
+@pytest.mark.parametrize("layout", [1, 8, 9, 10])
+def test_flac_stereo_and_wide_samples(bits, size_code, layout):
+    r = np.random.default_rng(bits + layout)
+    left = np.cumsum(r.integers(-9, 10, 576)) * (1 << max(0, bits - 16)) * 4
+    right = left + r.integers(-5, 6, 576) * 4
+    if bits == 8:
+        left, right = np.clip(left, -124, 124) // 4 * 4, np.clip(right, -124, 124) // 4 * 4
+    side, mid = left - right, (left + right) >> 1
+    one, two = {1: (left, right), 8: (left, side), 9: (side, right), 10: (mid, side)}[layout]
+    deep = [bits + (layout == 9), bits + (layout in (8, 10))]
+    frame = bits_to_frame(fixed_subframe(one, deep[0], 1 if layout == 10 else 2) + fixed_subframe(two, deep[1], 2), 0, 2, layout, size_code)
+    both = np.stack([left, right], 1)
+    raw = b"".join(int(a).to_bytes((bits + 7) // 8, "little", signed=True) for a in both.ravel())
+    (info, got), = flac.decode([stream_of([frame], both, bits, 2, hashlib.md5(raw).digest())])
+    assert (got == both).all() and info["channels"] == 2 and flac.pcm_of(info, got) == raw
+
+
+def test_flac_variable_blocks_and_mixed_batches():
+    r = np.random.default_rng(5)
+    x, y = r.integers(-128, 128, 576), r.integers(-128, 128, 192)
+    frames = [bits_to_frame([(2, 8), *[(int(a), 8) for a in x]], 0, 2, variable=True), bits_to_frame([(2, 8), *[(int(a), 8) for a in y]], 576, 1, variable=True)]
+    mono = stream_of(frames, np.zeros(768))
+    stereo = stream_of([bits_to_frame(fixed_subframe(x, 8) + fixed_subframe(x[::-1], 8), 0, 2, 1)], x, 8, 2)
+    (_, a), (_, b) = flac.decode([mono, stereo])
+    assert (a == np.concatenate([x, y])).all() and (b == np.stack([x, x[::-1]], 1)).all()
+
+
+def test_flac_long_stream_in_chunks(monkeypatch):
+    monkeypatch.setattr(flac, "CHUNK_BYTES", 5000)
+    r = np.random.default_rng(6)
+    payloads = [r.integers(0, 256, 576 * n).astype(np.uint8).tobytes() for n in (1, 40, 3)]
+    assert [(x + 128).astype(np.uint8).tobytes() for _, x in flac.decode(flac.encode(payloads))] == payloads
+
+
+def test_pcm_blocks_report_damaged_streams(spark):
+    good = flac.encode([bytes(576)])[0]
+    bad = bytearray(good)
+    bad[-3] ^= 1
+    media = spark.createDataFrame([(1, good), (2, bytes(bad)), (3, b"nothing"), (4, None), (5, good[:30])], "doc_id long, media binary").coalesce(1)
+    got = {r.doc_id: (r.pcm, r.error) for r in flac.pcm_blocks(media).collect()}
+    assert got[1] == (bytes([128]) * 576, None) and all(got[i][0] is None and got[i][1] for i in (2, 3, 4, 5))
+
+
 def test_token_hashes():
     """Equal words have equal hashes wherever they stand, and different ones different hashes."""
     texts = [r[1] or "" for r in edge_rows()] + ["", " ", "A a\tB", "é É", "x" * 5000]
