@@ -23,6 +23,10 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 
+#: Characters up to U+024F and the mark in the byte-level alphabet; plain characters aren't in it.
+WRITTEN = {i: x for i in [*range(0x250), 0x2FF] if (x := "".join(ALPHABET[b] for b in chr(i).encode())) != chr(i)}
+
+
 class Units(dict):
     """unit -> number, in order of first sight."""
 
@@ -47,7 +51,7 @@ class Encoder:
     only units seen twice or more are kept.
     """
 
-    def __init__(self, path: str, most_units: int = 400_000):
+    def __init__(self, path: str, most_units: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), most_units
@@ -83,9 +87,7 @@ class Encoder:
 
     def piece(self, p: str) -> list[int]:
         """Ids of one pre-token."""
-        plain = p.isascii() and p[1:].isalnum()  # the alphabet changes its space at most
-        p = p.replace(" ", ALPHABET[32]) if plain else p.encode().decode("latin-1").translate(ALPHABET)
-        return [x.id for x in self.model.tokenize(p)]
+        return [x.id for x in self.model.tokenize(p.translate(WRITTEN))]
 
     def unit(self, u: str) -> list[int]:
         """Ids of a unit."""
@@ -114,8 +116,8 @@ class Encoder:
         model, space, fresh = self.model.tokenize, ALPHABET[32], []
         for u in self.units.fresh:
             word, stop = (u[:-1], self.stops[u[-1]]) if u[-1:] in self.stops else (u, [])
-            if word.isalpha() and word.isascii():
-                fresh.append([x.id for x in model(space + word)] + stop)
+            if word.isalpha():
+                fresh.append([x.id for x in model(space + (word if word.isascii() else word.translate(WRITTEN)))] + stop)
             else:
                 fresh.append(self.unit(u))
         self.units.fresh.clear()

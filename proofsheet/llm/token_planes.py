@@ -38,22 +38,21 @@ BITS, BYTES = 1, 0
 
 def planes_of(ids: np.ndarray, mode: int, n: int) -> list[bytes]:
     """The n bit (or byte) planes of uint32 ids, lowest first."""
-    wide = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    wide = np.ascontiguousarray(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T)
     if mode == BYTES:
-        return [wide[:, b].tobytes() for b in range(n)]
-    bits = np.unpackbits(np.ascontiguousarray(wide[:, : (n + 7) // 8].T), axis=0, bitorder="little")
-    return [p.tobytes() for p in np.packbits(bits[:n], axis=1)]
+        return [wide[b].tobytes() for b in range(n)]
+    return [np.packbits(wide[b >> 3] & np.uint8(1 << (b & 7))).tobytes() for b in range(n)]
 
 
 def ids_of(planes: list[bytes], mode: int, n_ids: int) -> np.ndarray:
     """Inverse of planes_of."""
     wide = np.zeros((4, n_ids), np.uint8)
-    if mode == BYTES:
-        for b, p in enumerate(planes):
-            wide[b] = np.frombuffer(p, np.uint8)
-    else:
-        packed = np.frombuffer(b"".join(planes), np.uint8).reshape(len(planes), -1)
-        wide[: (len(planes) + 7) // 8] = np.packbits(np.unpackbits(packed, axis=1, count=n_ids), axis=0, bitorder="little")
+    for b, p in enumerate(planes):
+        raw = np.frombuffer(p, np.uint8)
+        if mode == BYTES:
+            wide[b] = raw
+        else:
+            wide[b >> 3] |= np.unpackbits(raw, count=n_ids) << np.uint8(b & 7)
     return np.ascontiguousarray(wide.T).view("<u4").ravel()
 
 
