@@ -3,40 +3,22 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofsheet.tables import shared_dir, stored  # noqa: F401  for the operators
+
 #: Key that stands for a null doc_id: it sorts before every other id.
 NULL_KEY = -(2**63)
 #: Bytes of text in one ordered bucket: as many as these on large input, fewer where that keeps all cores busy.
 BUCKET_BYTES, LEAST_BYTES, ROUNDS = 128 << 20, 2 << 20, 6
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is unset (as in local tests) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="proofsheet-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def own(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns, whatever their names, can't clash."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
