@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofsheet.functions import text as X
+from proofsheet.functions.boxes import overlap_score
 from proofsheet.functions.verdict import finite6
 
+from .versions import LEAST_OVERLAP
+
 
 def share(part: Column, whole: Column) -> Column:
     """part / whole, 0 if whole is 0."""
@@ -94,3 +98,90 @@ def stratified_plan(weights: DataFrame, count: int) -> DataFrame:
     total = F.sum("weight").over(Window.partitionBy())
     per = weights.withColumn("m", F.greatest(F.lit(1), F.bround(F.col("weight") * count / total, 0).cast("int")))
     return per.select("class", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("n"))
+
+
+# --- pairs
+
+#: The verdicts that each class of pairs accepts.
+ACCEPTED = {
+    "identical": ["IDENTICAL"], "recompressed": ["MATCH"], "resized": ["MATCH"], "shifted": ["MATCH"],
+    "recoloured": ["MATCH_WITH_COSMETIC_DIFFERENCES", "NEEDS_REVIEW"], "text_edit": ["DIFFERENT", "NEEDS_REVIEW"], "number_edit": ["DIFFERENT", "NEEDS_REVIEW"],
+    "element_removed": ["DIFFERENT", "NEEDS_REVIEW"], "different_product": ["CANNOT_COMPARE"],
+}
+UNCHANGED = ["identical", "recompressed", "resized", "shifted", "recoloured"]
+
+
+def scored_pairs(cases: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
+    """cases with score (correct, refused, false_alarm, wrong or failed), localised and read.
+
+    cases: class, verdict, errored, boxes (found), edit_box (null if nothing was edited), old_value, new_value,
+    readings (ref_text, mkt_text of each region). An edit is localised if a box overlaps it, and read if one region
+    has all tokens of the old value on the reference's side and of the new one on the listing's.
+    """
+    accepted = F.create_map(*[x for k, v in ACCEPTED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    ok = F.coalesce(F.array_contains(F.try_element_at(accepted, F.col("class")), F.col("verdict")), F.lit(False))
+    alarm = F.col("class").isin(UNCHANGED) & (F.col("verdict") == "DIFFERENT")
+    score = F.when(F.col("errored"), "failed").when(ok, "correct").when(F.col("verdict") == "CANNOT_COMPARE", "refused").when(alarm, "false_alarm").otherwise("wrong")
+    localised = F.col("edit_box").isNotNull() & F.exists("boxes", lambda b: overlap_score(F.col("edit_box"), b) > least)
+    rows = cases.withColumns({"score": score, "localised": F.coalesce(localised, F.lit(False)), "case_": F.monotonically_increasing_id()})
+    empty = F.array().cast("array<string>")
+    regions = rows.filter(F.col("edit_box").isNotNull()).select("case_", "old_value", "new_value", F.explode("readings").alias("r"))
+    said = regions.withColumns({c: F.coalesce(X.tokens(v), empty) for c, v in (("a_", F.col("r.ref_text")), ("b_", F.col("r.mkt_text")), ("p_", F.col("old_value")), ("q_", F.col("new_value")))})
+    both = (F.size(F.array_except("p_", "a_")) == 0) & (F.size(F.array_except("q_", "b_")) == 0)
+    read = said.groupBy("case_").agg(F.some(both).alias("read"))
+    return rows.join(read, "case_", "left").withColumn("read", F.coalesce("read", F.lit(False))).drop("case_")
+
+
+def class_summary(scored: DataFrame) -> DataFrame:
+    """Of each class: cases, accuracy, false alarms, refusals, and of its edits the shares localised and read (null without edits)."""
+    edits = F.count_if(F.col("edit_box").isNotNull())
+    share = lambda c: F.try_divide(F.count_if(F.col(c)), edits)
+    n = lambda s: F.count_if(F.col("score") == s)
+    return scored.groupBy("class").agg(F.count("*").alias("cases"), (n("correct") / F.count("*")).alias("accuracy"), n("false_alarm").alias("false_alarms"), n("refused").alias("refused"), share("localised").alias("localisation_rate"), share("read").alias("read_rate"))
+
+
+def key_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of two tables with the side they are on: both, left or right."""
+    say = lambda df, s: df.withColumn("side", F.lit(s))
+    return say(a.intersect(b), "both").unionByName(say(a.distinct().exceptAll(b.distinct()), "left")).unionByName(say(b.distinct().exceptAll(a.distinct()), "right"))
+
+
+# --- readings of an engine
+
+
+def quad_box(corners: Column) -> Column:
+    """The box around a quadrilateral (an array of x, y)."""
+    x, y = F.transform(corners, lambda c: c["x"]), F.transform(corners, lambda c: c["y"])
+    return F.struct(F.array_min(x).alias("x"), F.array_min(y).alias("y"), (F.array_max(x) - F.array_min(x)).alias("w"), (F.array_max(y) - F.array_min(y)).alias("h"))
+
+
+def reading_order(tokens: DataFrame, region: str, tie: str, band: float = 0.6) -> DataFrame:
+    """tokens (region, x, y, w, h) with their `place`: lines of `band` times the median height, then from left to right."""
+    w = Window.partitionBy(region)
+    line = F.bround(F.col("y") / F.greatest(F.lit(1.0), band * F.median("h").over(w)), 0)
+    return tokens.withColumn("line_", line).withColumn("place", F.row_number().over(w.orderBy("line_", "x", tie)).cast("long")).drop("line_")
+
+
+# --- the corpus of variants
+
+#: The axes of the transforms that a corpus applies.
+AXES = {"quality": [95, 85, 75, 60], "size": [1500, 1200, 1000, 800], "padding": ["none", "white", "transparent"], "format": ["jpeg", "webp"], "extra": ["strip", "exif", "srgb"]}
+
+
+def variant_cross_product(spark) -> DataFrame:
+    """All 288 transforms."""
+    out = spark.range(1).select()
+    for name, values in AXES.items():
+        out = out.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return out
+
+
+def variant_grid(spark, seed: int = 0, per_cell: int = 1) -> DataFrame:
+    """Each quality and size with per_cell draws of the other axes, which follow from the seed."""
+    out = spark.range(per_cell).select(F.col("id").alias("draw"))
+    for name in ("quality", "size"):
+        out = out.select("*", F.explode(F.array(*map(F.lit, AXES[name]))).alias(name))
+    for name in ("padding", "format", "extra"):
+        values = F.array(*map(F.lit, AXES[name]))
+        out = out.withColumn(name, F.element_at(values, (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "quality", "size", "draw"), F.lit(len(AXES[name]))) + 1).cast("int")))
+    return out.drop("draw")

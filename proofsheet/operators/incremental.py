@@ -54,3 +54,13 @@ def known_products(inputs: DataFrame, versions: DataFrame) -> tuple[DataFrame, D
     """Inputs whose product has a version, and the rest."""
     have = versions.select("product_id").distinct()
     return inputs.join(have, "product_id", "left_semi"), inputs.join(have, "product_id", "left_anti")
+
+
+def by_product(images: DataFrame, path: str = "path") -> DataFrame:
+    """Images of a product side by side, so that its versions are decoded once and stay near."""
+    return images.repartition("product_id").sortWithinPartitions("product_id", path)
+
+
+def first_failures(findings: DataFrame, order: list[str], reason: str = "reason", most: int = 50) -> DataFrame:
+    """The failures that a run's report lists."""
+    return findings.filter(F.col(reason).isNotNull()).orderBy(*order).limit(most)

@@ -125,11 +125,11 @@ def compared(pairs: DataFrame, readings: DataFrame | None = None, settings: Pair
     seen = gated(measure(pairs.filter(~same), s), s)
     regions = regions_of(seen, s)
     read = regions.join(readings if readings is not None else null_readings(regions), ["pair_id", "ordinal"], "left").fillna({"ref_text": "", "mkt_text": "", "reliable": False})
-    read = read.withColumn("d", X.text_differences("ref_text", "mkt_text")).withColumn("c", X.compare_text("ref_text", "mkt_text")).withColumn("alike", X.text_similarity("ref_text", "mkt_text"))
-    gone = F.exists("d", lambda d: d["kind"].isin("TEXT_REMOVED", "TEXT_ADDED"))
+    read = X.with_comparison(read, "ref_text", "mkt_text", "c")
+    gone = F.exists("c.differences", lambda d: d["kind"].isin("TEXT_REMOVED", "TEXT_ADDED"))
     one_side = (F.length("ref_text") > 0) != (F.length("mkt_text") > 0)
     intact = one_side & (F.coalesce("ink", F.lit(0.0)) >= 0.55)
-    severity = X.region_route(F.col("kind") == "PALETTE", (F.length("ref_text") > 0) | (F.length("mkt_text") > 0), F.col("c.severity"), intact, F.col("reliable"), F.col("alike"), gone, s.unreliable_similarity)
+    severity = X.region_route(F.col("kind") == "PALETTE", (F.length("ref_text") > 0) | (F.length("mkt_text") > 0), F.col("c.severity"), intact, F.col("reliable"), F.col("c.alike"), gone, s.unreliable_similarity)
     judged = read.withColumn("severity", severity)
     count = lambda x: F.count_if(F.col("severity") == x).alias(x.lower())
     per = judged.groupBy("pair_id").agg(count("MATERIAL"), count("UNCERTAIN"), count("COSMETIC"), F.collect_list("severity").alias("severities"))
@@ -139,4 +139,4 @@ def compared(pairs: DataFrame, readings: DataFrame | None = None, settings: Pair
     conf = F.bround(F.least("registration_confidence", text_conf), 4)
     trace = F.array(F.lit("hash:OPEN"), F.concat(F.lit("registration:"), "registration"), F.when(halt.isNotNull(), "structural_diff:SKIPPED").otherwise("structural_diff:OK"), F.when(F.coalesce(F.size("severities"), F.lit(0)) > 0, "text_compare:OK").otherwise("text_compare:SKIPPED"), F.lit("verdict:OK"))
     verdicts = out.select("pair_id", V.pair_verdict(halt, "material", "uncertain", "cosmetic").alias("verdict"), conf.alias("confidence"), trace.alias("trace"))
-    return equal.unionByName(verdicts), judged.drop("d", "c")
+    return equal.unionByName(verdicts), judged.drop("c")

@@ -12,6 +12,12 @@ def signature() -> Column:
     return region_signature("product_id", "x", "y", "w", "h", "field_key")
 
 
+def _place() -> list[Column]:
+    """What a signature is made of, and the version: boxes to tens, half to even."""
+    tens = [F.bround(F.col(c).cast("long"), -1).cast("long").alias(f"{c}10") for c in "xywh"]
+    return ["product_id", "version_id", *tens, F.coalesce("field_key", F.lit("")).alias("field")]
+
+
 def signed(regions: DataFrame) -> DataFrame:
     return regions.withColumn("signature", signature())
 
@@ -22,14 +28,22 @@ def with_acknowledgement(findings: DataFrame, regions: DataFrame, acks: DataFram
     A region is signed off only for the version that is current; a finding counts as
     acknowledged if it has regions and all of them are.
     """
-    valid = acks.filter("decision = 'ACKNOWLEDGED'").select("product_id", signature().alias("signature"), "version_id").distinct()
-    marked = signed(regions).join(valid.withColumn("ok", F.lit(True)), ["product_id", "signature", "version_id"], "left")
+    # only the findings' own regions and their products' decisions; both sides meet on the numbers that signatures hash
+    mine = regions.join(findings.select("finding_id"), "finding_id", "left_semi").select("finding_id", *_place())
+    valid = acks.filter("decision = 'ACKNOWLEDGED'").select(*_place()).distinct().withColumn("ok", F.lit(True))
+    marked = mine.join(valid, [c for c in valid.columns if c != "ok"], "left")
     per = marked.groupBy("finding_id").agg(F.count("*").alias("region_count"), F.every(F.coalesce("ok", F.lit(False))).alias("acknowledged"))
     return findings.join(per, "finding_id", "left").fillna({"region_count": 0, "acknowledged": False})
 
 
+#: The verdicts a queue can be filtered by.
+VERDICTS = ("PASS", "STALE_VERSION", "UNKNOWN_IMAGE", "ERROR")
+
+
 def queue_filter(findings: DataFrame, verdicts=None, severities=None, product=None, method=None, acknowledged=None) -> DataFrame:
-    """All filters given hold together; the one on acknowledged needs that column."""
+    """All filters given hold together; the one on acknowledged needs that column. An unknown verdict is an error."""
+    if unknown := set(verdicts or ()) - set(VERDICTS):
+        raise ValueError(f"no such verdict: {', '.join(sorted(unknown))}")
     for c, values in (("verdict", verdicts), ("severity", severities)):
         if values:
             findings = findings.filter(F.col(c).isin(list(values)))
@@ -54,10 +68,11 @@ def queue_order(sort: str = "severity", descending: bool = True) -> list[Column]
 
 
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """One page, with the place of each row."""
+    """One page, with the place of each row and the total of all rows."""
+    total = rows.agg(F.count("*").alias("total"))
     top = rows.orderBy(*order).offset(offset).limit(limit)
     # the page is small; its places are numbered after the limit
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") + offset)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") + offset).join(F.broadcast(total))  # one row
 
 
 def run_summary(findings: DataFrame) -> DataFrame:
@@ -81,9 +96,9 @@ def trend(findings: DataFrame, runs: DataFrame, last: int = 6) -> DataFrame:
     return recent.join(per, "run_id", "left").fillna(0).orderBy("run_id")
 
 
-def open_by_product(findings: DataFrame, products: DataFrame, run_id: Column | int) -> DataFrame:
-    """Products with the number of open findings and the worst one of a run (the first of equals)."""
-    latest = findings.filter((F.col("run_id") == run_id) & (F.col("verdict") != "PASS"))
+def open_by_product(findings: DataFrame, products: DataFrame) -> DataFrame:
+    """Products with the number of open findings and the worst one of a run's findings (the first of equals)."""
+    latest = findings.filter(F.col("verdict") != "PASS")
     worst = F.max_by(F.struct("finding_id", "verdict", "severity"), F.struct(severity_rank("severity"), -F.col("finding_id")))
     per = latest.groupBy("product_id").agg(F.count("*").alias("open_findings"), worst.alias("worst"))
     out = products.join(per, "product_id", "left")
@@ -100,7 +115,7 @@ def search(products: DataFrame, text: str, limit: int = 500) -> DataFrame:
 
 def finding_groups(regions: DataFrame) -> DataFrame:
     """Regions of a finding that say the same, with their number, in order of first sight."""
-    per = regions.groupBy("finding_id", "field_key", "severity").agg(F.count("*").alias("areas"), F.min("ordinal").alias("first"))
+    per = regions.groupBy("finding_id", "field_key", "old_value", "new_value", "severity", "edit_type", "from_id", "to_id").agg(F.count("*").alias("areas"), F.min("ordinal").alias("first"))
     return per.withColumn("note", F.when(F.col("areas") > 1, F.concat(F.col("areas").cast("string"), F.lit(" areas"))))
 
 
@@ -155,3 +170,9 @@ def preflight(images: DataFrame, crop_warn: float = 0.02, aspect_warn: float = 0
     aspect = F.col("w") / F.col("h")
     off = F.abs(aspect / F.median(aspect).over(w) - 1)
     return images.withColumns({"cropped": F.greatest(F.lit(0.0), cropped), "much_border": cropped > crop_warn, "mixed_sizes": sizes > 1, "odd_aspect": off > aspect_warn})
+
+
+def reference_checks(transitions: DataFrame, clean_fraction: float) -> DataFrame:
+    """Per product, of its transitions (product_id, n_regions, fraction): how many show no region, how many unchanged images lie over the clean cutoff, how many are warned of."""
+    bare, noisy = F.col("n_regions") == 0, F.col("fraction") >= clean_fraction
+    return transitions.groupBy("product_id").agg(F.count_if(bare).alias("without_regions"), F.count_if(noisy).alias("over_cutoff"), F.count_if(bare | noisy).alias("warned"))

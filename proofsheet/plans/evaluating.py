@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from proofsheet.functions import boxes as B
 from proofsheet.functions import text as X
 from proofsheet.functions import verdict as V
 from proofsheet.operators import evaluate as E
+from proofsheet.operators import review as R
+from proofsheet.sources import images as S
 
 from .registry import query
 
@@ -118,50 +121,85 @@ def subsample_strided(t):
     return E.strided(t.events, "event_type", ["ts", "event_id"], 700).select("event_id")
 
 
-@query(f"""WITH {CASES} SELECT doc_id, CASE WHEN outcome = 'ERROR' THEN 'failed' WHEN quality = 1 AND n_chars % 3 = 0 THEN 'correct' WHEN outcome = 'REFUSED' THEN 'refused' WHEN quality = 0 AND outcome = 'WRONG' THEN 'false_different' ELSE 'other' END AS score FROM outcomes JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)""")
+PAIRS = """pairs AS (SELECT l_orderkey * 8 + l_linenumber AS case_id, ['identical', 'recompressed', 'recoloured', 'number_edit', 'different_product'][1 + l_orderkey % 5] AS class, CASE l_suppkey % 6 WHEN 0 THEN 'IDENTICAL' WHEN 1 THEN 'MATCH' WHEN 2 THEN 'MATCH_WITH_COSMETIC_DIFFERENCES' WHEN 3 THEN 'NEEDS_REVIEW' WHEN 4 THEN 'DIFFERENT' ELSE 'CANNOT_COMPARE' END AS verdict, l_linenumber = 7 AS errored,
+  l_partkey % 90 AS x, l_partkey % 70 AS y, 40 AS w, 30 AS h, l_partkey % 90 + l_suppkey % 50 AS ex, l_partkey % 70 AS ey, 40 AS ew, 30 AS eh, floor(l_quantity)::BIGINT AS q FROM lineitem),
+scored AS (SELECT *, CASE class WHEN 'identical' THEN verdict = 'IDENTICAL' WHEN 'recompressed' THEN verdict = 'MATCH' WHEN 'recoloured' THEN verdict IN ('MATCH_WITH_COSMETIC_DIFFERENCES', 'NEEDS_REVIEW') WHEN 'number_edit' THEN verdict IN ('DIFFERENT', 'NEEDS_REVIEW') ELSE verdict = 'CANNOT_COMPARE' END AS accepted,
+  greatest(0, 40 - (ex - x)) * 30 AS inter FROM pairs),
+s AS (SELECT *, CASE WHEN errored THEN 'failed' WHEN accepted THEN 'correct' WHEN verdict = 'CANNOT_COMPARE' THEN 'refused' WHEN class IN ('identical', 'recompressed', 'recoloured') AND verdict = 'DIFFERENT' THEN 'false_alarm' ELSE 'wrong' END AS score, class = 'number_edit' AND inter / 1200.0::DOUBLE > 0.3 AS localised, class = 'number_edit' AND q % 3 <> 0 AS read_ FROM scored)"""
+
+
+def pair_cases(t):
+    f = F.col
+    rows = t.lineitem.select(
+        (f("l_orderkey") * 8 + f("l_linenumber")).alias("case_id"), _by(f("l_orderkey") % 5, [F.lit(x) for x in ("identical", "recompressed", "recoloured", "number_edit", "different_product")]).alias("class"),
+        _by(f("l_suppkey") % 6, [F.lit(x) for x in ("IDENTICAL", "MATCH", "MATCH_WITH_COSMETIC_DIFFERENCES", "NEEDS_REVIEW", "DIFFERENT", "CANNOT_COMPARE")]).alias("verdict"), (f("l_linenumber") == 7).alias("errored"),
+        (f("l_partkey") % 90).alias("x"), (f("l_partkey") % 70).alias("y"), (f("l_partkey") % 90 + f("l_suppkey") % 50).alias("ex"), F.floor("l_quantity").alias("q"),
+    )
+    edit = f("class") == "number_edit"
+    old, new = F.concat(f("q").cast("string"), F.lit(" mg")), F.concat((f("q") + 30).cast("string"), F.lit("mg"))
+    side = lambda x: F.when(f("q") % 3 == 0, F.lit("sugar free")).otherwise(F.concat(F.lit("Sodium "), x))
+    boxes = F.array(B.box("x", "y", F.lit(40), F.lit(30)))
+    rows = rows.withColumns({"edit_box": F.when(edit, B.box("ex", "y", F.lit(40), F.lit(30))), "boxes": boxes, "old_value": F.when(edit, old), "new_value": F.when(edit, new), "readings": F.array(F.struct(side(old).alias("ref_text"), side(new).alias("mkt_text")))})
+    return E.scored_pairs(rows)
+
+
+@query(f"WITH {PAIRS} SELECT case_id, score, localised FROM s")
 def case_scores(t):
-    """D8 U5."""
-    ok = F.array_contains(F.when(F.col("quality") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), (F.col("n_chars") % 3).cast("int"))
-    s = F.when(F.col("outcome") == "ERROR", "failed").when(ok, "correct").when(F.col("outcome") == "REFUSED", "refused").when((F.col("quality") == 0) & (F.col("outcome") == "WRONG"), "false_different").otherwise("other")
-    return cases(t).select("doc_id", s.alias("score"))
+    """Pairs scored by the verdicts that their class accepts, and whether an edit was found where it is."""
+    return pair_cases(t).select("case_id", "score", "localised")
 
 
-@query("""SELECT a.doc_id, list_contains(string_split(a.text, ' '), 'the') AND list_contains(string_split(b.text, ' '), 'of') AS read FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+@query(f"WITH {PAIRS} SELECT case_id, read_ AS read FROM s")
 def read_correctness(t):
-    """D9."""
-    words = t.documents.select("doc_id", F.split("text", " ").alias("w"))
-    after = words.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    return words.join(after, "doc_id").select("doc_id", (F.array_contains("w", "the") & F.array_contains("v", "of")).alias("read"))
+    """The old value read on one side and the new on the other, in one region."""
+    return pair_cases(t).select("case_id", "read")
+
+
+@query(f"""WITH {PAIRS} SELECT class, count(*)::BIGINT AS cases, round(count(*) FILTER (score = 'correct') / count(*)::DOUBLE, 9) AS accuracy, count(*) FILTER (score = 'false_alarm')::BIGINT AS false_alarms, count(*) FILTER (score = 'refused')::BIGINT AS refused,
+  round(count(*) FILTER (localised) / nullif(count(*) FILTER (class = 'number_edit'), 0)::DOUBLE, 9) AS localisation_rate, round(count(*) FILTER (read_) / nullif(count(*) FILTER (class = 'number_edit'), 0)::DOUBLE, 9) AS read_rate FROM s GROUP BY 1""")
+def class_summary(t):
+    """Accuracy, false alarms, localisation and read rates of each class of pairs."""
+    out = E.class_summary(pair_cases(t))
+    return out.select("class", "cases", *[F.round(c, 9).alias(c) for c in ("accuracy",)], "false_alarms", "refused", *[F.round(c, 9).alias(c) for c in ("localisation_rate", "read_rate")])
 
 
-@query("""SELECT source, count(*) FILTER (n_chars < 200)::BIGINT AS too_small, count(DISTINCT lang) > 1 AS mixed, count(*) FILTER (lang IS NULL)::BIGINT AS missing FROM documents GROUP BY 1""")
+@query("""WITH i AS (SELECT l_orderkey AS product_id, l_linenumber AS image, 100 AS width, 100 + (l_suppkey % 3 = 0)::INTEGER * 20 AS height, 100 - l_linenumber AS w, 100 + (l_suppkey % 3 = 0)::INTEGER * 20 - l_partkey % 5 AS h FROM lineitem),
+a AS (SELECT *, w / h::DOUBLE AS aspect FROM i)
+SELECT product_id, image, round(1 - w * h / (width * height)::DOUBLE, 9) AS cropped, 1 - w * h / (width * height)::DOUBLE > 0.02 AS much_border, (SELECT count(DISTINCT height) FROM i x WHERE x.product_id = a.product_id) > 1 AS mixed_sizes, abs(aspect / median(aspect) OVER (PARTITION BY product_id) - 1) > 0.01 AS odd_aspect FROM a""")
 def quality_checks(t):
-    """F27 F26."""
-    return t.documents.groupBy("source").agg(F.count_if(F.col("n_chars") < 200).alias("too_small"), (F.countDistinct("lang") > 1).alias("mixed"), F.count_if(F.col("lang").isNull()).alias("missing"))
+    """how much border an image has, mixed sizes and odd shapes of a product's images."""
+    tall = F.when(F.col("l_suppkey") % 3 == 0, 120).otherwise(100)
+    rows = t.lineitem.select(F.col("l_orderkey").alias("product_id"), F.col("l_linenumber").alias("image"), F.lit(100).alias("width"), tall.alias("height"), (100 - F.col("l_linenumber")).alias("w"), (tall - F.col("l_partkey") % 5).alias("h"))
+    return R.preflight(rows).select("product_id", "image", F.round("cropped", 9).alias("cropped"), "much_border", "mixed_sizes", "odd_aspect")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS product_id, l_linenumber AS version, l_linenumber % 3 AS n_regions, l_discount AS fraction FROM lineitem)
+SELECT product_id, count(*) FILTER (n_regions = 0)::BIGINT AS without_regions, count(*) FILTER (fraction >= 0.05)::BIGINT AS over_cutoff, count(*) FILTER (n_regions = 0 OR fraction >= 0.05)::BIGINT AS warned FROM r GROUP BY 1""")
+def reference_checks(t):
+    """transitions of versions that show no region, and those not told apart from noise."""
+    rows = t.lineitem.select(F.col("l_orderkey").alias("product_id"), (F.col("l_linenumber") % 3).alias("n_regions"), F.col("l_discount").alias("fraction"))
+    return R.reference_checks(rows, 0.05)
 
 
 @query("""SELECT q.quality::INTEGER AS quality, s.size::INTEGER AS size, p.padding, f.format, e.extra FROM (VALUES (95), (85), (75), (60)) q(quality), (VALUES (1500), (1200), (1000), (800)) s(size), (VALUES ('none'), ('white'), ('transparent')) p(padding), (VALUES ('jpeg'), ('webp')) f(format), (VALUES ('strip'), ('exif'), ('srgb')) e(extra)""")
 def variant_cross_product(t):
     """All 288 transforms."""
-    axes = {"quality": [95, 85, 75, 60], "size": [1500, 1200, 1000, 800], "padding": ["none", "white", "transparent"], "format": ["jpeg", "webp"], "extra": ["strip", "exif", "srgb"]}
-    out = t.spark.range(1).select()
-    for name, values in axes.items():
-        out = out.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
-    return out
+    return E.variant_cross_product(t.spark)
 
 
-@query("""SELECT q.quality::INTEGER AS quality, s.size::INTEGER AS size, ['none', 'white', 'transparent'][1 + (q.quality * 7 + s.size) % 3] AS padding FROM (VALUES (95), (85), (75), (60)) q(quality), (VALUES (1500), (1200), (1000), (800)) s(size)""")
+@query("""SELECT q.quality::INTEGER AS quality, s.size::INTEGER AS size, 3::BIGINT AS variants, true AS drawn FROM (VALUES (95), (85), (75), (60)) q(quality), (VALUES (1500), (1200), (1000), (800)) s(size)""")
 def variant_grid(t):
-    """Quality and size in full, the rest by a seeded choice."""
-    grid = t.spark.range(1).select(F.explode(F.array(*map(F.lit, [95, 85, 75, 60]))).alias("quality")).select("quality", F.explode(F.array(*map(F.lit, [1500, 1200, 1000, 800]))).alias("size"))
-    return grid.withColumn("padding", F.element_at(F.array(F.lit("none"), F.lit("white"), F.lit("transparent")), (1 + (F.col("quality") * 7 + F.col("size")) % 3).cast("int")))
+    """Each quality and size, with three seeded draws of the other axes."""
+    got = E.variant_grid(t.spark, seed=7, per_cell=3)
+    known = F.col("padding").isin("none", "white", "transparent") & F.col("format").isin("jpeg", "webp") & F.col("extra").isin("strip", "exif", "srgb")
+    return got.groupBy("quality", "size").agg(F.count("*").alias("variants"), F.every(known).alias("drawn"))
 
 
-@query("""WITH w AS (SELECT source AS class, count(*) AS weight FROM documents WHERE doc_id % 3 = 0 GROUP BY 1), m AS (SELECT class, greatest(1, round_even(weight * 60 / (SELECT sum(weight) FROM w)::DOUBLE, 0))::INTEGER AS m FROM w)
+@query("""WITH w AS (SELECT source AS class, count(*) AS weight FROM documents GROUP BY 1), m AS (SELECT class, greatest(1, round_even(weight * 60 / (SELECT sum(weight) FROM w)::DOUBLE, 0))::INTEGER AS m FROM w)
 SELECT class, unnest(range(1, m + 1))::INTEGER AS n FROM m""")
 def stratified_plan(t):
     """D7."""
-    return E.stratified_plan(t.documents.filter("doc_id % 3 = 0").groupBy(F.col("source").alias("class")).agg(F.count("*").alias("weight")), 60)
+    return E.stratified_plan(t.documents.groupBy(F.col("source").alias("class")).agg(F.count("*").alias("weight")), 60)
 
 
 @query("""SELECT doc_id, len(list_filter(string_split(text, ' '), lambda t: regexp_matches(t, '[A-Za-z0-9]')))::BIGINT AS readable FROM documents""")
@@ -173,43 +211,43 @@ def token_filter(t):
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_suppkey % 90 AS y, l_partkey % 300 AS x, l_quantity AS h FROM lineitem), m AS (SELECT *, greatest(1, 0.6 * median(h) OVER (PARTITION BY l_orderkey)) AS band FROM b)
 SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(y / band, 0), x, l_linenumber)::BIGINT AS place FROM m""")
 def reading_order(t):
-    """W11 I38."""
-    w = Window.partitionBy("l_orderkey")
-    b = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 90).alias("y"), (F.col("l_partkey") % 300).alias("x"), F.greatest(F.lit(1.0), 0.6 * F.median("l_quantity").over(w)).alias("band"))
-    return b.select("l_orderkey", "l_linenumber", F.row_number().over(w.orderBy(F.bround(F.col("y") / F.col("band"), 0), "x", "l_linenumber")).cast("long").alias("place"))
+    """Boxes of tokens from their corners, in lines of about their height, from left to right."""
+    f = F.col
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = f("l_partkey") % 300, f("l_suppkey") % 90
+    quad = F.array(corner(x + 5, y), corner(x, y + f("l_quantity")), corner(x + 5, y + f("l_quantity")), corner(x, y))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", E.quad_box(quad).alias("b")).select("l_orderkey", "l_linenumber", "b.*")
+    return E.reading_order(rows, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "place")
 
 
-@query("""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_brand), '([0-9]+|[^0-9]+)', 1), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 12, '0') ELSE p END), '') AS key FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_brand), '([0-9]+|[^0-9]+)', 1), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(length(ltrim(p, '0'))::VARCHAR, 6, '0') || ltrim(p, '0') ELSE p END), '') AS key FROM part""")
 def natural_sort(t):
     """O8 S6."""
     return t.part.select("p_partkey", X.natural_key(F.col("p_brand")).alias("key"))
 
 
-@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ref' ELSE 'mkt' END AS side, (page_id // 3)::VARCHAR AS key FROM pages WHERE page_id % 7 <> 0)
+@query("""WITH p AS (SELECT page_id, CASE WHEN length(html) % 5 < 2 THEN 'ref' ELSE 'mkt' END AS side, (page_id // 3)::VARCHAR AS key FROM pages)
 SELECT coalesce(r.key, m.key) AS key, r.page_id AS ref_id, m.page_id AS mkt_id, CASE WHEN m.key IS NULL THEN 'mkt' WHEN r.key IS NULL THEN 'ref' END AS missing FROM (SELECT key, min(page_id) AS page_id FROM p WHERE side = 'ref' GROUP BY 1) r FULL JOIN (SELECT key, min(page_id) AS page_id FROM p WHERE side = 'mkt' GROUP BY 1) m ON r.key = m.key""")
 def pair_files(t):
     """Files paired by name, and what has no partner."""
-    name = F.concat(F.when(F.col("page_id") % 3 == 0, "ref").otherwise("mkt"), F.lit("__"), F.floor(F.col("page_id") / 3).cast("string"), F.lit(".png"))
-    files = t.pages.filter("page_id % 7 <> 0").select("page_id", F.regexp_extract(name, r"^(ref|mkt)__(.+)\.\w+$", 1).alias("side"), F.regexp_extract(name, r"^(ref|mkt)__(.+)\.\w+$", 2).alias("key"))
-    side = lambda s: files.filter(F.col("side") == s).groupBy("key").agg(F.min("page_id").alias(f"{s}_id"))
-    both = side("ref").join(side("mkt"), "key", "full")
-    return both.select("key", "ref_id", "mkt_id", F.when(F.col("mkt_id").isNull(), "mkt").when(F.col("ref_id").isNull(), "ref").alias("missing"))
+    name = F.concat(F.when(F.length("html") % 5 < 2, "ref").otherwise("mkt"), F.lit("__"), F.floor(F.col("page_id") / 3).cast("string"), F.lit(".png"))
+    return S.paired(t.pages.select(F.col("page_id").alias("id"), name.alias("name"))).withColumnsRenamed({"ref": "ref_id", "mkt": "mkt_id"})
 
 
-@query("""SELECT key, CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' ELSE 'right' END AS side FROM (SELECT doc_id % 37 AS key, bool_or(doc_id % 2 = 0) AS a, bool_or(doc_id % 3 = 0 AND doc_id < 60) AS b FROM documents GROUP BY 1) WHERE a OR b""")
+@query("""SELECT key, CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' ELSE 'right' END AS side FROM (SELECT doc_id // 2 AS key, bool_or(n_chars % 2 = 0) AS a, bool_or(n_chars % 3 = 0) AS b FROM documents GROUP BY 1) WHERE a OR b""")
 def key_sets(t):
     """Intersection and both differences of two sets of keys."""
-    k = t.documents.withColumn("key", F.col("doc_id") % 37)
-    a, b = k.filter("doc_id % 2 = 0").select("key").distinct(), k.filter("doc_id % 3 = 0 and doc_id < 60").select("key").distinct()
-    say = lambda df, s: df.withColumn("side", F.lit(s))
-    return say(a.intersect(b), "both").unionByName(say(a.exceptAll(b), "left")).unionByName(say(b.exceptAll(a), "right"))
+    k = t.documents.withColumn("key", F.floor(F.col("doc_id") / 2))
+    return E.key_sets(k.filter("n_chars % 2 = 0").select("key"), k.filter("n_chars % 3 = 0").select("key"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE split_part(url, '/', 3) END AS product_id, '/files/' || regexp_replace(url, '^[a-z]+://', '') AS static_url FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN split_part(url, '/', 3) WHEN page_id % 2 = 0 THEN 'p' || page_id END AS product_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE '/files/' || page_id || '.png' END AS static_url FROM pages""")
 def run_inputs(t):
-    """Product by manifest, and addresses below the served root."""
-    manifest = t.pages.filter("page_id % 5 <> 0").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("product_id"))
-    return t.pages.join(manifest, "page_id", "left").select("page_id", "product_id", F.concat(F.lit("/files/"), F.regexp_replace("url", "^[a-z]+://", "")).alias("static_url"))
+    """Product by manifest, else by name, and addresses below the served root."""
+    name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("__x.png"))).otherwise(F.concat(F.col("page_id").cast("string"), F.lit(".png")))
+    listed = t.pages.withColumn("name", name).withColumn("path", F.concat(F.when(F.col("page_id") % 3 == 0, "/elsewhere/").otherwise("/data/files/"), F.col("page_id").cast("string"), F.lit(".png")))
+    manifest = listed.filter("page_id % 5 <> 0").select(F.col("name").alias("file"), F.split_part("url", F.lit("/"), F.lit(3)).alias("product_id"))
+    return S.run_inputs(listed, manifest).select("page_id", "product_id", S.served_url(F.col("path"), {"/data/files": "/files"}).alias("static_url"))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN levenshtein(a.p_name, b.p_name) > 4 THEN 5 ELSE levenshtein(a.p_name, b.p_name) END::BIGINT AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
@@ -220,51 +258,138 @@ def edit_distance_capped(t):
     return p.join(q, "a").select("a", "b", X.capped_distance(F.col("na"), F.col("nb"), 4).cast("long").alias("distance"))
 
 
-@query("""SELECT p_partkey, true AS swapped, p_name LIKE '%rn%' AS run FROM part""")
+@query("""SELECT p_partkey, length(s) - length(replace(s, '0', '')) = 1 AS swapped, length(s) - length(replace(s, '0', '')) IN (1, 2) AS swapped2, p_name LIKE '%rn%' AS run, CASE WHEN p_partkey % 4 = 3 THEN false ELSE p_partkey % 4 <> 0 END AS pair
+FROM (SELECT *, p_partkey::VARCHAR AS s FROM part)""")
 def confusable(t):
-    """A zero for an O, and rn for m."""
-    a = t.part.withColumn("a", F.concat(F.lit("45O"), F.col("p_partkey").cast("string")))
-    b = F.concat(F.lit("450"), F.col("p_partkey").cast("string"))
-    run = X.confusable_column(F.col("p_name"), F.replace("p_name", F.lit("rn"), F.lit("m")))
-    return a.select("p_partkey", X.confusable_column(F.col("a"), b).alias("swapped"), run.alias("run"))
+    """Zeros read as O, rn as m, and pairs of characters that are or aren't taken for one another."""
+    s = F.col("p_partkey").cast("string")
+    k = F.col("p_partkey") % 4
+    old = F.when(k == 0, "380").when(k == 1, "1l").when(k == 2, "5S").otherwise("8A")
+    new = F.when(k == 0, "480").when(k == 1, "11").when(k == 2, "55").otherwise("BA0")
+    zeros = F.replace(s, F.lit("0"), F.lit("O"))
+    return t.part.select("p_partkey", X.confusable(s, zeros).alias("swapped"), X.confusable(s, zeros, 2).alias("swapped2"), X.confusable(F.col("p_name"), F.replace("p_name", F.lit("rn"), F.lit("m"))).alias("run"), X.confusable(old, new).alias("pair"))
 
 
 @query()
 def text_normalize(t):
     """X1 X2 X3 X4 X6."""
-    return t.conversations.select("conv_id", "turn", X.normalized("text").alias("normal"))
+    return t.conversations.select("conv_id", "turn", X.normalized(F.col("text")).alias("normal"))
+
+
+def _by(key, cases):
+    """cases[key], a column for each place."""
+    return F.element_at(F.array(*cases), (key + 1).cast("int"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_quantity AS value, ['mg', 'g', 'kcal', ''][1 + l_linenumber % 4] AS unit FROM lineitem""")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, floor(l_quantity)::BIGINT::VARCHAR AS q, l_extendedprice AS p, l_orderkey % 9 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN q || 'mg' WHEN 1 THEN q || 'mg' WHEN 2 THEN q || 'g' WHEN 3 THEN q || '.5l' WHEN 4 THEN q || '250' WHEN 5 THEN 'net weight ' || q WHEN 6 THEN 'net ' || q || '-7 kg'
+  WHEN 7 THEN 'x ' || q || 'kcal g' ELSE CASE WHEN p = floor(p) THEN p::BIGINT::VARCHAR ELSE format('{:g}', p) END END AS normal FROM l""")
+def text_normalize_cases(t):
+    """Spellings of quantities, punctuation, compatibility forms, and prices to six digits."""
+    q, d = F.floor("l_quantity").cast("string"), lambda c: c.cast("string")
+    texts = [F.concat(q, F.lit(" mg")), F.concat(q, F.lit("  MG.")), F.concat(q, F.lit(".0 grams")), F.concat(q, F.lit(",5 litre")), F.concat(q, F.lit(",250")), F.concat(F.lit("(Net) weight: "), q), F.concat(F.lit("ｎｅｔ\u00a0"), q, F.lit("–7 Kgs")), F.concat(F.lit("X "), q, F.lit(" calories, gm")), d(F.col("l_extendedprice"))]
+    return t.lineitem.select("l_orderkey", "l_linenumber", X.normalized(_by(F.col("l_orderkey") % 9, texts)).alias("normal"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS value, CASE WHEN l_linenumber = 7 THEN NULL ELSE ['mg', 'g', 'kcal', '', '%', 'ug', 'l', 'kj', 'ml', 'kg', 'oz'][1 + l_orderkey % 11] END AS unit FROM lineitem""")
 def parse_number(t):
-    """Quantities with units in several spellings."""
-    spelling = F.element_at(F.array(*map(F.lit, ["milligrams", "gm", "calories", ""])), (1 + F.col("l_linenumber") % 4).cast("int"))
-    rows = t.lineitem.withColumn("n", X.parsed_number(F.concat(F.col("l_quantity").cast("string"), spelling)))
-    return rows.select("l_orderkey", "l_linenumber", "n.value", "n.unit")
+    """Quantities with units in several spellings, and words."""
+    spelling = _by(F.col("l_orderkey") % 11, [F.lit(x) for x in ("milligrams", "GM", " calories", "", "pct", "mcg", " Litres", "kilojoule", "millilitre", "kgs", "oz")])
+    token = F.when(F.col("l_linenumber") == 7, "protein").otherwise(F.concat(F.col("l_quantity").cast("string"), spelling))
+    return t.lineitem.select("l_orderkey", "l_linenumber", X.quantity(token).alias("n")).select("l_orderkey", "l_linenumber", "n.value", "n.unit")
+
+
+def turns(t):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return t.conversations.withColumn("before", F.lag("text").over(w)).filter("before is not null")
 
 
 @query()
 def text_compare(t):
     """Consecutive turns compared."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t.conversations.withColumn("before", F.lag("text").over(w)).filter("before is not null")
-    return rows.withColumn("c", X.compare_text("before", "text")).select("conv_id", "turn", "c.kind", "c.severity", "c.n_differences")
+    return X.with_comparison(turns(t), "before", "text", "c").select("conv_id", "turn", "c.kind", "c.severity", "c.n_differences")
+
+
+#: Old and new readings by number of the case; {q} and {r} are two different numbers.
+READINGS = [
+    ("sodium {q} mg", "sodium {q}.0 mg"), ("sodium {q} mg", "sodium {r} mg"), ("sodium {q} mg", "sodium {q} g"), ("sodium {q}0 mg", "sodium {q}O mg"), ("no added sugar {q}", "no sugar {q}"), ("no sugar {q}", "no added sugar {q}"),
+    ("added sugar {q}", "added suga r {q}"), ("coffee cocoa {q}", "coffee cocooa {q}"), ("high , vegan {q}", "high ; vegan {q}"), ("rnodern art {q}", "modern art {q}"), ("fat {q} g salt {q} g", "fat {q} g salt {r} kg"), ("red wine {q}", "blue wine {q}"), ("a {q} b c", "a {r} b d"),
+]
+
+
+def readings(t):
+    q, r = F.floor("l_quantity").cast("string"), (F.floor("l_quantity") + 60).cast("string")
+
+    def text(pattern):
+        return F.replace(F.replace(F.lit(pattern), F.lit("{q}"), q), F.lit("{r}"), r)
+
+    k = F.col("l_orderkey") % len(READINGS)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_discount", _by(k, [text(a) for a, _ in READINGS]).alias("old"), _by(k, [text(b) for _, b in READINGS]).alias("new"))
+
+
+KINDS = """k AS (SELECT l_orderkey, l_linenumber, l_discount, floor(l_quantity)::BIGINT AS q, l_orderkey % 13 AS k FROM lineitem),
+c AS (SELECT *, CASE WHEN k IN (0, 6) THEN 'NO_DIFFERENCE' WHEN k IN (1, 12) THEN 'NUMBER_CHANGED' WHEN k IN (2, 10) THEN 'NUMBER_AND_UNIT_CHANGED' WHEN k IN (3, 7, 9) THEN 'CONFUSABLE_CHARACTERS' WHEN k = 4 THEN 'TEXT_REMOVED' WHEN k = 5 THEN 'TEXT_ADDED' WHEN k = 8 THEN 'PUNCTUATION_ONLY' ELSE 'TEXT_CHANGED' END AS kind FROM k),
+s AS (SELECT *, CASE kind WHEN 'NO_DIFFERENCE' THEN 'NONE' WHEN 'CONFUSABLE_CHARACTERS' THEN 'UNCERTAIN' WHEN 'PUNCTUATION_ONLY' THEN 'COSMETIC' ELSE 'MATERIAL' END AS severity FROM c)"""
+
+
+@query(f"""WITH {KINDS} SELECT l_orderkey, l_linenumber, kind, severity, CASE WHEN kind = 'NO_DIFFERENCE' THEN 0 WHEN k = 12 THEN 2 ELSE 1 END::INTEGER AS n_differences FROM s""")
+def text_compare_cases(t):
+    """Every kind of change, with numbers and units."""
+    return X.with_comparison(readings(t), "old", "new", "c").select("l_orderkey", "l_linenumber", "c.kind", "c.severity", "c.n_differences")
 
 
 @query()
 def word_diff(t):
     """The words that consecutive turns share and don't."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t.conversations.withColumn("before", F.lag("text").over(w)).filter("before is not null")
-    return rows.select("conv_id", "turn", F.explode(X.diff_words("before", "text")).alias("r")).select("conv_id", "turn", "r.tag", "r.words")
+    return turns(t).select("conv_id", "turn", F.explode(X.diff_words("before", "text")).alias("r")).select("conv_id", "turn", "r.tag", "r.words")
+
+
+@query("""WITH q AS (SELECT l_orderkey, l_linenumber, floor(l_quantity)::BIGINT::VARCHAR AS q FROM lineitem),
+r AS (SELECT *, unnest([{'tag': 'equal', 'words': 'a ' || q}, {'tag': 'delete', 'words': 'b c'}, {'tag': 'insert', 'words': 'x' || q || ' y'}, {'tag': 'equal', 'words': 'd ' || q}, {'tag': 'insert', 'words': 'z'}]) AS r, unnest(range(1, 6)) AS n FROM q)
+SELECT l_orderkey, l_linenumber, (n - 1)::INTEGER AS place, r.tag AS tag, r.words AS words FROM r""")
+def word_diff_cases(t):
+    """Shared words, a replaced run and an addition."""
+    q = F.floor("l_quantity").cast("string")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.concat(F.lit("a "), q, F.lit(" b c d "), q).alias("old"), F.concat(F.lit("a "), q, F.lit(" x"), q, F.lit(" y  d "), q, F.lit(" z")).alias("new"))
+    return rows.select("l_orderkey", "l_linenumber", F.posexplode(X.diff_words("old", "new")).alias("place", "r")).select("l_orderkey", "l_linenumber", "place", "r.tag", "r.words")
+
+
+def _route(rows, palette, ink, reliable, a, b):
+    c = X.with_comparison(rows, a, b, "c")
+    gone = F.exists("c.differences", lambda d: d["kind"].isin("TEXT_REMOVED", "TEXT_ADDED"))
+    return c.withColumn("s", X.region_route(palette, F.length(b) > 0, F.col("c.severity"), ink, reliable, F.col("c.alike"), gone))
 
 
 @query()
 def text_route(t):
     """The severity of regions by how they were read, and each conversation's confidence."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t.conversations.withColumn("before", F.lag("text").over(w)).filter("before is not null")
-    rows = rows.withColumn("c", X.compare_text("before", "text")).withColumn("alike", X.text_similarity("before", "text"))
-    s = X.region_route(F.col("turn") % 9 == 8, F.length("text") > 0, F.col("c.severity"), F.col("turn") % 7 == 6, F.col("turn") % 2 == 0, F.col("alike"), F.col("c.kind").isin("TEXT_REMOVED", "TEXT_ADDED"))
-    per = rows.withColumn("s", s).groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("severities"))
+    rows = _route(turns(t), F.col("turn") % 9 == 8, F.col("turn") % 7 == 6, F.col("turn") % 2 == 0, "before", "text")
+    per = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("severities"))
     return per.withColumn("confidence", F.round(X.stage_confidence(F.col("severities")), 6))
+
+
+@query(f"""WITH {KINDS}, r AS (SELECT l_orderkey, CASE WHEN l_linenumber = 7 THEN 'COSMETIC' WHEN severity = 'NONE' OR l_discount > 0.085 THEN 'NONE' WHEN l_discount >= 0.02 THEN severity
+  WHEN k IN (4, 5) THEN 'UNCERTAIN' WHEN k = 11 THEN CASE WHEN q < 10 THEN 'UNCERTAIN' ELSE '?' END ELSE '?' END AS s, k, q FROM s)
+SELECT l_orderkey, count(*) FILTER (s = 'MATERIAL')::BIGINT AS material, count(*) FILTER (s = 'NONE')::BIGINT AS none, count(*) FILTER (s = 'COSMETIC')::BIGINT AS cosmetic FROM (SELECT * FROM r WHERE k IN (0, 4, 5, 6)) GROUP BY 1""")
+def text_route_cases(t):
+    """How regions are routed by palette, ink, reliability and lost words; readings whose likeness doesn't matter."""
+    f = F.col
+    rows = _route(readings(t), f("l_linenumber") == 7, f("l_discount") > 0.085, f("l_discount") >= 0.02, "old", "new").filter(f("l_orderkey") % len(READINGS) < 7).filter((f("l_orderkey") % len(READINGS)).isin(0, 4, 5, 6))
+    return rows.groupBy("l_orderkey").agg(*[F.count_if(f("s") == s.upper()).alias(s) for s in ("material", "none", "cosmetic")])
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(2 * least(a, b) / (a + b)::DOUBLE, 9) AS alike, CASE WHEN a = b OR 2 * least(a, b) / (a + b)::DOUBLE >= 0.75 THEN 'NONE' ELSE 'UNCERTAIN' END AS severity
+FROM (SELECT l_orderkey, l_linenumber, l_linenumber + 3 AS a, l_suppkey % 7 + 3 AS b FROM lineitem)""")
+def similarity_cases(t):
+    """Likeness of two runs of one letter, read unreliably."""
+    run = lambda n: F.repeat(F.lit("w"), n.cast("int"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", run(F.col("l_linenumber") + 3).alias("old"), run(F.col("l_suppkey") % 7 + 3).alias("new"))
+    out = _route(rows, F.lit(False), F.lit(False), F.lit(False), "old", "new")
+    return out.select("l_orderkey", "l_linenumber", F.round("c.alike", 9).alias("alike"), F.col("s").alias("severity"))
+
+
+@query("""SELECT l_orderkey, round(1 - coalesce(count(*) FILTER (l_returnflag = 'A') / nullif(count(*) FILTER (l_returnflag <> 'N'), 0)::DOUBLE, 0), 9) AS confidence FROM lineitem GROUP BY 1""")
+def stage_confidence(t):
+    """X19."""
+    s = F.when(F.col("l_returnflag") == "A", "UNCERTAIN").when(F.col("l_returnflag") == "R", "MATERIAL").otherwise("NONE")
+    return t.lineitem.groupBy("l_orderkey").agg(F.collect_list(s).alias("s")).select("l_orderkey", F.round(X.stage_confidence(F.col("s")), 9).alias("confidence"))

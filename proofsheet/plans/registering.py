@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from proofsheet.config import Pairwise
 from proofsheet.functions import boxes as B
 from proofsheet.operators import incremental as I
+from proofsheet.operators import pairs as PA
+from proofsheet.operators import review as R
 from proofsheet.operators import versions as A
 
 from .registry import query
@@ -106,17 +109,14 @@ def box_overlap(t):
 
 @query(f"""WITH {LI_BOXES}, p AS (SELECT a.l_orderkey * 8 + a.l_linenumber AS region_id, b.l_linenumber AS edit_pos, a.w * a.h AS aa, b.w * b.h AS ab,
   greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS inter
-  FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber), s AS (SELECT region_id, edit_pos, greatest(inter / (aa + ab - inter)::DOUBLE, inter / aa::DOUBLE) AS score FROM p)
+  FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 <> b.l_linenumber % 2), s AS (SELECT region_id, edit_pos, greatest(inter / (aa + ab - inter)::DOUBLE, inter / aa::DOUBLE) AS score FROM p)
 SELECT region_id, edit_pos, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY score DESC, edit_pos) AS n FROM s WHERE score > 0.3) WHERE n = 1""")
 def map_regions(t):
     """Regions and the edits they belong to."""
     rows = li_boxes(t).withColumn("box", B.box("x", "y", "w", "h"))
-    regions = rows.select("l_orderkey", F.col("l_linenumber").alias("own"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("region_id"), "box")
-    edits = rows.select("l_orderkey", F.col("l_linenumber").alias("edit_pos"), F.col("box").alias("edit_box"))
-    score = B.overlap_score(F.col("box"), F.col("edit_box"))
-    pairs = regions.join(edits, "l_orderkey").filter("own <> edit_pos").withColumn("score", score).filter("score > 0.3")
-    best = pairs.groupBy("region_id").agg(F.max_by(F.struct("edit_pos", "score"), F.struct("score", -F.col("edit_pos"))).alias("m"))
-    return best.select("region_id", "m.edit_pos", F.round("m.score", 9).alias("score"))
+    regions = rows.select("l_orderkey", F.pmod("l_linenumber", F.lit(2)).alias("side"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("region_id"), "box")
+    edits = rows.select("l_orderkey", F.pmod(F.col("l_linenumber") + 1, F.lit(2)).alias("side"), F.col("l_linenumber").alias("edit_pos"), F.col("box").alias("edit_box"))
+    return A.match_edits(regions, edits, ["l_orderkey", "side"]).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {LI_BOXES}, s AS (SELECT *, (l_linenumber + 3) / 8.0::DOUBLE AS k FROM l), c AS (SELECT l_orderkey, l_linenumber, k, w, h, greatest(0, least(round_even(x * k, 0)::BIGINT, 179)) AS sx, greatest(0, least(round_even(y * k, 0)::BIGINT, 139)) AS sy FROM s)
@@ -144,13 +144,18 @@ def collapse_global(t):
     return A.collapse_global(li_boxes(t).withColumnRenamed("l_orderkey", "image"), 300, 300, 4, 0.25)
 
 
-@query(f"""WITH {LI_BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY w * h DESC, y, x, l_linenumber) AS n FROM l)
-SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY y, x, w, h, l_linenumber)::BIGINT AS ordinal FROM r WHERE n <= 3""")
+@query(f"""WITH {LI_BOXES}, m AS (SELECT l_orderkey, l_orderkey % 11 = 3 AS palette, CASE l_orderkey % 5 WHEN 0 THEN 'HALTED' WHEN 1 THEN 'DEGRADED' ELSE 'OK' END AS registration FROM l GROUP BY 1),
+r AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY w * h / 90000.0::DOUBLE DESC, y, x) AS n FROM l JOIN m USING (l_orderkey) WHERE registration <> 'HALTED'),
+e AS (SELECT l_orderkey, 'REGION' AS kind, x::INTEGER AS x, y::INTEGER AS y, w::INTEGER AS w, h::INTEGER AS h FROM r WHERE n <= 3 UNION ALL SELECT l_orderkey, 'PALETTE', 0, 0, 0, 0 FROM m WHERE palette)
+SELECT l_orderkey AS pair_id, kind, x, y, w, h, row_number() OVER (PARTITION BY l_orderkey ORDER BY kind <> 'PALETTE', y, x, w, h)::INTEGER AS ordinal FROM e""")
 def capped_regions(t):
-    """The largest regions of each image in reading order."""
-    w = Window.partitionBy("l_orderkey")
-    top = li_boxes(t).withColumn("n", F.row_number().over(w.orderBy((F.col("w") * F.col("h")).desc(), "y", "x", "l_linenumber"))).filter("n <= 3")
-    return top.select("l_orderkey", "l_linenumber", F.row_number().over(w.orderBy("y", "x", "w", "h", "l_linenumber")).cast("long").alias("ordinal"))
+    """The largest regions of each pair in reading order, a recoloured pack before them; halted pairs have none."""
+    f = F.col
+    boxes = li_boxes(t).select("l_orderkey", *[f(c).cast("int").alias(c) for c in "xywh"], (f("w") * f("h") / F.lit(90000.0)).alias("area_fraction"), F.lit(None).cast("double").alias("ink"))
+    per = boxes.groupBy(f("l_orderkey").alias("pair_id")).agg(F.collect_list(F.struct(*"xywh", "area_fraction", "ink")).alias("regions"))
+    status = F.when(f("pair_id") % 5 == 0, "HALTED").when(f("pair_id") % 5 == 1, "DEGRADED").otherwise("OK")
+    measured = per.withColumns({"palette": f("pair_id") % 11 == 3, "registration": status})
+    return PA.regions_of(measured, Pairwise(max_regions=3)).select("pair_id", "kind", *"xywh", "ordinal")
 
 
 @query("""SELECT run_id, (SELECT max(run_id) FROM b_runs p WHERE p.run_id < r.run_id AND p.status = 'COMPLETE') AS previous_id FROM b_runs r""")
@@ -159,25 +164,24 @@ def previous_run(t):
     return I.previous_run(t.b_runs)
 
 
-CACHE = """d AS (SELECT doc_id % 400 AS path, doc_id // 400 AS run, doc_id, sha256(text) AS sha, doc_id % 3 AS cur, n_chars % 2 AS cfg, CASE WHEN n_chars % 10 = 0 THEN 'ERROR' ELSE 'PASS' END AS verdict FROM documents WHERE doc_id < 800),
-o AS (SELECT path, doc_id, CASE WHEN path % 2 = 0 THEN (SELECT sha FROM d x WHERE x.doc_id = d.doc_id + 400) ELSE sha END AS sha, cur, cfg, verdict FROM d WHERE run = 0)"""
+CACHE = """d AS (SELECT doc_id // 2 AS path, doc_id % 2 AS run, doc_id, sha256(text) AS sha, doc_id // 2 % 3 AS cur, n_chars // 3 % 2 AS cfg, CASE WHEN n_chars % 10 = 0 THEN 'ERROR' ELSE 'PASS' END AS verdict FROM documents),
+o AS (SELECT d.path, d.doc_id, CASE WHEN d.path % 2 = 0 THEN x.sha ELSE d.sha END AS sha, d.cur, d.cfg, d.verdict FROM d LEFT JOIN d x ON x.run = 1 AND x.path = d.path WHERE d.run = 0)"""
 
 
 def _cache_sides(t):
-    d = t.documents.filter("doc_id < 800").select((F.col("doc_id") % 400).alias("path"), F.floor(F.col("doc_id") / 400).alias("run"), "doc_id", F.sha2("text", 256).alias("sha"), (F.col("doc_id") % 3).alias("cur"), (F.col("n_chars") % 2).alias("cfg"), F.when(F.col("n_chars") % 10 == 0, "ERROR").otherwise("PASS").alias("verdict"))
+    """Two runs over all documents: even ids are a path's earlier run, odd ones its later run; half of the paths keep their content."""
+    d = t.documents.select(F.floor(F.col("doc_id") / 2).alias("path"), (F.col("doc_id") % 2).alias("run"), "doc_id", F.sha2("text", 256).alias("sha"), (F.floor(F.col("doc_id") / 2) % 3).alias("cur"), (F.floor(F.col("n_chars") / 3) % 2).alias("cfg"), F.when(F.col("n_chars") % 10 == 0, "ERROR").otherwise("PASS").alias("verdict"))
     new = d.filter("run = 1").select("path", "sha", "cur", "cfg")
     old = d.filter("run = 0").join(new.select("path", F.col("sha").alias("later")), "path", "left")
     old = old.select("path", F.when(F.col("path") % 2 == 0, F.col("later")).otherwise(F.col("sha")).alias("sha"), "cur", "cfg", "verdict", F.col("doc_id").alias("finding_id"))
     return new, old
 
 
-@query(f"""WITH {CACHE} SELECT n.path, coalesce(o.verdict <> 'ERROR' AND n.sha = o.sha AND (n.cur + 1) % 3 = (o.cur + 2) % 3 AND n.cfg = o.cfg, false) AS cached,
-  CASE WHEN o.verdict <> 'ERROR' AND n.sha = o.sha AND (n.cur + 1) % 3 = (o.cur + 2) % 3 AND n.cfg = o.cfg THEN o.doc_id END AS carried_id FROM d n LEFT JOIN o USING (path) WHERE n.run = 1""")
+@query(f"""WITH {CACHE} SELECT n.path, coalesce(o.verdict <> 'ERROR' AND n.sha = o.sha AND n.cur = o.cur AND n.cfg = o.cfg, false) AS cached,
+  CASE WHEN o.verdict <> 'ERROR' AND n.sha = o.sha AND n.cur = o.cur AND n.cfg = o.cfg THEN o.doc_id END AS carried_id FROM d n LEFT JOIN o USING (path) WHERE n.run = 1""")
 def cache_partition(t):
     """What a run can take over; the key has the configuration too."""
     new, old = _cache_sides(t)
-    new = new.withColumn("cur", (F.col("cur") + 1) % 3)
-    old = old.withColumn("cur", (F.col("cur") + 2) % 3)
     return I.partition_cached(new, old, ["sha", "cur", "cfg"]).select("path", "cached", "carried_id")
 
 
@@ -188,7 +192,7 @@ def carry_forward(t):
     new, old = _cache_sides(t)
     split = I.partition_cached(new, old, ["sha", "cfg"])
     kept = I.carry_forward(split, old.select("finding_id", "verdict"), F.lit(9).cast("long")).select("path", "finding_id", "verdict", "run_id")
-    docs = t.documents.filter("doc_id between 400 and 799").select((F.col("doc_id") % 400).alias("path"), F.col("doc_id").alias("finding_id"), F.when(F.col("n_chars") % 10 == 0, "ERROR").otherwise("PASS").alias("verdict"))
+    docs = t.documents.filter("doc_id % 2 = 1").select(F.floor(F.col("doc_id") / 2).alias("path"), F.col("doc_id").alias("finding_id"), F.when(F.col("n_chars") % 10 == 0, "ERROR").otherwise("PASS").alias("verdict"))
     done = split.filter("not cached").select("path").join(docs, "path").withColumn("run_id", F.lit(9).cast("long"))
     return kept.unionByName(done)
 
@@ -205,11 +209,11 @@ def emit_on_change(t):
     return I.on_change(t.events, ["user_id"], ["ts", "event_id"], ["event_type"]).select("event_id", "user_id", "event_type")
 
 
-@query("""SELECT doc_id, EXISTS (SELECT 1 FROM b_versions v WHERE v.product_id = d.source || '/' || d.lang AND v.version_id % 17 = 0) AS known FROM documents d""")
+@query("""SELECT doc_id, EXISTS (SELECT 1 FROM b_versions v WHERE v.product_id = d.source || '/' || d.lang AND v.flagged) AS known FROM documents d""")
 def known_products(t):
     """P5 J12."""
     inputs = t.documents.select("doc_id", F.concat_ws("/", "source", "lang").alias("product_id"))
-    known, rest = I.known_products(inputs, t.b_versions.filter("version_id % 17 = 0"))
+    known, rest = I.known_products(inputs, t.b_versions.filter("flagged"))
     return known.select("doc_id", F.lit(True).alias("known")).unionByName(rest.select("doc_id", F.lit(False).alias("known")))
 
 
@@ -220,7 +224,9 @@ def ranked_candidates(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax < 0.03 ORDER BY l_partkey, l_orderkey, l_linenumber LIMIT 50""")
+@query("""SELECT path, product_id, reason FROM (SELECT page_id AS path, split_part(url, '/', 3) AS product_id, CASE WHEN length(html) % 5 = 0 THEN 'empty' WHEN length(html) > 3000 THEN 'too large' END AS reason FROM pages) WHERE reason IS NOT NULL ORDER BY product_id, path LIMIT 50""")
 def task_order(t):
-    """Strictly under a limit, by product; the first fifty."""
-    return t.lineitem.filter("l_tax < 0.03").orderBy("l_partkey", "l_orderkey", "l_linenumber").limit(50).select("l_orderkey", "l_linenumber")
+    """Images of a product lie together in partitions, and the first fifty failures are reported."""
+    listed = t.pages.select(F.col("page_id").alias("path"), F.split_part("url", F.lit("/"), F.lit(3)).alias("product_id"), F.concat(F.col("page_id").cast("string"), F.lit(".png")).alias("name"), F.when(F.length("html") % 5 == 0, 0).otherwise(F.length("html")).alias("length"))
+    checked = I.by_product(R.upload_checks(listed, 3000), "path")
+    return I.first_failures(checked.withColumnRenamed("refused", "reason"), ["product_id", "path"]).select("path", "product_id", "reason")

@@ -24,16 +24,16 @@ ACKED = f"""acked AS (
 @query(f"""WITH {ACKED}, q AS (
   SELECT f.finding_id, f.run_id, f.product_id, p.name, f.verdict, f.severity, f.match_method, f.confidence, coalesce(k.region_count, 0)::BIGINT AS region_count, coalesce(k.acknowledged, false) AS acknowledged
   FROM b_findings f LEFT JOIN acked k USING (finding_id) LEFT JOIN b_products p USING (product_id)
-  WHERE f.verdict IN ('STALE_VERSION', 'ERROR') AND f.run_id <= 60 AND NOT coalesce(k.acknowledged, false))
-SELECT *, row_number() OVER (ORDER BY {SRANK.format("severity")} DESC, {VRANK.format("verdict")} DESC, product_id, finding_id)::BIGINT AS place FROM q
+  WHERE f.verdict IN ('STALE_VERSION', 'ERROR') AND NOT coalesce(k.acknowledged, false))
+SELECT *, row_number() OVER (ORDER BY {SRANK.format("severity")} DESC, {VRANK.format("verdict")} DESC, product_id, finding_id)::BIGINT AS place, count(*) OVER ()::BIGINT AS total FROM q
 ORDER BY place OFFSET 40 LIMIT 50""")
 def review_queue_page(t):
-    """A page of the queue."""
-    rows = R.queue_filter(t.b_findings.filter("run_id <= 60"), verdicts=["STALE_VERSION", "ERROR"])
+    """A page of the queue with the total."""
+    rows = R.queue_filter(t.b_findings, verdicts=["STALE_VERSION", "ERROR"])
     rows = R.queue_filter(R.with_acknowledgement(rows, t.b_regions, t.b_acks), acknowledged=False)
     rows = rows.join(t.b_products.select("product_id", "name"), "product_id", "left")
     top = R.page(rows, R.queue_order(), 40, 50)
-    return top.select("finding_id", "run_id", "product_id", "name", "verdict", "severity", "match_method", "confidence", "region_count", "acknowledged", "place")
+    return top.select("finding_id", "run_id", "product_id", "name", "verdict", "severity", "match_method", "confidence", "region_count", "acknowledged", "place", "total")
 
 
 @query(f"""WITH {ACKED}
@@ -91,11 +91,12 @@ def global_counts(t):
 
 
 @query(f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {SRANK.format("severity")} DESC, finding_id) AS n, count(*) OVER (PARTITION BY product_id) AS c
-  FROM b_findings WHERE verdict <> 'PASS' AND run_id = 30)
+  FROM b_findings WHERE verdict <> 'PASS' AND run_id = (SELECT max(run_id) FROM b_runs WHERE status = 'COMPLETE'))
 SELECT p.product_id, p.name, coalesce(o.c, 0)::BIGINT AS open_findings, o.finding_id AS worst_finding, o.severity AS worst_severity FROM b_products p LEFT JOIN o ON o.product_id = p.product_id AND o.n = 1""")
 def products_latest(t):
-    """Open and worst findings of each product."""
-    return R.open_by_product(t.b_findings, t.b_products, 30)
+    """Open and worst findings of each product in the latest complete run."""
+    latest = t.b_runs.filter("status = 'COMPLETE'").agg(F.max("run_id").alias("run_id"))
+    return R.open_by_product(t.b_findings.join(latest, "run_id", "left_semi"), t.b_products)
 
 
 @query("""SELECT product_id, name, brand FROM b_products WHERE name ILIKE '%re%' OR CAST(product_id AS VARCHAR) ILIKE '%re%' OR brand ILIKE '%re%' ORDER BY product_id LIMIT 500""")
@@ -139,16 +140,19 @@ def pair_verdict(t):
     return per.select("l_orderkey", V.pair_verdict(halt, "m", "u", "c").alias("verdict"))
 
 
-@query("""SELECT finding_id, field_key, severity, count(*)::BIGINT AS areas, min(ordinal)::INTEGER AS first, CASE WHEN count(*) > 1 THEN count(*) || ' areas' END AS note FROM b_regions GROUP BY 1, 2, 3""")
+@query("""SELECT finding_id, field_key, old_value, severity, count(*)::BIGINT AS areas, min(ordinal)::INTEGER AS first, CASE WHEN count(*) > 1 THEN count(*) || ' areas' END AS note
+FROM (SELECT *, CASE WHEN y % 2 = 0 THEN 'a' END AS old_value FROM b_regions) GROUP BY 1, 2, 3, 4""")
 def finding_groups(t):
-    """G25."""
-    return R.finding_groups(t.b_regions)
+    """By all that is said of a region."""
+    says = t.b_regions.withColumns({"old_value": F.when(F.col("y") % 2 == 0, "a"), "new_value": F.lit("b"), "edit_type": F.lit("TEXT"), "from_id": F.lit(1), "to_id": F.lit(2)})
+    return R.finding_groups(says).select("finding_id", "field_key", "old_value", "severity", "areas", "first", "note")
 
 
-@query("""SELECT verdict, count(*)::BIGINT AS n FROM b_findings WHERE run_id = (SELECT max(run_id) FROM b_runs WHERE run_id < 50 AND status = 'COMPLETE') GROUP BY 1""")
+@query("""SELECT verdict, count(*)::BIGINT AS n FROM b_findings WHERE run_id = (SELECT max(run_id) FROM b_runs WHERE run_id < (SELECT max(run_id) FROM b_runs) AND status = 'COMPLETE') GROUP BY 1""")
 def cli_counts(t):
-    """Verdicts of the complete run before the 50th."""
-    before = t.b_runs.filter("run_id < 50 and status = 'COMPLETE'").agg(F.max("run_id").alias("run_id"))
+    """Verdicts of the complete run before the last."""
+    last = t.b_runs.agg(F.max("run_id").alias("last"))
+    before = t.b_runs.join(F.broadcast(last)).filter("run_id < last and status = 'COMPLETE'").agg(F.max("run_id").alias("run_id"))  # one row
     return t.b_findings.join(before, "run_id", "left_semi").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
@@ -169,6 +173,19 @@ def acknowledge_upsert(t):
     return R.latest_wins(log, ["product_id", "slot"], [F.desc("ts"), F.desc("id")]).select("product_id", "slot", "decision", "id")
 
 
+@query(f"""WITH r AS (SELECT *, {SIG.format(p="")} AS signature FROM b_regions),
+one AS (SELECT product_id, signature, version_id FROM r WHERE finding_id % 3 = 0), two AS (SELECT product_id, signature, version_id FROM r WHERE finding_id % 5 = 0), gone AS (SELECT product_id, signature, version_id FROM r WHERE finding_id % 7 = 0)
+SELECT DISTINCT product_id, signature, version_id, CASE WHEN (product_id, signature, version_id) IN (SELECT product_id, signature, version_id FROM two) THEN 'ESCALATED' ELSE 'ACKNOWLEDGED' END AS decision
+FROM (SELECT * FROM one UNION SELECT * FROM two) k WHERE (product_id, signature, version_id) NOT IN (SELECT product_id, signature, version_id FROM gone)""")
+def acknowledge_cycle(t):
+    """findings signed off, others escalated over them, some taken back."""
+    regions = t.b_regions
+    ids = lambda k: regions.filter(F.col("finding_id") % k == 0).select("finding_id").distinct()
+    none = R.signed(regions).select("product_id", "signature", "version_id").withColumn("decision", F.lit("")).filter("false")
+    acks = R.acknowledged(R.acknowledged(none, regions, ids(3)), regions, ids(5), "ESCALATED")
+    return R.unacknowledged(acks, regions, ids(7)).select("product_id", "signature", "version_id", "decision")
+
+
 @query("""SELECT DISTINCT verdict, severity, match_method,
   CASE verdict WHEN 'PASS' THEN 'Current' WHEN 'STALE_VERSION' THEN 'Stale artwork' WHEN 'UNKNOWN_IMAGE' THEN 'Not identified' ELSE 'Failed' END AS verdict_label,
   CASE severity WHEN 'NONE' THEN 'None' WHEN 'COSMETIC' THEN 'Cosmetic' WHEN 'UNCERTAIN' THEN 'Uncertain' ELSE 'Material' END AS severity_label,

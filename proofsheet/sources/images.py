@@ -27,6 +27,14 @@ def run_inputs(listed: DataFrame, manifest: DataFrame | None = None) -> DataFram
     return listed.join(named, "name", "left").withColumn("product_id", F.coalesce("m_", product)).drop("m_")
 
 
+def paired(listed: DataFrame) -> DataFrame:
+    """Files (id, name) named `ref__<key>.<suffix>` and `mkt__<key>.<suffix>`: key, ref, mkt (the first id of each side), the side that is missing."""
+    pattern = r"^(ref|mkt)__(.+)\.\w+$"
+    named = listed.select("id", F.regexp_extract("name", pattern, 1).alias("side"), F.regexp_extract("name", pattern, 2).alias("key")).filter("side <> ''")
+    both = named.groupBy("key").agg(*[F.min(F.when(F.col("side") == s, F.col("id"))).alias(s) for s in ("ref", "mkt")])
+    return both.withColumn("missing", F.when(F.col("mkt").isNull(), "mkt").when(F.col("ref").isNull(), "ref"))
+
+
 def pixels(spark: SparkSession, path: str) -> DataFrame:
     """Decoded images: path and the struct of Spark's image source."""
     raw = spark.read.format("image").option("pathGlobFilter", f"*.{SUFFIXES}").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(path)

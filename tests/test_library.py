@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from proofsheet import config
 from proofsheet.functions import text as X
@@ -8,36 +9,110 @@ from proofsheet.kernels import geometry as G
 from proofsheet.kernels import regions as R
 
 
-@pytest.mark.parametrize("raw,want", [("450 mg", "450mg"), ("450mg", "450mg"), ("450 MG", "450mg"), ("450 gm", "450g"), ("450 grams", "450g"), ("12 Kcal", "12kcal"), ("12 calories", "12kcal"), ("450.0", "450"), (".5", "0.5"), ("0,5", "0.5"), ("1,250", "1250"), ("４５０ｍｇ", "450mg"), ("", ""), (None, ""), ("5 µg", "5ug")])
-def test_normalize(raw, want):
-    assert X.normalize(raw) == want
+NORMAL = [("450 mg", "450mg"), ("450mg", "450mg"), ("450 MG", "450mg"), ("450 gm", "450g"), ("450 grams", "450g"), ("12 Kcal", "12kcal"), ("12 calories", "12kcal"), ("450.0", "450"), (".5", "0.5"), ("0,5", "0.5"), ("1,250", "1250"), ("４５０ｍｇ", "450mg"), ("", ""), (None, ""), ("5 µg", "5ug")]
+NORMAL += [("(net) 12.50 g.", "net 12.5g"), ("5 g g", "5g g"), ("mg 5", "mg 5"), ("-3 ,", "-3 ,"), ("a–b  c\u00a0d", "a-b c d"), ("1234567.5 0.00001234 123456.7", "1.23457e+06 1.234e-05 123457"), ("l", "l"), ("litre", "l"), ("+,5%", "0.5%"), ("STRASSE straße", "strasse strasse")]
 
 
-@pytest.mark.parametrize("a,b,want", [("450", "45O", True), ("1l", "11", True), ("5S", "55", True), ("rnodern", "modern", True), ("450", "480", False), ("380", "480", False), ("a", "a", False)])
-def test_confusable(a, b, want):
-    assert X.confusable(a, b) == want
+def columns(spark, rows, schema, **exprs):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + schema).withColumns(exprs).orderBy("i").collect()
 
 
-@pytest.mark.parametrize("a,b,kind,severity", [
+def test_numbers_are_rounded_as_binary(spark):
+    r = np.random.default_rng(0)
+    values = [round(float(x), d) for x, d in zip(10 ** r.uniform(-4, 6, 3000), r.integers(1, 9, 3000), strict=True)]
+    values = [v for v in values if v >= 1e-4 and v != int(v)] + [58706.35, 95640.25, 999999.5, 0.1234565, 2.000005, 123456.5]
+    got = columns(spark, [(np.format_float_positional(v),) for v in values], "t string", n=X.normalized(F.col("t")))
+    assert [r.n for r in got] == [f"{v:g}" for v in values]
+
+
+def test_normalize(spark):
+    got = columns(spark, [(r,) for r, _ in NORMAL], "t string", n=F.coalesce(X.normalized(F.col("t")), F.lit("")))
+    assert [(r.t, r.n) for r in got] == NORMAL
+
+
+CONFUSED = [("450", "45O", True), ("1l", "11", True), ("5S", "55", True), ("rnodern", "modern", True), ("450", "480", False), ("380", "480", False), ("a", "a", False), ("O0", "0O", False), ("", "a", False)]
+STUTTERED = [("cocoa", "cocooa", True), ("aab", "aaab", True), ("ab", "abb", True), ("ab", "aab", True), ("ab", "abc", False), ("ab", "ab", False), ("", "a", False), ("abc", "axbc", False), ("abab", "abaab", True)]
+
+
+def test_misread_phrases(spark):
+    got = columns(spark, CONFUSED + STUTTERED, "a string, b string, want boolean", c=X.confusable(F.col("a"), F.col("b")), s=X.stuttered(F.col("a"), F.col("b")), t=X.stuttered(F.col("b"), F.col("a")))
+    assert [r.c for r in got[: len(CONFUSED)]] == [x[2] for x in CONFUSED]
+    assert [bool(r.s) for r in got[len(CONFUSED) :]] == [bool(r.t) for r in got[len(CONFUSED) :]] == [x[2] for x in STUTTERED]
+
+
+COMPARED = [
     ("sodium 450 mg", "sodium 480 mg", "NUMBER_CHANGED", "MATERIAL"),
     ("sodium 450 mg", "sodium 450.0 mg", "NO_DIFFERENCE", "NONE"),
     ("protein 12 g", "protein 12 gm", "NO_DIFFERENCE", "NONE"),
     ("sodium 450 mg", "sodium 450 g", "NUMBER_AND_UNIT_CHANGED", "MATERIAL"),
+    ("sodium 450 mg", "sodium 480 g", "NUMBER_AND_UNIT_CHANGED", "MATERIAL"),
     ("sodium 450 mg", "sodium 45O mg", "CONFUSABLE_CHARACTERS", "UNCERTAIN"),
     ("no added sugar", "no sugar", "TEXT_REMOVED", "MATERIAL"),
     ("no sugar", "no added sugar", "TEXT_ADDED", "MATERIAL"),
     ("added sugar", "added suga r", "NO_DIFFERENCE", "NONE"),
     ("coffee cocoa", "coffee cocooa", "CONFUSABLE_CHARACTERS", "UNCERTAIN"),
+    ("high protein , vegan", "high protein ; vegan", "PUNCTUATION_ONLY", "COSMETIC"),
+    ("high protein , vegan", "high protein vegan", "PUNCTUATION_ONLY", "COSMETIC"),
+    ("red wine", "blue wine", "TEXT_CHANGED", "MATERIAL"),
+    ("a , b c", "a ; b d", "TEXT_CHANGED", "MATERIAL"),
     ("", "", "NO_DIFFERENCE", "NONE"),
-])
-def test_compare(a, b, kind, severity):
-    got = X.compared(a, b)
-    assert (got["kind"], got["severity"]) == (kind, severity)
+    (None, "new", "TEXT_ADDED", "MATERIAL"),
+]
+
+
+def test_compare(spark):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(COMPARED)], "i int, a string, b string, kind string, severity string")
+    got = X.with_comparison(df, "a", "b").orderBy("i").collect()
+    assert [(r.comparison.kind, r.comparison.severity) for r in got] == [r[2:] for r in COMPARED]
+    assert [(d.kind, d.old, d.new) for d in got[13].comparison.differences] == [("PUNCTUATION_ONLY", ",", ";"), ("TEXT_CHANGED", "c", "d")]
+
+
+def test_quantities(spark):
+    got = columns(spark, [("480mg",), ("480",), ("protein",), ("1,5 GRAMS",), ("1,250 µg".replace("µ", "μ"),), ("",), (None,)], "t string", q=X.quantity(F.col("t")))
+    assert [r.q and tuple(r.q) for r in got] == [(480, "mg"), (480, ""), None, (1.5, "g"), (1250, "ug"), None, None]
+
+
+def plain_word_diff(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in reversed(range(len(x))):
+        for j in reversed(range(len(y))):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            out.append(("equal", x[i]))
+            i, j = i + 1, j + 1
+        elif i < len(x) and (j == len(y) or best[i + 1][j] >= best[i][j + 1]):
+            out.append(("delete", x[i]))
+            i += 1
+        else:
+            out.append(("insert", y[j]))
+            j += 1
+    return out
+
+
+def test_word_diff(monkeypatch):
+    assert X.word_diff("a b c", "a x c d") == [{"tag": "equal", "words": "a"}, {"tag": "delete", "words": "b"}, {"tag": "insert", "words": "x"}, {"tag": "equal", "words": "c"}, {"tag": "insert", "words": "d"}]
+    r = np.random.default_rng(0)
+    for rows in (1, 3, 7, 1024):
+        monkeypatch.setattr(X, "KEPT_ROWS", rows)
+        for _ in range(40):
+            x, y = (["abcd"[k] for k in r.integers(0, 4, r.integers(0, 25))] for _ in range(2))
+            got = [(run["tag"], w) for run in X.word_diff(" ".join(x), " ".join(y)) for w in run["words"].split()]
+            assert got == plain_word_diff(x, y)
 
 
-def test_parse_number_and_diff():
-    assert X.quantity("480mg") == (480, "mg") and X.quantity("480") == (480, "") and X.quantity("protein") is None
-    assert X.word_diff("a b c", "a x c d") == [{"tag": "equal", "words": "a"}, {"tag": "delete", "words": "b"}, {"tag": "insert", "words": "x"}, {"tag": "equal", "words": "c"}, {"tag": "insert", "words": "d"}]
+def test_word_diff_of_long_texts():
+    words = [f"w{i}" for i in np.random.default_rng(1).integers(0, 500, 12_000)]
+    edited = words[:4000] + ["x"] + words[4001:]
+    got = X.word_diff(" ".join(words), " ".join(edited))
+    assert [(r["tag"], len(r["words"].split())) for r in got] == [("equal", 4000), ("delete", 1), ("insert", 1), ("equal", 7999)]
+
+
+def test_natural_key(spark):
+    names = ["v2", "v10", "v010a", "a", "v99999999999999", "v100000000000000", "V1b", "v1"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(X.natural_key(F.col("n")), "n").collect()]
+    assert got == ["a", "v1", "V1b", "v2", "v10", "v010a", "v99999999999999", "v100000000000000"]
 
 
 def test_components_equal_flood_fill():
