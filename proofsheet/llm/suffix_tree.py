@@ -2,7 +2,7 @@
 
 A text is its words (lower-cased A-Z, runs of bytes other than ASCII white space) and one
 end. The tree's symbols are the words seen MIN_COUNT times or more, the end, and CLASSES
-classes of all other words by their last two bytes. Contexts of one and two symbols are
+classes of all other words by their last two bytes. Contexts of one to DEPTH symbols are
 retained if they occur MIN_COUNT times and their next symbols diverge enough from their
 suffix's (they predict each occurrence from the others better by DIVERGENCE nats in all); a
 context's distribution is smoothed with its suffix's, down to symbol frequencies.
@@ -10,12 +10,14 @@ A token is scored by the longest retained suffix of what precedes it; a rarer wo
 its share of its class, in which one place is kept for unknown words.
 
 All thresholds are counts, so that the tree grows with the input. It is never in one place:
-texts are stored as streams of word numbers, a row a batch. A batch sends its distinct words,
-then pairs and triples of symbols, packed by hash, one row for each part; a part adds up
-what it gets, and sends the counts back in the order in which they were asked for. A
-context's divergence is added up from the parts of its next symbols in the same way. Words
-are told apart by 56 bits of hash and their class, longer sequences by 64 bits. What goes to
-the driver or is broadcast are CLASSES numbers.
+texts are stored as streams of word numbers, a row a batch, in a table bucketed by batch that
+no later step moves. A batch sends its distinct words, then level by level its distinct
+sequences (a context and the next symbol), by hash, one row for each part; a part adds up what
+it gets and sends the counts back in the order in which they were asked for, naming for each
+sequence one batch that adds it to its context's divergence. Contexts are judged in the same
+way, by the sums of these. Words are told apart by 56 bits of hash and their class, longer
+sequences by 48 bits within their part. What goes to the driver or is broadcast are CLASSES
+numbers.
 
 Defined results: null or empty text is the end alone; a null id is not held out; repeated
 rows are counted each; without training rows all counts are 0 and symbols are equally
@@ -27,6 +29,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +37,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own, slices, stored, texts_of
+from .common import own, shared_dir, slices, stored, texts_of
 from .shingles import PLACES, mixed, word_hashes
 
 CLASSES = 256
-MIN_COUNT, MIN_ENTRY, DIVERGENCE, SMOOTH = 16, 2, 5.0, 32.0
-PART_BYTES, MOST_PARTS = 16 << 20, 1 << 16
+#: Bytes of text in a batch.
+SLICE_BYTES = 8 << 20
+DEPTH, MIN_COUNT, MIN_ENTRY, DIVERGENCE, SMOOTH = 3, 16, 2, 5.0, 32.0
+PART_BYTES = 16 << 20
 
 
 def held_out(col: str = "doc_id", of: int = 7, part: int = 2) -> Column:
@@ -74,123 +79,73 @@ def blended(n, size, listed, p):
     return (n + (size - listed + SMOOTH) * p) / (size + SMOOTH)
 
 
-BITS = 20
-
-
-class Level:
-    """Retained contexts of one length in memory: codes, counts, and what of their counts the listed entries hold."""
-
-    def __init__(self, rows: list):
-        rows = sorted(rows, key=lambda r: (r.s, -1 if r.y is None else r.y))
-        self.ctx = np.array(sorted({r.s for r in rows}), np.int64)
-        size = {r.s: r.ns for r in rows}
-        self.total = np.array([size[s] for s in self.ctx.tolist()], np.float64)
-        rows = [r for r in rows if r.y is not None]
-        place = np.searchsorted(self.ctx, np.array([r.s for r in rows], np.int64))
-        self.n = np.array([r.n for r in rows], np.float64)
-        self.listed = np.bincount(place, self.n, len(self.ctx)) if len(self.ctx) else np.zeros(0)
-        self.key = (place << BITS) + np.array([r.y for r in rows], np.int64)
-
-    def smooth(self, s: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Probabilities of y after contexts s, where retained, over the shorter contexts' p."""
-        if not len(self.ctx):
-            return p
-        at = np.minimum(np.searchsorted(self.ctx, s), len(self.ctx) - 1)
-        hit = np.flatnonzero(self.ctx[at] == s)
-        at, key = at[hit], (at[hit] << BITS) + y[hit]
-        n = np.zeros(len(hit))
-        if len(self.key):
-            e = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            n = np.where(self.key[e] == key, self.n[e], 0.0)
-        p = p.copy()
-        p[hit] = blended(n, self.total[at], self.listed[at], p[hit])
-        return p
-
-
-class Tree:
-    """Symbol frequencies and the levels of retained contexts, in memory: the small form of what the parts hold together."""
-
-    def __init__(self, counts: np.ndarray, levels: list[Level]):
-        self.root, self.levels = (counts + 1.0) / (counts.sum() + len(counts)), levels
-
-    def logs(self, y: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after the two before it."""
-        p = self.levels[0].smooth(one, y, self.root[y])
-        return np.log10(self.levels[1].smooth((two << BITS) + one, y, p))
-
-
 STREAMS = "slice long, doc_ids array<long>, held array<boolean>, starts binary, tokens binary, words binary"
 SENT = "kind int, part int, slice long, blob binary"
-#: Kinds of rows: counts of words, pairs and triples, contexts of pairs and triples (asked for and answered), their divergence, sums of a part.
-WORDS, PAIRS, OF_PAIRS, TRIPLES, OF_TRIPLES, GAINS, SUMS = range(7)
+#: Kinds of rows: sums of a part, counts of words; level 1, 2, ... of sequences; CONTEXTS + level of their contexts.
+SUMS, WORDS, CONTEXTS = -1, 0, 1000
+#: Bits of a sequence's hash.
+MASK = np.uint64((1 << 48) - 1)
 
 
-def _squeezed(*cols: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in cols))
+def _squeezed(*cols: np.ndarray, level: int = 3) -> bytes:
+    """Columns of one kind of numbers as byte planes, zstandard over all: high bytes of small numbers vanish."""
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in cols)
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
-def _plain(blob: bytes, kind: str = "<i8") -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+def _plain(blob: bytes, kind: str = "<i8", cols: int = 1) -> np.ndarray:
+    """The numbers of `cols` columns of equal length, side by side."""
+    raw, wide = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(cols, wide, len(raw) // (cols * wide)).transpose(0, 2, 1)).view(kind).ravel()
 
 
-def streams(docs: DataFrame) -> DataFrame:
+def streams(docs: DataFrame, parts: int) -> DataFrame:
     """The texts as STREAMS: a row of each batch has its distinct words and each token's number among them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", SLICE_BYTES):
             flat, starts = hashes(texts_of(batch))
             words, at, n = np.unique(flat, return_inverse=True, return_counts=True)
             order = np.argsort(-n, kind="stable")  # low numbers for frequent words
             words, at = words[order], np.argsort(order)[at]
-            cols = [[uuid.uuid4().int >> 65], [batch["doc_id"].to_pylist()], [batch["held_out"].to_pylist()], [_squeezed(starts.astype("<i8"))], [_squeezed(at.astype("<u4"))], [_squeezed(words)]]
+            cols = [[uuid.uuid4().int >> 65], [batch["doc_id"].to_pylist()], [batch["held_out"].to_pylist()], [_squeezed(starts.astype("<i8"))], [_squeezed(at.astype("<u4"), level=9)], [_squeezed(words)]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in STREAMS.split(", ")])
 
-    return stored(docs.select("doc_id", "text", "held_out").mapInArrow(make, STREAMS), "streams")
+    # bucketed by slice, so that later steps bring the answers to it and leave it where it is
+    spark, name = docs.sparkSession, f"streams_{uuid.uuid4().hex}"
+    made = docs.select("doc_id", "text", "held_out").mapInArrow(make, STREAMS)
+    made.write.bucketBy(parts, "slice").option("path", shared_dir(spark, "streams")).saveAsTable(name)
+    return spark.table(name)
 
 
 def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part of each key, and an order of the keys by part."""
+    """Part of each key, and an order of the keys by part and value."""
     part = ((mixed(keys.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    return part, np.argsort(part, kind="stable")
+    return part, np.lexsort((keys.view(np.uint64), part))
 
 
-def _sent(kind: int, mark: int | None, parts: int, keys: np.ndarray, *cols: np.ndarray) -> list[tuple]:
-    """Rows (SENT) of keys and 8-byte columns, one for each part."""
-    if not len(keys):
-        return []
-    part, order = _dealt(keys, parts)
-    part, rows = part[order], np.stack([x[order].view(np.int64) for x in (keys, *cols)])
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences, which are smaller."""
+    return np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+
+
+def _summed(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.view(np.uint64), dtype=np.uint64).view(np.int64)
+
+
+def _spans(part: np.ndarray) -> list[tuple[int, int]]:
     at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-    return [(kind, int(part[s]), mark, _squeezed(rows[:, s:e])) for s, e in zip(at, at[1:], strict=False)]
+    return list(zip(at, at[1:], strict=False))
 
 
-def _sent_grams(kind: int, mark: int, parts: int, keys: np.ndarray, n: np.ndarray, p: np.ndarray, of: np.ndarray, ctx: np.ndarray, size: np.ndarray) -> list[tuple]:
-    """Rows (SENT) of pairs or triples, one for each part, with their contexts (ctx[of]) and those contexts' counts once."""
+def _sent(kind: int, mark: int | None, parts: int, keys: np.ndarray, *cols: np.ndarray) -> list[tuple]:
+    """Rows (SENT) of keys and 8-byte columns, one for each part."""
     if not len(keys):
         return []
     part, order = _dealt(keys, parts)
-    part, out = part[order], []
-    at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-    for s, e in zip(at, at[1:], strict=False):
-        rows = order[s:e]
-        used, place = np.unique(of[rows], return_inverse=True)
-        head = np.array([len(rows), len(used)], "<i8")
-        out.append((kind, int(part[s]), mark, _squeezed(head, keys[rows], ctx[used], size[used].astype("<i8"), n[rows].astype("<u4"), place.astype("<u4"), p[rows].astype("<f4"))))
-    return out
-
-
-def _asked_grams(rows: list[tuple]) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
-    """Keys, contexts, counts, contexts' counts and probabilities of all rows, and each row's slice and length."""
-    cols, sizes = [], []
-    for mark, b in rows:
-        raw = _plain(b, "u1")
-        m, u = raw[:16].view("<i8").tolist()
-        longs, rest = raw[16 : 16 + 8 * (m + 2 * u)].view("<i8"), raw[16 + 8 * (m + 2 * u) :].view("<u4")
-        place = rest[m : 2 * m]
-        cols.append((longs[:m], longs[m : m + u][place], rest[:m], longs[m + u :][place], rest[2 * m :].view("<f4")))
-        sizes.append((mark, m))
-    return [np.concatenate(c) for c in zip(*cols, strict=True)], sizes
+    part, keys, cols = part[order], keys[order], [x[order].view(np.int64) for x in cols]
+    return [(kind, int(part[s]), mark, _squeezed(_steps(keys[s:e]), *(c[s:e] for c in cols))) for s, e in _spans(part)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -217,7 +172,9 @@ def _by_part(sent: DataFrame, parts: int, answer) -> DataFrame:
 
 def _asked(rows: list[tuple], cols: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """All rows' columns side by side, and each row's slice and length."""
-    blobs = [_plain(b).reshape(cols, -1) for _, b in rows]
+    blobs = [_plain(b, "<i8", cols).reshape(cols, -1).copy() for _, b in rows]
+    for x in blobs:
+        x[0] = _summed(x[0])
     return np.concatenate(blobs, 1), [(mark, x.shape[1]) for (mark, _), x in zip(rows, blobs, strict=True)]
 
 
@@ -237,46 +194,29 @@ def count_words(part: int, held: dict) -> list[tuple]:
     return [(SUMS, part, None, _squeezed(np.concatenate(sums).astype("<i8"))), *_answers(WORDS, part, sizes, c[at])]
 
 
-def count_grams(kind: int, parts: int):
-    def answer(part: int, held: dict) -> list[tuple]:
-        """Counts of a part's pairs or triples, and what they add to their contexts' divergence and listed counts; contexts asked for are handed on."""
-        out = [(k, part, mark, b) for k, rows in held.items() if k != kind for mark, b in rows]
-        if kind not in held:
-            return out
-        (keys, ctx, n, size, p), sizes = _asked_grams(held[kind])
-        grams, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        c = np.bincount(at, n, len(grams))
-        seen = np.flatnonzero(c)
-        n, ctx, size, p = c[seen], ctx[first[seen]], size[first[seen]], p[first[seen]].astype(np.float64)
-        # each occurrence against the counts without it, so that a sparse context gains nothing by chance
-        gain = n * np.log((n - 1 + SMOOTH * p) / (size - 1 + SMOOTH) / p)
-        ctx, of = np.unique(ctx, return_inverse=True)
-        gains = np.bincount(of, gain, len(ctx)), np.bincount(of, np.where(n >= MIN_ENTRY, n, 0), len(ctx))
-        return [*out, *_answers(kind, part, sizes, c[at]), *_sent(GAINS, None, parts, ctx, *gains)]
-
-    return answer
-
-
-def retain(kind: int):
-    def answer(part: int, held: dict) -> list[tuple]:
-        """Listed counts of the contexts asked for, -1 for those that aren't retained."""
-        if kind not in held:
-            return []
-        (keys,), sizes = _asked(held[kind], 1)
-        value = np.full(len(keys), -1.0)
-        if GAINS in held:
-            (ctx, gain, listed), _ = _asked(held[GAINS], 3)
-            ctx, of = np.unique(ctx, return_inverse=True)
-            gain, listed = (np.bincount(of, x.view(np.float64), len(ctx)) for x in (gain, listed))
-            at = np.minimum(np.searchsorted(ctx, keys), len(ctx) - 1)
-            value = np.where((ctx[at] == keys) & (gain[at] >= DIVERGENCE), listed[at], -1.0)
-        return _answers(kind, part, sizes, value)
-
-    return answer
+def count_grams(kind: int, part: int, rows: list[tuple]) -> list[tuple]:
+    """Twice the counts of a part's sequences, and one more for the first batch that asked."""
+    (keys, n), sizes = _asked(rows, 2)
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    mine = np.zeros(len(keys), np.int64)
+    mine[first] = 1
+    return _answers(kind, part, sizes, 2 * np.bincount(at, n, len(first)).astype(np.int64)[at] + mine)
+
+
+def retain(kind: int, part: int, rows: list[tuple]) -> list[tuple]:
+    """Listed counts of the contexts asked for, -1 for those whose divergence, from all batches, is too small."""
+    (keys, gain, listed), sizes = _asked(rows, 3)
+    ctx, at = np.unique(keys, return_inverse=True)
+    gain, listed = np.bincount(at, gain.view(np.float64), len(ctx)), np.bincount(at, listed, len(ctx))
+    return _answers(kind, part, sizes, np.where(gain >= DIVERGENCE, listed, -1.0)[at])
+
+
+def meet(part: int, held: dict) -> list[tuple]:
+    return [row for kind, rows in held.items() for row in (retain if kind > CONTEXTS else count_grams)(kind, part, rows)]
 
 
 class Slice:
-    """A batch of texts with what was answered so far: symbols, then pairs and triples of them with their counts."""
+    """A batch of texts with what was answered so far: symbols, then sequences of each length with their counts."""
 
     def __init__(self, row: tuple, answers: dict[int, list[bytes]], parts: int):
         self.mark, self.doc_ids, self.held, starts, tokens, words = row
@@ -284,9 +224,9 @@ class Slice:
         self.answers, self.parts, self.tokens = answers, parts, _plain(tokens, "<u4").astype(np.int64)
         self.trained = np.repeat(~np.array(self.held, bool), np.diff(self.starts))
 
-    def answered(self, kind: int, keys: np.ndarray, at: np.ndarray, m: int, other: float) -> np.ndarray:
-        """What was answered for the keys at these places of m, `other` elsewhere."""
-        out = np.full(m, other)
+    def answered(self, kind: int, keys: np.ndarray, at: np.ndarray, other: int) -> np.ndarray:
+        """What was answered for the keys at these places, `other` elsewhere."""
+        out = np.full(len(keys), other, np.int64)
         if len(at):
             out[at[_dealt(keys[at], self.parts)[1]]] = np.concatenate([_plain(b) for b in self.answers[kind]])
         return out
@@ -298,77 +238,96 @@ class Slice:
         return _sent(WORDS, self.mark, self.parts, self.words, self.count(self.tokens, len(self.words)))
 
     def find_symbols(self, sums: np.ndarray) -> None:
-        self.c = self.answered(WORDS, self.words, np.arange(len(self.words)), len(self.words), 0.0)
+        self.c = self.answered(WORDS, self.words, np.arange(len(self.words)), 0)
         rare, kind = (self.c < MIN_COUNT) & (self.words != END), self.words & (CLASSES - 1)
         self.share = np.where(rare, np.log10((self.c + 1.0) / (sums[kind] + sums[CLASSES + kind] + 1.0)), 0.0)  # of all a class's words, each once more, and one unknown
         self.symbols, of = np.unique(np.where(rare, kind, self.words), return_inverse=True)
-        self.size = np.zeros(len(self.symbols))
-        self.size[of] = np.where(rare, sums[kind], self.c)
-        self.total, self.root = sums[-3], (self.size + 1.0) / (sums[-3] + sums[-1] + CLASSES)
-        self.end, self.y = of[np.flatnonzero(self.words == END)[0]], of[self.tokens]
-
-    def find_pairs(self) -> None:
-        m, one = len(self.symbols), np.concatenate([[self.end], self.y[:-1]])
-        one[self.starts[:-1]] = self.end  # ends stand before a text
-        codes, self.pair = np.unique(one * m + self.y, return_inverse=True)
-        self.left, self.right = codes // m, codes % m
-        raw = self.symbols.view(np.uint64)
-        self.pair_keys = mixed(raw[self.left] * PLACES[0] + raw[self.right] * PLACES[1]).view(np.int64)
-        self.wide_pairs, self.contexts = np.flatnonzero(self.size[self.left] >= MIN_COUNT), np.flatnonzero(self.size >= MIN_COUNT)
-
-    def asks_pairs(self) -> list[tuple]:
-        at = self.wide_pairs
-        n, p = self.count(self.pair, len(self.left))[at], self.size[self.right[at]] / max(self.total, 1)
-        return _sent_grams(PAIRS, self.mark, self.parts, self.pair_keys[at], n, p, self.left[at], self.symbols, self.size) + _sent(OF_PAIRS, self.mark, self.parts, self.symbols[self.contexts])
-
-    def find_triples(self) -> None:
-        m, k = len(self.symbols), len(self.left)
-        self.n_pairs = self.answered(PAIRS, self.pair_keys, self.wide_pairs, k, 0.0)
-        two = np.concatenate([[k], self.pair[:-1]])
-        two[self.starts[:-1]] = k  # number k is the pair of ends before a text
-        codes, first, self.triple = np.unique(two * m + self.y, return_index=True, return_inverse=True)
-        self.before, self.shorter = codes // m, self.pair[first]
-        ends = mixed(END.view(np.uint64) * PLACES[0:1] + END.view(np.uint64) * PLACES[1:2]).view(np.int64)
-        self.before_keys, self.before_size = np.append(self.pair_keys, ends), np.append(self.n_pairs, self.size[self.end])
-        self.triple_keys = mixed(self.before_keys.view(np.uint64)[self.before] * PLACES[2] + self.symbols.view(np.uint64)[codes % m] * PLACES[3]).view(np.int64)
-        self.wide_triples, self.longer = np.flatnonzero(self.before_size[self.before] >= MIN_COUNT), np.flatnonzero(self.before_size >= MIN_COUNT)
-
-    def asks_triples(self) -> list[tuple]:
-        at, shorter = self.wide_triples, self.shorter[self.wide_triples]
-        n, p = self.count(self.triple, len(self.before))[at], self.n_pairs[shorter] / self.size[self.left[shorter]]
-        return _sent_grams(TRIPLES, self.mark, self.parts, self.triple_keys[at], n, p, self.before[at], self.before_keys, self.before_size) + _sent(OF_TRIPLES, self.mark, self.parts, self.before_keys[self.longer])
+        size = np.zeros(len(self.symbols))
+        size[of] = np.where(rare, sums[kind], self.c)
+        self.total, self.root = sums[-3], (size + 1.0) / (sums[-3] + sums[-1] + CLASSES)
+        self.end = of[np.flatnonzero(self.words == END)[0]]
+        # of each level: every token's sequence, its count, its key, its probability by frequency
+        self.gram, self.n, self.keys, self.p = [of[self.tokens]], [size], [self.symbols], [size / max(self.total, 1)]
+        self.of, self.shorter, self.mine, self.wide, self.contexts, self.sizes, self.names = ([None] for _ in range(7))
+
+    def find(self, level: int) -> None:
+        """The sequences of `level` symbols and the next one."""
+        m, k, y = len(self.symbols), len(self.n[-1]), self.gram[0]
+        before, names, sizes = np.concatenate([[0], self.gram[-1][:-1]]), self.keys[-1], self.n[-1]
+        if level == 1:
+            before[self.starts[:-1]] = self.end  # ends stand before a text
+        else:
+            before[self.starts[:-1]] = k
+            names, sizes = np.append(names, _joined(self.ends, END)), np.append(sizes, self.n[0][self.end])
+        self.ends = END if level == 1 else names[-1]
+        codes, first, gram = np.unique(before * m + y, return_index=True, return_inverse=True)
+        of = codes // m
+        wide = np.flatnonzero(sizes[of] >= MIN_COUNT)
+        for line, x in zip((self.of, self.shorter, self.wide, self.contexts, self.sizes, self.names), (of, self.gram[-1][first], wide, np.unique(of[wide]), sizes, names), strict=True):
+            line.append(x)
+        self.gram.append(gram)
+        self.keys.append(_joined(names[of], self.symbols[codes % m]))
+
+    def asks_grams(self, level: int) -> list[tuple]:
+        at = self.wide[level]
+        return _sent(level, self.mark, self.parts, self.keys[level][at], self.count(self.gram[level], len(self.of[level]))[at])
+
+    def learn(self, level: int) -> None:
+        """Counts of the sequences, as answered."""
+        found = self.answered(level, self.keys[level], self.wide[level], 0)
+        self.n.append((found >> 1).astype(np.float64))
+        self.mine.append((found & 1) == 1)
+        self.p.append(self.n[level] / np.maximum(self.sizes[level][self.of[level]], 1))
+
+    def asks_contexts(self, level: int) -> list[tuple]:
+        """This batch's part of the contexts' divergence: each occurrence against the counts without it, so that a sparse context gains nothing by chance."""
+        of, m = self.of[level], len(self.sizes[level])
+        at = np.flatnonzero(self.mine[level] & (self.n[level] > 0))
+        n, size, p = self.n[level][at], self.sizes[level][of[at]], self.p[level - 1][self.shorter[level][at]]
+        gain = np.bincount(of[at], n * np.log((n - 1 + SMOOTH * p) / (size - 1 + SMOOTH) / p), m)
+        listed = np.bincount(of[at], np.where(n >= MIN_ENTRY, n, 0), m)
+        asked = self.contexts[level]
+        return _sent(CONTEXTS + level, self.mark, self.parts, self.names[level][asked], gain[asked].astype("<f4").astype("<f8"), listed[asked].astype(np.int64))
+
+    def upto(self, level: int, sums: np.ndarray, learned: int) -> "Slice":
+        self.find_symbols(sums)
+        for k in range(1, level + 1):
+            self.find(k)
+            if k <= learned:
+                self.learn(k)
+        return self
 
     def logs(self) -> np.ndarray:
-        """log10 probability of each token's symbol after the two before it."""
-        listed = self.answered(OF_PAIRS, self.symbols, self.contexts, len(self.symbols), -1.0)[self.left]
-        p = np.where(listed >= 0, blended(np.where(self.n_pairs >= MIN_ENTRY, self.n_pairs, 0), self.size[self.left], listed, self.root[self.right]), self.root[self.right])[self.shorter]
-        n = self.answered(TRIPLES, self.triple_keys, self.wide_triples, len(self.before), 0.0)
-        listed = self.answered(OF_TRIPLES, self.before_keys, self.longer, len(self.before_keys), -1.0)[self.before]
-        p = np.where(listed >= 0, blended(np.where(n >= MIN_ENTRY, n, 0), self.before_size[self.before], listed, p), p)
-        return np.log10(p)[self.triple]
+        """log10 probability of each token's symbol after what precedes it."""
+        p = self.root
+        for level in range(1, len(self.n)):
+            of, n, shorter = self.of[level], self.n[level], p[self.shorter[level]]
+            listed = self.answered(CONTEXTS + level, self.names[level], self.contexts[level], -1)[of]
+            p = np.where(listed >= 0, blended(np.where(n >= MIN_ENTRY, n, 0), self.sizes[level][of], listed, shorter), shorter)
+        return np.log10(p)[self.gram[-1]]
+
+
+def _joined(context: np.ndarray | np.int64, symbol: np.ndarray | np.int64) -> np.ndarray:
+    """Keys of contexts with a further symbol."""
+    a, b = (np.atleast_1d(np.asarray(x, np.int64)).view(np.uint64) for x in (context, symbol))
+    return (mixed(a * PLACES[0] + b * PLACES[1]) & MASK).view(np.int64)
 
 
 def _over(stream: DataFrame, answers: list[DataFrame], parts: int, run, schema: str) -> DataFrame:
     """The batches that run(slice) gives for each row of stream with all its answers."""
-    rows = stream.withColumns({"kind": F.lit(-1), "part": F.lit(0)})
-    for a in answers:
-        rows = rows.unionByName(a, allowMissingColumns=True)
+    rows = stream
     if answers:
-        rows = rows.repartition(parts, "slice").sortWithinPartitions("slice", "kind", "part")
-    names = [c.split()[0] for c in STREAMS.split(", ")]
+        every = reduce(DataFrame.unionByName, answers)
+        rows = stream.join(every.groupBy("slice").agg(F.collect_list(F.struct("kind", "part", "blob")).alias("answers")).hint("shuffle_merge"), "slice", "left")
+    names, answered = [c.split()[0] for c in STREAMS.split(", ")], bool(answers)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, found = None, {}
         for batch in batches:
-            for i, kind in enumerate(batch["kind"].to_pylist()):
-                if kind >= 0:
-                    found.setdefault(kind, []).append(batch["blob"][i].as_py())
-                    continue
-                if row:
-                    yield run(Slice(row, found, parts))
-                row, found = tuple(batch[c][i].as_py() for c in names), {}
-        if row:
-            yield run(Slice(row, found, parts))
+            for i in range(batch.num_rows):
+                found: dict[int, list[bytes]] = {}
+                for a in sorted(batch["answers"][i].as_py() or [], key=lambda a: a["part"]) if answered else []:
+                    found.setdefault(a["kind"], []).append(a["blob"])
+                yield run(Slice(tuple(batch[c][i].as_py() for c in names), found, parts))
 
     return rows.mapInArrow(each, schema)
 
@@ -376,44 +335,34 @@ def _over(stream: DataFrame, answers: list[DataFrame], parts: int, run, schema:
 ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows not held out."""
     docs = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = min(MOST_PARTS, max(1, math.ceil(size / PART_BYTES)))
-    stream = streams(docs)
+    # fewer buckets than shuffle partitions would be dealt anew
+    parts = max(1, math.ceil(size / PART_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    stream = streams(docs, parts)
     words = _by_part(_over(stream, [], parts, lambda s: _batch(s.asks_words()), SENT), parts, count_words)
     sums = np.zeros(2 * CLASSES + 3)
     for r in words.filter(F.col("kind") == SUMS).select("blob").toLocalIterator():  # CLASSES numbers a part
         sums += _plain(r.blob)
+    answers = [words.filter(F.col("kind") == WORDS)]
+
+    def asks(level: int):
+        def run(s: Slice) -> pa.RecordBatch:
+            s.upto(min(level, depth), sums, level - 1)
+            return _batch((s.asks_grams(level) if level <= depth else []) + (s.asks_contexts(level - 1) if level > 1 else []))
+
+        return run
 
-    def of(answers: DataFrame, *kinds: int) -> DataFrame:
-        return answers.filter(F.col("kind").isin(*kinds))
-
-    def pairs_of(s: Slice) -> pa.RecordBatch:
-        s.find_symbols(sums)
-        s.find_pairs()
-        return _batch(s.asks_pairs())
-
-    def triples_of(s: Slice) -> pa.RecordBatch:
-        s.find_symbols(sums)
-        s.find_pairs()
-        s.find_triples()
-        return _batch(s.asks_triples())
-
-    counts = of(words, WORDS)
-    pairs = _by_part(_over(stream, [counts], parts, pairs_of, SENT), parts, count_grams(PAIRS, parts))
-    of_pairs = _by_part(of(pairs, OF_PAIRS, GAINS), parts, retain(OF_PAIRS))
-    triples = _by_part(_over(stream, [counts, of(pairs, PAIRS)], parts, triples_of, SENT), parts, count_grams(TRIPLES, parts))
-    of_triples = _by_part(of(triples, OF_TRIPLES, GAINS), parts, retain(OF_TRIPLES))
+    for level in range(1, depth + 2):  # the contexts of a level go with the sequences of the next
+        answers.append(_by_part(_over(stream, answers, parts, asks(level), SENT), parts, meet))
     total, distinct = int(sums[-3]), int(sums[-2])
 
     def score(s: Slice) -> pa.RecordBatch:
-        s.find_symbols(sums)
-        s.find_pairs()
-        s.find_triples()
+        s.upto(depth, sums, depth)
         n = np.diff(s.starts)
         base, known, line = (np.add.reduceat(x, s.starts[:-1]) for x in (np.log10(s.c + 1.0)[s.tokens], (s.c > 0).astype(np.int64)[s.tokens], s.logs() + s.share[s.tokens]))
         return _arrays(ROWS, s.doc_ids, s.held, n, known, np.full(len(n), total), base - n * math.log10(total + distinct + 1), line)
 
-    return _over(stream, [counts, of(pairs, PAIRS), of(of_pairs, OF_PAIRS), of(triples, TRIPLES), of(of_triples, OF_TRIPLES)], parts, score, ROWS)
+    return _over(stream, answers, parts, score, ROWS)

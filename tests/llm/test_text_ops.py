@@ -59,23 +59,6 @@ def test_suffix_tree_scores(spark, clashing, empty):
     assert suffix_tree.score_documents(empty).count() == 0
 
 
-def test_tree_is_a_distribution():
-    r = np.random.default_rng(0)
-    m = 40
-    counts = r.integers(0, 50, m)
-
-    class Row:
-        def __init__(self, s, y, n, ns):
-            self.s, self.y, self.n, self.ns = s, y, n, ns
-
-    one = [Row(s, y, int(k), 300) for s in range(0, m, 3) for y, k in zip(r.choice(m, 6, replace=False).tolist(), r.integers(2, 50, 6), strict=True)]
-    two = [Row((4 << suffix_tree.BITS) + 3, 7, 9, 20), Row((5 << suffix_tree.BITS) + 1, None, None, 30)]
-    tree = suffix_tree.Tree(counts, [suffix_tree.Level(one), suffix_tree.Level(two)])
-    for x, z in [(3, 4), (1, 5), (2, 2), (0, 9)]:
-        p = 10 ** tree.logs(np.arange(m), np.full(m, x), np.full(m, z))
-        assert abs(p.sum() - 1) < 1e-9
-
-
 def test_mixing(spark, clashing, empty):
     got = mixing.mix(clashing).collect()
     again = mixing.mix(clashing).collect()

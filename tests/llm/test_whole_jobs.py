@@ -25,45 +25,54 @@ def brute_tree(rows):
         size[sym[w]] += c[w]
         kinds[sym[w]] += c[w] > 0
     total, m = sum(c.values()), S.CLASSES + len({s for w, s in sym.items() if s == w})
-    grams = [defaultdict(Counter), defaultdict(Counter)]
+    depth = S.DEPTH
+    grams = [defaultdict(Counter) for _ in range(depth)]
 
     def steps(t):
-        y = [end, end, *(sym[w] for w in t)]
-        return [((y[i - 1],), (end if i == 2 else y[i - 2], y[i - 1]), y[i]) for i in range(2, len(y))]
+        """Of each token the contexts of 1 to depth symbols before it, and its symbol."""
+        y = [end] * depth + [sym[w] for w in t]
+        return [([tuple(y[i - k : i]) for k in range(1, depth + 1)], y[i]) for i in range(depth, len(y))]
 
     for _, t, h in texts:
-        for one, two, y in [] if h else steps(t):
-            grams[0][one][y] += 1
-            grams[1][two][y] += 1
-    kept = [{}, {}]
-    for level in (0, 1):
+        for contexts, y in [] if h else steps(t):
+            for level, s in enumerate(contexts):
+                grams[level][s][y] += 1
+    kept = [{} for _ in range(depth)]
+    for level in range(depth):
         for s, ys in grams[level].items():
-            up = grams[0][s[1:]] if level else size
+            up = grams[level - 1][s[1:]] if level else size
             n, nt = sum(ys.values()), sum(up.values())
             if n >= S.MIN_COUNT and sum(k * math.log((k - 1 + S.SMOOTH * up[y] / nt) / (n - 1 + S.SMOOTH) / (up[y] / nt)) for y, k in ys.items()) >= S.DIVERGENCE:
                 kept[level][s] = n, {y: k for y, k in ys.items() if k >= 2}
+
+    def probability(contexts, y):
+        p = (size[y] + 1) / (total + m)
+        for level, s in enumerate(contexts):
+            if s in kept[level]:
+                n, ys = kept[level][s]
+                p = (ys.get(y, 0) + (n - sum(ys.values()) + S.SMOOTH) * p) / (n + S.SMOOTH)
+        return p
+
     out = []
     for d, t, _ in texts:
         score = 0.0
-        for w, (one, two, y) in zip(t, steps(t), strict=True):
-            p = (size[y] + 1) / (total + m)
-            for level, s in enumerate((one, two)):
-                if s in kept[level]:
-                    n, ys = kept[level][s]
-                    p = (ys.get(y, 0) + (n - sum(ys.values()) + S.SMOOTH) * p) / (n + S.SMOOTH)
-            score += math.log10(p) + (math.log10((c[w] + 1) / (size[y] + kinds[y] + 1)) if y != w else 0)
+        for w, (contexts, y) in zip(t, steps(t), strict=True):
+            score += math.log10(probability(contexts, y)) + (math.log10((c[w] + 1) / (size[y] + kinds[y] + 1)) if y != w else 0)
         out.append((d, score))
+    every = set(range(S.CLASSES)) | {s for w, s in sym.items() if s == w}
+    for contexts, _ in steps(texts[-1][1]):  # a distribution after any context
+        assert abs(sum(probability(contexts, y) for y in every) - 1) < 1e-9
     return out, kept
 
 
 def test_suffix_tree_equals_brute_force(spark):
     r = np.random.default_rng(0)
     rows = [row[:2] for row in edge_rows()]
-    for i in range(300):  # the third word depends on both before it
-        a, b = r.integers(0, 2, 2).tolist()
-        rows.append((100 + i, f"x{a} y{b} z{a ^ b} rare{i}"))
+    for i in range(600):  # the fourth word depends on all three before it
+        a, b, c = r.integers(0, 2, 3).tolist()
+        rows.append((100 + i, f"x{a} y{b} v{c} z{a ^ b ^ c} p{a} q{b} s{a ^ b} rare{i}"))
     want, kept = brute_tree(rows)
-    assert kept[0] and kept[1]
+    assert all(kept)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter((r.doc_id, round(r.score, 4)) for r in suffix_tree.score_documents(docs).collect())
     assert got == Counter((d, round(s, 4)) for d, s in want)
