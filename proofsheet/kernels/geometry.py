@@ -133,8 +133,12 @@ def corners(grey: np.ndarray, most: int = 400, apart: int = 5) -> np.ndarray:
     from .regions import dilate
 
     gy, gx = np.gradient(grey.astype(np.float32))
-    k = np.ones(5) / 5
-    blur = lambda a: np.apply_along_axis(np.convolve, 1, np.apply_along_axis(np.convolve, 0, a, k, "same"), k, "same")
+
+    def blur(a: np.ndarray, n: int = 5) -> np.ndarray:
+        wide = np.pad(a.astype(np.float64), n // 2 + 1, mode="constant")[:-1, :-1]
+        c = wide.cumsum(0).cumsum(1)
+        return (c[n:, n:] - c[:-n, n:] - c[n:, :-n] + c[:-n, :-n]) / (n * n)
+
     xx, yy, xy = blur(gx * gx), blur(gy * gy), blur(gx * gy)
     least = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
     edge = 9
@@ -184,26 +188,52 @@ def project(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q[:, :2] / np.where(np.abs(q[:, 2:]) < 1e-12, 1e-12, q[:, 2:])
 
 
+def _four_point(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Homographies through four points each, (m, 4, 2) to (m, 4, 2); degenerate draws give whatever solves them."""
+    (x, y), (p, q) = src.transpose(2, 0, 1).astype(float), dst.transpose(2, 0, 1).astype(float)
+    o, z = np.ones_like(x), np.zeros_like(x)
+    a = np.concatenate([np.stack([x, y, o, z, z, z, -p * x, -p * y], 2), np.stack([z, z, z, x, y, o, -q * x, -q * y], 2)], 1)
+    a = a + 1e-9 * np.eye(8)
+    h = np.linalg.solve(a, np.concatenate([p, q], 1)[..., None])[..., 0]
+    return np.concatenate([h, np.ones((len(h), 1))], 1).reshape(-1, 3, 3)
+
+
+#: Draws that are tried together, and how sure the search wants to be.
+BATCH, CONFIDENCE = 200, 0.999
+
+
 def ransac(src: np.ndarray, dst: np.ndarray, pixels: float = 3.0, rounds: int = 2000, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
     """Homography from src to dst with the most inliers, and which they are; the seed fixes the draws."""
     none = np.zeros(len(src), bool)
     if len(src) < 4:
         return None, none
-    r, best = np.random.default_rng(seed), none
-    for _ in range(rounds):
-        four = r.choice(len(src), 4, replace=False)
-        h = fit_homography(src[four], dst[four])
-        inside = np.linalg.norm(project(h, src) - dst, axis=1) < pixels
-        if inside.sum() > best.sum():
-            best = inside
-            if best.mean() > 0.9:
-                break
+    r, best, done = np.random.default_rng(seed), none, 0
+    while done < rounds:
+        m = min(BATCH, rounds - done)
+        done += m
+        four = r.random((m, len(src))).argsort(1)[:, :4]
+        every = _four_point(src[four], dst[four])
+        q = np.einsum("mij,nj->mni", every, np.c_[src, np.ones(len(src))])
+        q = q[..., :2] / np.where(np.abs(q[..., 2:]) < 1e-12, 1e-12, q[..., 2:])
+        inside = np.linalg.norm(q - dst, axis=2) < pixels
+        i = int(inside.sum(1).argmax())
+        if inside[i].sum() > best.sum():
+            best = inside[i]
+        # so many draws that one of four inliers was among them with all but certainty
+        if done * -np.log1p(-min(best.mean() ** 4, 1 - 1e-9)) >= -np.log(1 - CONFIDENCE):
+            break
     if best.sum() < 4:
         return None, none
     h = fit_homography(src[best], dst[best])
     return h, np.linalg.norm(project(h, src) - dst, axis=1) < pixels
 
 
+def corner_error(h: np.ndarray, true: np.ndarray, width: int, height: int) -> float:
+    """Mean distance of an image's corners through two homographies."""
+    c = np.array([[0, 0], [width, 0], [0, height], [width, height]], float)
+    return float(np.linalg.norm(project(h, c) - project(true, c), axis=1).mean())
+
+
 def warp(img: np.ndarray, h: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
     """img seen through h on a canvas (white outside), and where it has values."""
     gx, gy = np.meshgrid(np.arange(width), np.arange(height))

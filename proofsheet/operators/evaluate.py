@@ -149,12 +149,6 @@ def key_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 # --- readings of an engine
 
 
-def quad_box(corners: Column) -> Column:
-    """The box around a quadrilateral (an array of x, y)."""
-    x, y = F.transform(corners, lambda c: c["x"]), F.transform(corners, lambda c: c["y"])
-    return F.struct(F.array_min(x).alias("x"), F.array_min(y).alias("y"), (F.array_max(x) - F.array_min(x)).alias("w"), (F.array_max(y) - F.array_min(y)).alias("h"))
-
-
 def reading_order(tokens: DataFrame, region: str, tie: str, band: float = 0.6) -> DataFrame:
     """tokens (region, x, y, w, h) with their `place`: lines of `band` times the median height, then from left to right."""
     w = Window.partitionBy(region)

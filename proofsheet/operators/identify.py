@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions.verdict import margin_confidence, margin_gate
+from proofsheet.tables import stored
 
 
 def fractions(probes: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
@@ -70,11 +71,12 @@ def nearest_two(vectors: DataFrame, queries: DataFrame, ratio: float, block: int
 def waterfall(probes: DataFrame, stages: list[tuple[str, object]]) -> DataFrame:
     """probe_id, matched_id, confidence, method by the first stage that decides; NONE if none does.
 
-    A stage takes the open probes and returns probe_id, matched_id, confidence of those it decides.
+    A stage takes the open probes and returns probe_id, matched_id, confidence of those it decides. What it finds is
+    a table in the shared folder, so that no stage runs twice.
     """
     open_, done = probes, None
     for name, stage in stages:
-        found = stage(open_).withColumn("method", F.lit(name))
+        found = stored(stage(open_).withColumn("method", F.lit(name)), "decided")
         done = found if done is None else done.unionByName(found)
         open_ = open_.join(found.select("probe_id"), "probe_id", "left_anti")
     rest = open_.select("probe_id", F.lit(None).cast("long").alias("matched_id"), F.lit(0.0).alias("confidence"), F.lit("NONE").alias("method"))

@@ -1,7 +1,8 @@
 """Jobs over decoded images: reference regions, identification of listings, calibration.
 
-Listings and versions of a product meet in one group; products with many listings are salted,
-so that no task holds more than `PER_GROUP` listings beside the product's versions.
+Listings and versions of a product meet in sorted partitions and go by one at a time: a task holds the versions
+of one product beside one batch of listings. Products with many listings are salted. What is decoded is decoded
+once: comparisons are a stored table, and decisions one aggregate over it.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.config import Identify
-from proofsheet.functions.boxes import box
+from proofsheet.functions.boxes import box, map_to_probe
+from proofsheet.functions.verdict import decide, margin_confidence, margin_gate
 from proofsheet.kernels import compare as K
 from proofsheet.kernels import geometry as G
 from proofsheet.kernels import regions as R
+from proofsheet.tables import stored
 
-from . import identify as D
-from .versions import consecutive, match_edits
+from .versions import consecutive, match_edits, path_regions
 
 PER_GROUP = 64
 REGIONS = "product_id string, from_id long, to_id long, x int, y int, w int, h int, area_fraction double"
@@ -95,54 +97,123 @@ def compared(probes: DataFrame, versions: DataFrame, regions: DataFrame, setting
     left = probes.join(n, "product_id").select("product_id", F.pmod(F.xxhash64("probe_id"), "salts").cast("int").alias("salt"), F.lit(1).alias("part"), F.col("probe_id").alias("id"), "image", F.lit(None).cast("array<struct<y:int,x:int,w:int,h:int>>").alias("boxes"))
     right = first.select("product_id", "v.*").join(n, "product_id").join(boxes, "product_id", "left").select("product_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"), F.col("version_id").alias("id"), "image", F.col("boxes").cast("array<struct<y:int,x:int,w:int,h:int>>").alias("boxes"))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refs, held = {}, []
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in COMPARED.split(", ")]
-        pdf = pd.concat([f for f in frames]).sort_values(["part", "id"])
-        rows = []
-        for r in pdf.itertuples():
-            if r.part == 0:
-                refs[r.id] = _content(r.image, s)
-                held = [] if r.boxes is None else list(r.boxes)
-                continue
-            try:
-                probe = _content(r.image, s)
-                for vid, ref in refs.items():
-                    p, q, scale = G.prepared(probe, ref)
-                    score = K.score(p, q, s.luma_threshold, s.chroma_threshold, s.tolerance_radius)
-                    scaled = [tuple(int(round(b[c] * scale)) for c in ("x", "y", "w", "h")) for b in held]
-                    rows.append((r.id, key[0], vid, float(K.changed(score, 1.0, s.morph_open).mean()), None, [K.signal(score, b, s.region_signal_cap, s.region_signal_top_fraction) for b in scaled]))
-            except Exception as e:  # an image that can't be read is an ERROR finding, not the end of the run
-                rows.append((r.id, key[0], None, None, f"{type(e).__name__}: {e}", None))
-        yield pd.DataFrame(rows, columns=names).astype({"candidate_id": "Int64"})
-
-    both = left.unionByName(right)
-    return both.groupBy("product_id", "salt").applyInPandas(lambda key, pdf: next(run(key, iter([pdf]))), COMPARED)
+        group, refs, held = None, {}, []
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                if (r.product_id, r.salt) != group:
+                    group, refs, held = (r.product_id, r.salt), {}, []
+                if r.part == 0:
+                    refs[r.id] = _content(r.image, s)
+                    held = [] if r.boxes is None else list(r.boxes)
+                    continue
+                try:
+                    probe = _content(r.image, s)
+                    for vid, ref in refs.items():
+                        p, q, scale = G.prepared(probe, ref)
+                        score = K.score(p, q, s.luma_threshold, s.chroma_threshold, s.tolerance_radius)
+                        scaled = [tuple(int(round(b[c] * scale)) for c in ("x", "y", "w", "h")) for b in held]
+                        rows.append((r.id, r.product_id, vid, float(K.changed(score, 1.0, s.morph_open).mean()), None, [K.signal(score, b, s.region_signal_cap, s.region_signal_top_fraction) for b in scaled]))
+                except Exception as e:  # an image that can't be read is an ERROR finding, not the end of the run
+                    rows.append((r.id, r.product_id, None, None, f"{type(e).__name__}: {e}", None))
+            yield pd.DataFrame(rows, columns=names).astype({"candidate_id": "Int64"})
+
+    both = left.unionByName(right).repartition("product_id", "salt").sortWithinPartitions("product_id", "salt", "part", "id")
+    return both.mapInPandas(run, COMPARED)
+
+
+#: Images in one Arrow batch, while they are decoded.
+BATCH_IMAGES = "16"
+
+
+def measured(df: DataFrame, name: str) -> DataFrame:
+    """df, whose plan decodes images, computed once with few images in a batch, as a table in the shared folder."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, BATCH_IMAGES)
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def decided(seen: DataFrame, s: Identify) -> DataFrame:
+    """probe_id, matched_id, confidence, method of each probe in `seen` (COMPARED), in one aggregate.
+
+    In this order: an image that can't be read is an ERROR; one version alone under the clean limit; the version that
+    leads in the regions' signals, among the clean ones if there are several; the only version, if it is near enough.
+    """
+    limit = s.single_candidate_accept_below or s.clean_fraction
+    total = F.aggregate("signals", F.lit(0.0), lambda a, v: a + v)
+    one = F.struct("fraction", "candidate_id", F.when(F.size("signals") > 0, total).alias("total"))
+    per = seen.groupBy("probe_id").agg(F.max("error").alias("error"), F.sort_array(F.collect_list(F.when(F.col("error").isNull(), one))).alias("c"))
+    clean = F.filter("c", lambda c: c["fraction"] < s.clean_fraction)
+    per = per.withColumns({"clean": clean, "pool": F.when(F.size(clean) > 1, clean).otherwise(F.col("c"))})
+    line = F.array_sort(F.transform(F.filter("pool", lambda c: c["total"].isNotNull()), lambda c: F.struct(c["total"].alias("total"), c["candidate_id"].alias("candidate_id"))))
+    per = per.withColumn("line", line)
+    first, second = F.get("line", F.lit(0)), F.get("line", F.lit(1))
+    only = F.get("c", F.lit(0))
+
+    def says(match: Column | None, confidence: Column, method: str) -> Column:
+        return F.struct((F.lit(None) if match is None else match).cast("long").alias("matched_id"), confidence.cast("double").alias("confidence"), F.lit(method).alias("method"))
+
+    found = (
+        F.when(F.col("error").isNotNull(), says(None, F.lit(0.0), "ERROR"))
+        .when(F.size("clean") == 1, says(F.get("clean", F.lit(0))["candidate_id"], 1 - only["fraction"], "PIXEL_DIFF"))
+        .when(F.coalesce(margin_gate(first["total"], second["total"], s.region_margin_ratio), F.lit(False)), says(first["candidate_id"], margin_confidence(first["total"], second["total"]), "REGION_CHECK"))
+        .when((F.size("c") == 1) & (only["fraction"] < limit), says(only["candidate_id"], 1 - only["fraction"], "PIXEL_DIFF"))
+        .otherwise(says(None, F.lit(0.0), "NONE"))
+    )
+    return per.select("probe_id", found.alias("f")).select("probe_id", "f.*")
 
 
 def identify(probes: DataFrame, versions: DataFrame, regions: DataFrame, settings: Identify | None = None) -> DataFrame:
     """Matched version of each probe by hash, whole image, regions or lone candidate; refused if none decides.
 
-    probes: probe_id, product_id, sha, image. Decoding starts after the hash stage.
+    probes: probe_id, product_id, sha, image. Decoding starts after the hash stage, and each image is decoded once.
     """
     s = settings or Identify()
     exact = probes.join(versions.groupBy("product_id", "sha").agg(F.min("version_id").alias("matched_id")), ["product_id", "sha"])
-    exact = exact.select("probe_id", "matched_id", F.lit(1.0).alias("confidence"), F.lit("HASH_EXACT").alias("method"))
+    exact = stored(exact.select("probe_id", "matched_id", F.lit(1.0).alias("confidence"), F.lit("HASH_EXACT").alias("method")), "exact")
     rest = probes.join(exact.select("probe_id"), "probe_id", "left_anti")
-    seen = compared(rest, versions, regions, s)
-    bad = seen.filter("error is not null").select("probe_id", F.lit(None).cast("long").alias("matched_id"), F.lit(0.0).alias("confidence"), F.lit("ERROR").alias("method")).distinct()
-    good = seen.filter("error is null")
-    w = Window.partitionBy("probe_id")
-    clean = F.col("fraction") < s.clean_fraction
-    pool = good.withColumn("n_clean", F.count_if(clean).over(w)).filter((F.col("n_clean") <= 1) | clean)
-    totals = pool.filter(F.size("signals") > 0).select("probe_id", "candidate_id", F.aggregate("signals", F.lit(0.0), lambda a, v: a + v).alias("total"))
-    limit = s.single_candidate_accept_below or s.clean_fraction
+    seen = measured(compared(rest, versions, regions, s), "compared")
+    decided_ = decided(seen, s)
+    # products without versions leave nothing to compare with
+    lost = rest.select("probe_id").join(seen.select("probe_id"), "probe_id", "left_anti").selectExpr("probe_id", "cast(null as bigint) as matched_id", "0.0D as confidence", "'NONE' as method")
+    return exact.unionByName(decided_).unionByName(lost)
+
+
+BOX = "struct<x:int,y:int,w:int,h:int>"
+#: The fields of a delta.
+DELTA = f"struct<region_id:bigint,from_id:bigint,to_id:bigint,field_key:string,old_value:string,new_value:string,edit_type:string,severity:string,area_fraction:double,box:{BOX},scraped_box:{BOX}>"
 
-    def of(table: DataFrame):
-        return lambda open_: table.join(open_.select("probe_id"), "probe_id", "left_semi")
 
-    stages = [("PIXEL_DIFF", of(D.whole_image(good, s.clean_fraction))), ("REGION_CHECK", of(D.ranked(totals, s.region_margin_ratio))), ("PIXEL_DIFF", of(D.single_candidate(good, limit)))]
-    return exact.unionByName(bad).unionByName(D.waterfall(good.select("probe_id").distinct(), stages))
+def listing_findings(identified: DataFrame, probes: DataFrame, versions: DataFrame, regions: DataFrame) -> DataFrame:
+    """What a run finds of each listing: probe_id, product_id, verdict, severity, matched_id, current_id, confidence, method, deltas.
+
+    versions: product_id, version_id, sha, is_current, pos; regions: those of consecutive versions with their edits
+    (with_edits); probes: probe_id, product_id and the content's rectangle in the listing (cx, cy, cw, ch) and the size of its
+    reference (rw, rh). A stale listing gets the deltas (DELTA) on its way from the matched to the current version, each
+    with the box in the listing; versions with the same bytes as the current one are current.
+    """
+    v = versions.select("product_id", F.col("version_id").alias("id_"), "sha", "pos")
+    current = versions.filter("is_current").select("product_id", F.col("version_id").alias("current_id"), F.col("sha").alias("current_sha"), F.col("pos").alias("j"))
+    rows = identified.join(probes.select("probe_id", "product_id", "cx", "cy", "cw", "ch", "rw", "rh"), "probe_id").join(current, "product_id", "left")
+    rows = rows.join(v.withColumnsRenamed({"id_": "matched_id", "sha": "matched_sha", "pos": "i"}), ["product_id", "matched_id"], "left")
+    same = (F.col("matched_id") == F.col("current_id")) | (F.col("matched_sha") == F.col("current_sha"))
+    stale = rows.filter(F.col("matched_id").isNotNull() & ~F.coalesce(same, F.lit(False)))
+    places = v.select("product_id", "id_", "pos")
+    hops = regions.join(places.withColumnsRenamed({"id_": "from_id", "pos": "from_pos"}), ["product_id", "from_id"]).join(places.withColumnsRenamed({"id_": "to_id", "pos": "to_pos"}), ["product_id", "to_id"])
+    met = path_regions(hops, stale.withColumnRenamed("probe_id", "finding_id"))
+    here, there = box("x", "y", "w", "h"), map_to_probe(box("x", "y", "w", "h"), box("cx", "cy", "cw", "ch"), F.col("rw"), F.col("rh"))
+    delta = F.struct("region_id", "from_id", "to_id", "field_key", "old_value", "new_value", "edit_type", F.col("severity"), "area_fraction", here.cast(BOX).alias("box"), there.cast(BOX).alias("scraped_box")).cast(DELTA)
+    deltas = met.withColumn("d", delta).groupBy(F.col("finding_id").alias("probe_id")).agg(F.array_sort(F.collect_list(F.struct("from_pos", "y", "x", "d"))).alias("l"))
+    deltas = deltas.select("probe_id", F.transform("l", lambda x: x["d"]).alias("deltas"))
+    out = rows.join(deltas, "probe_id", "left").withColumn("deltas", F.coalesce("deltas", F.array().cast(f"array<{DELTA}>")))
+    says = decide("matched_id", "current_id", "matched_sha", "current_sha", F.transform("deltas", lambda d: d["severity"]), F.col("method") == "ERROR")
+    return out.withColumn("says", says).select("probe_id", "product_id", "says.verdict", "says.severity", "matched_id", "current_id", "confidence", "method", "deltas")
 
 
 def noise_samples(pairs: DataFrame, settings: Identify | None = None) -> DataFrame:

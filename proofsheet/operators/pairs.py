@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.config import Pairwise
@@ -21,13 +21,23 @@ from proofsheet.functions import verdict as V
 from proofsheet.kernels import compare as K
 from proofsheet.kernels import geometry as G
 from proofsheet.kernels import regions as R
+from proofsheet.tables import stored
+
+from . import images as I
+from . import reading as D
 
 MEASURED = (
     "pair_id string, error string, inliers int, reprojection double, condition double, scale double, rotation double, overlap double, "
-    "palette boolean, regions array<struct<x:int,y:int,w:int,h:int,area_fraction:double,ink:double>>"
+    "palette boolean, stripped double, regions array<struct<x:int,y:int,w:int,h:int,area_fraction:double,ink:double,"
+    "ref:struct<height:int,width:int,nChannels:int,data:binary>,mkt:struct<height:int,width:int,nChannels:int,data:binary>>>"
 )
 
 
+def _image(rgb: np.ndarray) -> dict:
+    """An image as a struct of Spark's image source."""
+    return {"height": rgb.shape[0], "width": rgb.shape[1], "nChannels": 3, "data": np.ascontiguousarray(rgb[:, :, ::-1]).tobytes()}
+
+
 def register(ref: np.ndarray, mkt: np.ndarray, s: Pairwise, seed: int) -> tuple[dict, np.ndarray | None]:
     """Registration metrics and the homography from the reference to the listing."""
     a, b = (G.ycrcb(i)[..., 0] for i in (ref, mkt))
@@ -66,8 +76,8 @@ def differences(warped: np.ndarray, mkt: np.ndarray, valid: np.ndarray, s: Pairw
     return bool(palette), [{"x": x, "y": y, "w": w, "h": h, "area_fraction": w * h / area, "ink": K.ink(warped[y : y + h, x : x + w], mkt[y : y + h, x : x + w])} for x, y, w, h, _ in boxes]
 
 
-def measure(pairs: DataFrame, settings: Pairwise | None = None) -> DataFrame:
-    """MEASURED for pairs (pair_id, ref and mkt as structs of Spark's image source, ref_sha, mkt_sha)."""
+def measure(pairs: DataFrame, settings: Pairwise | None = None, crops: bool = False) -> DataFrame:
+    """MEASURED for pairs (pair_id, ref and mkt as structs of Spark's image source, ref_sha, mkt_sha), with crops for reading if wanted."""
     s = settings or Pairwise()
 
     def one(row) -> dict:
@@ -79,7 +89,11 @@ def measure(pairs: DataFrame, settings: Pairwise | None = None) -> DataFrame:
             return out
         warped, valid = G.warp(ref, h, mkt.shape[1], mkt.shape[0])
         palette, boxes = differences(warped, mkt, valid, s)
-        return out | {"overlap": float(valid.mean()), "palette": palette, "regions": boxes}
+        for b in sorted(boxes, key=lambda b: -b["area_fraction"])[: s.max_regions] if crops else []:
+            at = b["x"], b["y"], b["w"], b["h"]
+            b |= {"ref": _image(G.reading_crop(warped, at)), "mkt": _image(G.reading_crop(mkt, at))}
+        stripped = max(G.stripped_share(i.shape[:2], c.shape[:2]) for i, c in zip(imgs, (ref, mkt), strict=True))
+        return out | {"overlap": float(valid.mean()), "palette": palette, "stripped": stripped, "regions": [{"ref": None, "mkt": None} | b for b in boxes]}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in MEASURED.split(", ")]
@@ -107,24 +121,29 @@ def regions_of(measured: DataFrame, s: Pairwise) -> DataFrame:
     rows = measured.filter(F.col("registration").isin("OK", "DEGRADED")).select("pair_id", F.explode("regions").alias("r")).select("pair_id", "r.*")
     w = Window.partitionBy("pair_id")
     top = rows.withColumn("n", F.row_number().over(w.orderBy(F.desc("area_fraction"), "y", "x"))).filter(F.col("n") <= s.max_regions).drop("n").withColumn("kind", F.lit("REGION"))
-    whole = measured.filter("palette").select("pair_id", *[F.lit(0).alias(c) for c in "xywh"], F.lit(1.0).alias("area_fraction"), F.lit(None).cast("double").alias("ink"), F.lit("PALETTE").alias("kind"))
+    known = {"x": 0, "y": 0, "w": 0, "h": 0, "area_fraction": 1.0, "kind": "PALETTE"}
+    whole = measured.filter("palette").select("pair_id", *[F.lit(known.get(c)).cast(t).alias(c) for c, t in top.dtypes if c != "pair_id"])
     every = top.unionByName(whole)
     return every.withColumn("ordinal", F.row_number().over(w.orderBy(F.col("kind") != "PALETTE", "y", "x", "w", "h")))
 
 
-def null_readings(regions: DataFrame) -> DataFrame:
-    """The engine for want of one: it reads nothing, reliably for none."""
-    return regions.select("pair_id", "ordinal", F.lit("").alias("ref_text"), F.lit("").alias("mkt_text"), F.lit(False).alias("reliable"))
-
+def compared(pairs: DataFrame, readings: DataFrame | None = None, settings: Pairwise | None = None, reader: D.Engine = D.NULL) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, regions). verdicts: pair_id, verdict, confidence, trace (STAGES in order, each with status, metrics and note).
 
-def compared(pairs: DataFrame, readings: DataFrame | None = None, settings: Pairwise | None = None) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, regions). verdicts: pair_id, verdict, confidence, trace; readings: pair_id, ordinal, ref_text, mkt_text, reliable."""
+    Regions are read by the reader, unless readings (pair_id, ordinal, ref_text, mkt_text, reliable) are given. Images are decoded,
+    registered and differenced once: what is measured is a table in the shared folder.
+    """
     s = settings or Pairwise()
     same = F.col("ref_sha") == F.col("mkt_sha")
-    equal = pairs.filter(same).select("pair_id", F.lit("IDENTICAL").alias("verdict"), F.lit(1.0).alias("confidence"), F.array(F.lit("hash:DECIDED")).alias("trace"))
-    seen = gated(measure(pairs.filter(~same), s), s)
+    reads = readings is None and reader.available
+    seen = gated(I.measured(measure(pairs.filter(~same), s, reads), "measured"), s)
     regions = regions_of(seen, s)
-    read = regions.join(readings if readings is not None else null_readings(regions), ["pair_id", "ordinal"], "left").fillna({"ref_text": "", "mkt_text": "", "reliable": False})
+    if reads:
+        regions = stored(regions, "regions")
+        readings = D.readings(regions.filter("kind <> 'PALETTE'"), reader)
+    if readings is None:
+        readings = regions.select("pair_id", "ordinal").limit(0).selectExpr("*", "'' as ref_text", "'' as mkt_text", "false as reliable")
+    read = regions.drop("ref", "mkt").join(readings.select("pair_id", "ordinal", "ref_text", "mkt_text", "reliable"), ["pair_id", "ordinal"], "left").fillna({"ref_text": "", "mkt_text": "", "reliable": False})
     read = X.with_comparison(read, "ref_text", "mkt_text", "c")
     gone = F.exists("c.differences", lambda d: d["kind"].isin("TEXT_REMOVED", "TEXT_ADDED"))
     one_side = (F.length("ref_text") > 0) != (F.length("mkt_text") > 0)
@@ -132,11 +151,34 @@ def compared(pairs: DataFrame, readings: DataFrame | None = None, settings: Pair
     severity = X.region_route(F.col("kind") == "PALETTE", (F.length("ref_text") > 0) | (F.length("mkt_text") > 0), F.col("c.severity"), intact, F.col("reliable"), F.col("c.alike"), gone, s.unreliable_similarity)
     judged = read.withColumn("severity", severity)
     count = lambda x: F.count_if(F.col("severity") == x).alias(x.lower())
-    per = judged.groupBy("pair_id").agg(count("MATERIAL"), count("UNCERTAIN"), count("COSMETIC"), F.collect_list("severity").alias("severities"))
-    out = seen.join(per, "pair_id", "left").fillna(0, ["material", "uncertain", "cosmetic"])
-    halt = F.when(F.col("registration").isin("HALTED", "FAILED"), "CANNOT_COMPARE")
+    per = judged.groupBy("pair_id").agg(count("MATERIAL"), count("UNCERTAIN"), count("COSMETIC"), F.count("*").alias("n"), F.count_if(F.col("reliable")).alias("read"), F.collect_list("severity").alias("severities"))
+    out = pairs.select("pair_id", same.alias("same")).join(seen, "pair_id", "left").join(per, "pair_id", "left").fillna(0, ["material", "uncertain", "cosmetic", "n", "read"])
+    halt = F.when(F.col("same"), "IDENTICAL").when(F.col("registration").isin("HALTED", "FAILED"), "CANNOT_COMPARE")
     text_conf = X.stage_confidence(F.coalesce("severities", F.array().cast("array<string>")))
-    conf = F.bround(F.least("registration_confidence", text_conf), 4)
-    trace = F.array(F.lit("hash:OPEN"), F.concat(F.lit("registration:"), "registration"), F.when(halt.isNotNull(), "structural_diff:SKIPPED").otherwise("structural_diff:OK"), F.when(F.coalesce(F.size("severities"), F.lit(0)) > 0, "text_compare:OK").otherwise("text_compare:SKIPPED"), F.lit("verdict:OK"))
-    verdicts = out.select("pair_id", V.pair_verdict(halt, "material", "uncertain", "cosmetic").alias("verdict"), conf.alias("confidence"), trace.alias("trace"))
-    return equal.unionByName(verdicts), judged.drop("c")
+    conf = F.when(F.col("same"), 1.0).otherwise(F.bround(F.least("registration_confidence", text_conf), 4))
+    out = out.withColumns({"verdict": V.pair_verdict(halt, "material", "uncertain", "cosmetic"), "confidence": conf, "text_confidence": text_conf})
+    return out.select("pair_id", "verdict", "confidence", trace(reader).alias("trace")), judged.drop("c")
+
+
+STAGES = ["load_normalize", "hash", "registration", "structural_diff", "region_ocr", "text_compare", "verdict"]
+
+
+def trace(reader: D.Engine) -> Column:
+    """A row for each stage of a pair, also for those that failed or were skipped: stage, status, metrics, note."""
+    failed, alike = F.col("registration") == "FAILED", F.col("same")
+    halted = F.col("registration") == "HALTED"
+    none = F.col("n") == 0
+    m = lambda **x: F.map_from_arrays(F.array(*map(F.lit, x)), F.array(*[F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in x.values()]))
+    empty = F.create_map().cast("map<string,double>")
+    after = F.coalesce(alike | failed | halted, F.lit(False))
+    skip = F.when(after, "SKIPPED")
+    rows = [
+        (F.when(alike, "SKIPPED").when(failed, "FAILED").otherwise("OK"), F.when(alike, empty).otherwise(m(stripped="stripped")), F.col("error")),
+        (F.when(alike, "DECIDED").otherwise("OK"), empty, F.when(alike, "the files are the same")),
+        (F.when(alike | failed, "SKIPPED").otherwise(F.col("registration")), F.when(alike | failed, empty).otherwise(m(inliers="inliers", reprojection="reprojection", condition="condition", scale="scale", rotation="rotation", overlap="overlap")), F.when(halted, "the images can't be laid over each other")),
+        (F.coalesce(skip, F.lit("OK")), F.when(after, empty).otherwise(m(regions="n")), F.when(~after & none, "no region differs")),
+        (F.when(after | none, "SKIPPED").when(F.lit(not reader.available) | (F.col("read") < F.col("n")), "DEGRADED").otherwise("OK"), F.when(after | none, empty).otherwise(m(reliable="read")), F.lit(None if reader.available else "no engine")),
+        (F.when(after | none, "SKIPPED").otherwise("OK"), F.when(after | none, empty).otherwise(m(material="material", uncertain="uncertain", cosmetic="cosmetic", confidence="text_confidence")), F.lit(None).cast("string")),
+        (F.lit("OK"), m(confidence="confidence"), F.col("verdict")),
+    ]
+    return F.array(*[F.struct(F.lit(name).alias("stage"), status.alias("status"), metrics.alias("metrics"), note.cast("string").alias("note")) for name, (status, metrics, note) in zip(STAGES, rows, strict=True)])

@@ -9,6 +9,7 @@ from proofsheet.functions import boxes as B
 from proofsheet.functions import text as X
 from proofsheet.functions import verdict as V
 from proofsheet.operators import evaluate as E
+from proofsheet.operators import reading as D
 from proofsheet.operators import review as R
 from proofsheet.sources import images as S
 
@@ -216,7 +217,7 @@ def reading_order(t):
     corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     x, y = f("l_partkey") % 300, f("l_suppkey") % 90
     quad = F.array(corner(x + 5, y), corner(x, y + f("l_quantity")), corner(x + 5, y + f("l_quantity")), corner(x, y))
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", E.quad_box(quad).alias("b")).select("l_orderkey", "l_linenumber", "b.*")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", D.quad_box(quad).alias("b")).select("l_orderkey", "l_linenumber", "b.*")
     return E.reading_order(rows, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "place")
 
 
