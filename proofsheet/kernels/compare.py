@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from . import regions
+from . import geometry, regions
 from .geometry import ycrcb
 
 
@@ -22,6 +22,20 @@ def score(a: np.ndarray, b: np.ndarray, luma: float, chroma: float, radius: int
     return np.maximum(d[..., 0] / luma, d[..., 1:].max(-1) / chroma)
 
 
+def score_of(probe: geometry.Sized, reference: geometry.Sized, luma: float, chroma: float, radius: int) -> tuple[np.ndarray, float]:
+    """The difference map of a probe laid over a reference, and the scale of the reference."""
+    size, by, scale = geometry.aligned(probe, reference)
+    a, b = geometry.shift(probe.channels(size), *by), reference.channels(size)
+    if radius:
+        window = (2 * radius + 1,) * 2
+        high = reference.of("high", size, lambda: regions.dilate(b, window))
+        low = reference.of("low", size, lambda: regions.erode(b, window))
+        d = np.maximum(np.maximum(a - high, low - a), 0)
+    else:
+        d = np.abs(a - b)
+    return np.maximum(d[..., 0] / np.float32(luma), np.maximum(d[..., 1], d[..., 2]) / np.float32(chroma)), scale
+
+
 def changed(score_: np.ndarray, threshold: float = 1.0, opening: int = 3) -> np.ndarray:
     return regions.opened((score_ > threshold).astype(np.uint8), opening)
 

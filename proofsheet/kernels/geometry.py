@@ -19,9 +19,11 @@ def to_rgb(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
 
 def ycrcb(rgb: np.ndarray) -> np.ndarray:
     """Luma and the two colour differences (ITU-R BT.601), as float."""
-    f = rgb.astype(np.float32)
-    y = f @ np.array([0.299, 0.587, 0.114], np.float32)
-    return np.stack([y, (f[..., 0] - y) * 0.713 + 128, (f[..., 2] - y) * 0.564 + 128], -1)
+    r, g, b = (rgb[..., i].astype(np.float32) for i in range(3))
+    y = np.float32(0.299) * r + np.float32(0.587) * g + np.float32(0.114) * b
+    out = np.empty((*y.shape, 3), np.float32)
+    out[..., 0], out[..., 1], out[..., 2] = y, (r - y) * np.float32(0.713) + 128, (b - y) * np.float32(0.564) + 128
+    return out
 
 
 def deviations(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +70,7 @@ def content_rect(img: np.ndarray, tolerance: float = 10.0, most: float = 0.3) ->
 def sample(img: np.ndarray, x: np.ndarray, y: np.ndarray, outside: float | None = None) -> np.ndarray:
     """Bilinear values at (x, y); beyond the edge the edge is repeated, or `outside` stands."""
     h, w = img.shape[:2]
+    x, y = (np.clip(np.nan_to_num(v, nan=-1e6), -1e6, 1e6) for v in (x, y))  # a degenerate map has no place for some
     x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
     fx, fy = (x - x0)[..., None], (y - y0)[..., None]
     at = lambda yy, xx: img[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)].astype(np.float32)
@@ -87,45 +90,91 @@ def extract(img: np.ndarray, rect: tuple[float, float, float, float]) -> np.ndar
     return np.rint(sample(img, gx, gy)).astype(np.uint8)
 
 
-def _weights(n: int, m: int) -> np.ndarray:
-    """(m, n) shares of n source lines in m target lines, by area."""
+def _lines(a: np.ndarray, m: int) -> np.ndarray:
+    """a's lines (axis 0) averaged to m lines by area: differences of running sums at the target's edges."""
+    n = len(a)
+    if n == m:
+        return a.astype(np.float64)
+    sums = np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, 0, dtype=np.float64)])
     edges = np.arange(m + 1) * (n / m)
-    lo, hi = np.maximum(edges[:-1, None], np.arange(n)), np.minimum(edges[1:, None], np.arange(1, n + 1))
-    w = np.maximum(hi - lo, 0)
-    return (w / w.sum(1, keepdims=True)).astype(np.float32)
+    at = np.minimum(edges.astype(int), n - 1)
+    return np.diff(sums[at] + (edges - at).reshape(-1, *[1] * (a.ndim - 1)) * a[at], axis=0) * (m / n)
 
 
 def resize_area(img: np.ndarray, width: int, height: int) -> np.ndarray:
     h, w = img.shape[:2]
     if (w, h) == (width, height):
         return img
-    f = np.tensordot(_weights(h, height), img.astype(np.float32), (1, 0))
-    return np.rint(np.tensordot(_weights(w, width), f, (1, 1)).transpose(1, 0, 2)).astype(np.uint8)
+    rows = _lines(img, height)
+    return np.rint(np.round(_lines(rows.transpose(1, 0, 2), width).transpose(1, 0, 2), 6)).astype(np.uint8)
 
 
-def translation(a: np.ndarray, b: np.ndarray, most: int = 24) -> tuple[int, int]:
-    """(dx, dy) by which b is shifted against a (grey images), by phase correlation; (0, 0) beyond `most`."""
-    win = np.outer(np.hanning(a.shape[0]), np.hanning(a.shape[1]))
-    cross = np.fft.rfft2(b * win) * np.conj(np.fft.rfft2(a * win))
-    peak = np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-9), a.shape)
+def spectrum(grey: np.ndarray) -> np.ndarray:
+    """Spectrum of a grey image under a window that fades its edges."""
+    win = np.outer(np.hanning(grey.shape[0]), np.hanning(grey.shape[1])).astype(np.float32)
+    return np.fft.rfft2(grey.astype(np.float32) * win)
+
+
+def offset(a: np.ndarray, b: np.ndarray, shape: tuple[int, int], most: int = 24) -> tuple[int, int]:
+    """(dx, dy) by which the image of spectrum b is shifted against that of a, by phase correlation; (0, 0) beyond `most`."""
+    cross = b * np.conj(a)
+    peak = np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-9), shape)
     dy, dx = (int(v) for v in np.unravel_index(peak.argmax(), peak.shape))
-    dy, dx = (v - n if v > n // 2 else v for v, n in ((dy, a.shape[0]), (dx, a.shape[1])))
+    dy, dx = (v - n if v > n // 2 else v for v, n in ((dy, shape[0]), (dx, shape[1])))
     return (dx, dy) if max(abs(dx), abs(dy)) <= most else (0, 0)
 
 
+def translation(a: np.ndarray, b: np.ndarray, most: int = 24) -> tuple[int, int]:
+    """(dx, dy) by which b is shifted against a (grey images)."""
+    return offset(spectrum(a), spectrum(b), a.shape, most)
+
+
 def shift(img: np.ndarray, dx: int, dy: int) -> np.ndarray:
     h, w = img.shape[:2]
+    if not dx and not dy:
+        return img
     return img[np.clip(np.arange(h) - dy, 0, h - 1)][:, np.clip(np.arange(w) - dx, 0, w - 1)]
 
 
+class Sized:
+    """An image at the size in which it is compared last, with what comparisons need of it, each made once."""
+
+    def __init__(self, rgb: np.ndarray):
+        self.rgb, self.made = rgb, {}
+
+    def of(self, what: str, size: tuple[int, int], make) -> np.ndarray:
+        if self.made and next(iter(self.made))[1] != size:
+            self.made = {}
+        if (what, size) not in self.made:
+            self.made[what, size] = make()
+        return self.made[what, size]
+
+    def image(self, size: tuple[int, int]) -> np.ndarray:
+        return self.of("image", size, lambda: resize_area(self.rgb, *size))
+
+    def channels(self, size: tuple[int, int]) -> np.ndarray:
+        return self.of("channels", size, lambda: ycrcb(self.image(size)))
+
+    def spectrum(self, size: tuple[int, int]) -> np.ndarray:
+        return self.of("spectrum", size, lambda: spectrum(self.channels(size)[..., 0]))
+
+
+def aligned(probe: Sized, reference: Sized) -> tuple[tuple[int, int], tuple[int, int], float]:
+    """The smaller size of each axis, the shift that lays the probe over the reference, and the scale of the reference."""
+    size = min(probe.rgb.shape[1], reference.rgb.shape[1]), min(probe.rgb.shape[0], reference.rgb.shape[0])
+    p, r = probe.image(size), reference.image(size)
+    dx, dy = offset(reference.spectrum(size), probe.spectrum(size), (size[1], size[0]))
+    off = lambda a: np.abs(a.astype(np.int16) - r).mean()
+    # flat print leaves little to correlate; a shift that doesn't help is none
+    helps = (dx or dy) and off(shift(p, -dx, -dy)) < off(p)
+    return size, (-dx, -dy) if helps else (0, 0), size[0] / reference.rgb.shape[1]
+
+
 def prepared(probe: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Both at the smaller size of each axis, the probe aligned; and the scale of the reference."""
-    w, h = min(probe.shape[1], reference.shape[1]), min(probe.shape[0], reference.shape[0])
-    p, r = resize_area(probe, w, h), resize_area(reference, w, h)
-    dx, dy = translation(ycrcb(r)[..., 0], ycrcb(p)[..., 0])
-    moved, off = shift(p, -dx, -dy), lambda a: np.abs(a.astype(np.int16) - r).mean()
-    # flat print leaves little to correlate; a shift that doesn't help is none
-    return (moved if off(moved) < off(p) else p), r, w / reference.shape[1]
+    p, r = Sized(probe), Sized(reference)
+    size, by, scale = aligned(p, r)
+    return shift(p.image(size), *by), r.image(size), scale
 
 
 def corners(grey: np.ndarray, most: int = 400, apart: int = 5) -> np.ndarray:

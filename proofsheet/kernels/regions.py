@@ -16,7 +16,20 @@ def slid(a: np.ndarray, size: tuple[int, int], f, fill) -> np.ndarray:
         pad = [(0, 0)] * a.ndim
         pad[axis] = (before, n - 1 - before)
         wide = np.pad(a, pad, constant_values=fill)
-        a = f.reduce([np.take(wide, range(i, i + a.shape[axis]), axis) for i in range(n)])
+        views = [wide[(slice(None),) * axis + (slice(i, i + a.shape[axis]),)] for i in range(n)]
+        if n < 8:
+            a = views[0].copy() if n == 1 else f(views[0], views[1])
+            for v in views[2:]:
+                f(a, v, out=a)
+            continue
+        # long windows from windows of twice the length each
+        line, have = wide, 1
+        while have < n:
+            step = min(have, n - have)
+            size = line.shape[axis] - step
+            line = f(line[(slice(None),) * axis + (slice(0, size),)], line[(slice(None),) * axis + (slice(step, step + size),)])
+            have += step
+        a = line
     return a
 
 

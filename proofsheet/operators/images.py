@@ -106,21 +106,20 @@ def compared(probes: DataFrame, versions: DataFrame, regions: DataFrame, setting
                 if (r.product_id, r.salt) != group:
                     group, refs, held = (r.product_id, r.salt), {}, []
                 if r.part == 0:
-                    refs[r.id] = _content(r.image, s)
+                    refs[r.id] = G.Sized(_content(r.image, s))
                     held = [] if r.boxes is None else list(r.boxes)
                     continue
                 try:
-                    probe = _content(r.image, s)
+                    probe = G.Sized(_content(r.image, s))
                     for vid, ref in refs.items():
-                        p, q, scale = G.prepared(probe, ref)
-                        score = K.score(p, q, s.luma_threshold, s.chroma_threshold, s.tolerance_radius)
+                        score, scale = K.score_of(probe, ref, s.luma_threshold, s.chroma_threshold, s.tolerance_radius)
                         scaled = [tuple(int(round(b[c] * scale)) for c in ("x", "y", "w", "h")) for b in held]
                         rows.append((r.id, r.product_id, vid, float(K.changed(score, 1.0, s.morph_open).mean()), None, [K.signal(score, b, s.region_signal_cap, s.region_signal_top_fraction) for b in scaled]))
                 except Exception as e:  # an image that can't be read is an ERROR finding, not the end of the run
                     rows.append((r.id, r.product_id, None, None, f"{type(e).__name__}: {e}", None))
             yield pd.DataFrame(rows, columns=names).astype({"candidate_id": "Int64"})
 
-    both = left.unionByName(right).repartition("product_id", "salt").sortWithinPartitions("product_id", "salt", "part", "id")
+    both = left.unionByName(right).repartition("product_id", "salt").sortWithinPartitions("product_id", "salt", "part", "image.height", "image.width", "id")  # one size after the other
     return both.mapInPandas(run, COMPARED)
 
 
