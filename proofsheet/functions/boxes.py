@@ -73,3 +73,18 @@ def implied_scale(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def implied_rotation(a: Column, c: Column) -> Column:
     return F.degrees(F.atan2(c, a))
+
+
+def corner_error(h: list[Column], true: list[Column], width: Column, height: Column) -> Column:
+    """Mean distance of an image's corners through two homographies (nine numbers each, row by row)."""
+
+    def place(m: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
+        z = m[6] * x + m[7] * y + m[8]
+        return (m[0] * x + m[1] * y + m[2]) / z, (m[3] * x + m[4] * y + m[5]) / z
+
+    def apart(x: Column, y: Column) -> Column:
+        (a, b), (c, d) = place(h, x, y), place(true, x, y)
+        return F.sqrt((a - c) * (a - c) + (b - d) * (b - d))
+
+    zero = F.lit(0.0)
+    return (apart(zero, zero) + apart(width, zero) + apart(zero, height) + apart(width, height)) / 4

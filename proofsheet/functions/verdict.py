@@ -116,3 +116,21 @@ def field_label(c: C) -> Column:
 
 def label(c: C, names: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[col(c)]
+
+
+def percent(n: C, of: C, digits: int = 0) -> Column:
+    """A share as a percentage; a dash where there is nothing to share."""
+    return F.when(F.coalesce(col(of), F.lit(0)) == 0, "—").otherwise(F.concat(F.format_string(f"%.{digits}f", 100.0 * col(n) / col(of)), F.lit("%")))
+
+
+def duration(seconds: C) -> Column:
+    """Seconds as 12s or 3m 05s; a dash for what is no duration."""
+    x = col(seconds).cast("double")
+    short = F.concat(F.floor(x + 0.5).cast("string"), F.lit("s"))
+    long = F.concat(F.floor(x / 60).cast("string"), F.lit("m "), F.lpad(F.floor(x % 60 + 0.5).cast("string"), 2, "0"), F.lit("s"))
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x < 0)
+    return F.when(bad, "—").when(x < 60, short).otherwise(long)
+
+
+def short_hash(sha: C, n: int = 10) -> Column:
+    return F.when(F.coalesce(col(sha), F.lit("")) == "", "—").otherwise(F.substring(col(sha), 1, n))

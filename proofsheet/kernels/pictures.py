@@ -78,3 +78,45 @@ def noisy(img: np.ndarray, seed: int, sigma: float = 3.0) -> np.ndarray:
     """Noise in blocks of eight, as compression leaves it."""
     r = np.random.default_rng(seed)
     return np.clip(img + r.normal(0, sigma, img.shape), 0, 255).astype(np.uint8)
+
+
+# --- what a comparison shows of itself
+
+
+def checkerboard(a: np.ndarray, b: np.ndarray, cells: int = 8) -> np.ndarray:
+    """Two images laid over each other in alternating squares."""
+    h, w = a.shape[:2]
+    even = (np.arange(h)[:, None] * cells // h + np.arange(w)[None] * cells // w) % 2 == 0
+    return np.where(even[..., None], a, b)
+
+
+def heatmap(score: np.ndarray, ground: np.ndarray, opacity: float = 0.6) -> np.ndarray:
+    """A difference map (1 at the threshold) in red over the image."""
+    heat = np.clip(score / 2, 0, 1)[..., None] * opacity
+    return np.rint(ground * (1 - heat) + np.array([255, 40, 0]) * heat).astype(np.uint8)
+
+
+def match_lines(a: np.ndarray, b: np.ndarray, src: np.ndarray, dst: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Both images side by side with lines between matches: green where the homography agrees, else red."""
+    h = max(a.shape[0], b.shape[0])
+    out = np.full((h, a.shape[1] + b.shape[1], 3), 255, np.uint8)
+    out[: a.shape[0], : a.shape[1]], out[: b.shape[0], a.shape[1] :] = a, b
+    for (x0, y0), (x1, y1), good in zip(src, dst + [a.shape[1], 0], inside, strict=True):
+        t = np.linspace(0, 1, int(np.hypot(x1 - x0, y1 - y0)) + 2)
+        x, y = np.rint(x0 + t * (x1 - x0)).astype(int), np.rint(y0 + t * (y1 - y0)).astype(int)
+        out[np.clip(y, 0, h - 1), np.clip(x, 0, out.shape[1] - 1)] = (20, 160, 60) if good else (200, 30, 30)
+    return out
+
+
+def stripped_overlay(img: np.ndarray, rect: tuple[float, float, float, float], opacity: float = 0.5) -> np.ndarray:
+    """The image with the borders that the crop takes dimmed."""
+    x, y, w, h = (round(v) for v in rect)
+    out = np.rint(img * (1 - opacity) + np.array(COLOURS["amber"]) * opacity).astype(np.uint8)
+    out[y : y + h, x : x + w] = img[y : y + h, x : x + w]
+    return out
+
+
+def magnified(crop: np.ndarray, least: int = 240) -> np.ndarray:
+    """A crop enlarged by whole steps for display."""
+    n = max(1, least // max(crop.shape[:2]))
+    return np.kron(crop, np.ones((n, n, 1), np.uint8))

@@ -19,6 +19,7 @@ from proofsheet.functions.boxes import box, map_to_probe
 from proofsheet.functions.verdict import decide, margin_confidence, margin_gate
 from proofsheet.kernels import compare as K
 from proofsheet.kernels import geometry as G
+from proofsheet.kernels import pictures as P
 from proofsheet.kernels import regions as R
 from proofsheet.tables import stored
 
@@ -237,6 +238,39 @@ def noise_samples(pairs: DataFrame, settings: Identify | None = None) -> DataFra
     return pairs.select("pair_id", "probe", "reference", "boxes").mapInPandas(run, "pair_id long, changed boolean, luma double, chroma double")
 
 
+def index_corpus(listed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Of each product the listings that aren't byte copies of its artwork: product_id, files (name, path, true label).
+
+    listed: name, path; manifest: name, product_id, label, variant ('copy' for a byte copy).
+    """
+    rows = manifest.filter("variant <> 'copy'").join(listed.select("name", "path"), "name")
+    return rows.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("name", "path", "label"))).alias("files"))
+
+
+def fraction_report(seen: DataFrame, labels: DataFrame) -> DataFrame:
+    """Changed fractions against the true and the other versions by quality and size, and in all (null keys).
+
+    seen: COMPARED; labels: probe_id, true_id, quality, size.
+    """
+    rows = seen.filter("error is null").join(labels, "probe_id")
+    own, other = F.col("candidate_id") == F.col("true_id"), F.col("candidate_id") != F.col("true_id")
+    return rows.groupingSets([["quality", "size"], []], "quality", "size").agg(F.count_if(own).alias("images"), F.max(F.when(own, F.col("fraction"))).alias("own_most"), F.min(F.when(other, F.col("fraction"))).alias("other_least"))
+
+
+def overlays(findings: DataFrame, probes: DataFrame) -> DataFrame:
+    """probe_id and a PNG of each stale listing with its deltas' boxes.
+
+    findings: as listing_findings gives them; probes: probe_id, image.
+    """
+    rows = findings.filter(F.size("deltas") > 0).select("probe_id", overlay_boxes(F.transform("deltas", lambda d: F.struct(d["scraped_box"]["x"].alias("x"), d["scraped_box"]["y"].alias("y"), d["scraped_box"]["w"].alias("w"), d["scraped_box"]["h"].alias("h"), d["severity"].alias("severity")))).alias("boxes"))
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"probe_id": f["probe_id"], "png": [P.overlay(_rgb(i), list(b)) for i, b in zip(f["image"], f["boxes"], strict=True)]})
+
+    return rows.join(probes.select("probe_id", "image"), "probe_id").mapInPandas(draw, "probe_id long, png binary")
+
+
 def overlay_boxes(deltas: Column) -> Column:
     """The boxes that a reviewer's overlay shows, with their colour."""
     return F.transform(deltas, lambda d: F.struct(d["x"].alias("x"), d["y"].alias("y"), d["w"].alias("w"), d["h"].alias("h"), F.when(d["severity"] == "MATERIAL", "red").otherwise("amber").alias("colour")))

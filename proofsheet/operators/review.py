@@ -176,3 +176,26 @@ def reference_checks(transitions: DataFrame, clean_fraction: float) -> DataFrame
     """Per product, of its transitions (product_id, n_regions, fraction): how many show no region, how many unchanged images lie over the clean cutoff, how many are warned of."""
     bare, noisy = F.col("n_regions") == 0, F.col("fraction") >= clean_fraction
     return transitions.groupBy("product_id").agg(F.count_if(bare).alias("without_regions"), F.count_if(noisy).alias("over_cutoff"), F.count_if(bare | noisy).alias("warned"))
+
+
+def finding_details(findings: DataFrame, regions: DataFrame, acks: DataFrame, products: DataFrame, runs: DataFrame) -> DataFrame:
+    """findings with product, run status, sign-off and their regions in order: what a finding's page shows."""
+    per = regions.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "x", "y", "w", "h", "field_key", "severity"))).alias("regions"))
+    rows = with_acknowledgement(findings, regions, acks).join(per, "finding_id", "left")
+    rows = rows.join(products.select("product_id", "name"), "product_id", "left").join(runs.select("run_id", F.col("status").alias("run_status")), "run_id", "left")
+    return rows.withColumn("regions", F.coalesce("regions", F.array().cast(per.schema["regions"].dataType)))
+
+
+def started(runs: DataFrame, run_id: int) -> DataFrame:
+    """runs with a new one that is RUNNING; an error if one is running already."""
+    busy = [r.run_id for r in runs.filter("status = 'RUNNING'").select("run_id").limit(1).collect()]
+    if busy:
+        raise RuntimeError(f"run {busy[0]} is still running")
+    new = runs.sparkSession.createDataFrame([(run_id, "RUNNING")], "run_id long, status string")
+    return runs.unionByName(new, allowMissingColumns=True)
+
+
+def labelled(findings: DataFrame, labels: dict[int, str], key: str = "product_id") -> DataFrame:
+    """findings with a label given by hand, null where there is none."""
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]) if labels else F.create_map().cast("map<bigint,string>")
+    return findings.withColumn("label", F.try_element_at(names, F.col(key)))

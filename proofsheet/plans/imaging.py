@@ -169,3 +169,14 @@ def homography_boxes(t):
     a = B.box(F.lit(2.0), F.lit(3.0), F.lit(10.0), F.lit(5.0))
     out = t.embeddings.withColumn("b", B.through(h, a))
     return out.select("vec_id", F.round("b.x", 6).alias("x0"), F.round("b.y", 6).alias("y0"))
+
+
+@query("""WITH h AS (SELECT vec_id, 1 + embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE * 9 AS c, embedding[4]::DOUBLE AS d, 1 + embedding[5]::DOUBLE AS e, embedding[6]::DOUBLE * 9 AS f, embedding[7]::DOUBLE / 100 AS g, embedding[8]::DOUBLE / 100 AS i FROM embeddings),
+k AS (SELECT vec_id, sqrt(power((a * x + b * y + c) / (g * x + i * y + 1) - x, 2) + power((d * x + e * y + f) / (g * x + i * y + 1) - y, 2)) AS d FROM h, (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (20, 0), (0, 10), (20, 10)) v(x, y))
+SELECT vec_id, round(avg(d), 6) AS error FROM k GROUP BY 1""")
+def corner_error(t):
+    """how far the corners of a 20 by 10 image lie from where they should."""
+    e = lambda i: F.element_at("embedding", i).cast("double")
+    h = [1 + e(1), e(2), e(3) * 9, e(4), 1 + e(5), e(6) * 9, e(7) / 100, e(8) / 100, F.lit(1.0)]
+    same = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)]
+    return t.embeddings.select("vec_id", F.round(B.corner_error(h, same, F.lit(20.0), F.lit(10.0)), 6).alias("error"))

@@ -17,14 +17,15 @@ from proofsheet.operators import images as I
 from proofsheet.operators import pairs as PA
 from proofsheet.operators import reading as D
 from proofsheet.sources import corpus as C
+from proofsheet.sources import images as S
 from proofsheet.tables import stored
 
 from .registry import query
 
 #: Edits that the region search sees as one box each.
-KINDS = ["NUMERIC_DRIFT", "ELEMENT_REMOVED", "ELEMENT_ADDED", "LOGO_CHANGE"]
+KINDS = ["NUMERIC_DRIFT", "CLAIM_REMOVED", "CLAIM_ADDED", "CERT_REMOVED"]
 SETTINGS = Identify(clean_fraction=0.002)
-TRUTH = """p AS (SELECT n_nationkey AS n, 'N' || n_nationkey AS product_id FROM nation), e AS (SELECT *, ['NUMERIC_DRIFT', 'ELEMENT_REMOVED', 'ELEMENT_ADDED', 'LOGO_CHANGE'][1 + (n + v) % 4] AS edit_type, 'field_' || (n + v) % 6 AS field_key FROM p, (VALUES (1), (2)) k(v))"""
+TRUTH = """p AS (SELECT n_nationkey AS n, 'N' || n_nationkey AS product_id FROM nation), e AS (SELECT *, ['NUMERIC_DRIFT', 'CLAIM_REMOVED', 'CLAIM_ADDED', 'CERT_REMOVED'][1 + (n + v) % 4] AS edit_type, 'field_' || (n + v) % 6 AS field_key FROM p, (VALUES (1), (2)) k(v))"""
 
 
 def products(t):
@@ -42,7 +43,7 @@ def probes(t, versions):
     return I.measured(C.listings(versions, t.spark.createDataFrame(grid, "variant_id int, quality int, size double, padding string")), "listings")
 
 
-@query(f"WITH {TRUTH} SELECT product_id, n * 3 + v - 1 AS from_id, n * 3 + v AS to_id, field_key, edit_type, CASE WHEN edit_type = 'COLOUR_CHANGE' THEN 'COSMETIC' ELSE 'MATERIAL' END AS severity FROM e")
+@query(f"WITH {TRUTH} SELECT product_id, n * 3 + v - 1 AS from_id, n * 3 + v AS to_id, field_key, edit_type, CASE WHEN edit_type = 'PALETTE_SHIFT' THEN 'COSMETIC' ELSE 'MATERIAL' END AS severity FROM e")
 def image_regions(t):
     """Regions of consecutive versions and the edits they belong to."""
     _, regions = corpus(t)
@@ -209,3 +210,24 @@ def image_differences(t):
             yield pd.DataFrame(rows, columns=["n", "same_score", "same_ssim", "signal", "inside", "outside", "coloured"])
 
     return t.nation.select("n_nationkey").mapInPandas(run, "n long, same_score double, same_ssim double, signal double, inside double, outside double, coloured boolean")
+
+
+@query("""SELECT q AS quality, s AS size, 75::BIGINT AS images, true AS apart FROM (VALUES (100, 1.0::DOUBLE), (90, 1.0), (80, 1.0), (90, 0.85)) v(q, s) UNION ALL SELECT NULL, NULL, 300, true""")
+def image_fractions(t):
+    """Fractions against the true version lie under those against the others, by quality and size."""
+    versions, regions = corpus(t)
+    q = probes(t, versions)
+    seen = I.measured(I.compared(q.select("probe_id", "product_id", "sha", "image"), versions, regions, SETTINGS), "compared")
+    out = I.fraction_report(seen, q.select("probe_id", "true_id", "quality", "size"))
+    return out.select("quality", "size", "images", (F.col("own_most") < 0.002).alias("apart"))
+
+
+@query(f"""WITH {TRUTH}, l AS (SELECT p.*, x.v, (n * 3 + x.v) * 1000 + y.k AS probe_id FROM p, (VALUES (0), (1)) x(v), (VALUES (0), (1), (2), (3)) y(k)) SELECT probe_id, true AS png, CASE probe_id % 1000 WHEN 2 THEN 280 WHEN 3 THEN 204 ELSE 240 END::INTEGER AS width FROM l""")
+def image_overlays(t):
+    """Overlays of stale listings as PNG files, their sizes read from the header."""
+    versions, regions = corpus(t)
+    q = probes(t, versions)
+    placed = q.select("probe_id", "product_id", F.lit(0).alias("cx"), F.lit(0).alias("cy"), F.col("image.width").alias("cw"), F.col("image.height").alias("ch"), F.lit(240.0).alias("rw"), F.lit(240.0).alias("rh"))
+    found = stored(I.listing_findings(I.identify(q.select("probe_id", "product_id", "sha", "image"), versions, regions, SETTINGS), placed, versions, regions), "findings")
+    drawn = I.overlays(found, q)
+    return drawn.select("probe_id", (F.hex(F.substring("png", 1, 4)) == "89504E47").alias("png"), S.image_size(F.col("png"))["width"].alias("width"))

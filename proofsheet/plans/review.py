@@ -206,3 +206,32 @@ def field_labels(t):
 def region_signature(t):
     """F1."""
     return R.signed(t.b_regions).select("finding_id", "ordinal", "signature")
+
+
+@query("""SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A')::BIGINT AS n, printf('%d%%', (floor(100.0 * count(*) FILTER (l_returnflag = 'A') / count(*) + 0.5))::BIGINT) AS share, CASE WHEN min(l_quantity) > 45 THEN '—' WHEN sum(l_quantity) < 60 THEN floor(sum(l_quantity) + 0.5)::BIGINT || 's' ELSE floor(sum(l_quantity) / 60)::BIGINT || 'm ' || lpad((floor(sum(l_quantity) % 60 + 0.5))::BIGINT::VARCHAR, 2, '0') || 's' END AS took
+FROM lineitem GROUP BY 1""")
+def report_labels(t):
+    """shares and durations as they are shown."""
+    per = t.lineitem.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("n"), F.count("*").alias("m"), F.when(F.min("l_quantity") <= 45, F.sum("l_quantity")).alias("s"))
+    return per.select("l_orderkey", "n", V.percent("n", "m").alias("share"), V.duration("s").alias("took"))
+
+
+@query("""SELECT method, CASE method WHEN 'CACHED' THEN 'Unchanged since last run' WHEN 'HASH_EXACT' THEN 'Exact file match' WHEN 'PIXEL_DIFF' THEN 'Pixel difference' WHEN 'REGION_CHECK' THEN 'Region check' ELSE 'No match' END AS label,
+  CASE method WHEN 'CACHED' THEN 'The file and the approved artwork are both unchanged since the last run.' WHEN 'HASH_EXACT' THEN 'The listing is serving this artwork file byte for byte. This is proof, not an estimate.' WHEN 'PIXEL_DIFF' THEN 'Exactly one artwork version differs from this listing image by no more than compression noise.'
+  WHEN 'REGION_CHECK' THEN 'Versions look alike overall, so they were compared inside the regions known to differ between them.' ELSE 'No approved artwork explains this image.' END AS hint, count(*)::BIGINT AS n
+FROM (SELECT CASE WHEN finding_id % 9 = 0 THEN 'CACHED' ELSE match_method END AS method FROM b_findings) GROUP BY 1""")
+def method_labels(t):
+    """methods with their hints; carried findings are unchanged."""
+    method = F.when(F.col("finding_id") % 9 == 0, "CACHED").otherwise(F.col("match_method"))
+    per = t.b_findings.groupBy(method.alias("method")).agg(F.count("*").alias("n"))
+    return per.select("method", V.label("method", schema.METHOD_LABEL).alias("label"), V.label("method", schema.METHOD_HINT).alias("hint"), "n")
+
+
+@query(f"""WITH {ACKED} SELECT f.finding_id, f.verdict, f.severity, p.name, coalesce(k.acknowledged, false) AS acknowledged, coalesce(k.region_count, 0)::BIGINT AS region_count, r.status AS run_status, coalesce(x.fields, '') AS fields
+FROM b_findings f LEFT JOIN acked k USING (finding_id) LEFT JOIN b_products p USING (product_id) LEFT JOIN b_runs r USING (run_id)
+LEFT JOIN (SELECT finding_id, string_agg(coalesce(field_key, '-'), ',' ORDER BY ordinal) AS fields FROM b_regions GROUP BY 1) x USING (finding_id)""")
+def finding_details(t):
+    """Each finding with its product, run, sign-off and regions."""
+    out = R.finding_details(t.b_findings, t.b_regions, t.b_acks, t.b_products, t.b_runs)
+    fields = F.array_join(F.transform("regions", lambda r: F.coalesce(r["field_key"], F.lit("-"))), ",")
+    return out.select("finding_id", "verdict", "severity", "name", "acknowledged", "region_count", "run_status", fields.alias("fields"))

@@ -22,7 +22,7 @@ IMAGE = "struct<height:int,width:int,nChannels:int,data:binary>"
 EDITS = "edit_pos int, x int, y int, w int, h int, field_key string, old_value string, new_value string, edit_type string, severity string"
 VERSIONS = f"product_id string, version_id long, version_label string, pos long, is_current boolean, sha string, image {IMAGE}"
 #: The ways in which one version becomes the next.
-EDIT_TYPES = ["NUMERIC_DRIFT", "TEXT_EDIT", "ELEMENT_REMOVED", "ELEMENT_ADDED", "COLOUR_CHANGE", "MOVED", "LOGO_CHANGE", "NO_CHANGE"]
+EDIT_TYPES = ["NUMERIC_DRIFT", "WEIGHT_CHANGE", "CLAIM_REMOVED", "CLAIM_ADDED", "PALETTE_SHIFT", "LOGO_NUDGE", "CERT_REMOVED", "NO_CHANGE"]
 FIELDS = 6
 
 
@@ -40,18 +40,18 @@ def edited(img: np.ndarray, kind: str, k: int, seed: int) -> tuple[np.ndarray, t
     out = img.copy()
     side = img.shape[0]
     x, y, w, h = P.field(img.copy(), k, 0)
-    if kind in ("NUMERIC_DRIFT", "TEXT_EDIT"):
+    if kind in ("NUMERIC_DRIFT", "WEIGHT_CHANGE"):
         P.field(out, k, seed)
-    elif kind == "ELEMENT_REMOVED":
+    elif kind == "CLAIM_REMOVED":
         out[y : y + h, x : x + w] = 235
-    elif kind == "ELEMENT_ADDED":
+    elif kind == "CLAIM_ADDED":
         n = side // 10
         out[side // 24 : side // 24 + n, side - 2 * n : side - n] = (30, 90, 200)
-    elif kind == "COLOUR_CHANGE":
+    elif kind == "PALETTE_SHIFT":
         out[y : y + h, x : x + w] = np.where(out[y : y + h, x : x + w] > 128, (250, 210, 60), out[y : y + h, x : x + w])
-    elif kind == "MOVED":
+    elif kind == "LOGO_NUDGE":
         out[y : y + h, x : x + w] = np.roll(out[y : y + h, x : x + w], w // 5, axis=1)
-    elif kind == "LOGO_CHANGE":
+    elif kind == "CERT_REMOVED":
         yy, xx = np.mgrid[:side, :side]
         out[(yy - side // 8) ** 2 + (xx - side // 2) ** 2 < (side // 14) ** 2] = (180, 40, 60)
     return out, truth_box(img, out)
@@ -64,7 +64,7 @@ def line_of(seed: int, versions: int, side: int, kinds: list[str]) -> tuple[list
         kind, k = kinds[(seed + v) % len(kinds)], (seed + v) % FIELDS
         img, box = edited(images[-1], kind, k, 1000 * seed + v)
         images.append(img)
-        edits.append([] if box is None else [(0, *box, f"field_{k}", f"{seed + v} mg", f"{seed + v + 30} mg", kind, "COSMETIC" if kind == "COLOUR_CHANGE" else "MATERIAL")])
+        edits.append([] if box is None else [(0, *box, f"field_{k}", f"{seed + v} mg", f"{seed + v + 30} mg", kind, "COSMETIC" if kind == "PALETTE_SHIFT" else "MATERIAL")])
     return images, edits
 
 
@@ -140,7 +140,7 @@ def pair_of(kind: str, seed: int, side: int) -> tuple[np.ndarray, np.ndarray, tu
     elif kind in ("text_edit", "number_edit"):
         mkt, box = edited(ref, "NUMERIC_DRIFT", k, seed + 77)
     elif kind == "element_removed":
-        mkt, box = edited(ref, "ELEMENT_REMOVED", k, seed)
+        mkt, box = edited(ref, "CLAIM_REMOVED", k, seed)
     elif kind == "different_product":
         mkt = P.pack(seed + 100_003, side)
     return ref, mkt, box

@@ -27,6 +27,37 @@ def run_inputs(listed: DataFrame, manifest: DataFrame | None = None) -> DataFram
     return listed.join(named, "name", "left").withColumn("product_id", F.coalesce("m_", product)).drop("m_")
 
 
+def image_size(content: Column) -> Column:
+    """Width and height (a struct) from a file's first bytes, without decoding: PNG, GIF and BMP by place, JPEG by its frame header; null for others."""
+
+    def number(at: int, n: int) -> Column:
+        return F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
+
+    def little(at: int, n: int) -> Column:
+        return sum((F.conv(F.hex(F.substring(content, at + i, 1)), 16, 10).cast("int") * 256**i for i in range(1, n)), F.conv(F.hex(F.substring(content, at, 1)), 16, 10).cast("int"))
+
+    def both(w: Column, h: Column) -> Column:
+        return F.struct(w.alias("width"), h.alias("height"))
+
+    head = F.hex(F.substring(content, 1, 8))
+    # segments before the frame header hold no marker of one outside their length; the first match after a whole marker is it
+    frame = F.regexp_extract(F.hex(F.substring(content, 1, 1 << 16)), "^FFD8(?:..)*?FFC[012]0[0-9A-F]{3}08([0-9A-F]{4})([0-9A-F]{4})", 1)
+    wide = F.regexp_extract(F.hex(F.substring(content, 1, 1 << 16)), "^FFD8(?:..)*?FFC[012]0[0-9A-F]{3}08([0-9A-F]{4})([0-9A-F]{4})", 2)
+    jpeg = F.when(frame != "", both(F.conv(wide, 16, 10).cast("int"), F.conv(frame, 16, 10).cast("int")))
+    return F.when(head == "89504E470D0A1A0A", both(number(17, 4), number(21, 4))).when(head.startswith("47494638"), both(little(7, 2), little(9, 2))).when(head.startswith("424D"), both(little(19, 4), F.abs(little(23, 4)))).when(head.startswith("FFD8"), jpeg)
+
+
+def save_table(rows: DataFrame, path: str, partition: str | None = None) -> None:
+    """Write one of the model's tables (runs, findings, regions, acknowledgements, stages); with a partition column only its values are replaced."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
+def save_report(report: DataFrame, path: str) -> None:
+    """A report of a few rows as one JSON file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def paired(listed: DataFrame) -> DataFrame:
     """Files (id, name) named `ref__<key>.<suffix>` and `mkt__<key>.<suffix>`: key, ref, mkt (the first id of each side), the side that is missing."""
     pattern = r"^(ref|mkt)__(.+)\.\w+$"

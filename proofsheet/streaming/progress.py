@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,9 +39,33 @@ def changes(probes: DataFrame) -> DataFrame:
     return probes.groupBy("path").applyInPandasWithState(step, OUT, SEEN, "append", GroupStateTimeout.NoTimeout)
 
 
-def windowed(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Findings by event-time window, for runs that report as they go."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+STAGE, SHOWN = "last int", "pair_id string, ordinal int, stage string, status string, share double, finished boolean"
+
+
+def stages(rows: DataFrame, of: int = 7) -> DataFrame:
+    """A stream of stage rows (pair_id, ordinal from 1, stage, status): each once, in order, with the share that is done."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else 0
+        every = pd.concat(list(frames)).sort_values("ordinal")
+        new = every[every["ordinal"] > last].drop_duplicates("ordinal")
+        if len(new):
+            state.update((int(new["ordinal"].max()),))
+        yield pd.DataFrame({"pair_id": key[0], "ordinal": new["ordinal"], "stage": new["stage"], "status": new["status"], "share": new["ordinal"] / of, "finished": new["ordinal"] >= of})
+
+    return rows.groupBy("pair_id").applyInPandasWithState(step, SHOWN, STAGE, "append", GroupStateTimeout.NoTimeout)
+
+
+def committed(stream: DataFrame, path: str, checkpoint: str, every: str = "500 milliseconds", listener: Callable[[DataFrame, int], None] | None = None):
+    """Append a stream's rows to a table, a commit each `every`; a listener sees each batch, and what it raises is dropped."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(path)
+        if listener is not None:
+            with suppress(Exception):
+                listener(batch, number)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
