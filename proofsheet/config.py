@@ -7,6 +7,9 @@ import json
 from dataclasses import dataclass, field
 
 
+# Names and defaults of the settings, so that files of settings can be read.
+
+
 @dataclass(frozen=True)
 class Identify:
     """Settings of version identification."""

@@ -190,7 +190,7 @@ def corners(grey: np.ndarray, most: int = 400, apart: int = 5) -> np.ndarray:
 
     xx, yy, xy = blur(gx * gx), blur(gy * gy), blur(gx * gy)
     least = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
-    edge = 9
+    edge = 12
     top = (least == dilate(least, (apart, apart))) & (least > 1e-3 * least.max())
     top[:edge], top[-edge:], top[:, :edge], top[:, -edge:] = False, False, False, False
     y, x = np.nonzero(top)
@@ -198,14 +198,42 @@ def corners(grey: np.ndarray, most: int = 400, apart: int = 5) -> np.ndarray:
     return np.stack([x[order], y[order]], 1)
 
 
-def patches(grey: np.ndarray, at: np.ndarray, radius: int = 8) -> np.ndarray:
-    """Normalized patch around each place."""
+def directions(grey: np.ndarray, at: np.ndarray, radius: int = 8) -> np.ndarray:
+    """Angle from each place to the centre of brightness of the disc around it, which turns with the image."""
     g = np.arange(-radius, radius + 1)
-    p = grey[at[:, 1, None, None] + g[:, None], at[:, 0, None, None] + g].reshape(len(at), -1).astype(np.float32)
+    disc = (g[:, None] ** 2 + g[None] ** 2 <= radius * radius).astype(np.float32)
+    h, w = grey.shape
+    part = grey[np.clip(at[:, 1, None, None] + g[:, None], 0, h - 1), np.clip(at[:, 0, None, None] + g, 0, w - 1)] * disc
+    return np.arctan2((part * g[:, None]).sum((1, 2)), (part * g).sum((1, 2)))
+
+
+def patches(grey: np.ndarray, at: np.ndarray, radius: int = 8, angle: np.ndarray | None = None) -> np.ndarray:
+    """Normalized patch around each place, turned by its angle."""
+    g = np.arange(-radius, radius + 1, dtype=np.float32)
+    c, s = (np.ones(len(at)), np.zeros(len(at))) if angle is None else (np.cos(angle), np.sin(angle))
+    x = at[:, 0, None, None] + c[:, None, None] * g - s[:, None, None] * g[:, None]
+    y = at[:, 1, None, None] + s[:, None, None] * g + c[:, None, None] * g[:, None]
+    p = sample(grey[..., None], x, y)[..., 0].reshape(len(at), -1).astype(np.float32)
     p -= p.mean(1, keepdims=True)
     return p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6)
 
 
+def keypoints(grey: np.ndarray, most: int = 400, levels: int = 4, step: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) in the image and descriptors, which don't change with scale and rotation: corners of smaller and smaller images, each patch turned to its own direction."""
+    places, found, scale = [], [], 1.0
+    for _ in range(levels):
+        h, w = (round(n * scale) for n in grey.shape)
+        if min(h, w) < 48:
+            break
+        img = grey if scale == 1 else _lines(_lines(grey, h).T, w).T.astype(np.float32)
+        at = corners(img, max(40, round(most * scale * scale)))
+        if len(at):
+            places.append((at + 0.5) * [grey.shape[1] / w, grey.shape[0] / h] - 0.5)
+            found.append(patches(img, at, angle=directions(img, at)))
+        scale *= step
+    return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros((0, 2)), np.zeros((0, 289), np.float32))
+
+
 def matches(a: np.ndarray, b: np.ndarray, ratio: float = 0.75) -> np.ndarray:
     """(n, 2) indices whose nearest neighbour is nearer than `ratio` times the second one."""
     if len(a) == 0 or len(b) < 2:

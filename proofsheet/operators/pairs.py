@@ -41,9 +41,9 @@ def _image(rgb: np.ndarray) -> dict:
 def register(ref: np.ndarray, mkt: np.ndarray, s: Pairwise, seed: int) -> tuple[dict, np.ndarray | None]:
     """Registration metrics and the homography from the reference to the listing."""
     a, b = (G.ycrcb(i)[..., 0] for i in (ref, mkt))
-    p, q = (G.corners(g, s.registration_max_features) for g in (a, b))
-    m = G.matches(G.patches(a, p), G.patches(b, q), s.registration_lowe_ratio) if len(p) and len(q) else np.zeros((0, 2), int)
-    src, dst = p[m[:, 0]].astype(float), q[m[:, 1]].astype(float)
+    (p, d), (q, e) = (G.keypoints(g, s.registration_max_features) for g in (a, b))
+    m = G.matches(d, e, s.registration_lowe_ratio) if len(p) and len(q) else np.zeros((0, 2), int)
+    src, dst = p[m[:, 0]], q[m[:, 1]]
     h, inside = G.ransac(src, dst, s.registration_ransac_reproj_px, seed=seed)
     if h is None:
         return {"inliers": 0}, None

@@ -129,3 +129,20 @@ def test_homography_survives_half_of_outliers():
     dst[:60] = r.random((60, 2)) * 300
     h, inside = G.ransac(src, dst)
     assert inside[60:].all() and G.corner_error(h, true, 300, 300) < 0.01
+
+
+@pytest.mark.parametrize("angle,scale", [(0, 1), (25, 1), (-60, 0.8), (10, 0.6), (180, 1)])
+def test_registration_of_turned_and_scaled_images(angle, scale):
+    from proofsheet.config import Pairwise
+    from proofsheet.operators.pairs import register
+
+    r = np.random.default_rng(2)
+    ref = np.kron(r.integers(40, 220, (40, 40, 3)), np.ones((8, 8, 1))).astype(np.uint8)
+    t = np.radians(angle)
+    c, s = np.cos(t) * scale, np.sin(t) * scale
+    true = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1.0]])
+    true[:2, 2] = 200 - true[:2, :2] @ [160, 160]
+    mkt, _ = G.warp(ref, true, 400, 400)
+    got, h = register(ref, mkt, Pairwise(), 1)
+    assert got["inliers"] >= 15 and G.corner_error(h, true, 320, 320) < 3
+    assert abs(got["scale"] - scale) < 0.03 and abs((got["rotation"] - angle + 180) % 360 - 180) < 1.5
