@@ -43,16 +43,58 @@ def percentile(c: str, q: float) -> Column:
     return F.percentile(c, q)
 
 
+#: Bins of a histogram that narrows down a percentile, and the values that may come to the driver in the end.
+BINS, MOST_VALUES = 4096, 100_000
+
+
+def exact_percentiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles by linear interpolation; null and NaN values don't count, no values give None.
+
+    Histograms of BINS bins narrow down the interval in which a rank lies, so no task and not the driver ever holds more
+    than MOST_VALUES values, however many distinct ones there are.
+    """
+    v = F.col(value).cast("double")
+    known = rows.select(v.alias("v")).filter("v is not null and not isnan(v)")
+    n, low, high = known.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+
+    def at_rank(rank: int) -> float:
+        lo, hi, before, inside = low, high, 0, n
+        while lo < hi and inside > MOST_VALUES:
+            here = F.least(F.lit(BINS - 1), F.floor((F.col("v") - lo) / F.lit(hi - lo) * BINS)).cast("int")
+            part = known.filter(F.col("v").between(lo, hi)).groupBy(here.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            for r in sorted(part.collect(), key=lambda r: r.b):  # BINS rows at most
+                if rank < before + r.n:
+                    lo, hi, inside = r.lo, r.hi, r.n
+                    break
+                before += r.n
+        if lo == hi:
+            return lo
+        return sorted(r.v for r in known.filter(F.col("v").between(lo, hi)).collect())[rank - before]
+
+    found: dict[int, float] = {}
+    out = []
+    for q in shares:
+        place = q * (n - 1)
+        a, b = (found.setdefault(k, at_rank(k)) if k not in found else found[k] for k in (int(place), min(int(place) + 1, n - 1)))
+        out.append(a + (b - a) * (place - int(place)))
+    return out
+
+
 def noise_thresholds(samples: DataFrame, value: str, changed: str) -> DataFrame:
     """Threshold from unchanged samples (p99.9) and its margin to the changed ones (p99)."""
-    quiet, moved = F.when(~F.col(changed), F.col(value)), F.when(F.col(changed), F.col(value))
-    return samples.agg(F.percentile(quiet, 0.999).alias("threshold"), (F.percentile(moved, 0.99) - F.percentile(quiet, 0.999)).alias("margin"))
+    (quiet,) = exact_percentiles(samples.filter(~F.col(changed)), value, [0.999])
+    (moved,) = exact_percentiles(samples.filter(changed), value, [0.99])
+    margin = None if quiet is None or moved is None else moved - quiet
+    return samples.sparkSession.createDataFrame([(quiet, margin)], "threshold double, margin double")
 
 
 def tails(samples: DataFrame, key: str, value: str) -> DataFrame:
     """The p99.9 of each image, then percentiles of those."""
+    shares = (0.5, 0.95, 0.99)
     per = samples.groupBy(key).agg(F.percentile(value, 0.999).alias("tail"))
-    return per.agg(*[F.percentile("tail", q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    return samples.sparkSession.createDataFrame([tuple(exact_percentiles(per, "tail", list(shares)))], ", ".join(f"p{int(q * 100)} double" for q in shares))
 
 
 def clean_cutoff(fraction: Column) -> Column:

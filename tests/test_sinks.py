@@ -146,3 +146,16 @@ def test_registration_of_turned_and_scaled_images(angle, scale):
     got, h = register(ref, mkt, Pairwise(), 1)
     assert got["inliers"] >= 15 and G.corner_error(h, true, 320, 320) < 3
     assert abs(got["scale"] - scale) < 0.03 and abs((got["rotation"] - angle + 180) % 360 - 180) < 1.5
+
+
+def test_exact_percentiles(spark, monkeypatch):
+    from proofsheet.operators import evaluate as E
+
+    monkeypatch.setattr(E, "MOST_VALUES", 50)
+    monkeypatch.setattr(E, "BINS", 16)
+    r = np.random.default_rng(0)
+    for values in (r.normal(size=3000), np.repeat(r.integers(0, 5, 40), 50).astype(float), np.array([2.5]), np.concatenate([np.zeros(500), [1e9]])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(3)
+        shares = [0.0, 0.5, 0.95, 0.999, 1.0]
+        assert np.allclose(E.exact_percentiles(df, "v", shares), np.quantile(values, shares))
+    assert E.exact_percentiles(df.filter("false"), "v", [0.5]) == [None]
