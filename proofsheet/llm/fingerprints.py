@@ -3,9 +3,9 @@
 Leaves are runs of up to 32 characters counted from the start of their sentence, so an
 edit inside one sentence leaves the leaves of the others as they are. Paragraphs hash
 their leaves, sections (split by blank lines) their paragraphs, the root its sections.
-A fingerprint is `root|section/section`, a section `paragraph.paragraph`, a paragraph its
-leaves' digests cut to six hex digits: equal roots mean equal texts, and differing
-branches locate edits.
+A fingerprint is `root|section/section`, a section its digest and `paragraph.paragraph`, a
+paragraph its digest and its leaves' digests cut to six hex digits: equal roots mean equal
+texts, and differing branches, found from the root down, locate edits.
 
 Defined results: null text counts as empty; the empty text has a root and no leaves; equal
 texts (repeated rows too) have equal fingerprints; an empty table gives no rows; a lone
@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,8 @@ from .common import Buckets, by_bucket, order_key, own, slices, texts_of, tie_ke
 
 LEAF = re.compile(r"[^.\n]{1,32}\.?|[.\n]")
 BLANK = re.compile(r"(\n[ \t]*\n+)")
-CUT = 6
+#: Hex digits of a leaf, and bytes of an inner node's digest.
+CUT, NODE = 6, 4
 
 
 def _digest(data: bytes, kind: bytes) -> bytes:
@@ -42,16 +44,24 @@ def fingerprint(text: str) -> str:
         paragraphs, hashes = [], []
         for line in section.split("\n"):
             leaves = [blake(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in LEAF.findall(line)]
-            hashes.append(_digest(b"".join(leaves), b"paragraph"))
-            paragraphs.append("".join([x.hex()[:CUT] for x in leaves]))
-        sections.append(".".join(paragraphs))
-        tops.append(_digest(b"".join(hashes), b"section"))
+            node = _digest(b"".join(leaves), b"paragraph")
+            hashes.append(node)
+            paragraphs.append(node[:NODE].hex() + "".join([x.hex()[:CUT] for x in leaves]))
+        top = _digest(b"".join(hashes), b"section")
+        sections.append(top[:NODE].hex() + ".".join(paragraphs))
+        tops.append(top)
     return f"{_digest(b''.join(tops), b'root').hex()}|{'/'.join(sections)}"
 
 
+def _tree(print_: str) -> list[tuple[str, list[str]]]:
+    """Sections (their digest and their paragraphs, each its digest and its leaves)."""
+    body = print_.partition("|")[2]
+    return [(s[: 2 * NODE], s[2 * NODE :].split(".")) for s in body.split("/")] if body else []
+
+
 def _leaves(print_: str) -> list[str]:
-    body = re.sub("[./]", "", print_.partition("|")[2])
-    return [body[i : i + CUT] for i in range(0, len(body), CUT)]
+    every = "".join([p[2 * NODE :] for _, paragraphs in _tree(print_) for p in paragraphs])
+    return [every[i : i + CUT] for i in range(0, len(every), CUT)]
 
 
 def likeness(a: str, b: str) -> float:
@@ -65,13 +75,29 @@ def likeness(a: str, b: str) -> float:
     return min(2 * both / (len(x) + len(y)), 1 - 1 / (len(x) + len(y) + 1))
 
 
-def changed_branches(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) places of a that are not at the same place of b: where the edits are."""
+def changed_branches(a: str, b: str) -> list[tuple[str, int, int]]:
+    """Where the edits from a to b are: (changed or removed, section and paragraph of a) and (inserted, those of b).
+
+    Equal roots end the search; sections are aligned by their digests and only differing ones are descended, where
+    paragraphs are aligned by theirs, so that an insertion doesn't move what comes after it.
+    """
     if a == b:
         return []
-    x, y = ([s.split(".") for s in p.partition("|")[2].split("/")] for p in (a, b))
-    there = {(i, j): q for i, s in enumerate(y) for j, q in enumerate(s)}
-    return [(i, j) for i, s in enumerate(x) for j, q in enumerate(s) if there.get((i, j)) != q]
+    x, y, out = _tree(a), _tree(b), []
+
+    def runs(p: list[str], q: list[str]) -> list[tuple[int, int, int, int]]:
+        return [(i, j, k, m) for tag, i, j, k, m in SequenceMatcher(None, p, q).get_opcodes() if tag != "equal"]
+
+    for i, j, k, m in runs([s for s, _ in x], [s for s, _ in y]):
+        both = min(j - i, m - k)
+        for n in range(both):
+            p, q = x[i + n][1], y[k + n][1]
+            for c, d, e, f in runs([t[: 2 * NODE] for t in p], [t[: 2 * NODE] for t in q]):
+                same = min(d - c, f - e)
+                out += [("changed", i + n, c + r) for r in range(same)] + [("removed", i + n, r) for r in range(c + same, d)] + [("inserted", k + n, r) for r in range(e + same, f)]
+        out += [("removed", n, r) for n in range(i + both, j) for r in range(len(x[n][1]))]
+        out += [("inserted", n, r) for n in range(k + both, m) for r in range(len(y[n][1]))]
+    return out
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -26,7 +26,20 @@ def test_fingerprints(spark, clashing, empty):
         new = texts[i][: len(texts[i]) - k] + texts[i - 1][:k]
         want[r[0], len(texts[i]), hashlib.sha256(new.encode()).hexdigest(), fingerprints.fingerprint(texts[i]), fingerprints.fingerprint(new)] += 1
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    by_text = {t: fingerprints.fingerprint(t) for t in texts}
+
+    def share(a, b):
+        """Leaves that two texts have in common, by the texts' own runs."""
+        x, y = ([q for p in fingerprints.BLANK.split(t) for line in p.split("\n") for q in fingerprints.LEAF.findall(line)] if t else [] for t in (a, b))
+        if a == b or not x or not y:
+            return float(a == b)
+        return min(2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)), 1 - 1 / (len(x) + len(y) + 1))
+
+    near = Counter()
+    for i, r in enumerate(rows):
+        k = len(texts[i]) // 3
+        near[r[0], by_text[texts[i]], round(share(texts[i], texts[i][: len(texts[i]) - k] + texts[i - 1][:k]), 6), round(share(texts[i], texts[i - 1]), 6)] += 1
+    assert Counter((r.doc_id, r.fingerprint, round(r.near_edited, 6), round(r.near_next, 6)) for r in got) == near
     assert fingerprints.edit_probe(empty).count() == 0
 
 
@@ -35,7 +48,11 @@ def test_fingerprint_locates_edits():
     b = a.replace(prose(3, 50), prose(4, 50))
     x, y = fingerprints.fingerprint(a), fingerprints.fingerprint(b)
     assert fingerprints.changed_branches(x, x) == [] and fingerprints.likeness(x, x) == 1
-    assert fingerprints.changed_branches(x, y) == [(2, 1)]
+    assert fingerprints.changed_branches(x, y) == [("changed", 2, 1)]
+    longer = fingerprints.fingerprint("new first paragraph.\n" + a)  # what follows an insertion isn't marked
+    assert fingerprints.changed_branches(x, longer) == [("inserted", 0, 0)] and fingerprints.changed_branches(longer, x) == [("removed", 0, 0)]
+    assert fingerprints.changed_branches(x, fingerprints.fingerprint("a section.\n\n" + a)) == [("inserted", 0, 0), *[("inserted", 1, i) for i in range(3)]]
+    assert fingerprints.changed_branches(fingerprints.fingerprint(""), x) and fingerprints.changed_branches(x, fingerprints.fingerprint(""))
     assert 0.4 < fingerprints.likeness(x, y) < 1
     assert fingerprints.likeness(fingerprints.fingerprint("a.b."), fingerprints.fingerprint("b.a.")) < 1
 
