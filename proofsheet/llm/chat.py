@@ -6,8 +6,9 @@ a rolling hash of all turns up to it: two 64-bit lanes, each the exclusive or of
 snapshot of a longer one and goes by an anti-join; of equal conversations the one with the
 least conv_id stays. What remains is rendered.
 
-Turns are numbered and hashed in blocks of BLOCK_TURNS first, whose sums are then run over
-the conversation, so a conversation that holds a large share of all turns is spread.
+Turns are numbered and hashed in blocks first, whose sums are then run over the conversation.
+Blocks are the ranges of a sort of all turns, so a conversation that holds a large share of
+them is spread, whatever its turn numbers are.
 
 Defined results: turns go by (turn, role, text), null first; null role or text counts as a
 value of its own (rendered as empty); repeated rows are turns of their own; a null conv_id
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import own, stored
 
-BLOCK_TURNS = 64
 TEMPLATE = ("<|", "|>\n", "\n")
 
 
@@ -31,7 +31,8 @@ def _lane(seed: str, place: str) -> Column:
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, place (from 1), role, text, h1, h2 (of the turns up to here), n_turns."""
-    turns = own(turns, "conv_id", "turn", "role", "text").withColumn("b", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS))
+    ranges = own(turns, "conv_id", "turn", "role", "text").repartitionByRange("conv_id", "turn", "role", "text")
+    turns = stored(ranges.withColumn("b", F.spark_partition_id()), "ranges")
     in_block = Window.partitionBy("conv_id", "b").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     blocks = turns.groupBy("conv_id", "b").agg(F.count("*").alias("m"))
     line = Window.partitionBy("conv_id").orderBy("b")

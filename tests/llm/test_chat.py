@@ -53,3 +53,20 @@ def test_collapse_random(spark, seed):
     got = {x.conv_id: (x.n_turns, x.copies, x.snapshot, x.kept, x.rendered) for x in chat.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
     assert got == brute(data)
     assert Counter(v[3] for v in got.values())[True] > 0
+
+
+def test_a_conversation_without_turn_numbers_is_spread(spark):
+    from pyspark.sql import functions as F
+
+    hot = [(None, None, "user", f"t{i % 97}") for i in range(3000)] + [(1, i, "user", "a") for i in range(50)] + [(2, i, "user", "a") for i in range(20)]
+    df = spark.createDataFrame(hot, "conv_id long, turn long, role string, text string").repartition(5)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = {r.conv_id: (r.n_turns, r.copies, r.snapshot, r.kept, r.rendered) for r in chat.format_conversations(df).collect()}
+        ranges = df.repartitionByRange("conv_id", "turn", "role", "text").withColumn("b", F.spark_partition_id()).filter("conv_id is null")
+        assert ranges.select("b").distinct().count() > 1
+    finally:
+        spark.conf.set(key, before)
+    assert got == brute(hot)
