@@ -39,6 +39,7 @@ PER_LANG, TRAIN_ROWS, MOST_LANGS, LANDMARKS, RIDGE = 800, 6000, 64, 256, 1.0
 #: Rows of each language that the guard learns from, bits of a place, n-grams of a text that counts for the bound, share of known letters, slack by 1/sqrt(n-grams).
 GUARD_ROWS, GUARD_BITS, GUARD_GRAMS, GUARD_LETTERS, GUARD_SLACK = 200, 22, 100, 0.5, 3.0
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+BIT = np.uint8(128) >> np.arange(8, dtype=np.uint8)
 _seen = np.zeros(1 << PLACES_BITS, np.int32)
 
 
@@ -99,8 +100,9 @@ class Guard:
         low, high = np.quantile(own, 0.02) if own else 0.0, np.quantile(left, 0.98) if left else 0.0
         # languages whose samples can't be told apart say nothing of unlearned ones
         self.least = (low + high) / 2 if left and high < low else low
-        self.known = self.tables(rows)
-        self.letters = {lang: np.unique(np.concatenate([x for one, x, _ in rows if one == lang])) for lang in self.known}
+        self.known, self.letters = self.tables(rows), {}
+        for lang, letters, _ in rows:
+            self.letters.setdefault(lang, np.zeros(0x110000, np.bool_))[letters] = True
 
     @staticmethod
     def tables(rows: list) -> dict[str, np.ndarray]:
@@ -109,18 +111,22 @@ class Guard:
             out.setdefault(lang, np.zeros(1 << GUARD_BITS, np.bool_))[places] = True
         return {lang: np.packbits(t) for lang, t in out.items()}
 
+    @staticmethod
+    def filled(table: np.ndarray) -> float:
+        return float(np.bitwise_count(table).sum() / (1 << GUARD_BITS))
+
     @staticmethod
     def share(places: np.ndarray, table: np.ndarray) -> float:
         """Share of the places in the table, less the overlap expected by chance."""
-        filled = np.bitwise_count(table).sum() / (1 << GUARD_BITS)
-        found = (table[places >> np.uint32(3)] >> (np.uint32(7) - (places & np.uint32(7))) & 1).mean()
+        filled = Guard.filled(table)
+        found = np.count_nonzero(table[places >> np.uint32(3)] & BIT[places & np.uint32(7)]) / len(places)
         return float((found - filled) / (1 - filled))
 
     def passes(self, text: str, lang: str) -> bool:
         letters, places = passages(text)
         if lang not in self.known or not len(places):
             return lang not in self.known
-        if np.isin(letters, self.letters[lang]).mean() < GUARD_LETTERS:
+        if self.letters[lang][letters].mean() < GUARD_LETTERS:
             return False
         return self.share(places, self.known[lang]) >= self.least - GUARD_SLACK / np.sqrt(len(places))
 
