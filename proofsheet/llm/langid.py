@@ -101,6 +101,7 @@ class Guard:
         # languages whose samples can't be told apart say nothing of unlearned ones
         self.least = (low + high) / 2 if left and high < low else low
         self.known, self.letters = self.tables(rows), {}
+        self.chance = {lang: self.filled(t) for lang, t in self.known.items()}
         for lang, letters, _ in rows:
             self.letters.setdefault(lang, np.zeros(0x110000, np.bool_))[letters] = True
 
@@ -116,9 +117,9 @@ class Guard:
         return float(np.bitwise_count(table).sum() / (1 << GUARD_BITS))
 
     @staticmethod
-    def share(places: np.ndarray, table: np.ndarray) -> float:
+    def share(places: np.ndarray, table: np.ndarray, chance: float | None = None) -> float:
         """Share of the places in the table, less the overlap expected by chance."""
-        filled = Guard.filled(table)
+        filled = Guard.filled(table) if chance is None else chance
         found = np.count_nonzero(table[places >> np.uint32(3)] & BIT[places & np.uint32(7)]) / len(places)
         return float((found - filled) / (1 - filled))
 
@@ -128,7 +129,7 @@ class Guard:
             return lang not in self.known
         if self.letters[lang][letters].mean() < GUARD_LETTERS:
             return False
-        return self.share(places, self.known[lang]) >= self.least - GUARD_SLACK / np.sqrt(len(places))
+        return self.share(places, self.known[lang], self.chance[lang]) >= self.least - GUARD_SLACK / np.sqrt(len(places))
 
 
 def has_letter(text: str | None) -> bool:

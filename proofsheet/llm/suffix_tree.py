@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import own, shared_dir, slices, stored, texts_of
-from .shingles import PLACES, mixed, word_hashes
+from .shingles import C1, C2, PLACES, mixed, word_hashes
 
 CLASSES = 256
 #: Bytes of text in a batch.
@@ -59,7 +59,14 @@ def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     56 bits are the word's hash and the lowest its class by its last two bytes.
     """
-    h, n, one, two = word_hashes(texts)
+    parts, held, size = [], [], 0
+    for t in [*texts, None]:  # a megabyte at a time: sums over bytes take many times their room
+        if t is None or held and size + len(t) > 1 << 20:
+            parts.append(word_hashes(held))
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    h, n, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
     kind = mixed(two.astype(np.uint64) << np.uint64(8) | one) & np.uint64(CLASSES - 1)
     h = (h & ~np.uint64(0xFF) | kind).view(np.int64)
     starts = np.concatenate([[0], np.cumsum(n + 1)])
@@ -119,10 +126,28 @@ def streams(docs: DataFrame, parts: int) -> DataFrame:
     return spark.table(name)
 
 
-def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part of each key, and an order of the keys by part and value."""
-    part = ((mixed(keys.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    return part, np.lexsort((keys.view(np.uint64), part))
+INVERSE = [np.uint64(pow(int(c), -1, 1 << 64)) for c in (C1, C2)]
+
+
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    """Inverse of mixed."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * INVERSE[1]
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * INVERSE[0]
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
+def _address(keys: np.ndarray, level: int) -> np.ndarray:
+    """Evenly spread numbers that stand for keys: words and symbols (level 0) mixed, sequences, which are hashes of 48 bits, shifted."""
+    return mixed(keys.view(np.uint64)) if level == 0 else keys.view(np.uint64) << np.uint64(16)
+
+
+def _dealt(keys: np.ndarray, level: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys by their address, and in this order the addresses and their parts, which ascend, too."""
+    address = _address(keys, level)
+    order = np.argsort(address)
+    address = address[order]
+    return order, address, (((address >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def _steps(keys: np.ndarray) -> np.ndarray:
@@ -139,13 +164,13 @@ def _spans(part: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, at[1:], strict=False))
 
 
-def _sent(kind: int, mark: int | None, parts: int, keys: np.ndarray, *cols: np.ndarray) -> list[tuple]:
-    """Rows (SENT) of keys and 8-byte columns, one for each part."""
+def _sent(kind: int, level: int, mark: int, parts: int, keys: np.ndarray, *cols: np.ndarray) -> list[tuple]:
+    """Rows (SENT) of keys, as ascending addresses, and 8-byte columns, one for each part."""
     if not len(keys):
         return []
-    part, order = _dealt(keys, parts)
-    part, keys, cols = part[order], keys[order], [x[order].view(np.int64) for x in cols]
-    return [(kind, int(part[s]), mark, _squeezed(_steps(keys[s:e]), *(c[s:e] for c in cols))) for s, e in _spans(part)]
+    order, address, part = _dealt(keys, level, parts)
+    cols = [x[order].view(np.int64) for x in cols]
+    return [(kind, int(part[s]), mark, _squeezed(_steps(address[s:e].view(np.int64)), *(c[s:e] for c in cols))) for s, e in _spans(part)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -183,11 +208,17 @@ def _answers(kind: int, part: int, sizes: list[tuple[int, int]], values: np.ndar
     return [(kind, part, mark, _squeezed(values[e - n : e].astype("<i8"))) for (mark, n), e in zip(sizes, ends, strict=True)]
 
 
+def _added(address: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct addresses, each row's place among them, and the values' sums."""
+    every, at = np.unique(address.view(np.uint64), return_inverse=True)
+    return every, at, [np.bincount(at, v, len(every)) for v in values]
+
+
 def count_words(part: int, held: dict) -> list[tuple]:
     """Counts of a part's words, and a row of sums: of each class's rarer words the tokens and the words, then tokens, known words and symbols."""
-    (keys, n), sizes = _asked(held[WORDS], 2)
-    words, at = np.unique(keys, return_inverse=True)
-    c = np.bincount(at, n, len(words))
+    (address, n), sizes = _asked(held[WORDS], 2)
+    every, at, (c,) = _added(address, n)
+    words = _unmixed(every).view(np.int64)
     rare = (c < MIN_COUNT) & (words != END)
     kind = words[rare] & (CLASSES - 1)
     sums = [np.bincount(kind, c[rare], CLASSES), np.bincount(kind, c[rare] > 0, CLASSES), [c.sum(), (c > 0).sum(), (~rare).sum()]]
@@ -195,19 +226,19 @@ def count_words(part: int, held: dict) -> list[tuple]:
 
 
 def count_grams(kind: int, part: int, rows: list[tuple]) -> list[tuple]:
-    """Twice the counts of a part's sequences, and one more for the first batch that asked."""
-    (keys, n), sizes = _asked(rows, 2)
-    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    mine = np.zeros(len(keys), np.int64)
-    mine[first] = 1
-    return _answers(kind, part, sizes, 2 * np.bincount(at, n, len(first)).astype(np.int64)[at] + mine)
+    """Twice the counts of a part's sequences, and one more for one of the batches that asked."""
+    (address, n), sizes = _asked(rows, 2)
+    every, at, (c,) = _added(address, n)
+    one, mine = np.empty(len(every), np.int64), np.zeros(len(at), np.int64)
+    one[at] = np.arange(len(at))
+    mine[one] = 1
+    return _answers(kind, part, sizes, 2 * c.astype(np.int64)[at] + mine)
 
 
 def retain(kind: int, part: int, rows: list[tuple]) -> list[tuple]:
     """Listed counts of the contexts asked for, -1 for those whose divergence, from all batches, is too small."""
-    (keys, gain, listed), sizes = _asked(rows, 3)
-    ctx, at = np.unique(keys, return_inverse=True)
-    gain, listed = np.bincount(at, gain.view(np.float64), len(ctx)), np.bincount(at, listed, len(ctx))
+    (address, gain, listed), sizes = _asked(rows, 3)
+    _, at, (gain, listed) = _added(address, gain.view(np.float64), listed)
     return _answers(kind, part, sizes, np.where(gain >= DIVERGENCE, listed, -1.0)[at])
 
 
@@ -224,21 +255,21 @@ class Slice:
         self.answers, self.parts, self.tokens = answers, parts, _plain(tokens, "<u4").astype(np.int64)
         self.trained = np.repeat(~np.array(self.held, bool), np.diff(self.starts))
 
-    def answered(self, kind: int, keys: np.ndarray, at: np.ndarray, other: int) -> np.ndarray:
+    def answered(self, kind: int, level: int, keys: np.ndarray, at: np.ndarray, other: int) -> np.ndarray:
         """What was answered for the keys at these places, `other` elsewhere."""
         out = np.full(len(keys), other, np.int64)
         if len(at):
-            out[at[_dealt(keys[at], self.parts)[1]]] = np.concatenate([_plain(b) for b in self.answers[kind]])
+            out[at[np.argsort(_address(keys[at], level))]] = np.concatenate([_plain(b) for b in self.answers[kind]])
         return out
 
     def count(self, at: np.ndarray, m: int) -> np.ndarray:
         return np.bincount(at[self.trained], minlength=m).astype(np.int64)
 
     def asks_words(self) -> list[tuple]:
-        return _sent(WORDS, self.mark, self.parts, self.words, self.count(self.tokens, len(self.words)))
+        return _sent(WORDS, 0, self.mark, self.parts, self.words, self.count(self.tokens, len(self.words)))
 
     def find_symbols(self, sums: np.ndarray) -> None:
-        self.c = self.answered(WORDS, self.words, np.arange(len(self.words)), 0)
+        self.c = self.answered(WORDS, 0, self.words, np.arange(len(self.words)), 0)
         rare, kind = (self.c < MIN_COUNT) & (self.words != END), self.words & (CLASSES - 1)
         self.share = np.where(rare, np.log10((self.c + 1.0) / (sums[kind] + sums[CLASSES + kind] + 1.0)), 0.0)  # of all a class's words, each once more, and one unknown
         self.symbols, of = np.unique(np.where(rare, kind, self.words), return_inverse=True)
@@ -260,21 +291,23 @@ class Slice:
             before[self.starts[:-1]] = k
             names, sizes = np.append(names, _joined(self.ends, END)), np.append(sizes, self.n[0][self.end])
         self.ends = END if level == 1 else names[-1]
-        codes, first, gram = np.unique(before * m + y, return_index=True, return_inverse=True)
+        codes, gram = np.unique(before * m + y, return_inverse=True)
         of = codes // m
+        any_ = np.empty(len(codes), np.int64)
+        any_[gram] = np.arange(len(gram))  # all of a sequence's places have the same shorter one
         wide = np.flatnonzero(sizes[of] >= MIN_COUNT)
-        for line, x in zip((self.of, self.shorter, self.wide, self.contexts, self.sizes, self.names), (of, self.gram[-1][first], wide, np.unique(of[wide]), sizes, names), strict=True):
+        for line, x in zip((self.of, self.shorter, self.wide, self.contexts, self.sizes, self.names), (of, self.gram[-1][any_], wide, np.unique(of[wide]), sizes, names), strict=True):
             line.append(x)
         self.gram.append(gram)
         self.keys.append(_joined(names[of], self.symbols[codes % m]))
 
     def asks_grams(self, level: int) -> list[tuple]:
         at = self.wide[level]
-        return _sent(level, self.mark, self.parts, self.keys[level][at], self.count(self.gram[level], len(self.of[level]))[at])
+        return _sent(level, level, self.mark, self.parts, self.keys[level][at], self.count(self.gram[level], len(self.of[level]))[at])
 
     def learn(self, level: int) -> None:
         """Counts of the sequences, as answered."""
-        found = self.answered(level, self.keys[level], self.wide[level], 0)
+        found = self.answered(level, level, self.keys[level], self.wide[level], 0)
         self.n.append((found >> 1).astype(np.float64))
         self.mine.append((found & 1) == 1)
         self.p.append(self.n[level] / np.maximum(self.sizes[level][self.of[level]], 1))
@@ -287,7 +320,7 @@ class Slice:
         gain = np.bincount(of[at], n * np.log((n - 1 + SMOOTH * p) / (size - 1 + SMOOTH) / p), m)
         listed = np.bincount(of[at], np.where(n >= MIN_ENTRY, n, 0), m)
         asked = self.contexts[level]
-        return _sent(CONTEXTS + level, self.mark, self.parts, self.names[level][asked], gain[asked].astype("<f4").astype("<f8"), listed[asked].astype(np.int64))
+        return _sent(CONTEXTS + level, level - 1, self.mark, self.parts, self.names[level][asked], gain[asked].astype("<f4").astype("<f8"), listed[asked].astype(np.int64))
 
     def upto(self, level: int, sums: np.ndarray, learned: int) -> "Slice":
         self.find_symbols(sums)
@@ -302,7 +335,7 @@ class Slice:
         p = self.root
         for level in range(1, len(self.n)):
             of, n, shorter = self.of[level], self.n[level], p[self.shorter[level]]
-            listed = self.answered(CONTEXTS + level, self.names[level], self.contexts[level], -1)[of]
+            listed = self.answered(CONTEXTS + level, level - 1, self.names[level], self.contexts[level], -1)[of]
             p = np.where(listed >= 0, blended(np.where(n >= MIN_ENTRY, n, 0), self.sizes[level][of], listed, shorter), shorter)
         return np.log10(p)[self.gram[-1]]
 
@@ -310,7 +343,7 @@ class Slice:
 def _joined(context: np.ndarray | np.int64, symbol: np.ndarray | np.int64) -> np.ndarray:
     """Keys of contexts with a further symbol."""
     a, b = (np.atleast_1d(np.asarray(x, np.int64)).view(np.uint64) for x in (context, symbol))
-    return (mixed(a * PLACES[0] + b * PLACES[1]) & MASK).view(np.int64)
+    return (mixed(mixed(a * PLACES[0]) + b * PLACES[1]) & MASK).view(np.int64)
 
 
 def _over(stream: DataFrame, answers: list[DataFrame], parts: int, run, schema: str) -> DataFrame:
