@@ -525,3 +525,16 @@ def test_token_hashes():
         for token, h in zip(tokens, flat[s:e].tolist(), strict=True):
             assert seen.setdefault(token, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_flac_frame_that_ends_in_zeros():
+    """Rows that are done must not look for a further bit behind the last frame; long runs of zeros are followed."""
+    r = np.random.default_rng(11)
+    x = np.zeros(576, np.int64)
+    x[300:] = 100  # a residual of 100 with parameter 0: 200 zeros
+    quiet = bits_to_frame([(9 << 1, 8), (0, 8), (0, 2), (0, 4), (0, 4), (rice(np.diff(x).tolist(), 0), "bits")])
+    v = r.integers(-128, 128, 192)
+    short = bits_to_frame([(2, 8), *[(int(a), 8) for a in v]], 1, 1)
+    for frames, want in (([quiet], x), ([quiet, short], np.concatenate([x, v]))):
+        (_, got), = flac.decode([stream_of(frames, want)])
+        assert (got == want).all()
