@@ -33,6 +33,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 <
         step = max(1, int(n * most_bytes / max(batch.column(column).nbytes, 1)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+        pa.default_memory_pool().release_unused()  # workers live on beside other jobs
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -12,6 +12,12 @@ confirmed on full shingle sets in two rounds: first each class's best candidate,
 candidate that still lies across two components and that all minhashes put near. A bucket's
 hot member is split over groups by salt.
 
+What large buckets leave out is found exactly: the classes in them are joined by prefix
+filtering. Each sorts its shingles, rare ones first, by one order for all; two sets as similar
+as asked share a shingle among the first n - ceil(0.75 n) + 1 of both, and the places there
+bound their similarity. Only pairs across two components are looked at, so a family that is
+linked already costs nothing more. Rows of a hot shingle meet in blocks.
+
 Defined results: null or empty text has no shingles, is linked with nothing and is kept;
 repeated rows share a component and `first` marks one of them; a null id is ignored for
 component_id unless all ids are null; an empty table gives no rows; further columns are
@@ -37,6 +43,8 @@ HALVES, PER_HALF = 16, 2
 SMALL = 6
 #: Share of equal minhashes below which a second-round candidate at 0.75 is out of reach (5.5 standard deviations).
 NEAR = 0.45
+#: Bits of the places at which shingles are counted for their order, and rows of one shingle that meet in one block.
+COUNT_BITS, BLOCK_ROWS = 18, 20_000
 MULTIPLIERS = mixed(np.arange(1, 1 + 2 * HALVES * PER_HALF, dtype=np.uint64) * C1) | np.uint64(1)
 SIGNATURES = "doc_id long, k long, h long, n_shingles long, d1 long, d2 long, sig binary"
 
@@ -59,7 +67,7 @@ def table_keys(sig: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             sets = shingle_sets(texts_of(batch), k)
             full = [i for i, s in enumerate(sets) if len(s)]
             sigs = [None] * len(sets)
@@ -79,7 +87,7 @@ def _rows(a, b) -> pa.RecordBatch:
 
 
 def bucket_pairs(key: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of sorted (key, row): every row with its bucket's first and with the next, all pairs of small buckets."""
+    """Candidate pairs of sorted (key, row): every row with its bucket's first and with the next, all pairs of small buckets; rows of larger ones with themselves."""
     new = np.concatenate([[True], key[1:] != key[:-1]])
     start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
     rest = ~new
@@ -87,13 +95,14 @@ def bucket_pairs(key: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray,
     yield row[np.flatnonzero(rest) - 1], row[rest]
     size = np.diff(np.append(np.flatnonzero(new), len(key)))[np.cumsum(new) - 1]
     place = np.arange(len(key)) - start
-    for gap in range(2, SMALL - 1):
-        at = np.flatnonzero((size <= SMALL) & (place > gap))
+    for gap in range(2, SMALL):
+        at = np.flatnonzero((size <= SMALL) & (place >= gap))
         yield row[at - gap], row[at]
+    yield row[size > SMALL], row[size > SMALL]
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of rows with a < b and how often the tables gave them."""
+    """(a, b, n): pairs of rows with a < b and how often the tables gave them; a = b for rows of large buckets."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +125,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             elif len(key) > 200_000:  # one very large bucket: keep its first and its last row
                 yield _rows(np.full(len(row) - 1, row[0]), row[1:])
                 yield _rows(row[:-1], row[1:])
+                yield _rows(row, row)
                 key, row = key[[0, -1]], row[[0, -1]]
         if len(key):
             for a, b in bucket_pairs(key, row):
@@ -123,7 +133,7 @@ def candidates(classes: DataFrame) -> DataFrame:
                     yield _rows(a, b)
 
     dealt = classes.select("row", "sig").mapInArrow(keys, "a long, b long").repartition("a").sortWithinPartitions("a", "b")
-    found = dealt.mapInArrow(pairs, "a long, b long").filter("a < b")
+    found = dealt.mapInArrow(pairs, "a long, b long").filter("a <= b")
     return stored(found.groupBy("a", "b").agg(F.count("*").alias("n")), "candidates")
 
 
@@ -142,7 +152,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, head = None, None
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             a_out, b_out = [], []
             sets = shingle_sets(texts_of(batch), k)
             for a, salt, part, row, other in zip(*(batch[c].to_pylist() for c in ("a", "salt", "part", "row")), sets, strict=True):
@@ -159,12 +169,98 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return stored(met.repartition("a", "salt").sortWithinPartitions("a", "salt", "part").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
+def left_out(crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of crowded rows that may be similar enough and lie in different components."""
+    keyed = crowded.join(classes.select("row", "k", "h"), "row").join(labels.select(F.col("id").alias("row"), "label"), "row", "left")
+    texts = own(docs, "doc_id", "text").select(order_key().alias("k"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["k", "h"])
+    rows = stored(keyed.join(texts, ["k", "h"]).select("row", F.coalesce("label", "row").alias("label"), "text"), "crowded")
+    shift = np.uint64(64 - COUNT_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in slices(batches, "text", 1 << 20):
+            for one in shingle_sets(texts_of(batch), k):
+                np.add.at(total, one >> shift, 1)
+        seen = np.flatnonzero(total)
+        yield _rows(seen, total[seen])
+
+    # 2**COUNT_BITS numbers; any order that is the same for all sets is right, this one only keeps groups small
+    counts = rows.mapInArrow(count, "a long, b long").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
+    often = np.zeros(1 << COUNT_BITS, np.int64)
+    often[counts["a"].to_numpy()] = counts["b"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+    kinds = "shingle long, block long, row long, label long, size int, place int, own int"
+    names = [c.split()[0] for c in kinds.split(", ")]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in slices(batches, "text", 1 << 20):
+            cols: list[list[np.ndarray]] = [[] for _ in names]
+            for row, label, one in zip(batch["row"].to_pylist(), batch["label"].to_pylist(), shingle_sets(texts_of(batch), k), strict=True):
+                n = len(one)
+                many = often[one >> shift]
+                first = np.lexsort((one, many))[: n - -(-percent * n // 100) + 1]
+                # a row of a hot shingle goes to the blocks of its own number and to all pairs of blocks with it
+                blocks = np.maximum(1, -(-many[first] // BLOCK_ROWS))
+                mine = int(mixed(np.array([row], np.uint64))[0])
+                own_ = np.array([mine % b for b in blocks.tolist()], np.int64)
+                at = np.repeat(np.arange(len(first)), blocks)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                low, high = np.minimum(own_[at], other), np.maximum(own_[at], other)
+                for c, v in zip(cols, (one[first][at].view(np.int64), low << 32 | high, np.full(len(at), row), np.full(len(at), label), np.full(len(at), n), at, own_[at]), strict=True):
+                    c.append(v)
+            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(t.to_pandas_dtype()), t) for v, t in zip(flat, types, strict=True)], names=names)
+
+    def pairs_of(g: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Pairs of one shingle's rows (of two blocks of them) by size and place."""
+        block, row, label, size, place, own_ = g
+        if (label == label[0]).all():
+            return
+        low, high = int(block[0]) >> 32, int(block[0]) & 0xFFFFFFFF
+        for at in range(0, len(row), 500):
+            a = slice(at, at + 500)
+            need = -(-percent * (size[a, None] + size[None]) // (100 + percent))
+            bound = np.minimum(size[a, None] - place[a, None], size[None] - place[None])  # if this is the first shingle that both have
+            ok = (label[a, None] != label[None]) & (row[a, None] < row[None]) & (bound >= need)
+            if low != high:  # rows of the same block met elsewhere
+                ok &= own_[a, None] != own_[None]
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield _rows(row[a][i], row[j])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in names]
+        for batch in batches:
+            held = [np.concatenate([x, batch[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for x, c in zip(held, names, strict=True)]
+            if not len(held[0]):
+                continue
+            key = (held[0], held[1])
+            cut = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
+            if len(cut):  # the last group may go on
+                yield from groups([x[: cut[-1]] for x in held], cut[:-1])
+                held = [x[cut[-1] :] for x in held]
+        if len(held[0]):
+            yield from groups(held, np.zeros(0, np.int64))
+
+    def groups(cols: list[np.ndarray], cut: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.append(cut, len(cols[0]))
+        starts = np.append(0, cut)
+        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            yield from pairs_of([x[s:e] for x in cols[1:]])
+
+    dealt = rows.mapInArrow(prefixes, kinds).repartition("shingle", "block").sortWithinPartitions("shingle", "block")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, k and h (its key and text hash), n_shingles, component_id, kept, first."""
     signed = signatures(docs, k)
     of_class = signed.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min_by(F.struct("row", "k", "h", "sig"), "row").alias("c"))
     classes = stored(of_class.select("d1", "d2", "c.*"), "classes")
-    pairs = candidates(classes)
+    found = candidates(classes)
+    pairs, crowded = found.filter("a < b"), found.filter("a = b").select(F.col("a").alias("row"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     links = confirmed(best, classes, docs, k, percent)
     labels = components(links)
@@ -189,6 +285,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     if more.limit(1).count():
         links = stored(links.unionByName(confirmed(more, classes, docs, k, percent)), "links")
         labels = components(links)
+    if crowded.limit(1).count():
+        rest = stored(left_out(crowded, classes, labels, docs, k, percent), "left_out")
+        if rest.limit(1).count():
+            links = stored(links.unionByName(confirmed(rest, classes, docs, k, percent)), "links")
+            labels = components(links)
     named = classes.join(label("row", "label"), "row", "left")
     named = named.select("d1", "d2", F.coalesce("label", "row").alias("label"))
     full, empty = signed.filter("n_shingles > 0").join(named, ["d1", "d2"]), signed.filter("n_shingles = 0")

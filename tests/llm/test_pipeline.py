@@ -48,6 +48,32 @@ def test_run(spark, sf):
     assert len(out) and np.isfinite(out["sequence_id"]).all()
 
 
+def test_stages_on_hot_keys(spark):
+    """A third of all rows from one source, a third copies of one text, a third with a null id."""
+    import corpus_pipeline as P
+
+    from .conftest import prose
+
+    rows = [(i if i % 3 else None, prose(7, 60) if i % 3 == 1 else prose(i, 40 + i % 50), ("en", "de")[i % 2], "hot" if i % 3 == 2 else f"s{i % 7}", 1) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    single = stored(P.drop_near_duplicates(spark, docs, ""), "t")
+    groups = Counter(k[2] for k in brute_components([(r[0], r[1]) for r in rows]))
+    assert single.count() == len({r[1] for r in rows}) and sum(r.text == prose(7, 60) for r in single.collect()) == 1 and len(groups)
+    mixed = stored(P.mix_sources(spark, P.replace_pii(spark, single, ""), ""), "t")
+    assert mixed.count() and P.pack_sequences(spark, mixed, "").count() >= mixed.count()
+
+
+def test_run_leaves_only_results(spark, sf):
+    import os
+
+    import corpus_pipeline as P
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base))
+    P.run(spark, sf)
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(base)) - before} == {n for n, _ in P.STAGES}
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
 

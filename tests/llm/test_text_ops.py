@@ -235,6 +235,50 @@ def test_near_duplicates_recall(spark):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows)
 
 
+def test_near_duplicates_of_a_dense_family(spark):
+    """Hundreds of variants, each near many others, beside a family whose members lie under the threshold; recall against brute force."""
+    import random
+
+    r = random.Random(9)
+    vocab = [f"v{i}" for i in range(5000)]
+    base, other = ([r.choice(vocab) for _ in range(100)] for _ in range(2))
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(1 + i % 3):
+            words[r.randrange(100)] = r.choice(vocab)
+        rows.append((i, " ".join(words)))
+    for i in range(140):
+        words = list(other)
+        for _ in range(5):
+            words[r.randrange(100)] = r.choice(vocab)
+        rows.append((1000 + i, " ".join(words)))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = {k[0]: k[2] for k in brute_components(rows)}
+    assert got == want
+
+
+def test_hot_shingles_meet_in_blocks(spark, monkeypatch):
+    """Families on one template just under the threshold, with a few pairs above it, in blocks of a few rows."""
+    import random
+
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 40)
+    r, rows = random.Random(3), []
+    vocab = [f"v{i}" for i in range(9000)]
+    base = [r.choice(vocab) for _ in range(120)]
+    for i in range(200):
+        words = list(base)
+        for at in range(0, 120, 30):
+            words[at + r.randrange(25)] = r.choice(vocab)
+        rows.append((i, " ".join(words)))
+        if i % 40 == 0:
+            words[119] = r.choice(vocab)
+            rows.append((1000 + i, " ".join(words)))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = {k[0]: k[2] for k in brute_components(rows)}
+    assert got == want and len(set(want.values())) > 100
+
+
 def test_surrogates(spark, clashing, empty):
     done = pii.with_surrogates(clashing)
     assert sorted(done.columns) == sorted(clashing.columns)
