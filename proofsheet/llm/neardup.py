@@ -95,8 +95,8 @@ def bucket_pairs(key: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray,
     yield row[np.flatnonzero(rest) - 1], row[rest]
     size = np.diff(np.append(np.flatnonzero(new), len(key)))[np.cumsum(new) - 1]
     place = np.arange(len(key)) - start
-    for gap in range(2, SMALL):
-        at = np.flatnonzero((size <= SMALL) & (place >= gap))
+    for gap in range(2, SMALL - 1):
+        at = np.flatnonzero((size <= SMALL) & (place > gap))
         yield row[at - gap], row[at]
     yield row[size > SMALL], row[size > SMALL]
 
@@ -270,6 +270,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
     open_ = pairs.join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left")
     open_ = open_.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).filter("la <> lb").join(best, ["a", "b"], "left_anti")
+    # of two rows in large buckets only the best pair for each component: the exact join sees to the others
+    big = crowded.withColumn("big", F.lit(True))
+    open_ = open_.join(big.withColumnsRenamed({"row": "a", "big": "ga"}), "a", "left").join(big.withColumnsRenamed({"row": "b", "big": "gb"}), "b", "left")
+    both = F.col("ga").isNotNull() & F.col("gb").isNotNull()
+    leading = open_.filter(both).groupBy("b", "la").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    open_ = open_.filter(~both).select("a", "b").unionByName(leading.select("a", "b"))
     sig = classes.select("row", "sig")
     open_ = open_.join(sig.withColumnsRenamed({"row": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"row": "b", "sig": "sb"}), "b")
 
