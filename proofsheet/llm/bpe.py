@@ -103,7 +103,7 @@ class Encoder:
             self.shrink()
         get, numbers, whole, sizes = self.units.__getitem__, [], [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            if BEYOND.search(t) or any(s in t for s in self.special):
+            if not t.isascii() and BEYOND.search(t) or any(s in t for s in self.special):
                 numbers.append(np.array([-1 - len(whole)]))
                 whole.append(self.whole.encode(t, add_special_tokens=False).ids)
             elif "  " in t or t[:1] == " " or t[-1:] == " " or not t:
