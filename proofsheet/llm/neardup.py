@@ -268,11 +268,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     def label(col: str, name: str) -> DataFrame:
         return labels.select(F.col("id").alias(col), F.col("label").alias(name))
 
-    open_ = pairs.join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left")
-    open_ = open_.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).filter("la <> lb").join(best, ["a", "b"], "left_anti")
     # of two rows in large buckets only the best pair for each component: the exact join sees to the others
-    big = crowded.withColumn("big", F.lit(True))
-    open_ = open_.join(big.withColumnsRenamed({"row": "a", "big": "ga"}), "a", "left").join(big.withColumnsRenamed({"row": "b", "big": "gb"}), "b", "left")
+    none = F.lit(None)
+    known = labels.select("id", "label", none.cast("boolean").alias("big")).unionByName(crowded.select(F.col("row").alias("id"), none.cast("long").alias("label"), F.lit(True).alias("big")))
+    known = known.groupBy("id").agg(F.max("label").alias("label"), F.max("big").alias("big"))
+
+    def of(col: str) -> DataFrame:
+        return known.select(F.col("id").alias(col), F.col("label").alias(f"l{col}"), F.col("big").alias(f"g{col}"))
+
+    open_ = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    open_ = open_.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).filter("la <> lb").join(best, ["a", "b"], "left_anti")
     both = F.col("ga").isNotNull() & F.col("gb").isNotNull()
     leading = open_.filter(both).groupBy("b", "la").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     open_ = open_.filter(~both).select("a", "b").unionByName(leading.select("a", "b"))
