@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -119,3 +119,10 @@ def op8_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.col("surrogates.kinds")
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, t))).alias(f"n_{t}") for t in TYPES]
     return out.select("doc_id", F.col("surrogates.text").alias("text"), F.size(kinds).alias("n_entities"), *counts)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import score_links
+
+    return score_links(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
