@@ -126,3 +126,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import score_links
 
     return score_links(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op13_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_fingerprints
+
+    return near_fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
