@@ -133,3 +133,49 @@ def op13_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_fingerprints
 
     return near_fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import prefix_trie, rebuilt
+
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
+ORACLE_SQL["op12_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS own,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(conv_id::VARCHAR, '')])::BIGINT[]),
+             lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)) % 9 AS h
+  FROM t GROUP BY conv_id
+), e AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.own, 0)) AS head FROM c LEFT JOIN c b ON b.conv_id = c.base
+), r AS (
+  SELECT e.conv_id, t.i AS d, role, text FROM e JOIN t ON t.conv_id = e.base AND t.i <= e.h
+  UNION ALL
+  SELECT e.conv_id, t.i - e.h + e.head, role, text FROM e JOIN t ON t.conv_id = e.conv_id AND t.i > e.h
+), o AS (
+  SELECT conv_id, d, strlen(text) AS bytes, count(*) OVER (PARTITION BY conv_id) AS n,
+         md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k
+  FROM r
+  UNION ALL
+  SELECT e.conv_id, 0, 0, (SELECT count(*) FROM r WHERE r.conv_id = e.conv_id), '' FROM e
+), n AS (
+  SELECT d, k, min(conv_id) AS owner, count(*) AS n_convs, max(n) AS deepest, min(bytes) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM o GROUP BY d, k
+), s AS (
+  SELECT v, count(*) FILTER (n.deepest = n.d) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved_tokens
+  FROM (SELECT DISTINCT a.k AS v, b.k AS u FROM o a JOIN o b USING (conv_id) WHERE b.d >= a.d) JOIN n ON n.k = u GROUP BY v
+), p AS (
+  SELECT DISTINCT b.k AS child, a.k AS parent FROM o a JOIN o b ON b.conv_id = a.conv_id AND b.d = a.d + 1
+)
+SELECT n.owner AS conv_id, n.d::BIGINT AS depth, (SELECT q.owner FROM p JOIN n q ON q.k = p.parent WHERE p.child = n.k) AS parent_conv_id,
+       n.n_convs::BIGINT AS n_convs, (SELECT count(*) FROM p WHERE p.parent = n.k)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.v = n.k
+"""
