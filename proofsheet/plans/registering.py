@@ -9,11 +9,16 @@ from proofsheet.config import Pairwise
 from proofsheet.functions import boxes as B
 from proofsheet.operators import incremental as I
 from proofsheet.operators import pairs as PA
+from proofsheet.operators import registry as G
 from proofsheet.operators import review as R
 from proofsheet.operators import versions as A
 
+from proofsheet.sources.versioned import Store
+from proofsheet.tables import shared_dir
+
 from .registry import query
 
+
 def versions(t):
     return t.b_versions.select("product_id", "version_id", "flagged", "n_chars", F.sha2("text", 256).alias("sha"))
 
@@ -85,6 +90,22 @@ def version_chain(t):
     return A.chain_labels(t.b_versions, F.lit(2), F.lit(5)).withColumn("labels", F.array_join("labels", ","))
 
 
+@query("""WITH d AS (SELECT doc_id % 2 AS delivery, concat(source, '/', lang) AS product_id, concat('v', n_chars % 7) AS version_label, sha256(CAST(count(*) AS VARCHAR)) AS sha, max(n_chars) AS size FROM documents GROUP BY ALL),
+a AS (SELECT *, version_label = max(version_label) OVER (PARTITION BY delivery, product_id) AS is_current FROM d), o AS (SELECT * FROM a WHERE delivery = 0), n AS (SELECT * FROM a WHERE delivery = 1)
+SELECT coalesce(o.product_id, n.product_id) AS product_id, coalesce(o.version_label, n.version_label) AS version_label, coalesce(n.sha, o.sha) AS sha, coalesce(n.size, o.size) AS size,
+  CASE WHEN n.sha IS NULL AND p.product_id IS NOT NULL THEN false ELSE coalesce(n.is_current, o.is_current) END AS is_current, n.sha IS NULL AND p.product_id IS NOT NULL AS retired,
+  CASE WHEN o.sha IS NULL THEN 'inserted' WHEN n.sha IS NULL THEN CASE WHEN p.product_id IS NULL THEN 'unchanged' ELSE 'retired' END WHEN o.sha = n.sha AND o.size = n.size AND o.is_current = n.is_current THEN 'unchanged' ELSE 'changed' END AS status
+FROM o FULL JOIN n ON o.product_id = n.product_id AND o.version_label = n.version_label LEFT JOIN (SELECT DISTINCT product_id FROM n) p ON p.product_id = coalesce(o.product_id, n.product_id)""")
+def reference_build(t):
+    """Two deliveries merged into the registry; the second one's inserted, changed, retired and unchanged versions."""
+    rows = t.documents.groupBy((F.col("doc_id") % 2).alias("delivery"), F.concat("source", F.lit("/"), "lang").alias("product_id"), F.concat(F.lit("v"), F.col("n_chars") % 7).alias("version_label")).agg(F.sha2(F.count("*").cast("string"), 256).alias("sha"), F.max("n_chars").alias("size"))
+    rows = rows.withColumn("is_current", F.col("version_label") == F.max("version_label").over(Window.partitionBy("delivery", "product_id")))
+    store = Store(t.spark, shared_dir(t.spark, "registry"), parts=16)
+    for k in (0, 1):
+        G.build(store, rows.filter(F.col("delivery") == k).drop("delivery"))
+    return G.versions(store).select("product_id", "version_label", "sha", "size", "is_current", "retired", "status")
+
+
 LI_BOXES = """l AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity) AS BIGINT) * 7 AS x, l_partkey % 190 AS y, l_suppkey % 60 + 5 AS w, l_partkey % 45 + 4 AS h FROM lineitem)"""
 
 
