@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructType
+
+from proofsheet.sources.versioned import Conflict, Log
 
 
 def counts(findings: DataFrame, key: str = "run_id") -> DataFrame:
@@ -39,37 +44,145 @@ def changes(probes: DataFrame) -> DataFrame:
     return probes.groupBy("path").applyInPandasWithState(step, OUT, SEEN, "append", GroupStateTimeout.NoTimeout)
 
 
-STAGE, SHOWN = "last int", "pair_id string, ordinal int, stage string, status string, share double, finished boolean"
+SHOWN = "pair_id string, place int, ordinal int, stage string, status string, share double, finished boolean, late boolean"
+#: Spark's state store for stateful processors.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stages(rows: DataFrame, of: int = 7) -> DataFrame:
-    """A stream of stage rows (pair_id, ordinal from 1, stage, status): each once, in order, with the share that is done."""
+class InOrder(StatefulProcessor):
+    """Gives out the stages of a pair in order: a stage waits for those before it, `wait` milliseconds at most.
+
+    When the time is over, what is held goes out as it is, marked late, and the gaps are noted, so that a stage that comes
+    after all goes out late, too. A stage that comes again is given out once.
+    """
+
+    def __init__(self, of: int, wait: int):
+        self.of, self.wait = of, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.told = handle.getValueState("told", "next int, place int")
+        self.held = handle.getMapState("held", "ordinal int", "stage string, status string")
+        self.gaps = handle.getMapState("gaps", "ordinal int", "open boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        next_, place = self.told.get() if self.told.exists() else (1, 0)
+        held = {o: tuple(v) for (o,), v in self.held.iterator()}
+        gaps = {o for (o,) in self.gaps.keys()}
+        waited, late = set(held), []
+        for f in rows:
+            for r in f.itertuples():
+                o = int(r.ordinal)
+                if o >= next_:
+                    held.setdefault(o, (r.stage, r.status))
+                elif o in gaps:
+                    gaps.discard(o)
+                    self.gaps.removeKey((o,))
+                    late.append((o, r.stage, r.status, True))
+        out = sorted(late)
+        while next_ in held:
+            out.append((next_, *held.pop(next_), False))
+            next_ += 1
+        for o in waited - set(held):
+            self.held.removeKey((o,))
+        for o in set(held) - waited:
+            self.held.updateValue((o,), held[o])
+        if held and not waited:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+        yield self.shown(key, next_, place, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        next_, place = self.told.get() if self.told.exists() else (1, 0)
+        held = {o: tuple(v) for (o,), v in self.held.iterator()}
+        for o in range(next_, max(held, default=0)):
+            if o not in held:
+                self.gaps.updateValue((o,), (True,))
+        self.held.clear()
+        out = [(o, *held[o], True) for o in sorted(held)]
+        yield self.shown(key, max(held, default=next_ - 1) + 1, place, out)
+
+    def shown(self, key: tuple, next_: int, place: int, out: list[tuple]) -> pd.DataFrame:
+        self.told.update((next_, place + len(out)))
+        rows = [(key[0], place + i + 1, o, stage, status, o / self.of, o >= self.of, late) for i, (o, stage, status, late) in enumerate(out)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SHOWN.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stages(rows: DataFrame, of: int = 7, wait: int = 30_000) -> DataFrame:
+    """A stream of stage rows (pair_id, ordinal from 1, stage, status), in any order: each once, in order (SHOWN), with the share that is done.
+
+    place counts what was given out of a pair; see InOrder for stages whose predecessors don't come.
+    """
+    rows.sparkSession.conf.set(*STORE)
+    return rows.select("pair_id", "ordinal", "stage", "status").groupBy("pair_id").transformWithStateInPandas(InOrder(of, wait), SHOWN, "append", "processingTime")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        every = pd.concat(list(frames)).sort_values("ordinal")
-        new = every[every["ordinal"] > last].drop_duplicates("ordinal")
-        if len(new):
-            state.update((int(new["ordinal"].max()),))
-        yield pd.DataFrame({"pair_id": key[0], "ordinal": new["ordinal"], "stage": new["stage"], "status": new["status"], "share": new["ordinal"] / of, "finished": new["ordinal"] >= of})
 
-    return rows.groupBy("pair_id").applyInPandasWithState(step, SHOWN, STAGE, "append", GroupStateTimeout.NoTimeout)
+def watched(shown: DataFrame, listener: Callable[[Row], None], checkpoint: str, on_start: Callable[[], None] | None = None, every: str = "500 milliseconds"):
+    """Calls listener for each row of a stream of stages, in the order of places, and on_start before the first; what they raise is dropped.
 
+    Rows come to the driver one partition at a time.
+    """
 
-def committed(stream: DataFrame, path: str, checkpoint: str, every: str = "500 milliseconds", listener: Callable[[DataFrame, int], None] | None = None):
-    """Append a stream's rows to a table, a commit each `every`; a listener sees each batch, and what it raises is dropped."""
+    def tell(f: Callable, *args: object) -> None:
+        with suppress(Exception):
+            f(*args)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(path)
-        if listener is not None:
+        if number == 0 and on_start is not None:
+            tell(on_start)
+        for row in batch.orderBy("pair_id", "place").toLocalIterator():
+            tell(listener, row)
+
+    return shown.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def put_once(log: Log, batch: DataFrame, number: int, most_rows: int = 25) -> bool:
+    """Commits a batch in files of most_rows rows; whether it did: a batch that is in the log already changes nothing.
+
+    The rows are visible when the log names their folder, all at once; a batch that was killed on its way is written anew.
+    """
+    if log.has(number):
+        return False
+    folder = log.data_folder()
+    batch.write.option("maxRecordsPerFile", most_rows).parquet(folder)
+    try:
+        log.publish(number, {"folder": folder, "schema": batch.schema.json()})
+    except Conflict:  # the same batch by another attempt
+        return False
+    return True
+
+
+def committed(stream: DataFrame, path: str, checkpoint: str, every: str = "500 milliseconds", most_rows: int = 25, listener: Callable[[DataFrame, int], None] | None = None):
+    """Commits a stream's rows exactly once, each `every` at the latest; a listener sees each new batch, and what it raises is dropped."""
+    log = Log(stream.sparkSession, path)
+
+    def put(batch: DataFrame, number: int) -> None:
+        if put_once(log, batch, number, most_rows) and listener is not None:
             with suppress(Exception):
                 listener(batch, number)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def committed_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that are committed, None before the first commit."""
+    log = Log(spark, path)
+    if not log.numbers():
+        return None
+    entries = spark.read.schema("folder string, schema string").json(f"{path.rstrip('/')}/log").collect()  # one row a commit
+    return spark.read.schema(StructType.fromJson(json.loads(entries[0].schema))).parquet(*[e.folder for e in entries])
+
+
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that a bounded stream gives, through a memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    """All that a bounded stream gives, through a memory table; its timers don't go on without data."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.set(key, before)
     return stream.sparkSession.table(name)

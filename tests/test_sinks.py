@@ -73,12 +73,12 @@ def test_running_counts_and_commits(spark, tmp_path):
         seen.append(batch.count())
         raise ValueError("a listener's error is dropped")
 
-    q = progress.committed(stream, f"{tmp_path}/out", f"{tmp_path}/d", "100 milliseconds", listener)
+    q = progress.committed(stream, f"{tmp_path}/out", f"{tmp_path}/d", "100 milliseconds", listener=listener)
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    assert seen == [3] and spark.read.parquet(f"{tmp_path}/out").count() == 3
+    assert seen == [3] and progress.committed_rows(spark, f"{tmp_path}/out").count() == 3
 
 
 def test_engines():
