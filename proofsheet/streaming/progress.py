@@ -61,48 +61,41 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.told = handle.getValueState("told", "next int, place int")
-        self.held = handle.getMapState("held", "ordinal int", "stage string, status string")
-        self.gaps = handle.getMapState("gaps", "ordinal int", "open boolean")
+        # one value a pair, as every call to the store is a round trip
+        self.told = handle.getValueState("told", "next int, place int, held array<struct<ordinal:int,stage:string,status:string>>, gaps array<int>")
+
+    def state(self) -> tuple[int, int, dict[int, tuple[str, str]], set[int]]:
+        """The ordinal that is next, how many were given out, what is held, and the gaps before `next`."""
+        if (seen := self.told.get()) is None:
+            return 1, 0, {}, set()
+        return seen[0], seen[1], {o: (stage, status) for o, stage, status in seen[2]}, set(seen[3])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        next_, place = self.told.get() if self.told.exists() else (1, 0)
-        held = {o: tuple(v) for (o,), v in self.held.iterator()}
-        gaps = {o for (o,) in self.gaps.keys()}
-        waited, late = set(held), []
+        next_, place, held, gaps = self.state()
+        waits, late = bool(held), []
         for f in rows:
-            for r in f.itertuples():
-                o = int(r.ordinal)
+            for o, stage, status in zip(f["ordinal"].tolist(), f["stage"], f["status"], strict=True):
                 if o >= next_:
-                    held.setdefault(o, (r.stage, r.status))
+                    held.setdefault(o, (stage, status))
                 elif o in gaps:
                     gaps.discard(o)
-                    self.gaps.removeKey((o,))
-                    late.append((o, r.stage, r.status, True))
+                    late.append((o, stage, status, True))
         out = sorted(late)
         while next_ in held:
             out.append((next_, *held.pop(next_), False))
             next_ += 1
-        for o in waited - set(held):
-            self.held.removeKey((o,))
-        for o in set(held) - waited:
-            self.held.updateValue((o,), held[o])
-        if held and not waited:
+        if held and not waits:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
-        yield self.shown(key, next_, place, out)
+        yield self.shown(key, next_, place, held, gaps, out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        next_, place = self.told.get() if self.told.exists() else (1, 0)
-        held = {o: tuple(v) for (o,), v in self.held.iterator()}
-        for o in range(next_, max(held, default=0)):
-            if o not in held:
-                self.gaps.updateValue((o,), (True,))
-        self.held.clear()
-        out = [(o, *held[o], True) for o in sorted(held)]
-        yield self.shown(key, max(held, default=next_ - 1) + 1, place, out)
-
-    def shown(self, key: tuple, next_: int, place: int, out: list[tuple]) -> pd.DataFrame:
-        self.told.update((next_, place + len(out)))
+        next_, place, held, gaps = self.state()
+        end = max(held, default=next_ - 1) + 1
+        gaps.update(o for o in range(next_, end) if o not in held)
+        yield self.shown(key, end, place, {}, gaps, [(o, *held[o], True) for o in sorted(held)])
+
+    def shown(self, key: tuple, next_: int, place: int, held: dict[int, tuple[str, str]], gaps: set[int], out: list[tuple]) -> pd.DataFrame:
+        self.told.update((next_, place + len(out), [(o, *v) for o, v in held.items()], sorted(gaps)))
         rows = [(key[0], place + i + 1, o, stage, status, o / self.of, o >= self.of, late) for i, (o, stage, status, late) in enumerate(out)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SHOWN.split(", ")])
 
