@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofsheet.functions import text as X
 from proofsheet.functions.boxes import overlap_score
 from proofsheet.functions.verdict import finite6
+from proofsheet.tables import stored
 
 from .versions import LEAST_OVERLAP
 
@@ -43,58 +44,59 @@ def percentile(c: str, q: float) -> Column:
     return F.percentile(c, q)
 
 
-#: Bins of a histogram that narrows down a percentile, and the values that may come to the driver in the end.
-BINS, MOST_VALUES = 4096, 100_000
+def percentiles(rows: DataFrame, values: list[str], wanted: dict[str, tuple[str, float]], keys: list[str] | None = None) -> DataFrame:
+    """Exact percentiles by linear interpolation: a column for each of wanted (name -> value column, share) in one row a group.
 
-
-def exact_percentiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
-    """Exact percentiles by linear interpolation; null and NaN values don't count, no values give None.
-
-    Histograms of BINS bins narrow down the interval in which a rank lies, so no task and not the driver ever holds more
-    than MOST_VALUES values, however many distinct ones there are.
+    All ranks of all groups and value columns come from one sort: equal values are counted first, ranges of the sorted values
+    know how many lie before them, and each wanted rank is the value whose places hold it. rows are scanned once, whatever the
+    number of ranks; no task holds a group. Nulls and NaN don't count; a group without a value gives none, and no rows
+    without keys give one row of nulls.
     """
-    v = F.col(value).cast("double")
-    known = rows.select(v.alias("v")).filter("v is not null and not isnan(v)")
-    n, low, high = known.agg(F.count("*"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(shares)
-
-    def at_rank(rank: int) -> float:
-        lo, hi, before, inside = low, high, 0, n
-        while lo < hi and inside > MOST_VALUES:
-            here = F.least(F.lit(BINS - 1), F.floor((F.col("v") - lo) / F.lit(hi - lo) * BINS)).cast("int")
-            part = known.filter(F.col("v").between(lo, hi)).groupBy(here.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            for r in sorted(part.collect(), key=lambda r: r.b):  # BINS rows at most
-                if rank < before + r.n:
-                    lo, hi, inside = r.lo, r.hi, r.n
-                    break
-                before += r.n
-        if lo == hi:
-            return lo
-        return sorted(r.v for r in known.filter(F.col("v").between(lo, hi)).collect())[rank - before]
-
-    found: dict[int, float] = {}
+    keys = keys or []
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c_"), F.col(v).cast("double").alias("v_")) for i, v in enumerate(values)]))
+    known = rows.select(*keys, each.alias("x_")).select(*keys, "x_.*").filter("v_ is not null and not isnan(v_)")
+    counted = stored(known.groupBy(*keys, "c_", "v_").agg(F.count("*").alias("n_")), "counted")
+    placed = stored(counted.repartitionByRange(*keys, "c_", "v_").withColumn("p_", F.spark_partition_id()), "ranges")
+    line = Window.partitionBy(*keys, "c_")
+    sums = placed.groupBy(*keys, "c_", "p_").agg(F.sum("n_").alias("m_"))  # a row for each range that a group lies in
+    sums = sums.select(*keys, "c_", "p_", F.coalesce(F.sum("m_").over(line.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("m_").over(line).alias("all_"))
+    inside = F.sum("n_").over(Window.partitionBy(*keys, "c_", "p_").orderBy("v_").rowsBetween(Window.unboundedPreceding, 0))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "c_", "p_")]
+    joined = placed.withColumn("inside_", inside).alias("a").join(sums.alias("b"), same)
+    ends = joined.select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.c_", "v_", (F.col("before_") + F.col("inside_")).alias("end_"), "n_", "all_")
     out = []
-    for q in shares:
-        place = q * (n - 1)
-        a, b = (found.setdefault(k, at_rank(k)) if k not in found else found[k] for k in (int(place), min(int(place) + 1, n - 1)))
-        out.append(a + (b - a) * (place - int(place)))
-    return out
+    for name, (value, share_) in wanted.items():
+        place = F.lit(share_) * (F.col("all_") - 1)
+        low = F.floor(place)
+        here = F.col("c_") == values.index(value)
+
+        def at(rank: Column, here: Column = here) -> Column:
+            return F.max(F.when(here & (rank < F.col("end_")) & (rank >= F.col("end_") - F.col("n_")), F.col("v_")))
+
+        a, b = at(low), at(F.least(low + 1, F.col("all_") - 1))
+        out.append((a + (b - a) * F.max(F.when(here, place - low))).alias(name))
+    return ends.groupBy(*keys).agg(*out)
 
 
 def noise_thresholds(samples: DataFrame, value: str, changed: str) -> DataFrame:
     """Threshold from unchanged samples (p99.9) and its margin to the changed ones (p99)."""
-    (quiet,) = exact_percentiles(samples.filter(~F.col(changed)), value, [0.999])
-    (moved,) = exact_percentiles(samples.filter(changed), value, [0.99])
-    margin = None if quiet is None or moved is None else moved - quiet
-    return samples.sparkSession.createDataFrame([(quiet, margin)], "threshold double, margin double")
+    quiet, moved = F.when(~F.col(changed), F.col(value)).alias("quiet"), F.when(F.col(changed), F.col(value)).alias("moved")
+    found = percentiles(samples.select(quiet, moved), ["quiet", "moved"], {"threshold": ("quiet", 0.999), "top": ("moved", 0.99)})
+    return found.select("threshold", (F.col("top") - F.col("threshold")).alias("margin"))
+
+
+def pair_thresholds(samples: DataFrame, changed: str, ssim: str = "ssim", chroma: str = "chroma") -> DataFrame:
+    """Thresholds of pairs: p99.9 of the unchanged pixels' structural and colour differences, and their margins to the changed ones' p99."""
+    split = {f"{c}_{s}": F.when(F.col(changed) == (s == "moved"), F.col(v)) for c, v in (("ssim", ssim), ("chroma", chroma)) for s in ("quiet", "moved")}
+    wanted = {n: (n, 0.999 if n.endswith("quiet") else 0.99) for n in split}
+    found = percentiles(samples.select(*[c.alias(n) for n, c in split.items()]), [*split], wanted)
+    return found.select(*[x for c in ("ssim", "chroma") for x in (F.col(f"{c}_quiet").alias(f"{c}_threshold"), (F.col(f"{c}_moved") - F.col(f"{c}_quiet")).alias(f"{c}_margin"))])
 
 
 def tails(samples: DataFrame, key: str, value: str) -> DataFrame:
     """The p99.9 of each image, then percentiles of those."""
-    shares = (0.5, 0.95, 0.99)
-    per = samples.groupBy(key).agg(F.percentile(value, 0.999).alias("tail"))
-    return samples.sparkSession.createDataFrame([tuple(exact_percentiles(per, "tail", list(shares)))], ", ".join(f"p{int(q * 100)} double" for q in shares))
+    per = percentiles(samples, [value], {"tail": (value, 0.999)}, [key])
+    return percentiles(per, ["tail"], {f"p{int(q * 100)}": ("tail", q) for q in (0.5, 0.95, 0.99)})
 
 
 def clean_cutoff(fraction: Column) -> Column:

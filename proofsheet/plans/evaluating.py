@@ -54,6 +54,24 @@ def calibrate(t):
     return out.select(F.round("threshold", 6).alias("threshold"), F.round("margin", 6).alias("margin"))
 
 
+@query("""WITH s AS (SELECT l_returnflag = 'R' AS changed, l_extendedprice / l_quantity AS ssim, l_discount * l_quantity AS chroma FROM lineitem)
+SELECT round(quantile_cont(ssim, 0.999) FILTER (NOT changed), 6) AS ssim_threshold, round(quantile_cont(ssim, 0.99) FILTER (changed) - quantile_cont(ssim, 0.999) FILTER (NOT changed), 6) AS ssim_margin,
+  round(quantile_cont(chroma, 0.999) FILTER (NOT changed), 6) AS chroma_threshold, round(quantile_cont(chroma, 0.99) FILTER (changed) - quantile_cont(chroma, 0.999) FILTER (NOT changed), 6) AS chroma_margin FROM s""")
+def calibrate_pairs(t):
+    """Both thresholds of pairs, and their margins, from one sort."""
+    rows = t.lineitem.select((F.col("l_returnflag") == "R").alias("changed"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("ssim"), (F.col("l_discount") * F.col("l_quantity")).alias("chroma"))
+    out = E.pair_thresholds(rows, "changed")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 6) AS low, round(quantile_cont(l_extendedprice, 0.5), 6) AS mid, round(quantile_cont(l_extendedprice, 0.999), 6) AS high, round(quantile_cont(l_tax, 0.9), 6) AS tax FROM lineitem GROUP BY 1""")
+def group_percentiles(t):
+    """Several percentiles of two columns for each group at once."""
+    wanted = {"low": ("l_extendedprice", 0.01), "mid": ("l_extendedprice", 0.5), "high": ("l_extendedprice", 0.999), "tax": ("l_tax", 0.9)}
+    out = E.percentiles(t.lineitem, ["l_extendedprice", "l_tax"], wanted, ["l_returnflag"])
+    return out.select("l_returnflag", *[F.round(c, 6).alias(c) for c in wanted])
+
+
 @query("""SELECT round(quantile_cont(tail, 0.5), 6) AS p50, round(quantile_cont(tail, 0.95), 6) AS p95, round(quantile_cont(tail, 0.99), 6) AS p99 FROM (SELECT l_partkey, quantile_cont(l_extendedprice, 0.999) AS tail FROM lineitem GROUP BY 1)""")
 def per_image_tail(t):
     """G16."""

@@ -148,14 +148,19 @@ def test_registration_of_turned_and_scaled_images(angle, scale):
     assert abs(got["scale"] - scale) < 0.03 and abs((got["rotation"] - angle + 180) % 360 - 180) < 1.5
 
 
-def test_exact_percentiles(spark, monkeypatch):
+def test_exact_percentiles(spark):
     from proofsheet.operators import evaluate as E
 
-    monkeypatch.setattr(E, "MOST_VALUES", 50)
-    monkeypatch.setattr(E, "BINS", 16)
     r = np.random.default_rng(0)
-    for values in (r.normal(size=3000), np.repeat(r.integers(0, 5, 40), 50).astype(float), np.array([2.5]), np.concatenate([np.zeros(500), [1e9]])):
-        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(3)
-        shares = [0.0, 0.5, 0.95, 0.999, 1.0]
-        assert np.allclose(E.exact_percentiles(df, "v", shares), np.quantile(values, shares))
-    assert E.exact_percentiles(df.filter("false"), "v", [0.5]) == [None]
+    groups = {"a": r.normal(size=3000), "b": np.repeat(r.integers(0, 5, 40), 50).astype(float), "c": np.array([2.5]), None: np.concatenate([np.zeros(500), [1e9]])}
+    rows = [(k, float(v), -2 * float(v)) for k, values in groups.items() for v in values] + [("a", None, float("nan")), ("d", None, None)]
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(3)
+    shares = [0.0, 0.5, 0.95, 0.999, 1.0]
+    wanted = {f"{c}{i}": (c, q) for c in "vw" for i, q in enumerate(shares)}
+    got = {row.k: row for row in E.percentiles(df, ["v", "w"], wanted, ["k"]).collect()}
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        assert np.allclose([got[k][f"v{i}"] for i in range(5)], np.quantile(values, shares)) and np.allclose([got[k][f"w{i}"] for i in range(5)], np.quantile(-2 * values, shares))
+    (whole,) = E.percentiles(df, ["v"], {"p": ("v", 0.3)}).collect()
+    assert np.isclose(whole.p, np.quantile(np.concatenate([*groups.values()]), 0.3))
+    assert [tuple(row) for row in E.percentiles(df.filter("false"), ["v"], {"p": ("v", 0.5)}).collect()] == [(None,)]
