@@ -50,24 +50,6 @@ def single_candidate(compared: DataFrame, accept_below: float) -> DataFrame:
     return per.filter((F.col("n") == 1) & (F.col("fraction") < accept_below)).select("probe_id", "matched_id", (1 - F.col("fraction")).alias("confidence"))
 
 
-def nearest_two(vectors: DataFrame, queries: DataFrame, ratio: float, block: int = 1000) -> DataFrame:
-    """q, neighbour, distance, distinct_ of each query: whether its nearest vector is nearer than `ratio` times the second.
-
-    vectors and queries: vec_id, e. Queries go against all vectors in blocks of about `block`
-    rows, each of them a broadcast; only two rows a query and task are shuffled.
-    """
-    n = max(1, -(-queries.count() // block))
-    d = F.sqrt(F.aggregate(F.zip_with("e", "qe", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    w, out = Window.partitionBy("q").orderBy("distance", "neighbour"), None
-    for i in range(n):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i).select(F.col("vec_id").alias("q"), F.col("e").alias("qe"))
-        near = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("neighbour"), d.alias("distance"))
-        two = near.withColumn("n", F.row_number().over(w)).filter("n <= 2")
-        out = two if out is None else out.unionByName(two)
-    per = out.groupBy("q").agg(F.min_by(F.struct("neighbour", "distance"), "n").alias("a"), F.max_by("distance", "n").alias("second"))
-    return per.select("q", "a.neighbour", "a.distance", (F.col("a.distance") < ratio * F.col("second")).alias("distinct_"))
-
-
 def waterfall(probes: DataFrame, stages: list[tuple[str, object]]) -> DataFrame:
     """probe_id, matched_id, confidence, method by the first stage that decides; NONE if none does.
 

@@ -8,6 +8,7 @@ from proofsheet.functions import boxes as B
 from proofsheet.functions import verdict as V
 from proofsheet.kernels import regions as K
 from proofsheet.operators import identify as D
+from proofsheet.operators import neighbours as N
 from proofsheet.operators import pixels as P
 
 from .registry import query
@@ -144,7 +145,7 @@ SELECT a.q, a.neighbour, a.distance, a.distance < 0.95 * b.distance AS distinct_
 def knn_ratio(t):
     """Two nearest of each query vector and the ratio test."""
     e = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
-    return D.nearest_two(e, e.filter("vec_id % 50 = 0"), 0.95).withColumn("distance", F.round("distance", 9))
+    return N.nearest_two(e, e.filter("vec_id % 50 = 0"), 0.95).withColumn("distance", F.round("distance", 9))
 
 
 @query("""SELECT vec_id, round(sqrt(abs(a * d - b * c)), 9) AS scale, round(degrees(atan2(c, a)), 9) AS rotation, round(least(1.0, n / 60.0::DOUBLE) * greatest(0.0, 1 - er / 3.0) * least(1.0, o / 0.8), 4) AS confidence,
