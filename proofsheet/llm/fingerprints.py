@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -75,6 +76,58 @@ def likeness(a: str, b: str) -> float:
     return min(2 * both / (len(x) + len(y)), 1 - 1 / (len(x) + len(y) + 1))
 
 
+#: Cells of a table that nodes are aligned by where none is unique, and rounds of anchors.
+CELLS, ANCHOR_ROUNDS = 4096, 3
+
+
+def differing(p: list[str], q: list[str]) -> list[tuple[int, int, int, int]]:
+    """Runs (i, j, k, m) in which p[i:j] gave way to q[k:m], in time about linear in both.
+
+    Equal ends are trimmed; nodes that occur once on both sides and keep their order are anchors, and what lies between them is
+    aligned by itself. Where nothing is unique, short runs are compared in full and long ones differ as a whole.
+    """
+    out, open_ = [], [(0, len(p), 0, len(q), 0)]
+    while open_:
+        i, j, k, m, depth = open_.pop()
+        while i < j and k < m and p[i] == q[k]:
+            i, k = i + 1, k + 1
+        while i < j and k < m and p[j - 1] == q[m - 1]:
+            j, m = j - 1, m - 1
+        if i == j or k == m:
+            if i < j or k < m:
+                out.append((i, j, k, m))
+            continue
+        if (j - i) * (m - k) <= CELLS:
+            out += [(i + a, i + b, k + c, k + d) for tag, a, b, c, d in SequenceMatcher(None, p[i:j], q[k:m], autojunk=False).get_opcodes() if tag != "equal"]
+            continue
+        line = anchors(p[i:j], q[k:m]) if depth < ANCHOR_ROUNDS else []
+        if not line:
+            out.append((i, j, k, m))
+            continue
+        ends = [(i, k), *((i + x, k + y) for x, y in line), (j, m)]
+        open_ += [(a, c, b, d, depth + 1) for (a, b), (c, d) in zip(ends, ends[1:], strict=False)]
+    return sorted(out)
+
+
+def anchors(p: list[str], q: list[str]) -> list[tuple[int, int]]:
+    """Places of nodes that occur once in both, the longest sequence of them that rises on both sides."""
+    once, there = ({x for x, n in Counter(v).items() if n == 1} for v in (p, q))
+    at = {x: n for n, x in enumerate(q) if x in there}
+    pairs = [(n, at[x]) for n, x in enumerate(p) if x in once and x in at]
+    tops: list[int] = []  # least end of a rising sequence of each length
+    last: list[int] = []  # its pair
+    before = [-1] * len(pairs)
+    for n, (_, y) in enumerate(pairs):
+        size = bisect_left(tops, y)
+        before[n] = last[size - 1] if size else -1
+        tops[size : size + 1], last[size : size + 1] = [y], [n]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
 def changed_branches(a: str, b: str) -> list[tuple[str, int, int]]:
     """Where the edits from a to b are: (changed or removed, section and paragraph of a) and (inserted, those of b).
 
@@ -84,15 +137,11 @@ def changed_branches(a: str, b: str) -> list[tuple[str, int, int]]:
     if a == b:
         return []
     x, y, out = _tree(a), _tree(b), []
-
-    def runs(p: list[str], q: list[str]) -> list[tuple[int, int, int, int]]:
-        return [(i, j, k, m) for tag, i, j, k, m in SequenceMatcher(None, p, q).get_opcodes() if tag != "equal"]
-
-    for i, j, k, m in runs([s for s, _ in x], [s for s, _ in y]):
+    for i, j, k, m in differing([s for s, _ in x], [s for s, _ in y]):
         both = min(j - i, m - k)
         for n in range(both):
             p, q = x[i + n][1], y[k + n][1]
-            for c, d, e, f in runs([t[: 2 * NODE] for t in p], [t[: 2 * NODE] for t in q]):
+            for c, d, e, f in differing([t[: 2 * NODE] for t in p], [t[: 2 * NODE] for t in q]):
                 same = min(d - c, f - e)
                 out += [("changed", i + n, c + r) for r in range(same)] + [("removed", i + n, r) for r in range(c + same, d)] + [("inserted", k + n, r) for r in range(e + same, f)]
         out += [("removed", n, r) for n in range(i + both, j) for r in range(len(x[n][1]))]
