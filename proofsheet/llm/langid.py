@@ -6,11 +6,13 @@ texts is the cosine of their sets. A Nystroem map over LANDMARKS training texts
 of it, and one ridge regression per language, against the rest, scores them. The kernel with
 the landmarks, the Nystroem map and the ridge weights are one linear map of a text's places, so
 they are multiplied once, and a batch is scored by the product of its sparse rows with it.
+With more than FOLD languages, where that product would be large, its factors are kept apart.
 
-Training takes a bounded sample: PER_LANG rows of each language, fewer if MOST_LANGS languages
-(the most frequent ones) need more than TRAIN_ROWS, by a hash of id and text; no row is moved
-for it, and each reaches the driver as its places, never as text. Everything else covers all
-rows.
+Training takes a bounded sample: PER_LANG rows of each language, fewer if all need more than
+TRAIN_ROWS, but LEAST_ROWS at least, by a hash of id and text; no row is moved for it, and each
+reaches the driver as its places, never as text. So what the driver holds grows with the
+number of languages only, and every language that has a row can be learned. Everything else
+covers all rows.
 
 A guard tells texts of no learned language: a text's letters must be known in the predicted
 language, and so must be its 3- and 4-grams, less what would be found by chance. The bound
@@ -35,7 +37,9 @@ from pyspark.sql import types as T
 from .common import own, slices
 
 PLACES_BITS, GRAMS = 18, 4
-PER_LANG, TRAIN_ROWS, MOST_LANGS, LANDMARKS, RIDGE = 800, 6000, 64, 256, 1.0
+PER_LANG, TRAIN_ROWS, LEAST_ROWS, LANDMARKS, RIDGE = 800, 6000, 24, 256, 1.0
+#: Languages up to which the linear map is one table, and landmarks a language at least.
+FOLD, LEAST_LANDMARKS = 64, 2
 #: Rows of each language that the guard learns from, bits of a place, n-grams of a text that counts for the bound, share of known letters, slack by 1/sqrt(n-grams).
 GUARD_ROWS, GUARD_BITS, GUARD_GRAMS, GUARD_LETTERS, GUARD_SLACK = 200, 22, 100, 0.5, 3.0
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -136,6 +140,14 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def shared(sets: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """How many of the places each of n landmarks has; sets: a bit for each landmark at each place."""
+    out = np.zeros(n)
+    for at in range(0, len(places), 255):  # so many bits add up in a byte
+        out += np.add.reduce(np.unpackbits(sets[places[at : at + 255]], axis=1, count=n), axis=0, dtype=np.uint8)
+    return out
+
+
 class Model:
     """The languages, the map from places to their scores, and a guard if there is one."""
 
@@ -150,16 +162,14 @@ class Model:
         for one in self.langs:
             at = [i for i, x in enumerate(langs) if x == one]
             turn[at] = range(len(at))
-        chosen = np.argsort(turn, kind="stable")[:landmarks]
+        chosen = np.argsort(turn, kind="stable")[: max(landmarks, LEAST_LANDMARKS * len(self.langs))]
         sets = np.zeros((1 << PLACES_BITS, (len(chosen) + 7) // 8), np.uint8)  # a bit for each landmark
         for j, i in enumerate(chosen):
             sets[unpacked(rows[i]), j >> 3] |= 128 >> (j & 7)
         size, both = np.zeros(len(rows)), np.zeros((len(rows), len(chosen)))
         for i, raw in enumerate(rows):
             places = unpacked(raw)
-            size[i] = np.sqrt(len(places))
-            for at in range(0, len(places), 255):  # so many bits add up in a byte
-                both[i] += np.add.reduce(np.unpackbits(sets[places[at : at + 255]], axis=1, count=len(chosen)), axis=0, dtype=np.uint8)
+            size[i], both[i] = np.sqrt(len(places)), shared(sets, places, len(chosen))
         k = both / (size[:, None] * size[chosen])
         values, vectors = np.linalg.eigh(k[chosen])
         good = values > 1e-6 * values[-1]
@@ -169,6 +179,10 @@ class Model:
         weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share + 2e-9)).mean(1)  # rare languages count as much
         a = (f * weight[:, None]).T @ f + ridge * np.eye(f.shape[1])
         by_landmark = (nystroem @ np.linalg.solve(a, (f * weight[:, None]).T @ y)) / size[chosen, None]
+        self.map = self.sets = None
+        if len(self.langs) > FOLD:
+            self.sets, self.by_landmark = sets, by_landmark
+            return
         self.map = np.zeros((1 << PLACES_BITS, len(self.langs)), np.float32)
         for j, i in enumerate(chosen):
             self.map[unpacked(rows[i])] += by_landmark[j].astype(np.float32)
@@ -177,6 +191,8 @@ class Model:
         """One-versus-rest values of each language."""
         rows = [presence(t) for t in texts]
         sizes = np.array([len(r) for r in rows])
+        if self.map is None:
+            return np.stack([shared(self.sets, r, len(self.by_landmark)) for r in rows]) @ self.by_landmark / np.sqrt(sizes)[:, None]
         sums = np.add.reduceat(self.map[np.concatenate(rows)], np.cumsum(sizes) - sizes, axis=0)
         return sums / np.sqrt(sizes)[:, None]
 
@@ -184,17 +200,18 @@ class Model:
 def train(docs: DataFrame, guarded: bool = False) -> Model | None:
     """A model from the rows (doc_id, text, lang) given, with a guard if wanted; None if none has a language and a letter."""
     usable = own(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    found = usable.groupBy("lang").count().collect()  # a row a language
     if not found:
         return None
-    wanted = min(PER_LANG, TRAIN_ROWS // len(found))
+    wanted = min(PER_LANG, max(LEAST_ROWS, TRAIN_ROWS // len(found)))
     top = 1 << 52
 
     def below(n: int) -> Column:
         """Bound of the hash that leaves about n rows of the row's language."""
-        return F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(top, top * n // r["count"]))]), F.col("lang"))
+        return F.least(F.lit(top), F.floor(F.lit(float(top)) * n / F.col("rows"))).cast("long")
 
-    sample = usable.withColumn("u", F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(top))).filter(F.col("u") < below(wanted))
+    of_language = docs.sparkSession.createDataFrame([(r.lang, r["count"]) for r in found], "lang string, rows long")
+    sample = usable.join(of_language, "lang").withColumn("u", F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(top))).filter(F.col("u") < below(wanted))
     sample = sample.withColumn("guards", F.col("u") < below(GUARD_ROWS))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +225,8 @@ def train(docs: DataFrame, guarded: bool = False) -> Model | None:
                 kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "lang", "places", "letters", "grams"])
 
-    # a repeated row counts once; the hash draws about TRAIN_ROWS rows at most
-    rows = sample.select("doc_id", "lang", "text", "guards").mapInArrow(places, "doc_id long, lang string, places binary, letters binary, grams binary").distinct().limit(2 * TRAIN_ROWS).collect()
+    # a repeated row counts once; the hash draws about `wanted` rows a language at most
+    rows = sample.select("doc_id", "lang", "text", "guards").mapInArrow(places, "doc_id long, lang string, places binary, letters binary, grams binary").distinct().limit(2 * wanted * len(found)).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.places))
@@ -224,7 +241,7 @@ PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFi
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs and a struct p_ (PREDICTED): language, its share of the softmax of all scores, whether the model's guard passes it."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**PLACES_BITS * MOST_LANGS numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**PLACES_BITS numbers for each of FOLD languages, or bits for each landmark
     schema = T.StructType([*docs.schema.fields, T.StructField("p_", PREDICTED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,8 @@ its spans are stored beside the rows.
 Collision checks run over the distinct entities of the table: an entity whose surrogate is
 another's too, or occurs itself as an entity, gets the next permutation, until none is left;
 from attempt LONGER_FROM on it gets a longer form of the same script, since its own length may
-be full. A fixed format (digits, addresses) without an unused form ends the job with an error.
+be full. A fixed format (digits, addresses) may have no unused form left; what is still not
+settled after a number of rounds gets a mark with its type and a keyed number instead (FULL).
 Given names need no check: within their list they are shifted, so they stay distinct.
 Exceptions, if any, reach the rows that have entities by a join.
 
@@ -34,7 +35,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,8 @@ from .common import slices, stored
 ROUNDS = 8
 #: The attempt from which names, e-mail addresses and secrets get longer, by a letter every second one.
 LONGER_FROM = 6
+#: The attempt that stands for a mark, since the entity's domain has no unused form.
+FULL = -1
 #: Alphabets whose members may stand for each other.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 HEX = "0123456789abcdef"
@@ -293,6 +296,8 @@ def lengthened(s: str, attempt: int) -> str:
 @lru_cache(100_000)
 def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate's normal form."""
+    if attempt == FULL:
+        return f"[{kind} {hashlib.blake2b(f'{kind}|{norm}'.encode(), key=key, digest_size=12).hexdigest()}]"
     t = f"{kind}|{attempt}"
     if kind == "email":
         local, _, domain = norm.rpartition("@")
@@ -335,7 +340,9 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
 
 
 def written(mention: str, kind: str, new: str) -> str:
-    """The surrogate in the mention's own format."""
+    """The surrogate in the mention's own format; a mark as it is."""
+    if new.startswith(f"[{kind} "):
+        return new
     if kind in ("card", "phone", "ssn"):
         digits = iter(re.sub(r"\D", "", new))
         return "".join(next(digits) if c.isdigit() else c for c in mention)
@@ -384,7 +391,7 @@ def with_spans(docs: DataFrame, spans_col: str, text_col: str = "text") -> DataF
 def collisions(found: DataFrame, key: bytes, most_rounds: int = 100) -> DataFrame | None:
     """(kind, norm, attempt) of the entities that need another permutation than the first; None if there are none.
 
-    Goes on until no surrogate is used twice or an original; raises if most_rounds leave some.
+    Goes on until no surrogate is used twice or an original; entities that most_rounds leave get FULL.
     """
 
     @F.pandas_udf("string")
@@ -402,12 +409,10 @@ def collisions(found: DataFrame, key: bytes, most_rounds: int = 100) -> DataFram
         bad = stored(twice.union(taken).distinct().withColumn("bad", F.lit(1)), "bad")
         if not bad.limit(1).count():
             break
-        if n == most_rounds:
-            kinds = {r.kind: r["count"] for r in bad.groupBy("kind").count().collect()}
-            raise RuntimeError(f"no unused surrogates after {most_rounds} rounds: {kinds}")
-        state = state.join(bad, ["kind", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(0))).drop("bad", "new")
+        more = F.lit(FULL) if n == most_rounds else F.col("attempt") + 1
+        state = state.join(bad, ["kind", "norm"], "left").withColumn("attempt", F.when(F.col("bad").isNotNull(), more).otherwise(F.col("attempt"))).drop("bad", "new")
         state = stored(state.withColumn("new", of("kind", "norm", "attempt")), "entities")
-    moved = state.filter("attempt > 0").select("kind", "norm", "attempt")
+    moved = state.filter("attempt <> 0").select("kind", "norm", "attempt")
     return moved if moved.limit(1).count() else None
 
 
@@ -420,7 +425,13 @@ def unused(names: list[str], name: str) -> str:
     return name
 
 
-def with_surrogates(docs: DataFrame, key: bytes = b"proofsheet surrogates", text_col: str = "text", out_col: str = "surrogates") -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The key that spark.proofsheet.pii.key sets; whoever has it can undo the permutations. Without the setting, a key that holds for this application only."""
+    found = spark.conf.get("spark.proofsheet.pii.key", None) or spark.sparkContext.applicationId
+    return hashlib.blake2b(found.encode(), digest_size=32).digest()
+
+
+def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", out_col: str = "surrogates") -> DataFrame:
     """docs and a struct column `out_col` (RESULT): the text with surrogates, the types of its entities in order."""
     names = [n for n in docs.columns if n != out_col]
     docs = docs.select(*[F.col(f"`{n}`") for n in names])

@@ -113,9 +113,9 @@ def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import TYPES, with_surrogates
+    from .pii import TYPES, key_of, with_surrogates
 
-    out = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     kinds = F.col("surrogates.kinds")
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, t))).alias(f"n_{t}") for t in TYPES]
     return out.select("doc_id", F.col("surrogates.text").alias("text"), F.size(kinds).alias("n_entities"), *counts)

@@ -280,12 +280,12 @@ def test_hot_shingles_meet_in_blocks(spark, monkeypatch):
 
 
 def test_surrogates(spark, clashing, empty):
-    done = pii.with_surrogates(clashing)
+    done = pii.with_surrogates(clashing, b"k")
     assert sorted(done.columns) == sorted(clashing.columns)
     out = done.collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in edge_rows())
     assert all(r.surrogates.text == r.text for r in out if "@" not in (r.text or ""))
-    assert pii.with_surrogates(empty).count() == 0
+    assert pii.with_surrogates(empty, b"k").count() == 0
 
 
 def test_surrogates_are_consistent(spark):
@@ -295,7 +295,7 @@ def test_surrogates_are_consistent(spark):
         "Mr. Smith met Mary Smith and Иван Петров; Frau Müller came. 078-05-1120",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = [r.surrogates.text for r in pii.with_surrogates(df).orderBy("doc_id").collect()]
+    out = [r.surrogates.text for r in pii.with_surrogates(df, b"k").orderBy("doc_id").collect()]
     for secret in ["nn.Lee@", "555-0143", "4111 1111", "0641917e", "AKIAMD62", "e3b3ed3c", "10.20.30.40", "Smith", "Mary", "Иван", "Müller", "078-05-1120"]:
         assert secret not in " ".join(out), secret
     m = pii.detect(out[0])
@@ -415,7 +415,7 @@ def test_exceptions_reach_their_documents(spark, monkeypatch):
     df = spark.createDataFrame([(1, text, "x"), (2, "none", "y"), (3, None, "z")], "doc_id long, text string, how_ string")
     moved = spark.createDataFrame([("ssn", "078051120", 2)], "kind string, norm string, attempt int")
     monkeypatch.setattr(pii, "collisions", lambda *a: moved)
-    got = {r.doc_id: r.surrogates.text for r in pii.with_surrogates(df).collect()}
+    got = {r.doc_id: r.surrogates.text for r in pii.with_surrogates(df, b"k").collect()}
     assert got == {1: pii.replaced(text, b"proofsheet surrogates", {("ssn", "078051120"): 2})[0], 2: "none", 3: None}
     assert got[1] != pii.replaced(text, b"proofsheet surrogates")[0]
 

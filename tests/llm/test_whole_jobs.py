@@ -120,11 +120,14 @@ def test_surrogates_of_a_full_domain(spark):
     assert len(text) == len("Mr. Li and Mr. LI") + 2 and text[-3:].isupper() and text[4:7].istitle()
 
 
-def test_unsettled_surrogates_are_an_error(spark):
+def test_a_full_domain_of_digits_gets_marks(spark):
     taken = pii.surrogate("ssn", "111111111", b"k")
     found = spark.createDataFrame([(1, "ssn", "111111111"), (2, "ssn", taken)], "h long, kind string, norm string")
-    with pytest.raises(RuntimeError):
-        pii.collisions(found, b"k", most_rounds=0)
+    moved = {r.norm: r.attempt for r in pii.collisions(found, b"k", most_rounds=0).collect()}
+    assert moved == {"111111111": pii.FULL}
+    text, kinds = pii.applied("ssn 111-11-1111 and 111111111.", [(4, 15, "ssn", "111111111"), (20, 29, "ssn", "111111111")], b"k", {("ssn", "111111111"): pii.FULL})
+    first, second = text[4:].split(" and ")
+    assert first == second[:-1] and first.startswith("[ssn ") and "1111" not in text and kinds == ["ssn", "ssn"]
 
 
 @pytest.mark.parametrize("kind,norm", [("surname", "éèü"), ("surname", "łß"), ("secret", "______"), ("secret", "//////"), ("email", "__@mail.example.com")])
