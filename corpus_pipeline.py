@@ -47,7 +47,7 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null with length 0; no row goes; equal texts and repeated rows get equal results.
     """
-    out = pii.with_surrogates(docs.select(COLUMNS)).withColumn("text", F.col("surrogates.text"))
+    out = pii.with_surrogates(docs.select(COLUMNS), pii.key_of(spark)).withColumn("text", F.col("surrogates.text"))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(COLUMNS)
 
 
