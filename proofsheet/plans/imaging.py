@@ -10,6 +10,7 @@ from proofsheet.kernels import regions as K
 from proofsheet.operators import identify as D
 from proofsheet.operators import neighbours as N
 from proofsheet.operators import pixels as P
+from proofsheet.operators import tiles as L
 
 from .registry import query
 
@@ -81,6 +82,17 @@ def components(t):
     return K.mask_regions(t.embeddings, threshold=0.1, least_box=4)
 
 
+@query("""WITH RECURSIVE px AS (SELECT label AS image, vec_id // 50 * 8 + (i - 1) // 8 AS y, vec_id % 50 * 8 + (i - 1) % 8 AS x, embedding[i] AS v FROM embeddings, range(1, 65) r(i)), m AS (SELECT image, y, x FROM px WHERE v > 0.1), reach AS (
+  SELECT image, y, x, y AS cy, x AS cx FROM m UNION SELECT r.image, r.y, r.x, m.y, m.x FROM reach r JOIN m ON m.image = r.image AND abs(m.y - r.cy) <= 1 AND abs(m.x - r.cx) <= 1),
+c AS (SELECT image, y, x, min(cy * 1000000 + cx) AS root FROM reach GROUP BY ALL)
+SELECT image::BIGINT AS image, min(x)::BIGINT AS x, min(y)::BIGINT AS y, (max(x) - min(x) + 1)::BIGINT AS w, (max(y) - min(y) + 1)::BIGINT AS h, count(*)::BIGINT AS pixels FROM c GROUP BY image, root HAVING (max(x) - min(x) + 1) * (max(y) - min(y) + 1) >= 4""")
+def tiled_regions(t):
+    """Regions of large masks, one of each label's vectors as tiles side by side."""
+    mask = F.transform("embedding", lambda v: v > 0.1)
+    tiles = t.embeddings.select(F.col("label").cast("long").alias("image"), F.floor(F.col("vec_id") / 50).cast("int").alias("ty"), (F.col("vec_id") % 50).cast("int").alias("tx"), F.lit(8).alias("width"), mask.alias("mask"))
+    return L.regions(tiles, 8, 4)
+
+
 CAND = """c AS (SELECT label AS product_id, vec_id AS candidate_id, embedding FROM embeddings WHERE vec_id % 25 = 0), p AS (SELECT label AS product_id, vec_id AS probe_id, embedding FROM embeddings WHERE vec_id % 25 <> 0),
 f AS (SELECT probe_id, candidate_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN abs(p.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) > 0.1 THEN 1 ELSE 0 END)) / 64.0::DOUBLE AS fraction, p.product_id FROM p JOIN c USING (product_id)),
 w AS (SELECT probe_id, min(candidate_id) FILTER (fraction < 0.4) AS matched_id, min(fraction) AS fraction FROM f GROUP BY 1 HAVING count(*) FILTER (fraction < 0.4) = 1)"""
