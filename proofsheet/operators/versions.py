@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions import boxes
+from proofsheet.tables import stored
 
 #: A detected region belongs to a known edit if their overlap score is above this.
 LEAST_OVERLAP = 0.3
@@ -49,10 +50,12 @@ def consecutive(versions: DataFrame, *carry: str) -> DataFrame:
 def path_regions(regions: DataFrame, findings: DataFrame) -> DataFrame:
     """Regions on the chain from the matched to the current place of each finding.
 
-    regions: product_id, from_pos, to_pos, ...; findings: finding_id, product_id, i, j. None if i >= j.
+    regions: product_id, from_pos, to_pos, ...; findings: finding_id, product_id, i, j. None if i >= j. A finding asks for
+    each hop of its path, so that it meets these only and not all regions of its product.
     """
     hops = regions.filter(F.col("to_pos") == F.col("from_pos") + 1)
-    return findings.filter("i < j").join(hops, "product_id").filter((F.col("from_pos") >= F.col("i")) & (F.col("to_pos") <= F.col("j")))
+    asked = findings.filter("i < j").withColumn("from_pos", F.explode(F.sequence(F.col("i").cast("long"), F.col("j").cast("long") - 1)))
+    return asked.join(hops.withColumn("from_pos", F.col("from_pos").cast("long")), ["product_id", "from_pos"])
 
 
 def chain_labels(versions: DataFrame, i: Column, j: Column) -> DataFrame:
@@ -61,13 +64,66 @@ def chain_labels(versions: DataFrame, i: Column, j: Column) -> DataFrame:
     return versions.groupBy("product_id").agg(line.alias("chain")).withColumn("labels", F.when(i <= j, F.slice("chain", i, j - i + 1)).otherwise(F.array().cast("array<string>"))).drop("chain")
 
 
+#: Pairs of boxes under one key from which they are met by cells of a grid, and the levels of cells (sides of 2**level).
+MANY_PAIRS, LEVELS = 1_000_000, range(3, 16)
+
+
+def _level(box: str) -> Column:
+    """The level whose cells are as large as the box, so that it touches four of them at most."""
+    side = F.greatest(F.col(f"{box}.w"), F.col(f"{box}.h"), F.lit(1)).cast("double")
+    return F.least(F.lit(LEVELS[-1]), F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(side)).cast("int")))
+
+
+def _in_cells(rows: DataFrame, box: str) -> DataFrame:
+    """rows once for each cell of level_ that the box touches."""
+    cell = F.pow(F.lit(2.0), F.col("level_"))
+
+    def along(low: Column, size: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / cell), F.floor((low + F.greatest(size, F.lit(1)) - 1) / cell)))
+
+    x, y, w, h = (F.col(f"{box}.{c}").cast("long") for c in "xywh")
+    return rows.withColumn("cx_", along(x, w)).withColumn("cy_", along(y, h))
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str], box_a: str, box_b: str) -> DataFrame:
+    """Pairs of rows with equal keys whose boxes overlap.
+
+    Boxes lie in the cells of grids of several levels. A pair meets at the level of its larger box, in the cells that both
+    touch, and belongs to the cell of the overlap's first corner. So a key with many boxes is dealt out by place, and small boxes
+    never meet in a large cell.
+    """
+    p, q = ({c: F.col(f"{x}.{c}").cast("long") for c in "xywh"} for x in (box_a, box_b))
+    x0, y0 = F.greatest(p["x"], q["x"]), F.greatest(p["y"], q["y"])
+    inside = (x0 < F.least(p["x"] + p["w"], q["x"] + q["w"])) & (y0 < F.least(p["y"] + p["h"], q["y"] + q["h"]))
+    cell = F.pow(F.lit(2.0), F.col("level_"))
+    owner = (F.floor(x0 / cell) == F.col("cx_")) & (F.floor(y0 / cell) == F.col("cy_"))
+
+    def met(large: DataFrame, box: str, small: DataFrame, other: str, strictly: bool) -> DataFrame:
+        large = large.withColumn("level_", _level(box))
+        there = [r[0] for r in large.select("level_").distinct().collect()]  # of LEVELS
+        own = _level(other)
+        above = F.filter(F.array(*map(F.lit, there)), lambda x: (x > own) if strictly else (x >= own))
+        small = small.withColumn("level_", F.explode(above if there else F.array().cast("array<int>")))
+        return _in_cells(large, box).join(_in_cells(small, other), [*keys, "level_", "cx_", "cy_"]).filter(inside & owner).drop("level_", "cx_", "cy_")
+
+    return met(a, box_a, b, box_b, False).unionByName(met(b, box_b, a, box_a, True))
+
+
 def match_edits(regions: DataFrame, edits: DataFrame, keys: list[str], least: float = LEAST_OVERLAP) -> DataFrame:
     """Each region with its best edit by overlap score, above `least`; the first of equals.
 
-    regions: keys, region_id, box; edits: keys, edit_pos, edit_box.
+    regions: keys, region_id, box; edits: keys, edit_pos, edit_box. Keys with more than MANY_PAIRS pairs are met by place.
     """
     score = boxes.overlap_score(F.col("box"), F.col("edit_box"))
-    pairs = regions.join(edits, keys).withColumn("score", score).filter(F.col("score") > least)
+    n = regions.groupBy(*keys).agg(F.count("*").alias("n")).join(edits.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+    many = stored(n.filter(F.col("n") * F.col("m") > MANY_PAIRS).select(*keys), "many")
+    if many.limit(1).count():
+        few = regions.join(many, keys, "left_anti").join(edits, keys)
+        dense = overlapping(regions.join(many, keys, "left_semi"), edits.join(many, keys, "left_semi"), keys, "box", "edit_box")
+        pairs = few.unionByName(dense)
+    else:
+        pairs = regions.join(edits, keys)
+    pairs = pairs.withColumn("score", score).filter(F.col("score") > least)
     return pairs.groupBy("region_id").agg(F.max_by(F.struct("edit_pos", "score"), F.struct("score", -F.col("edit_pos"))).alias("m")).select("region_id", "m.edit_pos", "m.score")
 
 

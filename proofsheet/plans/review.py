@@ -216,9 +216,11 @@ def report_labels(t):
     return per.select("l_orderkey", "n", V.percent("n", "m").alias("share"), V.duration("s").alias("took"))
 
 
-@query("""SELECT method, CASE method WHEN 'CACHED' THEN 'Unchanged since last run' WHEN 'HASH_EXACT' THEN 'Exact file match' WHEN 'PIXEL_DIFF' THEN 'Pixel difference' WHEN 'REGION_CHECK' THEN 'Region check' ELSE 'No match' END AS label,
-  CASE method WHEN 'CACHED' THEN 'The file and the approved artwork are both unchanged since the last run.' WHEN 'HASH_EXACT' THEN 'The listing is serving this artwork file byte for byte. This is proof, not an estimate.' WHEN 'PIXEL_DIFF' THEN 'Exactly one artwork version differs from this listing image by no more than compression noise.'
-  WHEN 'REGION_CHECK' THEN 'Versions look alike overall, so they were compared inside the regions known to differ between them.' ELSE 'No approved artwork explains this image.' END AS hint, count(*)::BIGINT AS n
+def _cases(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+
+
+@query(f"""SELECT method, {_cases("method", schema.METHOD_LABEL)} AS label, {_cases("method", schema.METHOD_HINT)} AS hint, count(*)::BIGINT AS n
 FROM (SELECT CASE WHEN finding_id % 9 = 0 THEN 'CACHED' ELSE match_method END AS method FROM b_findings) GROUP BY 1""")
 def method_labels(t):
     """methods with their hints; carried findings are unchanged."""
