@@ -10,6 +10,7 @@ from proofsheet.functions import boxes as B
 from proofsheet.operators import incremental as I
 from proofsheet.operators import pairs as PA
 from proofsheet.operators import registry as G
+from proofsheet.operators import reruns as RR
 from proofsheet.operators import review as R
 from proofsheet.operators import versions as A
 
@@ -230,6 +231,21 @@ def carry_forward(t):
     return kept.unionByName(done)
 
 
+@query("""WITH d AS (SELECT doc_id AS path, sha256(text) AS sha, n_chars, source FROM documents), n AS (SELECT *, CASE WHEN n_chars % 5 = 0 THEN 'new' || sha ELSE sha END AS later FROM d)
+SELECT path, later AS sha, CASE WHEN n_chars % 11 = 0 THEN 'ERROR' ELSE 'PASS' END AS verdict, CASE WHEN n_chars % 5 = 0 OR n_chars % 11 = 0 THEN 2 ELSE 1 END::BIGINT AS made_in FROM n""")
+def incremental_run(t):
+    """Two runs over a store; unchanged findings are those of the first, changed inputs and errors are new."""
+    rows = t.documents.select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha"), "n_chars")
+
+    def process(todo):
+        return todo.select("path").join(rows.select("path", "n_chars"), "path").select("path", F.when(F.col("n_chars") % 11 == 0, "ERROR").otherwise("PASS").alias("verdict"))
+
+    store = Store(t.spark, shared_dir(t.spark, "runs"), parts=32)
+    RR.rerun(store, rows, ["sha"], process)
+    RR.rerun(store, rows.withColumn("sha", F.when(F.col("n_chars") % 5 == 0, F.concat(F.lit("new"), "sha")).otherwise(F.col("sha"))), ["sha"], process)
+    return store.read("findings").select("path", "sha", "verdict", "made_in")
+
+
 @query("""SELECT event_id, user_id % 40 IN (SELECT DISTINCT user_id % 40 FROM events ORDER BY 1 DESC LIMIT 6) AS kept FROM events""")
 def retention(t):
     """The newest six are kept."""
