@@ -326,7 +326,7 @@ def turns(t):
 @query()
 def text_compare(t):
     """Consecutive turns compared."""
-    return X.with_comparison(turns(t), "before", "text", "c").select("conv_id", "turn", "c.kind", "c.severity", "c.n_differences")
+    return X.with_comparison(turns(t), "before", "text", "c", alike_too=False).select("conv_id", "turn", "c.kind", "c.severity", "c.n_differences")
 
 
 #: Old and new readings by number of the case; {q} and {r} are two different numbers.
@@ -354,7 +354,7 @@ s AS (SELECT *, CASE kind WHEN 'NO_DIFFERENCE' THEN 'NONE' WHEN 'CONFUSABLE_CHAR
 @query(f"""WITH {KINDS} SELECT l_orderkey, l_linenumber, kind, severity, CASE WHEN kind = 'NO_DIFFERENCE' THEN 0 WHEN k = 12 THEN 2 ELSE 1 END::INTEGER AS n_differences FROM s""")
 def text_compare_cases(t):
     """Every kind of change, with numbers and units."""
-    return X.with_comparison(readings(t), "old", "new", "c").select("l_orderkey", "l_linenumber", "c.kind", "c.severity", "c.n_differences")
+    return X.with_comparison(readings(t), "old", "new", "c", alike_too=False).select("l_orderkey", "l_linenumber", "c.kind", "c.severity", "c.n_differences")
 
 
 @query()
