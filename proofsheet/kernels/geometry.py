@@ -311,13 +311,26 @@ def corner_error(h: np.ndarray, true: np.ndarray, width: int, height: int) -> fl
     return float(np.linalg.norm(project(h, c) - project(true, c), axis=1).mean())
 
 
-def warp(img: np.ndarray, h: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
-    """img seen through h on a canvas (white outside), and where it has values."""
+def _sources(h: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pixel of a canvas comes from under h."""
     gx, gy = np.meshgrid(np.arange(width), np.arange(height))
     p = project(np.linalg.inv(h), np.stack([gx.ravel(), gy.ravel()], 1).astype(float))
-    x, y = p[:, 0].reshape(gx.shape), p[:, 1].reshape(gx.shape)
-    valid = (x >= 0) & (y >= 0) & (x <= img.shape[1] - 1) & (y <= img.shape[0] - 1)
-    return np.rint(sample(img, x, y, 255.0)).astype(np.uint8), valid
+    return p[:, 0].reshape(gx.shape), p[:, 1].reshape(gx.shape)
+
+
+def covered(h: np.ndarray, width: int, height: int, canvas_width: int, canvas_height: int) -> np.ndarray:
+    """Where an image of that size, seen through h, has values on a canvas."""
+    return _within(*_sources(h, canvas_width, canvas_height), width, height)
+
+
+def _within(x: np.ndarray, y: np.ndarray, width: int, height: int) -> np.ndarray:
+    return (x >= 0) & (y >= 0) & (x <= width - 1) & (y <= height - 1)
+
+
+def warp(img: np.ndarray, h: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """img seen through h on a canvas (white outside), and where it has values."""
+    x, y = _sources(h, width, height)
+    return np.rint(sample(img, x, y, 255.0)).astype(np.uint8), _within(x, y, img.shape[1], img.shape[0])
 
 
 def reading_crop(img: np.ndarray, box: tuple[int, int, int, int], share: float = 0.10, lines: float = 1.4) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from proofsheet.config import Identify
+from proofsheet.config import Identify, Pairwise
 from proofsheet.kernels import compare as K
 from proofsheet.kernels import geometry as G
 from proofsheet.kernels import pictures as P
@@ -95,10 +95,9 @@ FROM c, (SELECT unnest(['load_normalize', 'hash', 'registration', 'structural_di
 def image_trace(t):
     """Every stage of every pair, with an engine that counts bars."""
     rows = classed(t)
-    verdicts, _ = PA.compared(rows, reader=D.Engine("bars", bars))
+    verdicts, _ = PA.compared(rows, settings=Pairwise(registration_inliers_ok=15), reader=D.Engine("bars", bars))
     stages = verdicts.join(rows.select("pair_id", "class"), "pair_id").select("class", F.explode("trace").alias("s"))
-    status = F.when(F.col("s.status").isin("DEGRADED"), "OK").otherwise(F.col("s.status"))
-    return stages.groupBy("class", "s.stage", status.alias("status")).agg(F.count("*").alias("pairs"))
+    return stages.groupBy("class", "s.stage", "s.status").agg(F.count("*").alias("pairs"))
 
 
 def bars(image: np.ndarray) -> list:
