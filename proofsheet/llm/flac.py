@@ -160,28 +160,37 @@ def _frames(x: np.ndarray, numbers: np.ndarray, order: int) -> list[bytes]:
     return [whole[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def encode(payloads: list[bytes], order: int = ORDER, digest: bool = True) -> list[bytes]:
+#: Frames that are coded at once.
+CODED_FRAMES = 512
+
+
+def encode(payloads: list[bytes], order: int = ORDER, sizes: bool = True) -> list[bytes]:
     """A FLAC stream for each payload (a positive multiple of BLOCK bytes): frames of FRAME samples, the last of fewer blocks.
 
-    Without a digest the stream information has neither MD5 nor frame sizes, which the format allows: in short streams they take room.
+    CODED_FRAMES frames are in work at a time, however long a payload is. Without sizes the stream information doesn't say how large
+    frames are, which the format allows: in short streams that takes room.
     """
-    samples = [np.frombuffer(p, np.uint8).astype(np.int64) - 128 for p in payloads]
-    cuts = [(i, k, x[at : at + FRAME]) for i, x in enumerate(samples) for k, at in enumerate(range(0, len(x), FRAME))]
-    frames: dict[tuple[int, int], bytes] = {}
-    for size in {len(c[2]) for c in cuts}:
-        some = [c for c in cuts if len(c[2]) == size]
-        coded = _frames(np.stack([c[2] for c in some]), np.array([c[1] for c in some]), order)
-        frames |= {(i, k): f for (i, k, _), f in zip(some, coded, strict=True)}
+    raw = [np.frombuffer(p, np.uint8) for p in payloads]
+    cuts: dict[int, list[tuple[int, int]]] = {}  # places of frames by their size
+    for i, x in enumerate(raw):
+        for k, at in enumerate(range(0, len(x), FRAME)):
+            cuts.setdefault(min(FRAME, len(x) - at), []).append((i, k))
+    frames: list[list[bytes]] = [[b""] * -(-len(x) // FRAME) for x in raw]
+    for size, places in cuts.items():
+        for at in range(0, len(places), CODED_FRAMES):
+            some = places[at : at + CODED_FRAMES]
+            x = np.stack([raw[i][k * FRAME : k * FRAME + size] for i, k in some]).astype(np.int64) - 128
+            for (i, k), f in zip(some, _frames(x, np.array([k for _, k in some]), order), strict=True):
+                frames[i][k] = f
     out = []
-    for i, (p, x) in enumerate(zip(payloads, samples, strict=True)):
-        own = [frames[i, k] for k in range(-(-len(p) // FRAME))]
-        lens = [len(f) for f in own]
-        sizes = min(lens).to_bytes(3, "big") + max(lens).to_bytes(3, "big") if digest else bytes(6)
-        info = struct.pack(">HH", FRAME, FRAME) + sizes + ((RATE << 44) | (7 << 36) | len(p)).to_bytes(8, "big") + (hashlib.md5(x.astype(np.int8).tobytes()).digest() if digest else bytes(16))
+    for x, own_ in zip(raw, frames, strict=True):
+        lens = [len(f) for f in own_]
+        ends = min(lens).to_bytes(3, "big") + max(lens).to_bytes(3, "big") if sizes else bytes(6)
+        info = struct.pack(">HH", FRAME, FRAME) + ends + ((RATE << 44) | (7 << 36) | len(x)).to_bytes(8, "big") + hashlib.md5((x ^ np.uint8(128)).tobytes()).digest()
         starts = np.cumsum([0, *lens]).tolist()
-        points = b"".join(struct.pack(">QQH", k * FRAME, starts[k], min(FRAME, len(p) - k * FRAME)) for k in range(0, len(own), SEEK_EVERY)) if len(own) > SEEK_EVERY else b""
+        points = b"".join(struct.pack(">QQH", k * FRAME, starts[k], min(FRAME, len(x) - k * FRAME)) for k in range(0, len(own_), SEEK_EVERY)) if len(own_) > SEEK_EVERY else b""
         seek = b"\x83" + len(points).to_bytes(3, "big") + points if points else b""  # a short stream needs none
-        out.append(b"fLaC" + (b"\x00" if seek else b"\x80") + len(info).to_bytes(3, "big") + info + seek + b"".join(own))
+        out.append(b"fLaC" + (b"\x00" if seek else b"\x80") + len(info).to_bytes(3, "big") + info + seek + b"".join(own_))
     return out
 
 
@@ -502,7 +511,7 @@ def media_table(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 1 << 20):
             data = [t.encode("utf-8", "surrogatepass") for t in texts_of(batch)]
             full = [d + b"\xff" * (-len(d) % BLOCK if d else BLOCK) for d in data]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array(encode(full, digest=False), pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array(encode(full, sizes=False), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return own(docs, "doc_id", "text").mapInArrow(store, MEDIA)
 
