@@ -119,6 +119,21 @@ def pipeline_confidence(stages: DataFrame) -> DataFrame:
     return stages.groupBy("case_id").agg(F.bround(F.coalesce(F.min(c), F.lit(0.0)), 4).alias("confidence"))
 
 
+def run_rates(done: DataFrame, key: str, seconds: Column, cached: Column, totals: DataFrame | None = None) -> DataFrame:
+    """Of each run: images done, images a second, share of cached ones and, with totals (key, total), the seconds that are left."""
+    per = done.groupBy(key).agg(F.count("*").alias("done"), (F.count("*") / (F.max(seconds) - F.min(seconds) + 1)).alias("rate"), (F.count_if(cached) / F.count("*")).alias("cached_share"))
+    if totals is None:
+        return per
+    left = F.greatest(F.col("total") - F.coalesce("done", F.lit(0)), F.lit(0))
+    return totals.join(per, key, "left").withColumn("seconds_left", F.when(left == 0, 0.0).otherwise(F.try_divide(left, F.col("rate")))).drop("total")
+
+
+def findings_with_images(findings: DataFrame, images: DataFrame) -> DataFrame:
+    """Findings with their image's columns (prefixed image_); a finding whose image is gone stays, with nulls."""
+    named = images.select("image_id", *[F.col(c).alias(f"image_{c}") for c in images.columns if c != "image_id"])
+    return findings.join(named, "image_id", "left")
+
+
 def stage_timing(stages: DataFrame) -> DataFrame:
     return stages.groupBy("stage").agg(F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.median("ms"), 6).alias("median_ms"), F.max("ms").alias("max_ms"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofsheet.sources.versioned import Store
+from proofsheet.sources.versioned import Conflict, Log, Store
 from proofsheet.tables import stored
 
 KEY = ["product_id", "version_label"]
@@ -87,3 +87,34 @@ def versions(store: Store, number: int | None = None) -> DataFrame:
     number = store.head()[0] if number is None else number
     rows = store.read("versions", number)
     return rows.withColumn("status", F.when(F.col("changed_in") == number, F.col("change")).otherwise("unchanged"))
+
+
+# --- one run at a time
+
+
+def start_run(log: Log, run_id: int) -> int:
+    """Says in the log that a run is RUNNING: the entry's number. An error if one is running, also if two start at once."""
+    n = max(log.numbers(), default=0)
+    last = log.document(n) if n else {}
+    if last.get("status") == "RUNNING":
+        raise RuntimeError(f"run {last['run_id']} is still running")
+    try:
+        log.publish(n + 1, {"run_id": run_id, "status": "RUNNING"})
+    except Conflict as e:
+        raise RuntimeError("another run has just been started") from e
+    return n + 1
+
+
+def end_run(log: Log, number: int, status: str = "COMPLETE") -> None:
+    """Ends the run that started with this entry; of several that try, one does."""
+    log.publish(number + 1, {"run_id": log.document(number)["run_id"], "status": status})
+
+
+def reap(log: Log) -> int | None:
+    """After a restart: what is still RUNNING has FAILED; the run's id, None if there is none."""
+    n = max(log.numbers(), default=0)
+    last = log.document(n) if n else {}
+    if last.get("status") != "RUNNING":
+        return None
+    end_run(log, n, "FAILED")
+    return last["run_id"]

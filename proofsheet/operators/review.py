@@ -105,6 +105,16 @@ def open_by_product(findings: DataFrame, products: DataFrame) -> DataFrame:
     return out.select("product_id", "name", F.coalesce("open_findings", F.lit(0)).alias("open_findings"), F.col("worst.finding_id").alias("worst_finding"), F.col("worst.severity").alias("worst_severity"))
 
 
+#: Findings that a product's history and a run's page show at most.
+HISTORY_LIMIT = 300
+
+
+def history(findings: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
+    """The newest findings of each product, `limit` of them."""
+    w = Window.partitionBy("product_id").orderBy(F.desc("run_id"), F.desc("finding_id"))
+    return findings.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= limit).drop("n_")
+
+
 def search(products: DataFrame, text: str, limit: int = 500) -> DataFrame:
     """Case-insensitive search in name, id and brand; % and _ keep their meaning in patterns."""
     hit = F.lit(False)

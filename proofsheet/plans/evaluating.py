@@ -119,11 +119,21 @@ def trace_rows(t):
     return out.select("case_id", "verdict", F.array_join(F.transform("trace", lambda s: s["stage"]), ">").alias("trace"), F.when(F.col("trace").isNotNull(), F.size("trace")).cast("long").alias("n"))
 
 
-@query("""SELECT user_id, count(*)::BIGINT AS done, round(count(*) / (epoch(max(ts)) - epoch(min(ts)) + 1), 9) AS rate, round(count(*) FILTER (event_type = 'view') / count(*)::DOUBLE, 9) AS cached_share FROM events GROUP BY 1""")
+@query("""WITH d AS (SELECT user_id, count(*) AS done, count(*) / (epoch(max(ts)) - epoch(min(ts)) + 1) AS rate, count(*) FILTER (event_type = 'view') / count(*)::DOUBLE AS cached_share FROM events WHERE event_type <> 'error' GROUP BY 1), t AS (SELECT user_id, count(*) AS total FROM events GROUP BY 1)
+SELECT user_id, done::BIGINT AS done, round(rate, 9) AS rate, round(cached_share, 9) AS cached_share, round(CASE WHEN total = coalesce(done, 0) THEN 0 ELSE (total - coalesce(done, 0)) / rate END, 3) AS seconds_left FROM t LEFT JOIN d USING (user_id)""")
 def run_rates(t):
-    """G27."""
+    """Rates of each user's run, of which the errors are still to do, and the time that is left."""
     ts = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    return t.events.groupBy("user_id").agg(F.count("*").alias("done"), F.round(F.count("*") / (F.max(ts) - F.min(ts) + 1), 9).alias("rate"), F.round(F.count_if(F.col("event_type") == "view") / F.count("*"), 9).alias("cached_share"))
+    totals = t.events.groupBy("user_id").agg(F.count("*").alias("total"))
+    out = E.run_rates(t.events.filter("event_type <> 'error'"), "user_id", ts, F.col("event_type") == "view", totals)
+    return out.select("user_id", "done", F.round("rate", 9).alias("rate"), F.round("cached_share", 9).alias("cached_share"), F.round("seconds_left", 3).alias("seconds_left"))
+
+
+@query("""SELECT f.finding_id, f.verdict, s.s_name AS image_name, s.s_nationkey AS image_folder FROM b_findings f LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 0) s ON s.s_suppkey = f.image_id""")
+def findings_with_images(t):
+    """Findings with their images, also those whose image is gone."""
+    images = t.supplier.filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("image_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("folder"))
+    return E.findings_with_images(t.b_findings, images).select("finding_id", "verdict", "image_name", "image_folder")
 
 
 @query("""SELECT l_orderkey, round(avg(1 - l_discount), 6) AS mean_confidence, round(min(1 - l_discount), 6) AS min_confidence FROM lineitem GROUP BY 1""")

@@ -156,13 +156,10 @@ def cli_counts(t):
     return t.b_findings.join(before, "run_id", "left_semi").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT finding_id, product_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY run_id DESC, finding_id DESC) AS n FROM b_findings) WHERE n <= 5""")
+@query("""SELECT finding_id, product_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY run_id DESC, finding_id DESC) AS n FROM b_findings) WHERE n <= 300""")
 def history_page(t):
     """The newest findings of each product."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("product_id").orderBy(F.desc("run_id"), F.desc("finding_id"))
-    return t.b_findings.withColumn("n", F.row_number().over(w)).filter("n <= 5").select("finding_id", "product_id", "run_id")
+    return R.history(t.b_findings).select("finding_id", "product_id", "run_id")
 
 
 @query(f"""WITH l AS (SELECT l_partkey AS product_id, l_suppkey % 4 AS slot, l_shipdate AS ts, l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_returnflag = 'N' THEN 'ACKNOWLEDGED' ELSE 'WITHDRAWN' END AS decision FROM lineitem)

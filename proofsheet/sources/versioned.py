@@ -12,6 +12,7 @@ committer of its own.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -70,6 +71,13 @@ class Log:
                 raise Conflict(f"{self.path}: number {number} is taken") from e
             raise
 
+    def age(self, path: str) -> float:
+        """Seconds since a path was last changed."""
+        return time.time() - self._files.getFileStatus(self._fs.Path(path)).getModificationTime() / 1000
+
+    def delete(self, path: str) -> None:
+        self._files.delete(self._fs.Path(path), True)
+
     def data_folder(self) -> str:
         return f"{self.path}/data/{uuid.uuid4().hex}"
 
@@ -102,5 +110,25 @@ class Store:
         there = [n for n in self.log.names(folder) if n.startswith(f"{part}=")]
         return json.loads(rows.drop(part).schema.json()), {n.partition("=")[2]: f"{folder}/{n}" for n in there}
 
+    def expire(self, keep: int = 6, older_than: float = 86_400.0) -> dict[str, int]:
+        """Deletes all states but the newest `keep`, and data folders that none of these name: how many of each.
+
+        A folder younger than `older_than` seconds stays, since a writer may be about to publish it.
+        """
+        log = self.log
+        numbers = log.numbers()
+        old, kept = numbers[:-keep] if keep else numbers, numbers[-keep:] if keep else []
+        named = {f for n in kept for t in log.document(n)["tables"].values() for f in t["folders"].values()}
+        for n in old:  # a state goes before its data, so that no reader finds one without the other
+            log.delete(log._name(n))
+        gone = 0
+        for folder in log.names(f"{log.path}/data"):
+            for part in log.names(f"{log.path}/data/{folder}"):
+                at = f"{log.path}/data/{folder}/{part}"
+                if part[:1] not in "._" and at not in named and log.age(at) >= older_than:
+                    log.delete(at)
+                    gone += 1
+        return {"states": len(old), "folders": gone}
+
     def part_of(self, *key: str):
         return F.pmod(F.xxhash64(*key), F.lit(self.head()[1]["parts"])).cast("int")

@@ -88,3 +88,35 @@ def test_reset_drops_history_only(spark, store):
 def test_empty_delivery(spark, store):
     registry.build(store, spark.createDataFrame([], SCHEMA))
     assert state(store) == {}
+
+
+def test_one_run_at_a_time(spark, tmp_path):
+    log = Log(spark, f"{tmp_path}/runs")
+    first = registry.start_run(log, 7)
+    with pytest.raises(RuntimeError, match="run 7"):
+        registry.start_run(log, 8)
+    registry.end_run(log, first)
+    with pytest.raises(Conflict):
+        registry.end_run(log, first, "FAILED")
+    second = registry.start_run(log, 8)
+    assert registry.reap(log) == 8 and registry.reap(log) is None
+    assert log.document(second + 1) == {"run_id": 8, "status": "FAILED"}
+
+
+def test_of_two_runs_that_start_at_once_one_is_told(spark, tmp_path, monkeypatch):
+    log = Log(spark, f"{tmp_path}/runs")
+    registry.start_run(log, 1)
+    with monkeypatch.context() as m:
+        m.setattr(Log, "numbers", lambda self: [])  # what the other one saw
+        with pytest.raises(RuntimeError, match="just been started"):
+            registry.start_run(log, 2)
+
+
+def test_old_states_are_deleted(spark, store):
+    for k in range(5):
+        registry.build(store, spark.createDataFrame([("p", "1", f"s{k}", True), ("q", "1", "same", True)], SCHEMA))
+    before = state(store)
+    assert store.expire(keep=2) == {"states": 3, "folders": 0}  # the folders are new
+    assert store.expire(keep=2, older_than=0)["folders"] == 3
+    assert store.log.numbers() == [4, 5] and state(store) == before and state(store, 4)["p", "1"][0] == "s3"
+    assert registry.build(store, spark.createDataFrame([("p", "1", "s9", True)], SCHEMA)) == 6
