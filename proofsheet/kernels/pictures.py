@@ -1,4 +1,4 @@
-"""PNG files of arrays: thumbnails, overlays and rendered fixtures."""
+"""Picture files of arrays: thumbnails, overlays and rendered fixtures."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 
 from .geometry import resize_area
+from .jpeg import jpeg
 
 COLOURS = {"red": (200, 30, 30), "amber": (220, 150, 20)}
 
@@ -25,12 +26,12 @@ def fitted(rgb: np.ndarray, most: int) -> tuple[np.ndarray, float]:
     return resize_area(rgb, max(1, round(rgb.shape[1] * scale)), max(1, round(rgb.shape[0] * scale))), scale
 
 
-def thumbnail(rgb: np.ndarray, side: int = 320) -> bytes:
-    return png(fitted(rgb, side)[0])
+def thumbnail(rgb: np.ndarray, side: int = 320, quality: int = 88) -> bytes:
+    return jpeg(fitted(rgb, side)[0], quality)
 
 
-def overlay(rgb: np.ndarray, boxes: list[dict], most: int = 1200, opacity: float = 0.32, border: int = 2) -> bytes:
-    """The image with its boxes filled and framed."""
+def overlay(rgb: np.ndarray, boxes: list[dict], most: int = 1200, opacity: float = 0.32, border: int = 2, quality: int = 85) -> bytes:
+    """The image with its boxes filled and framed, as a JPEG file."""
     img, scale = fitted(rgb, most)
     out = img.astype(np.float32)
     for b in boxes:
@@ -40,7 +41,7 @@ def overlay(rgb: np.ndarray, boxes: list[dict], most: int = 1200, opacity: float
         part[:] = part * (1 - opacity) + colour * opacity
         for edge in (part[:border], part[-border:], part[:, :border], part[:, -border:]):
             edge[:] = colour
-    return png(out.astype(np.uint8))
+    return jpeg(out.astype(np.uint8), quality)
 
 
 def pack(seed: int, side: int = 240, fields: int = 6) -> np.ndarray:

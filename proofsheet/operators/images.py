@@ -21,6 +21,7 @@ from proofsheet.kernels import compare as K
 from proofsheet.kernels import geometry as G
 from proofsheet.kernels import pictures as P
 from proofsheet.kernels import regions as R
+from proofsheet.sources.versioned import Store
 from proofsheet.tables import stored
 
 from .versions import consecutive, match_edits, path_regions
@@ -258,7 +259,7 @@ def fraction_report(seen: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def overlays(findings: DataFrame, probes: DataFrame) -> DataFrame:
-    """probe_id and a PNG of each stale listing with its deltas' boxes.
+    """probe_id, path (overlays/<probe_id>.jpg) and picture (a JPEG file) of each stale listing with its deltas' boxes.
 
     findings: as listing_findings gives them; probes: probe_id, image.
     """
@@ -266,9 +267,33 @@ def overlays(findings: DataFrame, probes: DataFrame) -> DataFrame:
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"probe_id": f["probe_id"], "png": [P.overlay(_rgb(i), list(b)) for i, b in zip(f["image"], f["boxes"], strict=True)]})
+            yield pd.DataFrame({"probe_id": f["probe_id"], "path": "overlays/" + f["probe_id"].astype(str) + ".jpg", "picture": [P.overlay(_rgb(i), list(b)) for i, b in zip(f["image"], f["boxes"], strict=True)]})
 
-    return rows.join(probes.select("probe_id", "image"), "probe_id").mapInPandas(draw, "probe_id long, png binary")
+    return rows.join(probes.select("probe_id", "image"), "probe_id").mapInPandas(draw, "probe_id long, path string, picture binary")
+
+
+def thumbnails(versions: DataFrame, side: int = 320) -> DataFrame:
+    """path (thumbs/<product>/<version>.jpg) and picture (a JPEG file, `side` pixels at most) of each version (product_id, version_id, image)."""
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": [f"thumbs/{p}/{v}.jpg" for p, v in zip(f["product_id"], f["version_id"], strict=True)], "picture": [P.thumbnail(_rgb(i), side) for i in f["image"]]})
+
+    return versions.select("product_id", "version_id", "image").mapInPandas(draw, "path string, picture binary")
+
+
+def save_artefacts(store: Store, artefacts: DataFrame, run_id: int) -> int:
+    """Put a run's pictures (path, picture) into the store's table `artefacts`, beside those of other runs: the number of the state.
+
+    Paths are relative, so that the table can be moved; Store.expire deletes what only old states name.
+    """
+    number, document = store.head()
+    rows = artefacts.select(store.part_of("path").alias("part"), F.lit(run_id).cast("long").alias("run_id"), "path", "picture")
+    schema, folders = store.write(rows, "part")
+    before = document["tables"].get("artefacts", {"folders": {}})["folders"]
+    named = {f"{p}@{run_id}": f for p, f in folders.items()}
+    store.log.publish(number + 1, document | {"tables": document["tables"] | {"artefacts": {"schema": schema, "folders": before | named}}})
+    return number + 1
 
 
 def overlay_boxes(deltas: Column) -> Column:

@@ -221,12 +221,12 @@ def image_fractions(t):
     return out.select("quality", "size", "images", (F.col("own_most") < 0.002).alias("apart"))
 
 
-@query(f"""WITH {TRUTH}, l AS (SELECT p.*, x.v, (n * 3 + x.v) * 1000 + y.k AS probe_id FROM p, (VALUES (0), (1)) x(v), (VALUES (0), (1), (2), (3)) y(k)) SELECT probe_id, true AS png, CASE probe_id % 1000 WHEN 2 THEN 280 WHEN 3 THEN 204 ELSE 240 END::INTEGER AS width FROM l""")
+@query(f"""WITH {TRUTH}, l AS (SELECT p.*, x.v, (n * 3 + x.v) * 1000 + y.k AS probe_id FROM p, (VALUES (0), (1)) x(v), (VALUES (0), (1), (2), (3)) y(k)) SELECT probe_id, 'overlays/' || probe_id || '.jpg' AS path, true AS jpeg, CASE probe_id % 1000 WHEN 2 THEN 280 WHEN 3 THEN 204 ELSE 240 END::INTEGER AS width FROM l""")
 def image_overlays(t):
-    """Overlays of stale listings as PNG files, their sizes read from the header."""
+    """Overlays of stale listings as JPEG files, their sizes read from the header."""
     versions, regions = corpus(t)
     q = probes(t, versions)
     placed = q.select("probe_id", "product_id", F.lit(0).alias("cx"), F.lit(0).alias("cy"), F.col("image.width").alias("cw"), F.col("image.height").alias("ch"), F.lit(240.0).alias("rw"), F.lit(240.0).alias("rh"))
     found = stored(I.listing_findings(I.identify(q.select("probe_id", "product_id", "sha", "image"), versions, regions, SETTINGS), placed, versions, regions), "findings")
     drawn = I.overlays(found, q)
-    return drawn.select("probe_id", (F.hex(F.substring("png", 1, 4)) == "89504E47").alias("png"), S.image_size(F.col("png"))["width"].alias("width"))
+    return drawn.select("probe_id", "path", (F.hex(F.substring("picture", 1, 2)) == "FFD8").alias("jpeg"), S.image_size(F.col("picture"))["width"].alias("width"))

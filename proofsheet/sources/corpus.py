@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.kernels import geometry as G
+from proofsheet.kernels import jpeg as J
 from proofsheet.kernels import pictures as P
 from proofsheet.kernels.regions import truth_box
 from proofsheet.operators.evaluate import ACCEPTED
@@ -90,16 +91,16 @@ def edits_of(versions: DataFrame) -> DataFrame:
 
 
 def transformed(img: np.ndarray, quality: int, size: float, padding: str, seed: int, warp: float = 0.0) -> np.ndarray:
-    """A listing of the artwork: photographed at an angle, resized, padded, with the noise of a quality (100: none)."""
+    """A listing of the artwork: photographed at an angle, resized, with a little noise, padded, and as a JPEG file of a quality shows it (100: as it is)."""
     if warp:
         h, w = img.shape[:2]
         m = np.array([[1 - warp, warp / 3, w * warp / 2], [-warp / 3, 1 - warp, h * warp / 2], [0, warp / w / 3, 1]])
         img = G.warp(img, m, w, h)[0]
     if size != 1:
         img = G.resize_area(img, round(img.shape[1] * size), round(img.shape[0] * size))
-    if quality < 100:
-        img = P.noisy(img, seed, (100 - quality) / 8)
-    return img if padding == "none" else P.padded(img, 1 / 12, 255 if padding == "white" else 240)
+    if padding != "none":
+        img = P.padded(img, 1 / 12, 255 if padding == "white" else 240)
+    return J.lossy(P.noisy(img, seed, 1.0), quality) if quality < 100 else img
 
 
 def listings(versions: DataFrame, variants: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def pair_of(kind: str, seed: int, side: int) -> tuple[np.ndarray, np.ndarray, tu
         return ref, ref, None
     mkt = ref
     if kind == "recompressed":
-        mkt = P.noisy(ref, seed, 2.0)
+        mkt = J.lossy(ref, 80)
     elif kind == "resized":
         mkt = G.resize_area(ref, side * 9 // 10, side * 9 // 10)
     elif kind == "shifted":

@@ -98,7 +98,7 @@ class Store:
         found = self.head(number)[1]["tables"].get(table)
         if found is None:
             return None
-        folders = [f for p, f in found["folders"].items() if parts is None or int(p) in parts]
+        folders = [f for p, f in found["folders"].items() if parts is None or int(p.partition("@")[0]) in parts]
         schema = StructType.fromJson(found["schema"])
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
