@@ -15,7 +15,8 @@ hot member is split over groups by salt.
 What large buckets leave out is found exactly: the classes in them are joined by prefix
 filtering. Each sorts its shingles, rare ones first, by one order for all; two sets as similar
 as asked share a shingle among the first n - ceil(0.75 n) + 1 of both, and the places there
-bound their similarity. Only pairs across two components are looked at, so a family that is
+bound their similarity. So do bitmaps of the whole sets: a shingle whose bit the other set
+lacks is not in it, so what both can share is known closely before any text is moved. Only pairs across two components are looked at, so a family that is
 linked already costs nothing more. Rows of a hot shingle meet in blocks.
 
 Defined results: null or empty text has no shingles, is linked with nothing and is kept;
@@ -45,6 +46,8 @@ SMALL = 6
 NEAR = 0.45
 #: Bits of the places at which shingles are counted for their order, and rows of one shingle that meet in one block.
 COUNT_BITS, BLOCK_ROWS = 18, 20_000
+#: Bits of a set's bitmap, and pairs of rows of one shingle that are looked at together.
+BITMAP, AT_ONCE = 1024, 2_000_000
 MULTIPLIERS = mixed(np.arange(1, 1 + 2 * HALVES * PER_HALF, dtype=np.uint64) * C1) | np.uint64(1)
 SIGNATURES = "doc_id long, k long, h long, n_shingles long, d1 long, d2 long, sig binary"
 
@@ -191,11 +194,13 @@ def left_out(crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
     shared = docs.sparkSession.sparkContext.broadcast(often)
     kinds = "shingle long, block long, row long, label long, size int, place int, own int"
     names = [c.split()[0] for c in kinds.split(", ")]
+    kinds += ", bits binary"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in slices(batches, "text", 1 << 20):
             cols: list[list[np.ndarray]] = [[] for _ in names]
+            bits: list[bytes] = []
             for row, label, one in zip(batch["row"].to_pylist(), batch["label"].to_pylist(), shingle_sets(texts_of(batch), k), strict=True):
                 n = len(one)
                 many = often[one >> shift]
@@ -209,33 +214,44 @@ def left_out(crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
                 low, high = np.minimum(own_[at], other), np.maximum(own_[at], other)
                 for c, v in zip(cols, (one[first][at].view(np.int64), low << 32 | high, np.full(len(at), row), np.full(len(at), label), np.full(len(at), n), at, own_[at]), strict=True):
                     c.append(v)
+                marks = np.zeros(BITMAP, bool)
+                marks[one & np.uint64(BITMAP - 1)] = True
+                bits += [np.packbits(marks).tobytes()] * len(at)
             flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(t.to_pandas_dtype()), t) for v, t in zip(flat, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(t.to_pandas_dtype()), t) for v, t in zip(flat, types, strict=True)), pa.array(bits, pa.binary())], names=[*names, "bits"])
 
     def pairs_of(g: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Pairs of one shingle's rows (of two blocks of them) by size and place."""
-        block, row, label, size, place, own_ = g
+        block, row, label, size, place, own_, bits = g
         if (label == label[0]).all():
             return
         low, high = int(block[0]) >> 32, int(block[0]) & 0xFFFFFFFF
-        for at in range(0, len(row), 500):
-            a = slice(at, at + 500)
+        step = max(1, AT_ONCE // len(row))
+        for at in range(0, len(row), step):
+            a = slice(at, at + step)
             need = -(-percent * (size[a, None] + size[None]) // (100 + percent))
             bound = np.minimum(size[a, None] - place[a, None], size[None] - place[None])  # if this is the first shingle that both have
             ok = (label[a, None] != label[None]) & (row[a, None] < row[None]) & (bound >= need)
             if low != high:  # rows of the same block met elsewhere
                 ok &= own_[a, None] != own_[None]
             i, j = np.nonzero(ok)
-            if len(i):
-                yield _rows(row[a][i], row[j])
+            for k in range(0, len(i), 100_000):
+                p, q = i[k : k + 100_000] + at, j[k : k + 100_000]
+                x, y = bits[p], bits[q]
+                left = np.minimum(size[p] - np.bitwise_count(x & ~y).sum(1), size[q] - np.bitwise_count(y & ~x).sum(1))
+                near = left >= -(-percent * (size[p] + size[q]) // (100 + percent))
+                if near.any():
+                    yield _rows(row[p[near]], row[q[near]])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in names]
+        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in names] + [np.zeros((0, BITMAP // 64), np.uint64)]
         for batch in batches:
-            held = [np.concatenate([x, batch[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for x, c in zip(held, names, strict=True)]
-            if not len(held[0]):
+            if not batch.num_rows:
                 continue
+            new = [batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            new.append(np.frombuffer(b"".join(batch["bits"].to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            held = [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
             key = (held[0], held[1])
             cut = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
             if len(cut):  # the last group may go on
