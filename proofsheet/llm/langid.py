@@ -40,6 +40,8 @@ PLACES_BITS, GRAMS = 18, 4
 PER_LANG, TRAIN_ROWS, LEAST_ROWS, LANDMARKS, RIDGE = 800, 6000, 24, 256, 1.0
 #: Languages up to which the linear map is one table, and landmarks a language at least.
 FOLD, LEAST_LANDMARKS = 64, 2
+#: Languages up to which their numbers of rows are broadcast.
+MOST_BROADCAST = 10_000
 #: Rows of each language that the guard learns from, bits of a place, n-grams of a text that counts for the bound, share of known letters, slack by 1/sqrt(n-grams).
 GUARD_ROWS, GUARD_BITS, GUARD_GRAMS, GUARD_LETTERS, GUARD_SLACK = 200, 22, 100, 0.5, 3.0
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -211,6 +213,8 @@ def train(docs: DataFrame, guarded: bool = False) -> Model | None:
         return F.least(F.lit(top), F.floor(F.lit(float(top)) * n / F.col("rows"))).cast("long")
 
     of_language = docs.sparkSession.createDataFrame([(r.lang, r["count"]) for r in found], "lang string, rows long")
+    # so few rows go to the texts; of more languages, which no corpus of texts has, Spark chooses
+    of_language = F.broadcast(of_language) if len(found) <= MOST_BROADCAST else of_language
     sample = usable.join(of_language, "lang").withColumn("u", F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(top))).filter(F.col("u") < below(wanted))
     sample = sample.withColumn("guards", F.col("u") < below(GUARD_ROWS))
 
