@@ -9,6 +9,7 @@ expressions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from contextlib import suppress
 
@@ -17,18 +18,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofsheet.config import Pairwise
+from proofsheet.config import Pairwise, frozen
 from proofsheet.functions import boxes as B
 from proofsheet.functions import text as X
 from proofsheet.functions import verdict as V
 from proofsheet.kernels import compare as K
 from proofsheet.kernels import geometry as G
 from proofsheet.kernels import regions as R
+from proofsheet.sources.versioned import Store
 from proofsheet.tables import stored
 
 from . import images as I
 from . import reading as D
 from . import tiles as T
+from .kept import kept
 
 IMAGE = "struct<height:int,width:int,nChannels:int,data:binary>"
 CONTENTS = f"sha string, error string, stripped double, image {IMAGE}"
@@ -69,16 +72,21 @@ def _mapped(df: DataFrame, one, schema: str, catch: bool = False) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def contents(pairs: DataFrame, s: Pairwise) -> DataFrame:
-    """CONTENTS: each distinct image of the pairs without its border, decoded once however many pairs it is in."""
+def sides_of(pairs: DataFrame) -> DataFrame:
+    """sha and image of each distinct image of the pairs."""
     sides = [pairs.select(F.col(f"{x}_sha").alias("sha"), F.col(x).alias("image")) for x in ("ref", "mkt")]
+    return sides[0].union(sides[1]).dropDuplicates(["sha"])
+
+
+def contents(images: DataFrame, s: Pairwise) -> DataFrame:
+    """CONTENTS: each distinct image (sha, image) without its border, decoded once however many pairs it is in."""
 
     def one(row) -> Iterator[dict]:
         rgb = _rgb(row.image)
         inner = G.extract(rgb, G.content_rect(rgb, s.border_uniform_tolerance, s.max_border_crop_fraction))
         yield {"sha": row.sha, "stripped": G.stripped_share(rgb.shape[:2], inner.shape[:2]), "image": _image(inner)}
 
-    return _mapped(sides[0].union(sides[1]).dropDuplicates(["sha"]), one, CONTENTS, catch=True)
+    return _mapped(images.select("sha", "image"), one, CONTENTS, catch=True)
 
 
 def features(found: DataFrame, s: Pairwise) -> DataFrame:
@@ -212,11 +220,15 @@ def largest(boxes: DataFrame, key: str, s: Pairwise) -> DataFrame:
     return boxes.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= s.max_regions).drop("n")
 
 
-def measured(pairs: DataFrame, s: Pairwise, crops: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs with their registration, palette and counts; their largest regions). Every stage is a table, and only pairs that pass the gates are warped."""
+def measured(pairs: DataFrame, s: Pairwise, crops: bool, store: Store | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs with their registration, palette and counts; their largest regions). Every stage is a table, and only pairs that pass the gates are warped.
+
+    With a store, contents and keypoints of images are kept from run to run, by content and settings.
+    """
     pairs = pairs.select("pair_id", "ref_sha", "mkt_sha", "ref", "mkt")
-    found = I.measured(contents(pairs, s), "contents")
-    known = I.measured(features(found, s), "features")
+    by = hashlib.sha256(frozen(s).encode()).hexdigest()[:12]
+    found = kept(store, f"contents_{by}", sides_of(pairs), lambda rows: contents(rows, s))
+    known = kept(store, f"features_{by}", found, lambda rows: features(rows, s))
     named = stored(pairs.select("pair_id", "ref_sha", "mkt_sha"), "named")
     matches = stored(matched(named, known, s), "matches")
     fitted = registered(matches, stored(transforms(matches, named, known, s), "transforms"), s)
@@ -254,7 +266,7 @@ def regions_of(measured: DataFrame, s: Pairwise) -> DataFrame:
     return ordered(largest(rows, "pair_id", s), measured.filter("palette"))
 
 
-def compared(pairs: DataFrame, readings: DataFrame | None = None, settings: Pairwise | None = None, reader: D.Engine = D.NULL) -> tuple[DataFrame, DataFrame]:
+def compared(pairs: DataFrame, readings: DataFrame | None = None, settings: Pairwise | None = None, reader: D.Engine = D.NULL, store: Store | None = None) -> tuple[DataFrame, DataFrame]:
     """(verdicts, regions). verdicts: pair_id, verdict, confidence, trace (STAGES in order, each with status, metrics and note).
 
     Regions are read by the reader, unless readings (pair_id, ordinal, ref_text, mkt_text, reliable) are given. Images are decoded,
@@ -263,7 +275,7 @@ def compared(pairs: DataFrame, readings: DataFrame | None = None, settings: Pair
     s = settings or Pairwise()
     same = F.col("ref_sha") == F.col("mkt_sha")
     reads = readings is None and reader.available
-    seen, top = measured(pairs.filter(~same), s, reads)
+    seen, top = measured(pairs.filter(~same), s, reads, store)
     regions = ordered(top, seen.filter("palette"))
     if reads:
         regions = stored(regions, "regions")

@@ -212,6 +212,14 @@ def test_pairs(spark):
     read = spark.createDataFrame([("edited", 1, "sodium 450 mg", "sodium 480 mg", True)], "pair_id string, ordinal int, ref_text string, mkt_text string, reliable boolean")
     again = {r.pair_id: r.verdict for r in P.compared(df, read)[0].collect()}
     assert again["edited"] == "DIFFERENT"
+    # contents and keypoints are kept: a second run adds nothing and says the same
+    from proofsheet.sources.versioned import Store
+    from proofsheet.tables import shared_dir
+
+    store = Store(spark, shared_dir(spark, "images"), parts=4)
+    for _ in range(2):
+        found = {r.pair_id: r.verdict for r in P.compared(df.filter("pair_id <> 'other'"), store=store)[0].collect()}
+        assert found == {"same": "IDENTICAL", "noisy": "MATCH", "edited": "NEEDS_REVIEW"} and store.head()[0] == 2
     from proofsheet.operators.pairs import STAGES
 
     status = {k: [(t.stage, t.status) for t in v.trace] for k, v in got.items()}
