@@ -9,7 +9,7 @@ Documents with equal shingle sets are one class from the start. In each table's
 classes are linked to the least member and to the next one, and small buckets give all
 pairs: the number of candidates grows with the rows, not with their square. Candidates are
 confirmed on full shingle sets in two rounds: first each class's best candidate, then every
-candidate that still lies across two components and that all minhashes put near. A bucket's
+candidate of a small bucket that still lies across two components and that all minhashes put near. A bucket's
 hot member is split over groups by salt.
 
 What large buckets leave out is found exactly: the classes in them are joined by prefix
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     def label(col: str, name: str) -> DataFrame:
         return labels.select(F.col("id").alias(col), F.col("label").alias(name))
 
-    # of two rows in large buckets only the best pair for each component: the exact join sees to the others
+    # two rows in large buckets need no candidate: the exact join sees to them
     none = F.lit(None)
     known = labels.select("id", "label", none.cast("boolean").alias("big")).unionByName(crowded.select(F.col("row").alias("id"), none.cast("long").alias("label"), F.lit(True).alias("big")))
     known = known.groupBy("id").agg(F.max("label").alias("label"), F.max("big").alias("big"))
@@ -294,9 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
     open_ = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     open_ = open_.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).filter("la <> lb").join(best, ["a", "b"], "left_anti")
-    both = F.col("ga").isNotNull() & F.col("gb").isNotNull()
-    leading = open_.filter(both).groupBy("b", "la").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    open_ = open_.filter(~both).select("a", "b").unionByName(leading.select("a", "b"))
+    open_ = open_.filter(F.col("ga").isNull() | F.col("gb").isNull()).select("a", "b")
     sig = classes.select("row", "sig")
     open_ = open_.join(sig.withColumnsRenamed({"row": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"row": "b", "sig": "sb"}), "b")
 
