@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import order_key, own, slices, stored, texts_of
 from .components import components
 from .shingles import C1, PLACES, mixed, shingle_sets
+from .simhash import stars
 
 HALVES, PER_HALF = 16, 2
 #: Buckets up to this size give all their pairs.
@@ -48,6 +49,8 @@ NEAR = 0.45
 COUNT_BITS, BLOCK_ROWS = 18, 20_000
 #: Bits of a set's bitmap, and pairs of rows of one shingle that are looked at together.
 BITMAP, AT_ONCE = 1024, 2_000_000
+#: Links that a task turns into stars before components are found.
+SPAN = 200_000
 MULTIPLIERS = mixed(np.arange(1, 1 + 2 * HALVES * PER_HALF, dtype=np.uint64) * C1) | np.uint64(1)
 SIGNATURES = "doc_id long, k long, h long, n_shingles long, d1 long, d2 long, sig binary"
 
@@ -270,6 +273,18 @@ def left_out(crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
+def spanning(links: DataFrame) -> DataFrame:
+    """Edges (a, b) with the components of the links: tasks of SPAN links each give a row a member, to the least of those it is linked with there."""
+    n = links.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches]
+        if held:
+            yield _rows(*stars(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return stored(links.select("a", "b").repartition(-(-n // SPAN) or 1).mapInArrow(run, "a long, b long"), "spanning")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, k and h (its key and text hash), n_shingles, component_id, kept, first."""
     signed = signatures(docs, k)
@@ -279,7 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     pairs, crowded = found.filter("a < b"), found.filter("a = b").select(F.col("a").alias("row"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     links = confirmed(best, classes, docs, k, percent)
-    labels = components(links)
+    labels = components(spanning(links))
 
     def label(col: str, name: str) -> DataFrame:
         return labels.select(F.col("id").alias(col), F.col("label").alias(name))
@@ -309,12 +324,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     more = stored(open_.select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long"), "open")
     if more.limit(1).count():
         links = stored(links.unionByName(confirmed(more, classes, docs, k, percent)), "links")
-        labels = components(links)
+        labels = components(spanning(links))
     if crowded.limit(1).count():
         rest = stored(left_out(crowded, classes, labels, docs, k, percent), "left_out")
         if rest.limit(1).count():
             links = stored(links.unionByName(confirmed(rest, classes, docs, k, percent)), "links")
-            labels = components(links)
+            labels = components(spanning(links))
     named = classes.join(label("row", "label"), "row", "left")
     named = named.select("d1", "d2", F.coalesce("label", "row").alias("label"))
     full, empty = signed.filter("n_shingles > 0").join(named, ["d1", "d2"]), signed.filter("n_shingles = 0")
