@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +114,93 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], box_a: str, box_b:
     return met(a, box_a, b, box_b, False).unionByName(met(b, box_b, a, box_a, True))
 
 
+#: Side of the tiles in which many boxes are counted, boxes of one key that a task counts, and tiles a box up to which a key is counted so.
+TILE, COUNTED, MOST_TILES = 128, 1_000_000, 16
+#: What a pixel is part of: itself, a pair with the next one in its row or its column, a square of four.
+PARTS = [(0, 0), (1, 0), (0, 1), (1, 1)]
+SUMS = "key_ long, tx int, ty int, side int, sums binary"
+
+
+def _tiles(box: str) -> list[tuple[Column, Column]]:
+    """First and last tile of a box in each direction."""
+    x, y, w, h = (F.col(f"{box}.{c}").cast("long") for c in "xywh")
+    return [(F.floor(low / TILE), F.floor((low + size - 1) / TILE)) for low, size in ((x, w), (y, h))]
+
+
+def _corner_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SUMS of boxes in tiles, sorted by group: for each of PARTS the differences whose running sums say how many boxes hold it."""
+    n, held, sums = TILE + 1, None, np.zeros(0, np.int32)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{**dict(zip(("key_", "tx", "ty", "side"), held[:4], strict=True)), "sums": sums.tobytes()}], pa.schema([("key_", pa.int64()), ("tx", pa.int32()), ("ty", pa.int32()), ("side", pa.int32()), ("sums", pa.binary())]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key_", "tx", "ty", "side", "salt")], 1)
+        x0, x1, y0, y1 = (batch[c].to_numpy().astype(np.int64) for c in ("x0", "x1", "y0", "y1"))
+        starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1)))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+            if (now := tuple(group[s].tolist())) != held:
+                if held is not None:
+                    yield row()
+                held, sums = now, np.zeros(len(PARTS) * n * n, np.int32)
+            for i, (dx, dy) in enumerate(PARTS):
+                left, right, top, end = x0[s:e], np.minimum(x1[s:e] - dx, TILE), y0[s:e], np.minimum(y1[s:e] - dy, TILE)
+                for at, by in ((top * n + left, 1), (end * n + right, 1), (top * n + right, -1), (end * n + left, -1)):
+                    np.add.at(sums, at + i * n * n, np.int32(by))
+    if held is not None:
+        yield row()
+
+
+def _met(f: pd.DataFrame) -> pd.DataFrame:
+    """Pairs and common pixels of one tile's boxes of both sides."""
+    held = []
+    for side in (0, 1):
+        sums = np.zeros((len(PARTS), TILE + 1, TILE + 1), np.int64)
+        for one in f.loc[f["side"] == side, "sums"]:
+            sums += np.frombuffer(one, np.int32).reshape(sums.shape)
+        held.append(sums.cumsum(1).cumsum(2))
+    pixels, rows, columns, squares = (held[0] * held[1]).sum((1, 2)).tolist()
+    return pd.DataFrame({"key_": f["key_"].iloc[:1], "pairs": [pixels - rows - columns + squares], "area": [pixels]})
+
+
+def overlap_totals(a: DataFrame, b: DataFrame, keys: list[str], box_a: str, box_b: str) -> DataFrame:
+    """keys, pairs, area: how many pairs of boxes overlap under each key, and the sum of their common areas.
+
+    Keys with more than MANY_PAIRS pairs are summed without making a pair. The common pixels of two boxes form a box, which has one pixel
+    more than it has neighbours in a row and in a column less squares of four; so the pairs are the sums, over all pixels, of how many boxes of
+    either side hold each of PARTS, multiplied. The work follows the boxes and the tiles that they touch; keys of very large boxes are met in pairs.
+    """
+    def side(rows: DataFrame, box: str, count: str) -> DataFrame:
+        (l, r), (t, e) = _tiles(box)
+        return rows.groupBy(*keys).agg(F.count("*").alias(count), F.sum((r - l + 1) * (e - t + 1)).alias(f"{count}_tiles"))
+
+    per = side(a, box_a, "n").join(side(b, box_b, "m"), keys).filter(F.col("n") * F.col("m") > MANY_PAIRS).filter(F.col("n_tiles") + F.col("m_tiles") <= MOST_TILES * (F.col("n") + F.col("m")))
+    dense = stored(per.select(*keys, F.ceil((F.col("n") + F.col("m")) / COUNTED).cast("int").alias("salts")).withColumn("key_", F.monotonically_increasing_id()), "dense")
+
+    def rest(rows: DataFrame) -> DataFrame:
+        return rows.join(dense, keys, "left_anti")
+
+    def dealt(rows: DataFrame, box: str, number: int) -> DataFrame:
+        (l, r), (t, e) = _tiles(box)
+        x, y, w, h = (F.col(f"{box}.{c}").cast("long") for c in "xywh")
+        rows = rows.join(dense, keys).filter((w > 0) & (h > 0)).withColumns({"salt": F.pmod(F.xxhash64(x, y, w, h), F.col("salts")).cast("int"), "side": F.lit(number)})
+        rows = rows.withColumn("tx", F.explode(F.sequence(l, r))).withColumn("ty", F.explode(F.sequence(t, e)))
+        within = {f"{c}{i}": v.cast("short") for c, o, z in (("x", x - F.col("tx") * TILE, w), ("y", y - F.col("ty") * TILE, h)) for i, v in enumerate((F.greatest(o, F.lit(0)), F.least(o + z, F.lit(TILE + 1))))}
+        return rows.select("key_", F.col("tx").cast("int"), F.col("ty").cast("int"), "side", "salt", *[v.alias(c) for c, v in within.items()])
+
+    p, q = F.col(box_a), F.col(box_b)
+    total = lambda rows: rows.agg(F.sum("pairs").alias("pairs"), F.sum("area").alias("area"))
+    met = overlapping(rest(a), rest(b), keys, box_a, box_b).groupBy(*keys).agg(F.count("*").alias("pairs"), F.sum(boxes.overlap(p, q)).cast("long").alias("area"))
+    if not dense.limit(1).count():
+        return met
+    group = ["key_", "tx", "ty", "side", "salt"]
+    sums = dealt(a, box_a, 0).unionByName(dealt(b, box_b, 1)).repartition(*group).sortWithinPartitions(*group).mapInArrow(_corner_sums, SUMS)
+    counted = total(sums.groupBy("key_", "tx", "ty").applyInPandas(_met, "key_ long, pairs long, area long").groupBy("key_")).filter("pairs > 0")
+    return met.unionByName(counted.join(dense, "key_").select(*keys, "pairs", "area"))
+
+
 def match_edits(regions: DataFrame, edits: DataFrame, keys: list[str], least: float = LEAST_OVERLAP) -> DataFrame:
     """Each region with its best edit by overlap score, above `least`; the first of equals.
 

@@ -28,6 +28,29 @@ def test_all_overlapping_pairs_once(spark):
     assert A.overlapping(a.filter("false"), b, ["k"], "p", "q").count() == 0 == A.overlapping(a, b.filter("false"), ["k"], "p", "q").count()
 
 
+def test_pairs_of_a_large_key_are_counted_alike_and_not_made(spark, monkeypatch):
+    r = random.Random(6)
+    left = [(r.randrange(3), x) for x in drawn(r, 150) if x[2] < 3000]
+    right = [(r.randrange(3), x) for x in drawn(r, 150) if x[2] < 3000] + [(7, (0, 0, 1, 1))]
+    left, right = left + [(1, (0, 0, 0, 9)), (3, (0, 0, 60_000, 50_000))], right + [(1, (-128, 127, 129, 1)), (3, (9, 9, 60_000, 50_000))]
+    a, b = spark.createDataFrame(left, f"k int, p {BOX}"), spark.createDataFrame(right, f"k int, q {BOX}")
+    cut = lambda p, q, i: max(0, min(p[i] + p[i + 2], q[i] + q[i + 2]) - max(p[i], q[i]))
+    want = {}
+    for k, p in left:
+        for m, q in right:
+            if k == m and meet(p, q):
+                n, area = want.get(k, (0, 0))
+                want[k] = (n + 1, area + cut(p, q, 0) * cut(p, q, 1))
+    made = []
+    pairs = A.overlapping
+    monkeypatch.setattr(A, "overlapping", lambda a, b, *x: made.append((a.count(), b.count())) or pairs(a, b, *x))
+    for most, counted in ((10**6, 10), (0, 10), (0, 1)):
+        monkeypatch.setattr(A, "MANY_PAIRS", most)
+        monkeypatch.setattr(A, "COUNTED", counted)
+        assert {x.k: (x.pairs, x.area) for x in A.overlap_totals(a, b, ["k"], "p", "q").collect()} == want
+    assert made[0][0] == len(left) and made[1] == (1, 2)  # key 3 has boxes of thousands of tiles, key 7 one side only
+
+
 def test_edits_of_a_large_key_are_matched_alike(spark, monkeypatch):
     r = random.Random(5)
     regions = spark.createDataFrame([(r.randrange(3), i, x) for i, x in enumerate(drawn(r, 120))], f"k int, region_id long, box {BOX}")
