@@ -50,13 +50,13 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 
 
 class InOrder(StatefulProcessor):
-    """Gives out the stages of a pair in order: a stage waits for those before it, `wait` milliseconds at most.
+    """Gives out the stages of a pair in order: a stage waits for those before it, `wait` milliseconds at most, without end if None.
 
     When the time is over, what is held goes out as it is, marked late, and the gaps are noted, so that a stage that comes
     after all goes out late, too. A stage that comes again is given out once.
     """
 
-    def __init__(self, of: int, wait: int):
+    def __init__(self, of: int, wait: int | None):
         self.of, self.wait = of, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -84,7 +84,7 @@ class InOrder(StatefulProcessor):
         while next_ in held:
             out.append((next_, *held.pop(next_), False))
             next_ += 1
-        if held and not waits:
+        if held and not waits and self.wait is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
         yield self.shown(key, next_, place, held, gaps, out)
 
@@ -103,10 +103,11 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def stages(rows: DataFrame, of: int = 7, wait: int = 30_000) -> DataFrame:
+def stages(rows: DataFrame, of: int = 7, wait: int | None = 30_000) -> DataFrame:
     """A stream of stage rows (pair_id, ordinal from 1, stage, status), in any order: each once, in order (SHOWN), with the share that is done.
 
-    place counts what was given out of a pair; see InOrder for stages whose predecessors don't come.
+    place counts what was given out of a pair; see InOrder for stages whose predecessors don't come. The wait is one of the clock: a bounded
+    stream that is read from files takes None, or what is late depends on how long a batch takes.
     """
     rows.sparkSession.conf.set(*STORE)
     return rows.select("pair_id", "ordinal", "stage", "status").groupBy("pair_id").transformWithStateInPandas(InOrder(of, wait), SHOWN, "append", "processingTime")

@@ -24,6 +24,14 @@ def test_stages_come_out_in_order(spark, tmp_path):
     assert sorted((r.pair_id, r.place, r.ordinal, r.stage, r.finished, r.late) for r in got) == [(p, o, o, f"s{o}", o == 7, False) for p in "abc" for o in range(1, 8)]
 
 
+def test_a_bounded_stream_has_no_clock(spark, tmp_path):
+    rows = [("a", o, f"s{o}", "OK") for o in (3, 2, 1)]
+    for wait, late in ((1, {True}), (None, {False})):  # every batch takes longer than a millisecond
+        stream = as_stream(spark, f"{tmp_path}/{wait}", [[r] for r in rows], STAGES)
+        got = progress.drained(progress.stages(stream, 3, wait=wait), f"no_clock_{wait}", "append", f"{tmp_path}/c{wait}").collect()
+        assert sorted(r.ordinal for r in got) == [1, 2, 3] and {r.late for r in got if r.ordinal > 1} == late
+
+
 def until(done, seconds=90):
     end = time.time() + seconds
     while not done() and time.time() < end:
