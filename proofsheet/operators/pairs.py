@@ -215,8 +215,8 @@ def inked(boxes: DataFrame, both: DataFrame, crops: bool) -> DataFrame:
 
 
 def largest(boxes: DataFrame, key: str, s: Pairwise) -> DataFrame:
-    """The max_regions largest boxes of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc("area_fraction"), "y", "x")
+    """The max_regions largest boxes of each key; of boxes as large at one place, those less wide, so that reruns agree."""
+    w = Window.partitionBy(key).orderBy(F.desc("area_fraction"), "y", "x", "w", "h")
     return boxes.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= s.max_regions).drop("n")
 
 

@@ -361,3 +361,13 @@ def test_overrides(spark):
     o = spark.createDataFrame([("A", ["v2", "v1"], "v1")], "product_id string, versions array<string>, current string")
     got = {(r.product_id, r.version_label): (r.position, r.is_current) for r in S.overridden(v, o).collect()}
     assert got == {("A", "v2"): (1, False), ("A", "v1"): (2, True), ("B", "x"): (1, True)}
+
+
+def test_boxes_as_large_at_one_place_are_kept_alike(spark):
+    from proofsheet.config import Pairwise
+    from proofsheet.operators import pairs as PA
+
+    rows = [(1, 5, 5, w, 60 // w, 60 / 100.0) for w in (30, 2, 20, 6, 3, 10)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "pair_id int, x int, y int, w int, h int, area_fraction double").coalesce(1)
+        assert sorted(r.w for r in PA.largest(df, "pair_id", Pairwise(max_regions=2)).collect()) == [2, 3]
