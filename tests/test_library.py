@@ -371,3 +371,27 @@ def test_boxes_as_large_at_one_place_are_kept_alike(spark):
     for order in (rows, rows[::-1]):
         df = spark.createDataFrame(order, "pair_id int, x int, y int, w int, h int, area_fraction double").coalesce(1)
         assert sorted(r.w for r in PA.largest(df, "pair_id", Pairwise(max_regions=2)).collect()) == [2, 3]
+
+
+def test_pairs_that_come_often_are_compared_once(spark):
+    rows = [(i, *COMPARED[i % len(COMPARED)][:2]) for i in range(300)] + [(300, None, None), (301, "a", None)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").repartition(3)
+    seen = []
+
+    def compare(d, a, b):
+        seen.append(d.count())
+        return X.with_comparison(d, a, b, "c").withColumn("runs", X.diff_words(a, b))
+
+    got = X.once(df, "a", "b", compare).orderBy("i").collect()
+    want = X.with_comparison(df, "a", "b", "c").withColumn("runs", X.diff_words("a", "b")).orderBy("i").collect()
+    assert got == want and len(got) == 302 and seen == [len({(a or "", b or "") for _, a, b in rows})]
+
+
+def test_a_batch_is_taken_out_a_few_rows_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    held = []
+    monkeypatch.setattr(X, "AT_ONCE", 3)
+    column = pa.array([None if i == 4 else f"w{i}" for i in range(8)])
+    got = X._each(lambda t: held.append(t) or t, pa.string(), column)
+    assert got == column and len(held) == 8 and X._each(str, pa.string(), column.slice(0, 0)).to_pylist() == []
