@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -395,3 +396,22 @@ def test_a_batch_is_taken_out_a_few_rows_at_a_time(monkeypatch):
     column = pa.array([None if i == 4 else f"w{i}" for i in range(8)])
     got = X._each(lambda t: held.append(t) or t, pa.string(), column)
     assert got == column and len(held) == 8 and X._each(str, pa.string(), column.slice(0, 0)).to_pylist() == []
+
+
+def test_nearest_by_blocks_is_what_the_pairs_say(spark, monkeypatch):
+    from proofsheet.operators import identify as D
+
+    r = random.Random(8)
+    vec = lambda: [round(r.random(), 1) for _ in range(6)]
+    probes = spark.createDataFrame([(i, r.randrange(3), vec()) for i in range(90)] + [(90, 7, vec())], "probe_id long, product_id int, vec array<double>")
+    some = [(i, r.randrange(3), str(i % 35), vec()) for i in range(40)] + [(50, 7, "x", vec())]
+    candidates = spark.createDataFrame(some, "candidate_id long, product_id int, sha string, ref array<double>")
+    compared = D.fractions(probes, candidates, 0.15)
+    monkeypatch.setattr(D, "BLOCK", 5)
+    near = D.nearest(probes, candidates, 0.15, 0.4)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(D.clean_one(near)) == rows(D.whole_image(compared, 0.4)) and D.clean_one(near).count() > 5
+    assert rows(D.leading(near, 1.02)) == rows(D.ranked(compared.withColumnRenamed("fraction", "total"), 1.02)) and D.leading(near, 1.02).count() > 5
+    both = probes.select("product_id", "probe_id", "vec")  # both sides of one table
+    assert D.nearest(both, both.select("product_id", F.col("probe_id").alias("candidate_id"), F.col("probe_id").cast("string").alias("sha"), F.col("vec").alias("ref")), 0.15, 0.4).filter("best = 0").count() == 91
+    assert near.count() == 91 and D.nearest(probes, candidates.filter("false"), 0.15, 0.4).count() == 0
