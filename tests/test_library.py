@@ -1,4 +1,5 @@
 import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
