@@ -19,6 +19,12 @@ bound their similarity. So do bitmaps of the whole sets: a shingle whose bit the
 lacks is not in it, so what both can share is known closely before any text is moved. Only pairs across two components are looked at, so a family that is
 linked already costs nothing more. Rows of a hot shingle meet in blocks.
 
+A family whose members are linked each to each has pairs with the square of its size. So the
+join runs twice: first the rows of one shingle give a forest of their pairs, the closest ones
+first, which has fewer pairs than rows. If all of a forest are links, then whatever it stands
+for is one component. All pairs come only from shingles whose forest has a pair that still lies
+across two components.
+
 Defined results: null or empty text has no shingles, is linked with nothing and is kept;
 repeated rows share a component and `first` marks one of them; a null id is ignored for
 component_id unless all ids are null; an empty table gives no rows; further columns are
@@ -28,7 +34,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +58,7 @@ BITMAP, AT_ONCE = 1024, 2_000_000
 #: Links that a task turns into stars before components are found.
 SPAN = 200_000
 MULTIPLIERS = mixed(np.arange(1, 1 + 2 * HALVES * PER_HALF, dtype=np.uint64) * C1) | np.uint64(1)
+MET = "a long, b long, shingle long, block long"
 SIGNATURES = "doc_id long, k long, h long, n_shingles long, d1 long, d2 long, sig binary"
 
 
@@ -175,8 +182,26 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return stored(met.repartition("a", "salt").sortWithinPartitions("a", "salt", "part").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def left_out(crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): all pairs of crowded rows that may be similar enough and lie in different components."""
+def forest(x: np.ndarray, y: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs (x, y), the first ones preferred, that join what root tells apart, without a cycle; and the new roots."""
+    out, at = [], np.arange(len(x))
+    while len(at := at[root[x[at]] != root[y[at]]]):
+        a, b = root[x[at]], root[y[at]]
+        _, first = np.unique(np.stack([a, b], 1).ravel(), return_index=True)  # the first pair of each
+        pick = np.unique(first // 2)
+        out.append(at[pick])
+        member, top = stars(a[pick], b[pick])
+        up = np.arange(len(root))
+        up[member] = top
+        root = up[root]
+    return np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64), root
+
+
+def left_out(crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> Callable[..., DataFrame]:
+    """pairs(), pairs(labels, groups): crowded rows (a, b) of one group (shingle, block) that may be similar enough and lie in different components.
+
+    Without arguments a forest of each group's pairs, by the labels given here; else all pairs of these groups, by these labels.
+    """
     keyed = crowded.join(classes.select("row", "k", "h"), "row").join(labels.select(F.col("id").alias("row"), "label"), "row", "left")
     texts = own(docs, "doc_id", "text").select(order_key().alias("k"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["k", "h"])
     rows = stored(keyed.join(texts, ["k", "h"]).select("row", F.coalesce("label", "row").alias("label"), "text"), "crowded")
@@ -224,30 +249,41 @@ def left_out(crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(t.to_pandas_dtype()), t) for v, t in zip(flat, types, strict=True)), pa.array(bits, pa.binary())], names=[*names, "bits"])
 
-    def pairs_of(g: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Pairs of one shingle's rows (of two blocks of them) by size and place."""
-        block, row, label, size, place, own_, bits = g
+    def pairs_of(g: list[np.ndarray], every: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs of one shingle's rows (of two blocks of them) by size and place, every one or a forest."""
+        shingle, block, row, label, size, place, own_, bits = g
         if (label == label[0]).all():
             return
+        names, label = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))
         low, high = int(block[0]) >> 32, int(block[0]) & 0xFFFFFFFF
         step = max(1, AT_ONCE // len(row))
         for at in range(0, len(row), step):
             a = slice(at, at + step)
             need = -(-percent * (size[a, None] + size[None]) // (100 + percent))
             bound = np.minimum(size[a, None] - place[a, None], size[None] - place[None])  # if this is the first shingle that both have
-            ok = (label[a, None] != label[None]) & (row[a, None] < row[None]) & (bound >= need)
+            top = root[label]
+            ok = (top[a, None] != top[None]) & (row[a, None] < row[None]) & (bound >= need)
             if low != high:  # rows of the same block met elsewhere
                 ok &= own_[a, None] != own_[None]
             i, j = np.nonzero(ok)
             for k in range(0, len(i), 100_000):
                 p, q = i[k : k + 100_000] + at, j[k : k + 100_000]
+                open_ = root[label[p]] != root[label[q]]
+                p, q = p[open_], q[open_]
                 x, y = bits[p], bits[q]
                 left = np.minimum(size[p] - np.bitwise_count(x & ~y).sum(1), size[q] - np.bitwise_count(y & ~x).sum(1))
                 near = left >= -(-percent * (size[p] + size[q]) // (100 + percent))
-                if near.any():
-                    yield _rows(row[p[near]], row[q[near]])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                p, q, close = p[near], q[near], left[near] / (size[p[near]] + size[q[near]])
+                if not every and len(p):
+                    order = np.argsort(-close, kind="stable")
+                    chosen, root = forest(label[p[order]], label[q[order]], root)
+                    p, q = p[order[chosen]], q[order[chosen]]
+                if len(p):
+                    of = [np.full(len(p), v) for v in (shingle[0], block[0])]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (row[p], row[q], *of)], names=[c.split()[0] for c in MET.split(", ")])
+
+    def meet(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in names] + [np.zeros((0, BITMAP // 64), np.uint64)]
         for batch in batches:
             if not batch.num_rows:
@@ -258,19 +294,32 @@ def left_out(crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
             key = (held[0], held[1])
             cut = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
             if len(cut):  # the last group may go on
-                yield from groups([x[: cut[-1]] for x in held], cut[:-1])
+                yield from groups([x[: cut[-1]] for x in held], cut[:-1], every)
                 held = [x[cut[-1] :] for x in held]
         if len(held[0]):
-            yield from groups(held, np.zeros(0, np.int64))
+            yield from groups(held, np.zeros(0, np.int64), every)
 
-    def groups(cols: list[np.ndarray], cut: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def groups(cols: list[np.ndarray], cut: np.ndarray, every: bool) -> Iterator[pa.RecordBatch]:
         ends = np.append(cut, len(cols[0]))
         starts = np.append(0, cut)
         for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            yield from pairs_of([x[s:e] for x in cols[1:]])
+            yield from pairs_of([x[s:e] for x in cols], every)
+
+    def meet_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from meet(batches, False)
+
+    def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from meet(batches, True)
+
+    def pairs(now: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+        dealt = rows.mapInArrow(prefixes, kinds)
+        if of is not None:
+            new = now.select(F.col("id").alias("row"), F.col("label").alias("now"))
+            dealt = dealt.join(of, ["shingle", "block"], "left_semi").join(new, "row", "left").withColumn("label", F.coalesce("now", "row")).select(*names, "bits")
+        dealt = dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block")
+        return dealt.mapInArrow(meet_forest if of is None else meet_all, MET)
 
-    dealt = rows.mapInArrow(prefixes, kinds).repartition("shingle", "block").sortWithinPartitions("shingle", "block")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return pairs
 
 
 def spanning(links: DataFrame) -> DataFrame:
@@ -326,10 +375,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         links = stored(links.unionByName(confirmed(more, classes, docs, k, percent)), "links")
         labels = components(spanning(links))
     if crowded.limit(1).count():
-        rest = stored(left_out(crowded, classes, labels, docs, k, percent), "left_out")
-        if rest.limit(1).count():
-            links = stored(links.unionByName(confirmed(rest, classes, docs, k, percent)), "links")
+        pairs_left = left_out(crowded, classes, labels, docs, k, percent)
+        met = stored(pairs_left(), "left_out")
+        tried = stored(met.select("a", "b").distinct(), "tried")
+        if tried.limit(1).count():
+            links = stored(links.unionByName(confirmed(tried, classes, docs, k, percent)), "links")
             labels = components(spanning(links))
+            ends = met.join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left")
+            groups = stored(ends.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("shingle", "block").distinct(), "groups")
+            if groups.limit(1).count():
+                rest = stored(pairs_left(labels, groups).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "left_out")
+                if rest.limit(1).count():
+                    links = stored(links.unionByName(confirmed(rest, classes, docs, k, percent)), "links")
+                    labels = components(spanning(links))
     named = classes.join(label("row", "label"), "row", "left")
     named = named.select("d1", "d2", F.coalesce("label", "row").alias("label"))
     full, empty = signed.filter("n_shingles > 0").join(named, ["d1", "d2"]), signed.filter("n_shingles = 0")
