@@ -182,13 +182,15 @@ def scored_pairs(cases: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
     alarm = F.col("class").isin(UNCHANGED) & (F.col("verdict") == "DIFFERENT")
     score = F.when(F.col("errored"), "failed").when(ok, "correct").when(F.col("verdict") == "CANNOT_COMPARE", "refused").when(alarm, "false_alarm").otherwise("wrong")
     localised = F.col("edit_box").isNotNull() & F.exists("boxes", lambda b: overlap_score(F.col("edit_box"), b) > least)
-    rows = cases.withColumns({"score": score, "localised": F.coalesce(localised, F.lit(False)), "case_": F.monotonically_increasing_id()})
-    empty = F.array().cast("array<string>")
-    regions = rows.filter(F.col("edit_box").isNotNull()).select("case_", "old_value", "new_value", F.explode("readings").alias("r"))
-    said = regions.withColumns({c: F.coalesce(X.tokens(v), empty) for c, v in (("a_", F.col("r.ref_text")), ("b_", F.col("r.mkt_text")), ("p_", F.col("old_value")), ("q_", F.col("new_value")))})
-    both = (F.size(F.array_except("p_", "a_")) == 0) & (F.size(F.array_except("q_", "b_")) == 0)
-    read = said.groupBy("case_").agg(F.some(both).alias("read"))
-    return rows.join(read, "case_", "left").withColumn("read", F.coalesce("read", F.lit(False))).drop("case_")
+    rows = cases.withColumns({"score": score, "localised": F.coalesce(localised, F.lit(False))})
+    # no row leaves its task: all regions of a case are folded at once, and only those of edits
+    edit, empty = F.col("edit_box").isNotNull(), F.array().cast("array<string>")
+    sides = {c: X.folded_each(F.col(f"readings.{t}")) for c, t in (("a_", "ref_text"), ("b_", "mkt_text"))}
+    said = rows.filter(edit).withColumns(sides | {c: F.coalesce(X.tokens(F.col(v)), empty) for c, v in (("p_", "old_value"), ("q_", "new_value"))})
+    lacks = lambda value, text: F.size(F.array_except(value, F.coalesce(X.tokens_of(text), empty))) > 0
+    both = F.zip_with("a_", "b_", lambda a, b: ~lacks(F.col("p_"), a) & ~lacks(F.col("q_"), b))
+    read = said.withColumn("read", F.coalesce(F.exists(both, lambda x: x), F.lit(False))).drop("a_", "b_", "p_", "q_")
+    return read.unionByName(rows.filter(~edit).withColumn("read", F.lit(False)))
 
 
 def class_summary(scored: DataFrame) -> DataFrame:
