@@ -15,7 +15,8 @@ no later step moves. A batch sends its distinct words, then level by level its d
 sequences (a context and the next symbol), by hash, one row for each part; a part adds up what
 it gets and sends the counts back in the order in which they were asked for, naming for each
 sequence one batch that adds it to its context's divergence. Contexts are judged in the same
-way, by the sums of these. Words are told apart by 56 bits of hash and their class, longer
+way, by the sums of these. Questions of sequences go in ROUNDS, each for its share of the
+parts, so that only one share is on disk at a time; answers lie in tables bucketed like the streams. Words are told apart by 56 bits of hash and their class, longer
 sequences by 48 bits within their part. What goes to the driver or is broadcast are CLASSES
 numbers.
 
@@ -29,15 +30,16 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from functools import reduce
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own, shared_dir, slices, stored, texts_of
+from .common import own, shared_dir, slices, texts_of
 from .shingles import C1, C2, PLACES, mixed, word_hashes
 
 CLASSES = 256
@@ -45,6 +47,8 @@ CLASSES = 256
 SLICE_BYTES = 8 << 20
 DEPTH, MIN_COUNT, MIN_ENTRY, DIVERGENCE, SMOOTH = 3, 16, 2, 5.0, 32.0
 PART_BYTES = 16 << 20
+#: Shares of a level's questions: part p belongs to round p % ROUNDS.
+ROUNDS = 2
 
 
 def held_out(col: str = "doc_id", of: int = 7, part: int = 2) -> Column:
@@ -106,23 +110,41 @@ def _plain(blob: bytes, kind: str = "<i8", cols: int = 1) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(cols, wide, len(raw) // (cols * wide)).transpose(0, 2, 1)).view(kind).ravel()
 
 
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes (none negative), each one's number among them, and of each distinct one its first place."""
+    bits = max(len(codes) - 1, 0).bit_length()
+    if int(codes.max(initial=0)).bit_length() + bits > 64:
+        every, first, at = np.unique(codes, return_index=True, return_inverse=True)
+        return every, at, first
+    packed = codes.view(np.uint64) << np.uint64(bits) | np.arange(len(codes), dtype=np.uint64)
+    packed.sort()  # of plain numbers: several times faster than an order of codes
+    place, code = (packed & np.uint64((1 << bits) - 1)).view(np.int64), (packed >> np.uint64(bits)).view(np.int64)
+    new = np.flatnonzero(np.diff(code, prepend=-1))
+    at = np.empty(len(codes), np.int64)
+    at[place] = np.repeat(np.arange(len(new)), np.diff(new, append=len(codes)))
+    return code[new], at, place[new]
+
+
 def streams(docs: DataFrame, parts: int) -> DataFrame:
     """The texts as STREAMS: a row of each batch has its distinct words and each token's number among them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             flat, starts = hashes(texts_of(batch))
-            words, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-            order = np.argsort(-n, kind="stable")  # low numbers for frequent words
+            at, words = pd.factorize(flat)
+            order = np.lexsort((words, -np.bincount(at, minlength=len(words))))  # low numbers for frequent words
             words, at = words[order], np.argsort(order)[at]
-            cols = [[uuid.uuid4().int >> 65], [batch["doc_id"].to_pylist()], [batch["held_out"].to_pylist()], [_squeezed(starts.astype("<i8"))], [_squeezed(at.astype("<u4"), level=9)], [_squeezed(words)]]
+            cols = [[uuid.uuid4().int >> 65], [batch["doc_id"].to_pylist()], [batch["held_out"].to_pylist()], [_squeezed(starts.astype("<i8"))], [_squeezed(at.astype("<u4"), level=9)], [_squeezed(_steps(words))]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in STREAMS.split(", ")])
 
-    # bucketed by slice, so that later steps bring the answers to it and leave it where it is
-    spark, name = docs.sparkSession, f"streams_{uuid.uuid4().hex}"
-    made = docs.select("doc_id", "text", "held_out").mapInArrow(make, STREAMS)
-    made.write.bucketBy(parts, "slice").option("path", shared_dir(spark, "streams")).saveAsTable(name)
+    return _kept(docs.select("doc_id", "text", "held_out").mapInArrow(make, STREAMS), "streams", parts)
+
+
+def _kept(df: DataFrame, what: str, parts: int) -> DataFrame:
+    """A table bucketed by slice, so that no later step moves it."""
+    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, "slice").option("path", shared_dir(spark, what)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -142,16 +164,27 @@ def _address(keys: np.ndarray, level: int) -> np.ndarray:
     return mixed(keys.view(np.uint64)) if level == 0 else keys.view(np.uint64) << np.uint64(16)
 
 
+def _order(address: np.ndarray) -> np.ndarray:
+    """An order of addresses by their high bits, by place where these agree: parts ascend, and equal input is ordered alike."""
+    bits = min(max(len(address) - 1, 0).bit_length(), 32)
+    if len(address) > 1 << bits:  # parts are told apart by 32 bits
+        return np.argsort(address, kind="stable")
+    low = np.uint64((1 << bits) - 1)
+    packed = address & ~low | np.arange(len(address), dtype=np.uint64)
+    packed.sort()
+    return (packed & low).view(np.int64)
+
+
 def _dealt(keys: np.ndarray, level: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of the keys by their address, and in this order the addresses and their parts, which ascend, too."""
     address = _address(keys, level)
-    order = np.argsort(address)
+    order = _order(address)
     address = address[order]
     return order, address, (((address >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def _steps(keys: np.ndarray) -> np.ndarray:
-    """Ascending keys as differences, which are smaller."""
+    """Mostly ascending keys as differences (modulo 2^64), which are smaller."""
     return np.diff(keys.view(np.uint64), prepend=np.uint64(0))
 
 
@@ -164,21 +197,36 @@ def _spans(part: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, at[1:], strict=False))
 
 
-def _sent(kind: int, level: int, mark: int, parts: int, keys: np.ndarray, *cols: np.ndarray) -> list[tuple]:
-    """Rows (SENT) of keys, as ascending addresses, and 8-byte columns, one for each part."""
+def _sent(kind: int, level: int, mark: int, parts: int, keys: np.ndarray, *cols: np.ndarray, share: int | None = None) -> list[tuple]:
+    """Rows (SENT) of keys, as ascending addresses, and 8-byte columns, one for each part (or each of a round's)."""
     if not len(keys):
         return []
     order, address, part = _dealt(keys, level, parts)
     cols = [x[order].view(np.int64) for x in cols]
-    return [(kind, int(part[s]), mark, _squeezed(_steps(address[s:e].view(np.int64)), *(c[s:e] for c in cols))) for s, e in _spans(part)]
+    return [(kind, int(part[s]), mark, _squeezed(_steps(address[s:e].view(np.int64)), *(c[s:e] for c in cols))) for s, e in _spans(part) if share is None or part[s] % ROUNDS == share]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return _arrays(SENT, *([r[i] for r in rows] for i in range(4)))
 
 
-def _by_part(sent: DataFrame, parts: int, answer) -> DataFrame:
-    """The rows that answer(kinds) gives for each part's rows, a dict from kind to (slice, blob)s."""
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of the jobs within are deleted with the end of each job, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _by_part(sent: DataFrame, parts: int, answer, rounds: int = 1) -> DataFrame:
+    """The rows that answer(kinds) gives for each part's rows, a dict from kind to (slice, blob)s: of each slice an array, beside its stream.
+
+    In one of several rounds only each rounds-th part has rows.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, {}
@@ -192,7 +240,10 @@ def _by_part(sent: DataFrame, parts: int, answer) -> DataFrame:
         if held:
             yield _batch(answer(part, held))
 
-    return stored(sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(meet, SENT), "answers")
+    dealt = sent.repartitionById(math.ceil(parts / rounds), (F.col("part") / rounds).cast("int")).sortWithinPartitions("part")
+    with _freed(sent.sparkSession):
+        answers = dealt.mapInArrow(meet, SENT).repartition(parts, "slice")
+        return _kept(answers.groupBy("slice").agg(F.collect_list(F.struct("kind", "part", "blob")).alias("answers")), "answers", parts)
 
 
 def _asked(rows: list[tuple], cols: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -215,14 +266,14 @@ def _added(address: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def count_words(part: int, held: dict) -> list[tuple]:
-    """Counts of a part's words, and a row of sums: of each class's rarer words the tokens and the words, then tokens, known words and symbols."""
+    """Counts of a part's words, and a row of sums, which no slice asked for: of each class's rarer words the tokens and the words, then tokens, known words and symbols."""
     (address, n), sizes = _asked(held[WORDS], 2)
     every, at, (c,) = _added(address, n)
     words = _unmixed(every).view(np.int64)
     rare = (c < MIN_COUNT) & (words != END)
     kind = words[rare] & (CLASSES - 1)
     sums = [np.bincount(kind, c[rare], CLASSES), np.bincount(kind, c[rare] > 0, CLASSES), [c.sum(), (c > 0).sum(), (~rare).sum()]]
-    return [(SUMS, part, None, _squeezed(np.concatenate(sums).astype("<i8"))), *_answers(WORDS, part, sizes, c[at])]
+    return [(SUMS, part, -1 - part, _squeezed(np.concatenate(sums).astype("<i8"))), *_answers(WORDS, part, sizes, c[at])]
 
 
 def count_grams(kind: int, part: int, rows: list[tuple]) -> list[tuple]:
@@ -251,7 +302,7 @@ class Slice:
 
     def __init__(self, row: tuple, answers: dict[int, list[bytes]], parts: int):
         self.mark, self.doc_ids, self.held, starts, tokens, words = row
-        self.starts, self.words = _plain(starts), _plain(words)
+        self.starts, self.words = _plain(starts), _summed(_plain(words))
         self.answers, self.parts, self.tokens = answers, parts, _plain(tokens, "<u4").astype(np.int64)
         self.trained = np.repeat(~np.array(self.held, bool), np.diff(self.starts))
 
@@ -259,11 +310,12 @@ class Slice:
         """What was answered for the keys at these places, `other` elsewhere."""
         out = np.full(len(keys), other, np.int64)
         if len(at):
-            out[at[np.argsort(_address(keys[at], level))]] = np.concatenate([_plain(b) for b in self.answers[kind]])
+            out[at[_order(_address(keys[at], level))]] = np.concatenate([_plain(b) for b in self.answers[kind]])
         return out
 
     def count(self, at: np.ndarray, m: int) -> np.ndarray:
-        return np.bincount(at[self.trained], minlength=m).astype(np.int64)
+        at = at[self.trained]
+        return np.bincount(at[at >= 0], minlength=m).astype(np.int64)
 
     def asks_words(self) -> list[tuple]:
         return _sent(WORDS, 0, self.mark, self.parts, self.words, self.count(self.tokens, len(self.words)))
@@ -277,42 +329,43 @@ class Slice:
         size[of] = np.where(rare, sums[kind], self.c)
         self.total, self.root = sums[-3], (size + 1.0) / (sums[-3] + sums[-1] + CLASSES)
         self.end = of[np.flatnonzero(self.words == END)[0]]
-        # of each level: every token's sequence, its count, its key, its probability by frequency
+        # of each level: every token's sequence (-1 where the context is too rare), its count, its key, its probability by frequency
         self.gram, self.n, self.keys, self.p = [of[self.tokens]], [size], [self.symbols], [size / max(self.total, 1)]
-        self.of, self.shorter, self.mine, self.wide, self.contexts, self.sizes, self.names = ([None] for _ in range(7))
+        self.of, self.shorter, self.mine, self.contexts, self.sizes, self.names = ([None] for _ in range(6))
 
     def find(self, level: int) -> None:
-        """The sequences of `level` symbols and the next one."""
+        """The sequences of `level` symbols seen MIN_COUNT times and the next one. Where a shorter context was rarer, so is a longer one."""
         m, k, y = len(self.symbols), len(self.n[-1]), self.gram[0]
         before, names, sizes = np.concatenate([[0], self.gram[-1][:-1]]), self.keys[-1], self.n[-1]
         if level == 1:
             before[self.starts[:-1]] = self.end  # ends stand before a text
         else:
             before[self.starts[:-1]] = k
-            names, sizes = np.append(names, _joined(self.ends, END)), np.append(sizes, self.n[0][self.end])
+            names, sizes = np.append(names, _joined(self.ends, END)), np.append(sizes, [self.n[0][self.end], 0])  # -1 finds the last
         self.ends = END if level == 1 else names[-1]
-        codes, gram = np.unique(before * m + y, return_inverse=True)
-        of = codes // m
-        any_ = np.empty(len(codes), np.int64)
-        any_[gram] = np.arange(len(gram))  # all of a sequence's places have the same shorter one
-        wide = np.flatnonzero(sizes[of] >= MIN_COUNT)
-        for line, x in zip((self.of, self.shorter, self.wide, self.contexts, self.sizes, self.names), (of, self.gram[-1][any_], wide, np.unique(of[wide]), sizes, names), strict=True):
+        where = np.flatnonzero(sizes[before] >= MIN_COUNT)
+        codes, at, first = _numbered(before[where] * m + y[where])
+        of = codes // m  # ascends, as codes do
+        contexts = of[np.flatnonzero(np.diff(of, prepend=-1))]
+        # all of a sequence's places have the same shorter one
+        for line, x in zip((self.of, self.shorter, self.contexts, self.sizes, self.names), (of, self.gram[-1][where[first]], contexts, sizes, names), strict=True):
             line.append(x)
+        gram = np.full(len(y), -1)
+        gram[where] = at
         self.gram.append(gram)
         self.keys.append(_joined(names[of], self.symbols[codes % m]))
 
-    def asks_grams(self, level: int) -> list[tuple]:
-        at = self.wide[level]
-        return _sent(level, level, self.mark, self.parts, self.keys[level][at], self.count(self.gram[level], len(self.of[level]))[at])
+    def asks_grams(self, level: int, share: int | None) -> list[tuple]:
+        return _sent(level, level, self.mark, self.parts, self.keys[level], self.count(self.gram[level], len(self.of[level])), share=share)
 
     def learn(self, level: int) -> None:
         """Counts of the sequences, as answered."""
-        found = self.answered(level, level, self.keys[level], self.wide[level], 0)
+        found = self.answered(level, level, self.keys[level], np.arange(len(self.keys[level])), 0)
         self.n.append((found >> 1).astype(np.float64))
         self.mine.append((found & 1) == 1)
         self.p.append(self.n[level] / np.maximum(self.sizes[level][self.of[level]], 1))
 
-    def asks_contexts(self, level: int) -> list[tuple]:
+    def asks_contexts(self, level: int, share: int | None) -> list[tuple]:
         """This batch's part of the contexts' divergence: each occurrence against the counts without it, so that a sparse context gains nothing by chance."""
         of, m = self.of[level], len(self.sizes[level])
         at = np.flatnonzero(self.mine[level] & (self.n[level] > 0))
@@ -320,7 +373,7 @@ class Slice:
         gain = np.bincount(of[at], n * np.log((n - 1 + SMOOTH * p) / (size - 1 + SMOOTH) / p), m)
         listed = np.bincount(of[at], np.where(n >= MIN_ENTRY, n, 0), m)
         asked = self.contexts[level]
-        return _sent(CONTEXTS + level, level - 1, self.mark, self.parts, self.names[level][asked], gain[asked].astype("<f4").astype("<f8"), listed[asked].astype(np.int64))
+        return _sent(CONTEXTS + level, level - 1, self.mark, self.parts, self.names[level][asked], gain[asked].astype("<f4").astype("<f8"), listed[asked].astype(np.int64), share=share)
 
     def upto(self, level: int, sums: np.ndarray, learned: int) -> "Slice":
         self.find_symbols(sums)
@@ -332,12 +385,14 @@ class Slice:
 
     def logs(self) -> np.ndarray:
         """log10 probability of each token's symbol after what precedes it."""
-        p = self.root
+        p, logs = self.root, np.log10(self.root)[self.gram[0]]
         for level in range(1, len(self.n)):
             of, n, shorter = self.of[level], self.n[level], p[self.shorter[level]]
             listed = self.answered(CONTEXTS + level, level - 1, self.names[level], self.contexts[level], -1)[of]
             p = np.where(listed >= 0, blended(np.where(n >= MIN_ENTRY, n, 0), self.sizes[level][of], listed, shorter), shorter)
-        return np.log10(p)[self.gram[-1]]
+            where = np.flatnonzero(self.gram[level] >= 0)
+            logs[where] = np.log10(p)[self.gram[level][where]]
+        return logs
 
 
 def _joined(context: np.ndarray | np.int64, symbol: np.ndarray | np.int64) -> np.ndarray:
@@ -348,17 +403,16 @@ def _joined(context: np.ndarray | np.int64, symbol: np.ndarray | np.int64) -> np
 
 def _over(stream: DataFrame, answers: list[DataFrame], parts: int, run, schema: str) -> DataFrame:
     """The batches that run(slice) gives for each row of stream with all its answers."""
-    rows = stream
-    if answers:
-        every = reduce(DataFrame.unionByName, answers)
-        rows = stream.join(every.groupBy("slice").agg(F.collect_list(F.struct("kind", "part", "blob")).alias("answers")).hint("shuffle_merge"), "slice", "left")
-    names, answered = [c.split()[0] for c in STREAMS.split(", ")], bool(answers)
+    rows, cols = stream, [f"answers_{i}" for i in range(len(answers))]
+    for a, c in zip(answers, cols, strict=True):
+        rows = rows.join(a.withColumnRenamed("answers", c).hint("shuffle_hash"), "slice", "left")  # a bucket's rows are few; sorts would take pages of memory each
+    names = [c.split()[0] for c in STREAMS.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 found: dict[int, list[bytes]] = {}
-                for a in sorted(batch["answers"][i].as_py() or [], key=lambda a: a["part"]) if answered else []:
+                for a in sorted((a for c in cols for a in batch[c][i].as_py() or []), key=lambda a: a["part"]):
                     found.setdefault(a["kind"], []).append(a["blob"])
                 yield run(Slice(tuple(batch[c][i].as_py() for c in names), found, parts))
 
@@ -377,19 +431,20 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     stream = streams(docs, parts)
     words = _by_part(_over(stream, [], parts, lambda s: _batch(s.asks_words()), SENT), parts, count_words)
     sums = np.zeros(2 * CLASSES + 3)
-    for r in words.filter(F.col("kind") == SUMS).select("blob").toLocalIterator():  # CLASSES numbers a part
+    for r in words.filter("slice < 0").select(F.col("answers.blob")[0].alias("blob")).toLocalIterator():  # CLASSES numbers a part
         sums += _plain(r.blob)
-    answers = [words.filter(F.col("kind") == WORDS)]
+    answers = [words]
 
-    def asks(level: int):
+    def asks(level: int, share: int | None):
         def run(s: Slice) -> pa.RecordBatch:
             s.upto(min(level, depth), sums, level - 1)
-            return _batch((s.asks_grams(level) if level <= depth else []) + (s.asks_contexts(level - 1) if level > 1 else []))
+            return _batch((s.asks_grams(level, share) if level <= depth else []) + (s.asks_contexts(level - 1, share) if level > 1 else []))
 
         return run
 
     for level in range(1, depth + 2):  # the contexts of a level go with the sequences of the next
-        answers.append(_by_part(_over(stream, answers, parts, asks(level), SENT), parts, meet))
+        shares = range(ROUNDS) if level <= depth else [None]
+        answers += [_by_part(_over(stream, answers, parts, asks(level, r), SENT), parts, meet, len(shares)) for r in shares]
     total, distinct = int(sums[-3]), int(sums[-2])
 
     def score(s: Slice) -> pa.RecordBatch:

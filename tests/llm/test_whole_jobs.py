@@ -88,6 +88,26 @@ def test_suffix_tree_keeps_contexts_on_larger_input(spark):
     assert len(scores) == 42 and min(scores) > -6  # 4.8 for the first word, which nothing foretells, and under 0.4 for each further one
 
 
+def test_suffix_tree_moves_an_answer_once_and_a_share_at_a_time(spark):
+    docs = spark.createDataFrame([(i, f"x{i % 2} y{i % 3} z{i}") for i in range(60)], "doc_id long, text string").repartition(3)
+    plan = suffix_tree.score_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Exchange" not in plan  # answers lie beside the texts they are for
+    keys = np.random.default_rng(0).integers(0, 1 << 48, 5000)
+    ask = lambda share: suffix_tree._sent(1, 1, 7, 12, keys, np.ones(5000, np.int64), share=share)
+    shares = [ask(r) for r in range(suffix_tree.ROUNDS)]
+    assert max(sum(len(b) for *_, b in rows) for rows in shares) < 0.6 * sum(len(b) for *_, b in ask(None))
+    assert sorted(r for rows in shares for r in rows) == ask(None)
+
+
+@pytest.mark.parametrize("n,top", [(0, 5), (1, 5), (3000, 50), (3000, 1 << 40), (3000, 1 << 62)])
+def test_numbers_of_codes(n, top):
+    """The packed sort and, where code and place take over 64 bits, the plain one."""
+    codes = np.random.default_rng(n).integers(0, top, n)
+    every, at, first = suffix_tree._numbered(codes)
+    want, where = np.unique(codes, return_inverse=True)
+    assert every.tolist() == want.tolist() and at.tolist() == where.tolist() and codes[first].tolist() == want.tolist()
+
+
 def syllables(seed, of, n):
     """n words of a language with its own syllables, all in the same letters."""
     own, r = np.random.default_rng(of), np.random.default_rng(seed)
