@@ -26,9 +26,11 @@ def stage_stream(t):
     """Stages of each user's pair that come in any order, some twice, go out once and in order; all have come at the end, so none is given up by the clock."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = t.events.select(F.concat(F.lit("u"), "user_id").alias("pair_id"), F.row_number().over(w).alias("ordinal"), F.col("event_type").alias("stage"), F.lit("OK").alias("status"), "event_id")
-    twice = rows.unionByName(rows.filter("stage = 'error'"))
-    mixed = twice.repartition(12, F.xxhash64("event_id", F.rand(7))).drop("event_id")
-    shown = P.drained(P.stages(as_stream(mixed, "stages", 4), wait=None), f"stages_{uuid4().hex}", "append", shared_dir(t.spark, "progress"))
+    twice = rows.withColumn("copy", F.explode(F.expr("IF(stage = 'error', array(0, 1), array(0))")))
+    mixed = twice.repartition(12, F.xxhash64("event_id", "copy")).drop("event_id", "copy")
+    n = t.events.count()
+    stream = P.stages(as_stream(mixed, "stages", 4), wait=None, blocks=max(1024, n // 4096))
+    shown = P.drained(stream, f"stages_{uuid4().hex}", "append", shared_dir(t.spark, "progress"), max(t.spark.sparkContext.defaultParallelism, n // 250_000))
     return shown.select("pair_id", "place", "ordinal", "stage", "finished", "late")
 
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from contextlib import suppress
+from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from proofsheet.sources.versioned import Conflict, Log
+from proofsheet.tables import shared_dir
 
 
 def counts(findings: DataFrame, key: str = "run_id") -> DataFrame:
@@ -44,73 +46,104 @@ def changes(probes: DataFrame) -> DataFrame:
     return probes.groupBy("path").applyInPandasWithState(step, OUT, SEEN, "append", GroupStateTimeout.NoTimeout)
 
 
-SHOWN = "pair_id string, place int, ordinal int, stage string, status string, share double, finished boolean, late boolean"
-#: Spark's state store for stateful processors.
+#: What goes out of a pair at once: how many stages went before, and columns of the stages.
+GIVEN = "pair_id string, before int, ordinal array<int>, stage array<string>, status array<string>, late array<boolean>"
+#: Spark's state store that keeps states on disk.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class InOrder(StatefulProcessor):
-    """Gives out the stages of a pair in order: a stage waits for those before it, `wait` milliseconds at most, without end if None.
+#: What is kept of a block of pairs: columns of its pairs first, then those of all held stages and of all gaps, pair by pair.
+TOLD = (
+    "pair_id array<string>, next array<int>, place array<int>, due array<long>, n_held array<int>, n_gaps array<int>, "
+    "ordinal array<int>, stage array<string>, status array<string>, gap array<int>"
+)
+
+
+@dataclass(slots=True)
+class Told:
+    """A pair: the ordinal that is next, how many were given out, when its wait ends (None: nothing waits), what is held, and the gaps before `next`."""
+
+    next: int = 1
+    place: int = 0
+    due: int | None = None
+    held: dict[int, tuple[str, str]] = field(default_factory=dict)
+    gaps: set[int] = field(default_factory=set)
+
+
+class InOrder:
+    """Gives out the stages of each pair in order: a stage waits for those before it, `wait` milliseconds at most, without end if None.
 
     When the time is over, what is held goes out as it is, marked late, and the gaps are noted, so that a stage that comes
-    after all goes out late, too. A stage that comes again is given out once.
+    after all goes out late, too. A stage that comes again is given out once. A key is a block of pairs, which share nothing but
+    the call: it takes much longer than the rows of a pair.
     """
 
-    def __init__(self, of: int, wait: int | None):
-        self.of, self.wait = of, wait
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # one value a pair, as every call to the store is a round trip
-        self.told = handle.getValueState("told", "next int, place int, held array<struct<ordinal:int,stage:string,status:string>>, gaps array<int>")
-
-    def state(self) -> tuple[int, int, dict[int, tuple[str, str]], set[int]]:
-        """The ordinal that is next, how many were given out, what is held, and the gaps before `next`."""
-        if (seen := self.told.get()) is None:
-            return 1, 0, {}, set()
-        return seen[0], seen[1], {o: (stage, status) for o, stage, status in seen[2]}, set(seen[3])
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        next_, place, held, gaps = self.state()
-        waits, late = bool(held), []
-        for f in rows:
-            for o, stage, status in zip(f["ordinal"].tolist(), f["stage"], f["status"], strict=True):
-                if o >= next_:
-                    held.setdefault(o, (stage, status))
-                elif o in gaps:
-                    gaps.discard(o)
-                    late.append((o, stage, status, True))
-        out = sorted(late)
-        while next_ in held:
-            out.append((next_, *held.pop(next_), False))
-            next_ += 1
-        if held and not waits and self.wait is not None:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
-        yield self.shown(key, next_, place, held, gaps, out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        next_, place, held, gaps = self.state()
-        end = max(held, default=next_ - 1) + 1
-        gaps.update(o for o in range(next_, end) if o not in held)
-        yield self.shown(key, end, place, {}, gaps, [(o, *held[o], True) for o in sorted(held)])
-
-    def shown(self, key: tuple, next_: int, place: int, held: dict[int, tuple[str, str]], gaps: set[int], out: list[tuple]) -> pd.DataFrame:
-        self.told.update((next_, place + len(out), [(o, *v) for o, v in held.items()], sorted(gaps)))
-        rows = [(key[0], place + i + 1, o, stage, status, o / self.of, o >= self.of, late) for i, (o, stage, status, late) in enumerate(out)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SHOWN.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-
-def stages(rows: DataFrame, of: int = 7, wait: int | None = 30_000) -> DataFrame:
-    """A stream of stage rows (pair_id, ordinal from 1, stage, status), in any order: each once, in order (SHOWN), with the share that is done.
+    def __init__(self, wait: int | None):
+        self.wait = wait
+
+    def step(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told, late, out = self.read(state), {}, []
+        for f in frames:
+            for pair, o, stage, status in zip(*(f[c].tolist() for c in ("pair_id", "ordinal", "stage", "status")), strict=True):
+                if (p := told.get(pair)) is None:
+                    p = told[pair] = Told()
+                if o >= p.next:
+                    p.held.setdefault(o, (stage, status))
+                elif o in p.gaps:
+                    p.gaps.discard(o)
+                    late.setdefault(pair, []).append((o, stage, status, True))
+        now = None if self.wait is None else state.getCurrentProcessingTimeMs()
+        for pair, p in told.items():
+            rows = sorted(late.get(pair, ()))
+            while p.next in p.held:
+                rows.append((p.next, *p.held.pop(p.next), False))
+                p.next += 1
+            if not p.held:
+                p.due = None
+            elif p.due is None:
+                p.due = None if now is None else now + self.wait
+            elif p.due <= now:
+                end = max(p.held) + 1
+                p.gaps.update(o for o in range(p.next, end) if o not in p.held)
+                rows += [(o, *p.held[o], True) for o in sorted(p.held)]
+                p.next, p.due, p.held = end, None, {}
+            if rows:
+                out.append((pair, p.place, *map(list, zip(*rows, strict=True))))
+                p.place += len(rows)
+        self.keep(told, state)
+        if dues := [p.due for p in told.values() if p.due is not None]:
+            state.setTimeoutDuration(max(min(dues) - now, 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in GIVEN.split(", ")])
+
+    def read(self, state: GroupState) -> dict[str | None, Told]:
+        if not state.exists:
+            return {}
+        *pairs, n_held, n_gaps, ordinals, stages, statuses, gaps = state.get
+        held, gap = zip(ordinals, zip(stages, statuses, strict=True), strict=True), iter(gaps)
+        return {pair: Told(next_, place, due, dict(islice(held, h)), set(islice(gap, g))) for pair, next_, place, due, h, g in zip(*pairs, n_held, n_gaps, strict=True)}
+
+    def keep(self, told: dict[str | None, Told], state: GroupState) -> None:
+        pairs, held = told.values(), [(o, *v) for p in told.values() for o, v in p.held.items()]
+        state.update((
+            list(told), [p.next for p in pairs], [p.place for p in pairs], [p.due for p in pairs], [len(p.held) for p in pairs], [len(p.gaps) for p in pairs],
+            *([h[i] for h in held] for i in range(3)), [o for p in pairs for o in p.gaps],
+        ))
+
+
+def stages(rows: DataFrame, of: int = 7, wait: int | None = 30_000, blocks: int = 1024) -> DataFrame:
+    """A stream of stage rows (pair_id, ordinal from 1, stage, status), in any order: each once, in order, with the share that is done.
 
     place counts what was given out of a pair; see InOrder for stages whose predecessors don't come. The wait is one of the clock: a bounded
-    stream that is read from files takes None, or what is late depends on how long a batch takes.
+    stream that is read from files takes None, or what is late depends on how long a batch takes. Pairs are kept in `blocks` by their
+    hash, and a batch reads and writes the blocks it touches, so take as many as make one a few thousand stages; the number stays with
+    the checkpoint.
     """
     rows.sparkSession.conf.set(*STORE)
-    return rows.select("pair_id", "ordinal", "stage", "status").groupBy("pair_id").transformWithStateInPandas(InOrder(of, wait), SHOWN, "append", "processingTime")
+    block = F.pmod(F.xxhash64("pair_id"), F.lit(blocks)).alias("block")
+    clock = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
+    given = rows.select(block, "pair_id", "ordinal", "stage", "status").groupBy("block").applyInPandasWithState(InOrder(wait).step, GIVEN, TOLD, "append", clock)
+    each = given.select("pair_id", "before", F.posexplode(F.arrays_zip("ordinal", "stage", "status", "late"))).select("pair_id", (F.col("before") + F.col("pos") + 1).alias("place"), "col.*")
+    return each.select("pair_id", "place", "ordinal", "stage", "status", (F.col("ordinal") / of).alias("share"), (F.col("ordinal") >= of).alias("finished"), "late")
 
 
 def watched(shown: DataFrame, listener: Callable[[Row], None], checkpoint: str, on_start: Callable[[], None] | None = None, every: str = "500 milliseconds"):
@@ -169,14 +202,25 @@ def committed_rows(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(StructType.fromJson(json.loads(entries[0].schema))).parquet(*[e.folder for e in entries])
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that a bounded stream gives, through a memory table; its timers don't go on without data."""
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
+def drained(stream: DataFrame, name: str, mode: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
+    """All that a bounded stream gives; its timers don't go on without data.
+
+    Rows that are appended go to a table in the shared folder; what a mode gives anew in each batch goes through a memory table. The state
+    has `partitions` if fewer are enough than shuffles have: each costs a third of a second of CPU in every batch, whatever it holds.
+    """
+    spark, shuffles = stream.sparkSession, "spark.sql.shuffle.partitions"
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    if partitions is not None:
+        settings[shuffles] = str(min(partitions, int(spark.conf.get(shuffles))))
+    before = {k: spark.conf.get(k) for k in settings}
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    path = shared_dir(spark, name) if mode == "append" else None
     try:
-        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        q = writer.format("memory").start() if path is None else writer.format("parquet").start(path)
         q.awaitTermination()
     finally:
-        conf.set(key, before)
-    return stream.sparkSession.table(name)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.table(name) if path is None else spark.read.schema(stream.schema).parquet(path)

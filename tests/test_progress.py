@@ -1,6 +1,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 
 from proofsheet.sources.versioned import Log
@@ -32,6 +33,61 @@ def test_a_bounded_stream_has_no_clock(spark, tmp_path):
         assert sorted(r.ordinal for r in got) == [1, 2, 3] and {r.late for r in got if r.ordinal > 1} == late
 
 
+def test_appended_rows_are_a_table_of_files(spark, tmp_path):
+    stream = as_stream(spark, f"{tmp_path}/in", [[("a", 2, "s2", "OK")], [("a", 1, "s1", "OK")]], STAGES)
+    got = progress.drained(progress.stages(stream, 2, wait=None), "files", "append", f"{tmp_path}/c")
+    assert got.count() == 2 and got.inputFiles()  # a memory table has none: its rows are the driver's
+
+
+def test_pairs_are_kept_in_blocks(spark, tmp_path):
+    rows = [(p, o, f"s{o}", "OK") for p in (*(f"p{i}" for i in range(50)), None) for o in range(1, 6)]
+    random.Random(5).shuffle(rows)
+    stream = as_stream(spark, f"{tmp_path}/in", [rows[:90], rows[60:180], rows[180:]], STAGES)
+    got = progress.drained(progress.stages(stream, 5, wait=None, blocks=3), "blocks", "append", f"{tmp_path}/c")
+    assert spark.read.format("statestore").load(f"{tmp_path}/c").count() == 3
+    shown = {(r.pair_id, r.place, r.ordinal, r.stage, r.share, r.finished, r.late) for r in got.collect()}
+    assert got.count() == len(rows) and shown == {(p, o, o, s, o / 5, o == 5, False) for p, o, s, _ in rows}
+
+
+def test_a_small_state_has_few_partitions(spark, tmp_path):
+    for asked, parts in ((1, 1), (99, 4)):
+        stream = as_stream(spark, f"{tmp_path}/{asked}", [[("a", 2, "s2", "OK")], [("a", 1, "s1", "OK")]], STAGES)
+        got = progress.drained(progress.stages(stream, 2, wait=None), f"parts_{asked}", "append", f"{tmp_path}/c{asked}", asked)
+        assert got.count() == 2 and {r.numPartitions for r in spark.read.format("state-metadata").load(f"{tmp_path}/c{asked}").collect()} == {parts}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_a_bounded_stream_without_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(STAGES).parquet(f"{tmp_path}/in")
+    got = progress.drained(progress.stages(stream), "no_rows", "append", f"{tmp_path}/c")
+    assert got.count() == 0 and got.columns == ["pair_id", "place", "ordinal", "stage", "status", "share", "finished", "late"]
+
+
+def test_each_pair_of_a_block_has_its_own_wait():
+    class State:
+        exists, now, get, timeout = False, 0, None, None
+
+        def update(self, told):
+            self.exists, self.get, self.timeout = True, told, None
+
+        def getCurrentProcessingTimeMs(self):
+            return self.now
+
+        def setTimeoutDuration(self, wait):
+            self.timeout = self.now + wait
+
+    state, given = State(), []
+    calls = [(0, "a2 c2"), (50, "b2 c1"), (60, "c4"), (100, ""), (110, "a2 a1"), (150, ""), (160, ""), (170, "c3")]
+    for state.now, came in calls:
+        frame = pd.DataFrame([(x[0], int(x[1]), f"s{x[1]}", "OK") for x in came.split()], columns=["pair_id", "ordinal", "stage", "status"])
+        for out in progress.InOrder(100).step((0,), iter([frame]), state):
+            given += [(state.now, r.pair_id, r.before + 1 + i, o, late) for r in out.itertuples() for i, (o, late) in enumerate(zip(r.ordinal, r.late))]
+        assert state.timeout == {0: 100, 50: 100, 60: 100, 100: 150, 110: 150, 150: 160}.get(state.now)
+    # what c held went out at 50, so 4 waits from 60 on, not from 0
+    assert given == [(50, "c", 1, 1, False), (50, "c", 2, 2, False), (100, "a", 1, 2, True), (110, "a", 2, 1, True), (150, "b", 1, 2, True), (160, "c", 3, 4, True), (170, "c", 4, 3, True)]
+
+
 def until(done, seconds=90):
     end = time.time() + seconds
     while not done() and time.time() < end:
